@@ -1,47 +1,16 @@
-"""Helpers shared by the corpus operators: shared folder, held-out fold, word ids."""
+"""Helpers shared by the corpus operators: held-out fold, bounded samples, word ids."""
 
 from __future__ import annotations
 
 import os
 import re
-import tempfile
-import uuid
 
 import numpy as np
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is absent (a local session, as in tests) a temporary
-    folder is made once per session.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a reread, not a recomputation,
-    and values such as row ids are fixed from here on.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..session import materialise, scratch_path, shared_dir  # noqa: F401
 
 
 def held_out(doc_id: Column) -> Column:

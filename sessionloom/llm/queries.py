@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import bbpe, exact, html_main, langid, media, packing, quality, sepscan, tokens_orc
+from . import bbpe, exact, html_main, langid, media, minhash, packing, quality, sepscan, tokens_orc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op2_html_text": op2_html_text,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language_id": op4_language_id,
+    "op5_minhash": op5_minhash,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_media_columns": op7_media_columns,
     "op8_packing": op8_packing,
