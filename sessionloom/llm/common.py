@@ -43,13 +43,13 @@ class WordIds:
     """Ids of whole texts by a lower-casing tokenizer whose pre-tokens never cross white space.
 
     Such a tokenizer gives a text the ids of its words in order, so each
-    distinct word of a worker is encoded once and kept. New words go to the
-    library joined by spaces; as each pre-token ends in an id that carries the
-    end-of-word mark, the ids are cut back into words by counting pre-tokens.
-    The cache is emptied at ``limit`` words, which bounds memory.
+    distinct word of a worker is encoded once and kept, as is each distinct
+    pre-token. New pre-tokens go to the library joined by spaces; as each ends
+    in an id that carries the end-of-word mark, the ids are cut apart again.
+    Either cache is emptied at ``limit`` entries, which bounds memory.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -60,6 +60,7 @@ class WordIds:
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.limit = limit
         self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "WordIds":
@@ -74,47 +75,65 @@ class WordIds:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn(self, words: list[str]) -> None:
-        simple = [w for w in words if _SIMPLE.fullmatch(w)]
-        for i in range(0, len(simple), 4000):
-            some = simple[i : i + 4000]
+        cut, plain, known = {}, [], self.pieces
+        for w in words:
+            if w.isascii() and w.isalpha():
+                plain.append(w)
+            elif _SIMPLE.fullmatch(w):
+                cut[w] = _PIECES.findall(w)
+        wanted = set(plain).union(*cut.values())
+        new = list(wanted.difference(known))
+        if len(known) + len(new) > self.limit:
+            known.clear()
+            new = list(wanted)
+        for i in range(0, len(new), 4000):
+            some = new[i : i + 4000]
             ids = self._ids(" ".join(some))
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum([len(_PIECES.findall(w)) for w in some])
-            if len(ends) != last[-1]:
-                for w in some:
-                    self.cache[w] = self.whole(w)
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(some):
+                known.update((p, self.whole(p)) for p in some)
                 continue
-            stops = ends[last - 1].tolist()
             data, start = ids.tobytes(), 0
-            for w, stop in zip(some, stops):
-                self.cache[w] = data[4 * start : 4 * stop]
+            for p, stop in zip(some, ends):
+                known[p] = data[4 * start : 4 * stop]
                 start = stop
-        for w in set(words).difference(simple):
-            self.cache[w] = self.whole(w)
+        for w in plain:
+            self.cache[w] = known[w]
+        for w, pieces in cut.items():
+            self.cache[w] = b"".join([known[p] for p in pieces])
+        if len(plain) + len(cut) < len(words):
+            for w in set(words).difference(cut, plain):
+                self.cache[w] = self.whole(w)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty.
 
         Texts with characters that str.split takes for white space and the
         tokenizer doesn't, or whose lower case depends on the context, are
-        encoded whole.
+        encoded whole. Texts are looked up in small groups, whose new words are
+        learned together.
         """
-        cache, out = self.cache, []
-        for text in texts:
+        return [x for i in range(0, len(texts), 32) for x in self._group(texts[i : i + 32])]
+
+    def _group(self, texts: list[str | None]) -> list[bytes]:
+        cache, lists = self.cache, []
+        out = [b""] * len(texts)
+        for i, text in enumerate(texts):
             if not text:
-                out.append(b"")
                 continue
-            if _ODD.search(text):
-                out.append(self.whole(text))
+            if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text or not text.isascii() and _ODD.search(text):
+                out[i] = self.whole(text)
                 continue
             words = text.lower().split()
-            if missing := list(set(words).difference(cache)):
-                if len(cache) + len(missing) > self.limit:
-                    cache.clear()
-                    missing = list(set(words))
-                self._learn(missing)
-            out.append(b"".join(map(cache.__getitem__, words)))
+            lists.append((i, words, list(map(cache.get, words))))
+        missing = {w for _, words, found in lists if None in found for w, x in zip(words, found) if x is None}
+        if len(cache) + len(missing) > self.limit:
+            cache.clear()
+            missing.update(*(words for _, words, _ in lists))
+        self._learn(list(missing))
+        for i, words, found in lists:
+            out[i] = b"".join(map(cache.__getitem__, words) if None in found else found)
         return out
 
 
-_ODD = re.compile("[\x1c-\x1f\u0130\u03a3\u0300-\u036f]")
+_ODD = re.compile("[\u0130\u03a3\u0300-\u036f]")
