@@ -8,6 +8,7 @@ import re
 import numpy as np
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialise, scratch_path, shared_dir  # noqa: F401
@@ -137,3 +138,19 @@ class WordIds:
 
 
 _ODD = re.compile("[\u0130\u03a3\u0300-\u036f]")
+
+
+def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that ``decisions`` (doc_id, kept) keeps, with the columns of ``docs``.
+
+    Decisions are per row: where several rows share an id, as many of them
+    stay as are kept, taken in the order of a hash of the row. Null ids are
+    matched too.
+    """
+    kept = materialise(decisions.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_stay")), "kept")
+    several = decisions.groupBy("doc_id").count().where("count > 1")
+    if several.isEmpty():
+        return docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]), "left_semi")
+    order = W.partitionBy("_id").orderBy(F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith("map")]))
+    joined = docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]))
+    return joined.withColumn("_nth", F.row_number().over(order)).where("_nth <= _stay").select(*docs.columns)

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_sample, held_out
 
@@ -176,29 +177,42 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return net.folded()
 
 
-def identify(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each row.
+def _labelled(texts: list[str | None], letters: list[bool], scorer: Scorer | None) -> tuple[list[str], list[float]]:
+    lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    known = [k for k, x in enumerate(letters) if x and scorer]
+    if known:
+        q = scorer.probabilities([texts[k] for k in known])
+        for k, best, p in zip(known, q.argmax(axis=1).tolist(), q.max(axis=1).tolist()):
+            lang[k], score[k] = scorer.languages[best], min(1.0, p)
+    return lang, score
+
+
+def with_language(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
+    """``docs`` with lang_pred and lang_score; columns of these names are replaced.
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing
     was learned. Of equally likely languages the first by name is taken.
-    Repeated rows and null ids are treated like others; further columns are
-    not read; an empty table gives an empty result.
+    Repeated rows and nulls elsewhere are kept; an empty table gives an empty
+    result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.drop("lang_pred", "lang_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value) if sent.value else None
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 some = batch.slice(i, 200)
-                texts, letters = some.column(2).to_pylist(), some.column(3).to_pylist()
-                lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-                known = [k for k, x in enumerate(letters) if x and scorer]
-                if known:
-                    q = scorer.probabilities([texts[k] for k in known])
-                    for k, best, p in zip(known, q.argmax(axis=1).tolist(), q.max(axis=1).tolist()):
-                        lang[k], score[k] = scorer.languages[best], min(1.0, p)
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
-
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letter")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+                lang, score = _labelled(some.column(text_col).to_pylist(), some.column("_letter").to_pylist(), scorer)
+                own = [c for c in some.schema.names if c != "_letter"]
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in own), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*own, "lang_pred", "lang_score"])
+
+    marked = kept.drop("_letter").withColumn("_letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    schema = T.StructType([*kept.drop("_letter").schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    return marked.mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, lang_pred, score of each row, by ``with_language``; further columns are not read."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    return with_language(own, model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
