@@ -13,7 +13,8 @@ components. Equal texts (same words) are one vertex from the start. Buckets
 are never expanded into all their pairs:
 
 1. In each bucket every member meets one leader, chosen by a hash; two such
-   rounds, with verification and components in between.
+   rounds, with verification and components in between. A sketch of one bit a
+   place, which the bucket's rows carry, drops most unlike pairs beforehand.
 2. A bucket that lies in one component is done. Elsewhere the members outside
    the bucket's largest component meet the others, in tiles of bounded size,
    and only those of another component whose signatures agree enough.
@@ -43,6 +44,8 @@ BANDS, ROWS = 25, 5
 M = BANDS * ROWS
 #: Signatures that agree in a smaller share of places aren't verified: about 4 standard deviations below the threshold.
 LEAST_AGREEMENT = 0.64
+#: Bits in which two sketches may differ: at the threshold 12.5 of 125 are expected, with a standard deviation of 3.4.
+MOST_BITS = 30
 #: Members of a tile, of either side.
 TILE = 512
 
@@ -123,8 +126,15 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketch(sig: np.ndarray) -> tuple[int, int]:
+    """One bit of each place, as two integers: a short form of the signature that travels with a bucket's rows."""
+    bits = np.zeros(128, np.uint8)
+    bits[:M] = mix(sig) & np.uint64(1)
+    return tuple(np.packbits(bits).view(np.int64).tolist())
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, vid, sig, bands) of each row; vid is a 128-bit hash of the words."""
+    """(doc_id, vid, sig, bands, bits_a, bits_b) of each row; vid is a 128-bit hash of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, known = Shingles(), {}
@@ -138,13 +148,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         if len(known) > 2000:
                             known.clear()
                         sig = signature(shingles.of(words)) if words else None
-                        known[vid] = (None, None) if sig is None else (sig.astype(np.uint32).view(np.int32), band_hashes(sig))
+                        known[vid] = (None,) * 4 if sig is None else (sig.astype(np.uint32).view(np.int32), band_hashes(sig), *sketch(sig))
                     out.append((vid, *known[vid]))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate([pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]))], names=["doc_id", "vid", "sig", "bands"]
+                    [some.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate([pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.int64()]))], names=["doc_id", "vid", "sig", "bands", "bits_a", "bits_b"]
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, vid binary, sig array<int>, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, vid binary, sig array<int>, bands array<long>, bits_a long, bits_b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -233,12 +243,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = materialise(signatures(docs, "doc_id", "text"), "signatures")
-    reps = signed.groupBy("vid").agg(F.min("doc_id").alias("first_doc"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    reps = signed.groupBy("vid").agg(F.min("doc_id").alias("first_doc"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("bits_a").alias("bits_a"), F.first("bits_b").alias("bits_b"))
     reps = materialise(reps.withColumn("v", F.monotonically_increasing_id()), "vertices")
 
     spread = materialise(reps.select("v", F.explode("bands").alias("b")), "bands")
     crowded = materialise(spread.groupBy("b").count().where("count > 1").select("b"), "crowded")
-    buckets = materialise(spread.join(crowded, "b"), "buckets")
+    buckets = materialise(spread.join(crowded, "b").join(reps.select("v", "bits_a", "bits_b"), "v"), "buckets")
 
     # texts of the vertices that share a bucket; a repeated id may bring a wrong text, which its words tell
     wanted = buckets.select("v").distinct().join(reps.select("v", "vid", "first_doc"), "v")
@@ -254,10 +264,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = labels = None
     for k in range(rounds):
-        members = buckets if labels is None else buckets.join(labels, "v", "left").select("b", "v", F.coalesce("component", "v").alias("component"))
-        value = F.struct(F.xxhash64("v", "b", F.lit(k)).alias("h"), "v", *([] if labels is None else ["component"]))
+        members = buckets if labels is None else buckets.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
+        value = F.struct(F.xxhash64("v", "b", F.lit(k)).alias("h"), "v", "bits_a", "bits_b", *([] if labels is None else ["component"]))
         leaders = materialise(members.groupBy("b").agg(F.min(value).alias("leader")), "leaders")
-        met = members.join(leaders, "b").where(F.col("v") != F.col("leader.v"))
+        differ = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"leader.{c}")))
+        met = members.join(leaders, "b").where((F.col("v") != F.col("leader.v")) & (differ("bits_a") + differ("bits_b") <= MOST_BITS))
         if labels is not None:
             met = met.where(F.col("component") != F.col("leader.component"))
         pairs = met.select(F.least("v", "leader.v").alias("src"), F.greatest("v", "leader.v").alias("dst")).distinct()
