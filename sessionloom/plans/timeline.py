@@ -59,9 +59,9 @@ def _(spark, sf):
     return _turnorder(spark, sf).select("session_id", "seq", "n_entries", "marker")
 
 
-@query("ev01_event_union", f"WITH {EVENTS} SELECT session_id, ord, id, kind, t_start_s, t_end_s, player_id, roll_kind, total, marker FROM ev")
+@query("ev01_event_union", f"WITH {EVENTS} SELECT session_id, ord, id, kind, t_start_s, t_end_s, player_id, roll_kind, coalesce(total, -1) AS total, marker FROM ev")
 def _(spark, sf):
-    return _events(spark, sf).drop("text")
+    return _events(spark, sf).drop("text").withColumn("total", F.coalesce("total", F.lit(-1)))
 
 
 @query("ev04_gaps", f"WITH {BASE} SELECT session_id, round(t_start_s, 6) AS t_start_s, round(t_end_s, 6) AS t_end_s FROM gaps")
