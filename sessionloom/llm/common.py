@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -56,6 +57,10 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # for pre-tokens, which are lower-case words already: the same model without the steps before it
+        bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "added_tokens": []}
+        bare["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -70,18 +75,20 @@ class WordIds:
         return _TOKENIZERS[path]
 
     def whole(self, text: str) -> bytes:
-        return self._ids(text).tobytes()
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+    def _ids(self, pieces: list[str]) -> np.ndarray:
+        return np.asarray(self.bare.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn(self, words: list[str]) -> None:
         cut, plain, known = {}, [], self.pieces
         for w in words:
-            if w.isascii() and w.isalpha():
+            if not (w.isascii() and w.isprintable() or _SIMPLE.fullmatch(w)):
+                continue
+            if w.isalpha():
                 plain.append(w)
-            elif _SIMPLE.fullmatch(w):
-                cut[w] = _PIECES.findall(w)
+            else:
+                cut[w] = (w[:-1], w[-1]) if w[:-1].isalpha() else _PIECES.findall(w)
         wanted = set(plain).union(*cut.values())
         new = list(wanted.difference(known))
         if len(known) + len(new) > self.limit:
@@ -89,7 +96,7 @@ class WordIds:
             new = list(wanted)
         for i in range(0, len(new), 4000):
             some = new[i : i + 4000]
-            ids = self._ids(" ".join(some))
+            ids = self._ids(some)
             ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(ends) != len(some):
                 known.update((p, self.whole(p)) for p in some)
@@ -114,7 +121,7 @@ class WordIds:
         encoded whole. Texts are looked up in small groups, whose new words are
         learned together.
         """
-        return [x for i in range(0, len(texts), 32) for x in self._group(texts[i : i + 32])]
+        return [x for i in range(0, len(texts), 16) for x in self._group(texts[i : i + 16])]
 
     def _group(self, texts: list[str | None]) -> list[bytes]:
         cache, lists = self.cache, []
@@ -126,14 +133,17 @@ class WordIds:
                 out[i] = self.whole(text)
                 continue
             words = text.lower().split()
-            lists.append((i, words, list(map(cache.get, words))))
-        missing = {w for _, words, found in lists if None in found for w, x in zip(words, found) if x is None}
+            found = list(map(cache.get, words))
+            holes = [k for k, x in enumerate(found) if x is None] if None in found else []
+            lists.append((i, words, found, holes))
+        missing = {words[k] for _, words, _, holes in lists for k in holes}
         if len(cache) + len(missing) > self.limit:
             cache.clear()
-            missing.update(*(words for _, words, _ in lists))
         self._learn(list(missing))
-        for i, words, found in lists:
-            out[i] = b"".join(map(cache.__getitem__, words) if None in found else found)
+        for i, words, found, holes in lists:
+            for k in holes:
+                found[k] = cache[words[k]]
+            out[i] = b"".join(found)
         return out
 
 

@@ -51,7 +51,7 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
         .sortWithinPartitions("doc_id", "place")
         .select("doc_id", "text")
         .mapInArrow(run, SCHEMA)
-        .write.option("orc.compress", "ZSTD")
+        .write.option("orc.compress", "LZ4")
         .option("orc.stripe.size", str(stripe_bytes))
         .option("orc.row.index.stride", str(row_index_stride))
         .option("orc.bloom.filter.columns", "doc_id")
