@@ -1,7 +1,7 @@
 """Queries of every operator on the driver's tables: QUERIES by name, ORACLE_SQL where SQL can express them."""
 
-from . import encounters, timeline, transcript
+from . import encounters, identity, timeline, transcript
 
-_ALL = [transcript, timeline, encounters]
+_ALL = [transcript, timeline, encounters, identity]
 QUERIES = {k: v for m in _ALL for k, v in m.Q.items()}
 ORACLE_SQL = {k: v for m in _ALL for k, v in m.S.items()}
