@@ -81,7 +81,7 @@ def rolls(spark: SparkSession, sf: str) -> DataFrame:
 
 ROLLS = """
 rolls0 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
-rolls AS (SELECT user_id AS session_id, event_id AS roll_id, seq, (12000 * seq + 1000 * (event_id % 5)) / 1000.0::DOUBLE AS t_s, epoch_ms(ts) AS t_wall_ms, 'p' || (event_id % 4) AS who,
+rolls AS (SELECT user_id AS session_id, event_id AS roll_id, seq, (12000 * seq + 1000 * (event_id % 5)) / 1000.0::DOUBLE AS t_s, epoch_us(ts) // 1000 AS t_wall_ms, 'p' || (event_id % 4) AS who,
   CASE event_type WHEN 'click' THEN 'attack' WHEN 'purchase' THEN 'damage' WHEN 'view' THEN 'check' WHEN 'signup' THEN 'initiative' ELSE 'other' END AS kind,
   CAST(round(value) AS BIGINT) AS total, event_id % 20 + 1 AS die, CASE WHEN event_id % 2 = 0 THEN 'npc' || (event_id % 3) END AS target,
   CAST(regexp_extract(props, '"k": *(\\d+)', 1) AS BIGINT) AS k FROM rolls0)"""
