@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import timeline as tl
+from ..operators.transcript import is_backchannel
 from . import adapters as ad
+from .transcript import BACK
 
 Q, S = {}, {}
 TERMS = ["thing", "that", "tion", "the"]
@@ -177,3 +180,19 @@ def _(spark, sf):
     b = _beats(spark, sf)
     truth = b.where("beat % 5 <> 4").withColumn("kind", F.expr("CASE WHEN beat % 3 = 0 THEN 'social' ELSE kind END")).withColumn("t_start_s", F.expr("t_start_s + (beat % 2) * 2"))
     return tl.segmentation_metrics(b, truth)
+
+
+REPORT = f"""{BASE}, sec AS (SELECT session_id, player_id, round(sum(end_ms - start_ms) / 1000.0, 3)::DOUBLE AS speech_s, count(*) AS n_utterances, count(*) FILTER ({BACK}) AS n_backchannels, count(*) FILTER (player_id <> coalesce(was, '')) AS n_turns FROM (SELECT *, lag(player_id) OVER (PARTITION BY session_id ORDER BY start_s, utt_id) AS was FROM utt2) GROUP BY 1, 2), gp AS (SELECT session_id, count(*) AS n_gaps, round(max(t_end_s - t_start_s), 6) AS longest_gap_s FROM gaps GROUP BY 1)"""
+
+
+@query("speaking_report", f"WITH {REPORT} SELECT sec.*, coalesce(n_gaps, 0) AS n_gaps, coalesce(longest_gap_s, 0) AS longest_gap_s FROM sec LEFT JOIN gp USING (session_id)")
+def _(spark, sf):
+    """Speech, backchannels, changes of speaker and silences of each session and player."""
+    u = _speech(spark, sf)
+    was = F.lag("player_id").over(W.partitionBy("session_id").orderBy("start_s", "utt_id"))
+    said = u.withColumn("_was", was).groupBy("session_id", "player_id").agg(
+        F.round(F.sum(F.col("end_ms") - F.col("start_ms")) / 1000.0, 3).alias("speech_s"), F.count("*").alias("n_utterances"),
+        F.count_if(is_backchannel(F.col("text"), F.col("end_s") - F.col("start_s"))).alias("n_backchannels"), F.count_if(F.col("player_id") != F.coalesce("_was", F.lit(""))).alias("n_turns"),
+    )
+    quiet = _gaps(spark, sf).groupBy("session_id").agg(F.count("*").alias("n_gaps"), F.round(F.max(F.col("t_end_s") - F.col("t_start_s")), 6).alias("longest_gap_s"))
+    return said.join(quiet, "session_id", "left").na.fill(0, ["n_gaps", "longest_gap_s"])
