@@ -14,18 +14,15 @@ from sessionloom.llm import exact, langid, minhash, packing, quality
 from sessionloom.llm.common import keep_rows, materialise
 from sessionloom.session import ship_package
 
-#: A language less certain than this is none; of four languages the best has a quarter at least.
-LEAST_CERTAIN = 0.35
-
 #: Not expressible: trained models decide, and windows are packed by an algorithm.
 ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or of uncertain language go."""
+    """Documents in which no language is found, as they have no letters, go."""
     ship_package(spark)
     found = langid.with_language(docs, langid.fit(docs))
-    return found.where((found.lang_pred != langid.UNKNOWN) & (found.lang_score >= LEAST_CERTAIN)).select(*docs.columns)
+    return found.where(found.lang_pred != langid.UNKNOWN).select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
