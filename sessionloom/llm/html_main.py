@@ -201,6 +201,8 @@ def main_text(page: str | None, weights: Weights) -> str:
             node = token[3]
             block = node.key if node.name not in PLAIN else block
             score = 0.0 if token[1] in PLAIN else weights.tag(token[2])
+            # what the markup itself calls main text is not broken by an aside or a form in it
+            score = max(score, -0.5) if node.main else score
         if run <= 0:
             run, begin = 0.0, i
         run += score
