@@ -16,8 +16,9 @@ are never expanded into all their pairs:
    rounds, with verification and components in between. A sketch of one bit a
    place, which the bucket's rows carry, drops most unlike pairs beforehand.
 2. A bucket that lies in one component is done. Elsewhere the members outside
-   the bucket's largest component meet the others, in tiles of bounded size,
-   and only those of another component whose signatures agree enough.
+   the bucket's largest component meet the others, in tiles of bounded size:
+   where signatures agree enough and no link joins the two components yet, the
+   texts are compared. A tile gives back only links that join components.
 
 So each pair that shares a bucket and could still join two components is
 looked at, and no other. A link is missed only if its texts share no bucket or
@@ -157,6 +158,16 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, vid binary, sig array<int>, bands array<long>, bits_a long, bits_b long")
 
 
+def _similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """Whether the Jaccard index of two sets, as sorted arrays, reaches the threshold."""
+    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= threshold * (len(both) - common) - 1e-9
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The links among pairs (src, dst)."""
 
@@ -175,13 +186,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
             for k, (a, b) in enumerate(zip(src, dst)):
                 x = distinct(a, None if a in known else batch.column(2)[k].as_py())
                 y = distinct(b, None if b in known else batch.column(3)[k].as_py())
-                small = min(len(x), len(y))
-                if small < threshold * max(len(x), len(y)):
-                    continue
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                if common >= threshold * (len(both) - common) - 1e-9:
+                if _similar(x, y, threshold):
                     out.append((a, b))
             columns = [list(c) for c in zip(*out)] or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["src", "dst"])
@@ -199,37 +204,65 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "dst").join(two, "src").where(agree >= least * M).select("src", "dst")
 
 
-def _tile_pairs(least: float):
+def _tile_links(least: float, threshold: float):
+    """Links between components within one tile; each pair is looked at in its first common band only."""
+
     def run(table: pa.Table) -> pa.Table:
         outside = np.asarray(table.column("outside").to_pylist(), dtype=bool)
-        v, c = table.column("v").to_numpy(), table.column("component").to_numpy()
+        v, c, main = (table.column(x).to_numpy() for x in ("v", "component", "main"))
         sig = np.array(table.column("sig").to_pylist(), dtype=np.int32).reshape(-1, M)
-        left, right = np.flatnonzero(outside), np.flatnonzero(~outside)
-        src, dst = [], []
-        for i in left:
-            hit = right[(sig[right] == sig[i]).sum(axis=1) >= least * M]
-            hit = hit[c[hit] != c[i]]
-            src.append(np.minimum(v[i], v[hit]))
-            dst.append(np.maximum(v[i], v[hit]))
-        join = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
-        return pa.table({"src": join(src), "dst": join(dst)})
+        band, texts, shingles, sets, links = table.column("k")[0].as_py(), table.column("text"), Shingles(), {}, []
+        parent = {x: x for x in c.tolist()}
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        def distinct(i):
+            if v[i] not in sets:
+                sets[v[i]] = np.unique(shingles.of(words_of(texts[i].as_py())))
+            return sets[v[i]]
+
+        right = np.flatnonzero(~outside)
+        for i in np.flatnonzero(outside):
+            same = sig[right] == sig[i]
+            agree = same.sum(axis=1)
+            # two outsiders meet in two tiles; one of them is enough
+            hit = np.flatnonzero((agree >= least * M) & (c[right] != c[i]) & ((c[right] == main[i]) | (v[right] > v[i])))
+            hit = hit[same[hit].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+            for j in right[hit[np.argsort(-agree[hit], kind="stable")]]:
+                x, y = find(int(c[i])), find(int(c[j]))
+                if x != y and _similar(distinct(i), distinct(j), threshold):
+                    parent[x] = y
+                    links.append((int(v[i]), int(v[j])))
+        src, dst = zip(*links) if links else ((), ())
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
     return run
 
 
-def _rest_pairs(buckets: DataFrame, labels: DataFrame, reps: DataFrame, least: float, tile: int) -> DataFrame:
-    """Pairs that share a bucket, lie in different components, and agree enough."""
-    members = materialise(buckets.join(labels, "v", "left").select("b", "v", F.coalesce("component", "v").alias("component")), "members")
+def _rest_links(buckets: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, least: float, threshold: float, tile: int) -> DataFrame:
+    """Links between members of a bucket that lie in different components.
+
+    A tile holds some of the members outside the bucket's largest component
+    and some of all members, with signatures and texts, and only gives back
+    links that join components: fewer than it has members.
+    """
+    members = materialise(buckets.join(labels, "v", "left").select("b", "k", "v", F.coalesce("component", "v").alias("component")), "members")
     counts = members.groupBy("b", "component").count()
     open_ = counts.groupBy("b").agg(F.sum("count").alias("n"), F.max(F.struct("count", "component")).alias("top")).where("n > top.count")
     open_ = materialise(open_.select("b", F.col("top.component").alias("main"), F.ceil(F.col("n") / tile).cast("int").alias("js"), F.ceil((F.col("n") - F.col("top.count")) / tile).cast("int").alias("is_")), "open-buckets")
     rows = members.join(open_, "b")
     block = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
     steps = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.where("component <> main").select("b", "v", "component", F.lit(True).alias("outside"), block("is_").alias("i"), steps("js").alias("j"))
-    right = rows.select("b", "v", "component", F.lit(False).alias("outside"), steps("is_").alias("i"), block("js").alias("j"))
-    tiles = left.unionByName(right).join(reps.select("v", "sig"), "v")
-    return tiles.groupBy("b", "i", "j").applyInArrow(_tile_pairs(least), "src long, dst long").distinct()
+    cols = ["b", "k", "v", "component", "main"]
+    left = rows.where("component <> main").select(*cols, F.lit(True).alias("outside"), block("is_").alias("i"), steps("js").alias("j"))
+    right = rows.select(*cols, F.lit(False).alias("outside"), steps("is_").alias("i"), block("js").alias("j"))
+    own = materialise(reps.select("v", "sig").join(texts, "v"), "signed-texts")
+    tiles = left.unionByName(right).join(own, "v")
+    return tiles.groupBy("b", "i", "j").applyInArrow(_tile_links(least, threshold), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least_agreement: float = LEAST_AGREEMENT, rounds: int = 2, tile: int = TILE) -> DataFrame:
@@ -246,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = signed.groupBy("vid").agg(F.min("doc_id").alias("first_doc"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("bits_a").alias("bits_a"), F.first("bits_b").alias("bits_b"))
     reps = materialise(reps.withColumn("v", F.monotonically_increasing_id()), "vertices")
 
-    spread = materialise(reps.select("v", F.explode("bands").alias("b")), "bands")
+    spread = materialise(reps.select("v", F.posexplode("bands").alias("k", "b")), "bands")
     crowded = materialise(spread.groupBy("b").count().where("count > 1").select("b"), "crowded")
     buckets = materialise(spread.join(crowded, "b").join(reps.select("v", "bits_a", "bits_b"), "v"), "buckets")
 
@@ -276,8 +309,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         new = materialise(_verified(pairs, texts, threshold), "links")
         links = new if links is None else links.unionByName(new)
         labels = connected_components(links)
-    pairs = materialise(_rest_pairs(buckets, labels, reps, least_agreement, tile), "pairs")
-    links = links.unionByName(materialise(_verified(pairs, texts, threshold), "links"))
+    links = links.unionByName(materialise(_rest_links(buckets, labels, reps, texts, least_agreement, threshold, tile), "links"))
     labels = connected_components(links)
 
     vertex = materialise(reps.select("vid", "v").join(labels, "v", "left").select("vid", F.coalesce("component", "v").alias("component")), "vertex-classes")
