@@ -129,7 +129,7 @@ def project(rolls: DataFrame, points: DataFrame, scale: float = 0.25) -> DataFra
     forwards and backwards by windows.
     """
     p = points.select("session_id", "seq", F.col("t_s").alias("_pt"))
-    axis = rolls.join(p, ["session_id", "seq"], "left")
+    axis = rolls.withColumn("_roll", F.lit(True)).join(p, ["session_id", "seq"], "full_outer")
     w = W.partitionBy("session_id").orderBy("seq")
     pt = F.when(F.col("_pt").isNotNull(), F.struct(F.col("seq").alias("q"), F.col("_pt").alias("t")))
     held = axis.withColumn("_a", F.last(pt, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_b", F.first(pt, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
@@ -142,7 +142,7 @@ def project(rolls: DataFrame, points: DataFrame, scale: float = 0.25) -> DataFra
     gap = F.least(F.coalesce(q - F.col("_a.q"), F.lit(10**9)), F.coalesce(F.col("_b.q") - q, F.lit(10**9)))
     unc = F.when(F.col("_pt").isNotNull(), F.lit(scale)).when(inside, scale + 0.5 + 0.5 * gap).when(F.col("_a").isNotNull() | F.col("_b").isNotNull(), scale + 1 + gap).otherwise(F.lit(scale + 10))
     kind = F.when(F.col("_pt").isNotNull(), "matched").when(inside, "interpolated").when(F.col("_a").isNotNull() | F.col("_b").isNotNull(), "extrapolated").otherwise("unanchored")
-    return held.select(*rolls.columns, F.round(t, 6).alias("t_audio_s"), F.round(unc, 6).alias("uncertainty_s"), kind.alias("anchor"))
+    return held.where("_roll").select(*rolls.columns, F.round(t, 6).alias("t_audio_s"), F.round(unc, 6).alias("uncertainty_s"), kind.alias("anchor"))
 
 
 def anchors(projected: DataFrame) -> DataFrame:

@@ -141,6 +141,7 @@ def target_of(explicit: Column, markup: Column, text: Column) -> Column:
 def name_mentions(text: Column, speaker: Column) -> Column:
     """Proper names: capitalised runs and capitalised words after an article; first spellings, without the speaker. (SRC-17)"""
     found = F.concat(F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]+(?: [A-Z][a-z]+)+)\b"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"\b(?:the|The|a|an) ([A-Z][a-z]+)\b"), F.lit(1)))
+    found = F.transform(found, lambda n: F.regexp_replace(n, "^(The|An?) ", ""))
     fine = F.filter(found, lambda n: ~F.lower(n).isin(GENERIC_NAMES) & (F.lower(n) != F.lower(F.coalesce(speaker, F.lit("")))))
     return F.filter(fine, lambda n, i: F.array_position(F.transform(fine, lambda m: F.lower(m)), F.lower(n)) == i + 1)
 
