@@ -11,12 +11,17 @@ from .intervals import band_join
 
 # Fixed values.
 IN_CHARACTER, OUT_OF_CHARACTER, SIM_LEAST, SIM_LEAD, SHORTEST_S = 0.65, 0.35, 0.5, 0.08, 0.6
-WEIGHTS = {"bias": -0.2, "in_score": 0.9, "out_score": -1.1, "roll_prox": -0.8, "table_sim": -1.2, "character_sim": 1.6, "margin": 0.7, "overlap": -0.2, "backchannel": -0.5, "duration": 0.03}
+WEIGHTS = {
+    "bias": 0.0, "voice_sim_table": 0.9, "voice_sim_character": 1.2, "voice_margin": 1.1, "prosody_f0_mean": 0.02, "prosody_f0_std": 0.02, "prosody_f0_range": 0.02, "prosody_rate_wps": 0.02, "prosody_intensity_mean": 0.02,
+    "prosody_intensity_std": 0.02, "prosody_spectral_tilt": 0.02, "prosody_jitter_proxy": 0.02, "prosody_pause_ratio": 0.02, "lex_ooc": -1.1, "lex_ic": 0.8, "roll_prox": -0.45, "chat_prox": -0.35,
+    "addressee_character": 0.35, "addressee_dm": -0.2, "duration": 0.05, "backchannel": -0.2, "overlap": -0.15,
+}
 AMBIGUITY_FLAGS = ["uncertain", "no_profiles", "too_short"]
-SMOOTH_STRONG = 0.8
+SMOOTH_MOST = 0.62
 DECAY_S, DECAY_POINTS, NEAR_S, BANK_POINTS, ROLL_POINTS, ADDRESS_POINTS, WIN_MARGIN = 45.0, 8.0, 3.0, 3.0, 2.0, 4.0, 1.5
-NARRATION = r"\b(you see|the room|suddenly|as you)\b"
-PERSON = r"\b(i|you|we|my|your)\b"
+NARRATION = r"^(the|a|an)\s|\b(he|she|they|it)\s+(was|were|is|are|had|has|walked|looked|said|stood)\b|\b(says?|asks?|shouts?)\s*[:,]"
+DIRECT = r"\b(i|me|my|we|our|you|your)\b"
+QUOTE = r'"[^"]+"|“[^”]+”|‘[^’]+’'
 
 
 def evidence(utterances: DataFrame, scores: DataFrame, similarities: DataFrame, rolls: DataFrame, slack: float = 2.0) -> DataFrame:
@@ -26,16 +31,16 @@ def evidence(utterances: DataFrame, scores: DataFrame, similarities: DataFrame,
     joined back; similarities are reduced to the best of either kind.
     """
     near = band_join(utterances.select("session_id", "utt_id", "mid_s"), rolls.select("session_id", "t_s"), ["session_id"], "mid_s", "t_s", slack, slack).select("session_id", "utt_id").distinct().withColumn("roll_prox", F.lit(1.0))
-    sims = similarities.groupBy("utt_id").agg(F.max(F.when(F.col("kind") == "table", F.col("similarity"))).alias("table_sim"), F.max(F.when(F.col("kind") == "character", F.col("similarity"))).alias("character_sim"))
+    sims = similarities.groupBy("utt_id").agg(F.max(F.when(F.col("kind") == "table", F.col("similarity"))).alias("voice_sim_table"), F.max(F.when(F.col("kind") == "character", F.col("similarity"))).alias("voice_sim_character"))
     out = utterances.join(scores, "utt_id", "left").join(sims, "utt_id", "left").join(near, ["session_id", "utt_id"], "left")
-    return out.withColumn("margin", F.coalesce("character_sim", F.lit(0.0)) - F.coalesce("table_sim", F.lit(0.0))).withColumn("roll_prox", F.coalesce("roll_prox", F.lit(0.0)))
+    return out.withColumn("voice_margin", F.coalesce("voice_sim_character", F.lit(0.0)) - F.coalesce("voice_sim_table", F.lit(0.0))).withColumn("roll_prox", F.coalesce("roll_prox", F.lit(0.0)))
 
 
-def weighted_score(weights: dict[str, float] = WEIGHTS) -> Column:
-    """Sigmoid of the weighted evidence; nulls are 0, the duration at most 20. (AT-02)"""
+def weighted_score(columns: list[str], weights: dict[str, float] = WEIGHTS) -> Column:
+    """Sigmoid of the weighted evidence among ``columns``; nulls and absent columns are 0, the duration at most 20. (AT-02)"""
     z = F.lit(weights["bias"])
     for k, w in weights.items():
-        if k != "bias":
+        if k in columns:
             x = F.coalesce(F.col(k).cast("double"), F.lit(0.0))
             z = z + w * (F.least(x, F.lit(20.0)) if k == "duration" else x)
     return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
@@ -71,7 +76,7 @@ def quote_children(spans: DataFrame, nearest: DataFrame) -> DataFrame:
     return spans.join(nearest.select("utt_id", "character_id"), "utt_id", "left")
 
 
-def smoothed(attributions: DataFrame, strong: float = SMOOTH_STRONG) -> DataFrame:
+def smoothed(attributions: DataFrame, most: float = SMOOTH_MOST) -> DataFrame:
     """A weak decision between two equal neighbours takes their mode; later rows see earlier changes. (AT-07)
 
     The order matters, so one session's rows are folded by an aggregate over
@@ -84,7 +89,7 @@ def smoothed(attributions: DataFrame, strong: float = SMOOTH_STRONG) -> DataFram
     def step(acc, i):
         x, after = F.get("r", i - 1), F.get("r", i)
         before = F.get(acc, F.size(acc) - 1)
-        flip = F.coalesce((before["mode"] == after["mode"]) & (x["mode"] != before["mode"]) & (x["confidence"] < strong), F.lit(False))
+        flip = F.coalesce((before["mode"] == after["mode"]) & (x["mode"] != before["mode"]) & (x["confidence"] <= most), F.lit(False))
         mode = F.when(flip, before["mode"]).otherwise(x["mode"])
         return F.concat(acc, F.array(F.struct(x["ord"].alias("ord"), x["utt_id"].alias("utt_id"), mode.alias("mode"), x["confidence"].alias("confidence"), flip.alias("smoothed"))))
 
@@ -148,7 +153,7 @@ def apply_reviews(attributions: DataFrame, decisions: DataFrame) -> DataFrame:
 def narrator_mode(text: Column) -> Column:
     """voice if quoted, or in the first or second person without a narration pattern; else narration. (NP-01)"""
     low = F.lower(text)
-    return F.when(text.rlike('["“”]') | (low.rlike(PERSON) & ~low.rlike(NARRATION)), "voice").otherwise("narration")
+    return F.when(text.rlike(QUOTE) | (low.rlike(DIRECT) & ~low.rlike(NARRATION)), "voice").otherwise("narration")
 
 
 def discovered_names(utterances: DataFrame, stop: list[str]) -> DataFrame:

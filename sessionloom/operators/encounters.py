@@ -10,9 +10,11 @@ from .intervals import as_of, band_join
 
 # Fixed values.
 SILENCE_S, NARRATION_S, CHECK_S, GROUP_S = 20.0, 8.0, 12.0, 90.0
-FAILURE, SUCCESS = r"\b(fail|fails|failed|miss|misses|can't|cannot|not)\b", r"\b(succeed|success|hit|hits|you do|yes)\b"
-REFUSAL, AGREEMENT, TRANSITION = r"\b(no|never|refuse|won't)\b", r"\b(yes|agree|deal|sure)\b", r"\b(later|leave|next|go)\b"
-PROMISE, STAKE = r"(?i)\b((?:i|we) (?:will|promise|swear)[^.!?]*)", r"(?i)\b(or else[^.!?]*|at stake[^.!?]*)"
+FAILURE, SUCCESS = r"\b(?:fail(?:s|ed|ure)?|miss(?:es|ed)?)\b", r"\b(?:succeed(?:s|ed)?|success|pass(?:es|ed)?|made it|works)\b"
+REFUSAL, AGREEMENT = r"\b(?:refus(?:e|es|ed|al)|no deal|reject(?:s|ed)?|won't|will not)\b", r"\b(?:agree(?:s|d)?|deal|done|accept(?:s|ed)?)\b"
+TRANSITION = r"\b(?:we move on|let's move on|scene shifts|combat begins|initiative begins)\b"
+PROMISE, STAKE = r"(?i)\b((?:we'?ll|i'?ll|we will|i will)\b[^.!?]{2,120})", r"(?i)\b((?:pay|reward|price|if|unless)\b[^.!?]{2,120})"
+TARGET, SKILL = r"(?i)(?:target|against)\s*[:=]\s*([A-Za-z0-9 _-]+)", r"(?i)(?:^|[;|,\s])(?:skill|ability)\s*[:=]\s*([^;|,]+)"
 
 
 def roll_occurrences(rolls: DataFrame, names: DataFrame) -> DataFrame:
@@ -22,8 +24,8 @@ def roll_occurrences(rolls: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def target_of(text: Column) -> Column:
-    """The word after target or against, null without. (EN-02)"""
-    return F.nullif(F.regexp_extract(text, r"(?i)\b(?:target|against)[: ]+(\w+)", 1), F.lit(""))
+    """What follows ``target:`` or ``against:``, null without. (EN-02)"""
+    return F.nullif(F.trim(F.regexp_extract(text, TARGET, 1)), F.lit(""))
 
 
 def order_at_roll(rolls: DataFrame, turnorder: DataFrame) -> DataFrame:
@@ -112,7 +114,7 @@ def adjudication(checks: DataFrame, speech: DataFrame, within: float = CHECK_S)
 
 def skill_of(ref: Column) -> Column:
     """What follows ``skill:`` or ``ability:``, else unknown. (CK-03)"""
-    return F.coalesce(F.nullif(F.lower(F.regexp_extract(ref, r"(?i)\b(?:skill|ability)\s*[:=]\s*(\w+)", 1)), F.lit("")), F.lit("unknown"))
+    return F.coalesce(F.nullif(F.trim(F.lower(F.regexp_extract(ref, SKILL, 1))), F.lit("")), F.lit("unknown"))
 
 
 def verdict_of(text: Column) -> Column:

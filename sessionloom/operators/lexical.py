@@ -13,8 +13,8 @@ from .intervals import band_join
 
 # Contractions, and words for numbers.
 CONTRACTIONS = {
-    "i'm": "i am", "i'll": "i will", "i've": "i have", "i'd": "i would", "you're": "you are", "you'll": "you will", "he's": "he is", "she's": "she is", "it's": "it is", "we're": "we are", "we'll": "we will", "they're": "they are",
-    "that's": "that is", "there's": "there is", "what's": "what is", "let's": "let us", "can't": "can not", "won't": "will not", "don't": "do not", "doesn't": "does not", "didn't": "did not", "isn't": "is not", "aren't": "are not",
+    "can't": "cannot", "couldn't": "could not", "didn't": "did not", "doesn't": "does not", "don't": "do not", "i'd": "i would", "i'll": "i will", "i'm": "i am", "i've": "i have", "isn't": "is not", "it'll": "it will",
+    "let's": "let us", "shouldn't": "should not", "that's": "that is", "they're": "they are", "wasn't": "was not", "we'll": "we will", "we're": "we are", "weren't": "were not", "won't": "will not", "wouldn't": "would not", "you're": "you are",
 }
 SMALL = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
 TENS = {w: 10 * (i + 2) for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split())}

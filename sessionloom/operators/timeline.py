@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 # Fixed values.
 GAP_S, SILENCE_S, SPACING_S = 2.0, 8.0, 30.0
 WEIGHTS = {"silence": 5.0, "turnorder": 8.0, "density": 3.0, "speakers": 3.0, "characters": 3.0, "glossary": 2.0, "narration": 4.0}
+COMBAT_ROLLS = ["attack", "damage", "initiative", "save", "death_save"]
+RECAP, TABLE, PLAN = r"\b(recap|previously)\b", r"\b(rules?|break|character sheet)\b", r"\b(plan|planning|strategy|prepare|preparing)\b"
 KINDS = ["attack", "damage", "save", "check", "initiative", "death_save", "other"]
 
 
@@ -147,13 +149,13 @@ def beats(assigned: DataFrame, terms: list[str]) -> DataFrame:
     has = lambda p: F.max(F.when(speech & said.rlike(p), 1).otherwise(0))
     base = assigned.groupBy("session_id", "beat").agg(
         F.min("t_start_s").alias("t_start_s"), F.max("t_end_s").alias("t_end_s"), F.count("*").alias("n_events"),
-        F.max(F.when(F.col("roll_kind").isin("attack", "damage", "initiative"), 1).otherwise(0)).alias("_combat"), has("recap|last time").alias("_recap"), has("plan|should we").alias("_plan"),
+        F.max(F.when(F.col("roll_kind").isin(COMBAT_ROLLS) | (F.col("kind") == "turnorder"), 1).otherwise(0)).alias("_combat"), has(RECAP).alias("_recap"), has(TABLE).alias("_table"), has(PLAN).alias("_plan"),
         F.count_distinct(F.when(speech, F.col("player_id"))).alias("n_speakers"),
         F.sum(F.when(speech & (F.col("player_id") != "system"), long_).otherwise(0.0)).alias("_in"), F.sum(F.when(speech, long_).otherwise(0.0)).alias("_all"),
         *[F.count_if(F.col("roll_kind") == k).alias(f"n_{k}") for k in KINDS],
         *[F.max(F.when(speech & F.contains(said, F.lit(t)), 1).otherwise(0)).alias(f"_t{i}") for i, t in enumerate(terms)],
     )
-    kind = F.when(F.col("_combat") == 1, "combat").when(F.col("_recap") == 1, "table").when(F.col("_plan") == 1, "planning").when(F.col("n_speakers") >= 2, "social").otherwise("exploration")
+    kind = F.when(F.col("_combat") == 1, "combat").when(F.col("_recap") == 1, "recap").when(F.col("_table") == 1, "table").when(F.col("_plan") == 1, "planning").when(F.col("n_speakers") >= 2, "social").otherwise("exploration")
     term = F.coalesce(*[F.when(F.col(f"_t{i}") == 1, F.lit(t)) for i, t in enumerate(terms)], F.concat(F.lit("beat "), F.col("beat")))
     titled = base.withColumn("kind", kind).withColumn("ratio", F.round(F.when(F.col("_all") > 0, F.col("_in") / F.col("_all")).otherwise(0.0), 6)).withColumn("_base", term)
     nth = F.row_number().over(W.partitionBy("session_id", "_base").orderBy("beat"))

@@ -16,7 +16,7 @@ from .intervals import band_join, interval_join
 
 # Fixed values.
 WORD_GAP_S, OVERLAP_S, BLEED_S, BLEED_SIMILARITY, BACKCHANNEL_S = 0.75, 0.2, 0.75, 0.85, 1.5
-BACKCHANNELS = ["yeah", "yes", "yep", "yup", "ok", "okay", "mhm", "mm-hmm", "mm", "hm", "hmm", "right", "sure", "uh-huh", "cool", "nice", "no", "nope", "oh", "ah", "wow"]
+BACKCHANNELS = "yeah yea yes yep yup mhm okay ok right sure no nope hmm hm mm gotcha alright uhhuh".split() + ["mm hm", "uh huh", "got it", "all right"]
 
 
 def validate_segments(segments: DataFrame) -> DataFrame:
@@ -114,8 +114,7 @@ def bleed_warnings(edges: DataFrame) -> DataFrame:
 
 def is_backchannel(text: Column, duration: Column) -> Column:
     """Short and nothing but an acknowledgement. (TR-13)"""
-    bare = F.trim(F.regexp_replace(F.lower(text), r"[.!?,\s]+$", ""))
-    return (duration <= BACKCHANNEL_S) & bare.isin(BACKCHANNELS)
+    return (duration <= BACKCHANNEL_S) & comparison_text(text).isin(BACKCHANNELS)
 
 
 def speech_seconds(tracks: DataFrame, vad: DataFrame) -> DataFrame:

@@ -24,9 +24,9 @@ def query(name, sql=None):
 U, R = ad.UTTERANCES, ad.ROLLS
 EV = f"""{U}, {R}, u AS (SELECT session_id, utt_id, source_index, player_id, start_s, end_s, (start_ms + end_ms) / 2000.0::DOUBLE AS mid_s, end_s - start_s AS duration, length(text) % 3 AS n_profiles, CASE WHEN length(text) % 17 = 0 THEN 1 ELSE 0 END AS n_quotes, (source_index % 2)::DOUBLE AS overlap, (source_index % 5 = 0)::INT AS backchannel, text FROM utterances),
 sims AS (SELECT session_id, utt_id, 'c' || k AS character_id, CASE WHEN k = 0 THEN 'table' ELSE 'character' END AS kind, ((length(text) * (k + 3)) % 100) / 100.0::DOUBLE AS similarity FROM utterances, (SELECT unnest([0, 1, 2, 3]) AS k)),
-sc AS (SELECT utt_id, (length(text) % 10) / 5.0::DOUBLE AS in_score, (length(text) % 7) / 5.0::DOUBLE AS out_score FROM utterances WHERE source_index % 4 <> 3),
-ev AS (SELECT u.*, in_score, out_score, table_sim, character_sim, coalesce(character_sim, 0) - coalesce(table_sim, 0) AS margin, CASE WHEN EXISTS (SELECT 1 FROM rolls r WHERE r.session_id = u.session_id AND r.t_s BETWEEN u.mid_s - 2 AND u.mid_s + 2) THEN 1.0 ELSE 0.0 END::DOUBLE AS roll_prox FROM u LEFT JOIN sc USING (utt_id) LEFT JOIN (SELECT utt_id, max(similarity) FILTER (kind = 'table') AS table_sim, max(similarity) FILTER (kind = 'character') AS character_sim FROM sims GROUP BY 1) USING (utt_id)),
-scored AS (SELECT *, 1 / (1 + exp(-greatest(-30, least(30, -0.2 + 0.9 * coalesce(in_score, 0) - 1.1 * coalesce(out_score, 0) - 0.8 * roll_prox - 1.2 * coalesce(table_sim, 0) + 1.6 * coalesce(character_sim, 0) + 0.7 * margin - 0.2 * overlap - 0.5 * backchannel + 0.03 * least(duration, 20))))) AS score FROM ev),
+sc AS (SELECT utt_id, (length(text) % 10) / 5.0::DOUBLE AS lex_ic, (length(text) % 7) / 5.0::DOUBLE AS lex_ooc FROM utterances WHERE source_index % 4 <> 3),
+ev AS (SELECT u.*, lex_ic, lex_ooc, table_sim, character_sim, coalesce(character_sim, 0) - coalesce(table_sim, 0) AS margin, CASE WHEN EXISTS (SELECT 1 FROM rolls r WHERE r.session_id = u.session_id AND r.t_s BETWEEN u.mid_s - 2 AND u.mid_s + 2) THEN 1.0 ELSE 0.0 END::DOUBLE AS roll_prox FROM u LEFT JOIN sc USING (utt_id) LEFT JOIN (SELECT utt_id, max(similarity) FILTER (kind = 'table') AS table_sim, max(similarity) FILTER (kind = 'character') AS character_sim FROM sims GROUP BY 1) USING (utt_id)),
+scored AS (SELECT *, 1 / (1 + exp(-greatest(-30, least(30, 0.8 * coalesce(lex_ic, 0) - 1.1 * coalesce(lex_ooc, 0) - 0.45 * roll_prox + 0.9 * coalesce(table_sim, 0) + 1.2 * coalesce(character_sim, 0) + 1.1 * margin - 0.15 * overlap - 0.2 * backchannel + 0.05 * least(duration, 20))))) AS score FROM ev),
 banded AS (SELECT *, CASE WHEN n_profiles = 0 THEN 'uncertain' WHEN n_quotes > 0 THEN 'narration' WHEN duration < 0.6 THEN 'uncertain' WHEN score >= 0.65 THEN 'in_character' WHEN score <= 0.35 THEN 'out_of_character' ELSE 'uncertain' END AS mode, concat_ws(',', CASE WHEN n_profiles = 0 THEN 'no_profiles' END, CASE WHEN n_quotes > 0 THEN 'quoted' END, CASE WHEN duration < 0.6 THEN 'too_short' END, CASE WHEN score < 0.65 AND score > 0.35 THEN 'uncertain' END) AS flags FROM scored)"""
 
 
@@ -39,22 +39,23 @@ def _sims(spark, sf):
 
 
 def _evidence(spark, sf):
-    scores = ad.utterances(spark, sf).where("source_index % 4 <> 3").selectExpr("utt_id", "(length(text) % 10) / 5.0D AS in_score", "(length(text) % 7) / 5.0D AS out_score")
+    scores = ad.utterances(spark, sf).where("source_index % 4 <> 3").selectExpr("utt_id", "(length(text) % 10) / 5.0D AS lex_ic", "(length(text) % 7) / 5.0D AS lex_ooc")
     return at.evidence(_u(spark, sf), scores, _sims(spark, sf), ad.rolls(spark, sf))
 
 
 def _scored(spark, sf):
-    return _evidence(spark, sf).withColumn("score", at.weighted_score())
+    e = _evidence(spark, sf)
+    return e.withColumn("score", at.weighted_score(e.columns))
 
 
 def _banded(spark, sf):
-    return at.banded(_scored(spark, sf)).withColumn("confidence", F.col("score")).withColumn("ord", F.col("source_index"))
+    return at.banded(_scored(spark, sf)).withColumn("confidence", F.abs(F.col("score") - 0.5) * 2).withColumn("ord", F.col("source_index"))
 
 
-@query("at01_evidence", f"WITH {EV} SELECT utt_id, round(coalesce(in_score, -1), 6) AS in_score, round(coalesce(table_sim, -1), 6) AS table_sim, round(coalesce(character_sim, -1), 6) AS character_sim, round(margin, 6) AS margin, roll_prox FROM ev")
+@query("at01_evidence", f"WITH {EV} SELECT utt_id, round(coalesce(lex_ic, -1), 6) AS lex_ic, round(coalesce(table_sim, -1), 6) AS voice_sim_table, round(coalesce(character_sim, -1), 6) AS voice_sim_character, round(margin, 6) AS voice_margin, roll_prox FROM ev")
 def _(spark, sf):
     e = _evidence(spark, sf)
-    return e.select("utt_id", *[F.round(F.coalesce(c, F.lit(-1.0)), 6).alias(c) for c in ("in_score", "table_sim", "character_sim")], F.round("margin", 6).alias("margin"), "roll_prox")
+    return e.select("utt_id", *[F.round(F.coalesce(c, F.lit(-1.0)), 6).alias(c) for c in ("lex_ic", "voice_sim_table", "voice_sim_character")], F.round("voice_margin", 6).alias("voice_margin"), "roll_prox")
 
 
 @query("at02_score", f"WITH {EV} SELECT utt_id, round(score, 6) AS score FROM scored")
@@ -120,11 +121,11 @@ def _(spark, sf):
     return at.pending_adjudications(b, cache, "p", "s").select("utt_id")
 
 
-ADJ = f"{EV}, ans AS (SELECT utt_id, CASE WHEN source_index % 2 = 0 THEN 'in_character' ELSE 'sung' END AS m, 0.5 AS c FROM u WHERE source_index % 3 <> 0), adj AS (SELECT b.*, CASE WHEN m IS NULL THEN 'none' WHEN m = 'in_character' AND c <= score THEN 'accepted' ELSE 'rejected' END AS status FROM banded b LEFT JOIN ans USING (utt_id))"
+ADJ = f"{EV}, ans AS (SELECT utt_id, CASE WHEN source_index % 2 = 0 THEN 'in_character' ELSE 'sung' END AS m, 0.3 AS c FROM u WHERE source_index % 3 <> 0), adj AS (SELECT b.*, CASE WHEN m IS NULL THEN 'none' WHEN m = 'in_character' AND c <= abs(score - 0.5) * 2 THEN 'accepted' ELSE 'rejected' END AS status FROM banded b LEFT JOIN ans USING (utt_id))"
 
 
 def _adjudicated(spark, sf):
-    answers = _u(spark, sf).where("source_index % 3 <> 0").selectExpr("utt_id", "CASE WHEN source_index % 2 = 0 THEN 'in_character' ELSE 'sung' END AS mode", "0.5D AS confidence")
+    answers = _u(spark, sf).where("source_index % 3 <> 0").selectExpr("utt_id", "CASE WHEN source_index % 2 = 0 THEN 'in_character' ELSE 'sung' END AS mode", "0.3D AS confidence")
     b = _banded(spark, sf).withColumn("candidates", F.array(F.lit("in_character"), F.lit("out_of_character"))).withColumn("source", F.lit("deterministic"))
     return at.apply_adjudications(b, answers)
 
@@ -139,7 +140,7 @@ def _(spark, sf):
     return at.revert_adjudications(_adjudicated(spark, sf)).select("utt_id", "source", F.coalesce("overridden_from", F.lit("")).alias("overridden_from"), F.array_join("flags", ",").alias("flags"))
 
 
-@query("at15_review_queue", f"WITH {EV}, q AS (SELECT session_id, utt_id, start_s, split_part(flags, ',', 1) AS flag, round(greatest(0.0, 1 - score) * duration, 6) AS impact FROM banded WHERE flags <> '') SELECT utt_id, flag, round(impact, 4) AS impact, row_number() OVER (PARTITION BY session_id ORDER BY impact DESC, start_s, utt_id) AS place FROM q")
+@query("at15_review_queue", f"WITH {EV}, q AS (SELECT session_id, utt_id, start_s, split_part(flags, ',', 1) AS flag, round(greatest(0.0, 1 - abs(score - 0.5) * 2) * duration, 6) AS impact FROM banded WHERE flags <> '') SELECT utt_id, flag, round(impact, 4) AS impact, row_number() OVER (PARTITION BY session_id ORDER BY impact DESC, start_s, utt_id) AS place FROM q")
 def _(spark, sf):
     return at.review_queue(_banded(spark, sf)).select("utt_id", "flag", F.round("impact", 4).alias("impact"), "place")
 
@@ -162,7 +163,7 @@ def _names(spark, sf):
     return found.where(~F.lower("name").isin(STOP))
 
 
-@query("np01_narrator_mode", f"WITH {U} SELECT utt_id, CASE WHEN regexp_matches(text, '[\"“”]') OR (regexp_matches(lower(text), '{at.PERSON}') AND NOT regexp_matches(lower(text), '{at.NARRATION}')) THEN 'voice' ELSE 'narration' END AS mode FROM utterances")
+@query("np01_narrator_mode", f"WITH {U} SELECT utt_id, CASE WHEN regexp_matches(text, '{at.QUOTE}') OR (regexp_matches(lower(text), '{at.DIRECT}') AND NOT regexp_matches(lower(text), '{at.NARRATION}')) THEN 'voice' ELSE 'narration' END AS mode FROM utterances")
 def _(spark, sf):
     return ad.utterances(spark, sf).select("utt_id", at.narrator_mode(F.col("text")).alias("mode"))
 

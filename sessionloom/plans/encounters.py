@@ -35,9 +35,9 @@ def _(spark, sf):
     return en.roll_occurrences(_rolls(spark, sf), names).select("session_id", "roll_id", "actor", "n_seen")
 
 
-@query("en02_targets", f"""WITH {R} SELECT session_id, roll_id, nullif(regexp_extract(CASE WHEN target IS NULL THEN 'roll ' || kind ELSE 'rolls against ' || target END, '(?i)\\b(?:target|against)[: ]+(\\w+)', 1), '') AS found FROM rolls""")
+@query("en02_targets", f"""WITH {R} SELECT session_id, roll_id, nullif(regexp_extract(CASE WHEN target IS NULL THEN 'roll ' || kind ELSE 'rolls against: ' || target END, '{en.TARGET}', 1), '') AS found FROM rolls""")
 def _(spark, sf):
-    ref = F.when(F.col("target").isNull(), F.concat(F.lit("roll "), "kind")).otherwise(F.concat(F.lit("rolls against "), "target"))
+    ref = F.when(F.col("target").isNull(), F.concat(F.lit("roll "), "kind")).otherwise(F.concat(F.lit("rolls against: "), "target"))
     return _rolls(spark, sf).select("session_id", "roll_id", en.target_of(ref).alias("found"))
 
 
@@ -106,7 +106,7 @@ def _(spark, sf):
     return _ruled(spark, sf).select("session_id", "roll_id", F.coalesce("ruling", F.lit("")).alias("ruling"))
 
 
-@query("ck03_skills", f"WITH {R} SELECT session_id, roll_id, coalesce(nullif(lower(regexp_extract(CASE roll_id % 3 WHEN 0 THEN 'Skill: Stealth' WHEN 1 THEN 'ability = Wisdom' ELSE 'roll' END, '(?i)\\b(?:skill|ability)\\s*[:=]\\s*(\\w+)', 1)), ''), 'unknown') AS skill FROM rolls WHERE kind = 'check'")
+@query("ck03_skills", f"WITH {R} SELECT session_id, roll_id, coalesce(nullif(lower(regexp_extract(CASE roll_id % 3 WHEN 0 THEN 'Skill: Stealth' WHEN 1 THEN 'ability = Wisdom' ELSE 'roll' END, '{en.SKILL}', 1)), ''), 'unknown') AS skill FROM rolls WHERE kind = 'check'")
 def _(spark, sf):
     return _rolls(spark, sf).where("kind = 'check'").select("session_id", "roll_id", en.skill_of(F.expr("CASE roll_id % 3 WHEN 0 THEN 'Skill: Stealth' WHEN 1 THEN 'ability = Wisdom' ELSE 'roll' END")).alias("skill"))
 
@@ -140,7 +140,7 @@ def _(spark, sf):
     return en.scene_outcome(ad.utterances(spark, sf))
 
 
-THREADS = "CASE WHEN source_index % 3 = 0 THEN 'I will guard ' ELSE 'or else ' END"
+THREADS = "CASE WHEN source_index % 3 = 0 THEN 'I will guard ' ELSE 'unless ' END"
 
 
 @query("ck08_open_threads", f"WITH {U}, x AS (SELECT session_id, utt_id, {THREADS} || text AS text FROM utterances), p AS (SELECT session_id, utt_id, 'promise' AS kind, trim(regexp_extract(text, '{SQLQ(en.PROMISE)}', 1), E' \\n\\t') AS phrase FROM x UNION ALL SELECT session_id, utt_id, 'stake', trim(regexp_extract(text, '{SQLQ(en.STAKE)}', 1), E' \\n\\t') FROM x) SELECT * FROM p WHERE phrase <> ''")

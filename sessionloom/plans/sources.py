@@ -130,7 +130,7 @@ def _(spark, sf):
 
 @query("src14_roll_kind", "SELECT event_id, ['death_save', 'initiative', 'save', 'check', 'damage', 'attack', 'other'][event_id % 7 + 1] AS kind FROM events")
 def _(spark, sf):
-    words = ["Death saving throw", "Initiative!", "saving throw", "Skill check", "Damage roll", "Attack, to hit", "tables"]
+    words = ["Death save", "Initiative!", "saving throw", "Skill check", "Damage roll", "Attack, to hit", "tables"]
     return _events(spark, sf).select("event_id", cp.roll_kind(F.get(F.array(*map(F.lit, words)), (F.col("event_id") % 7).cast("int"))).alias("kind"))
 
 

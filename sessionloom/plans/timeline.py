@@ -143,11 +143,11 @@ def _(spark, sf):
 
 
 TERM = "coalesce(" + ", ".join(f"CASE WHEN max(CASE WHEN kind = 'speech' AND contains(lower(text), '{t}') THEN 1 ELSE 0 END) = 1 THEN '{t}' END" for t in TERMS) + ", 'beat ' || beat)"
-BEATS = f"""{CUTS}, b0 AS (SELECT session_id, beat, min(t_start_s) AS t_start_s, max(t_end_s) AS t_end_s, count(*) AS n_events, max(CASE WHEN roll_kind IN ('attack', 'damage', 'initiative') THEN 1 ELSE 0 END) AS combat,
- max(CASE WHEN kind = 'speech' AND regexp_matches(lower(text), 'recap|last time') THEN 1 ELSE 0 END) AS recap, max(CASE WHEN kind = 'speech' AND regexp_matches(lower(text), 'plan|should we') THEN 1 ELSE 0 END) AS plan,
+BEATS = f"""{CUTS}, b0 AS (SELECT session_id, beat, min(t_start_s) AS t_start_s, max(t_end_s) AS t_end_s, count(*) AS n_events, max(CASE WHEN roll_kind IN ('attack', 'damage', 'initiative', 'save', 'death_save') OR kind = 'turnorder' THEN 1 ELSE 0 END) AS combat,
+ max(CASE WHEN kind = 'speech' AND regexp_matches(lower(text), '{tl.RECAP}') THEN 1 ELSE 0 END) AS recap, max(CASE WHEN kind = 'speech' AND regexp_matches(lower(text), '{tl.TABLE}') THEN 1 ELSE 0 END) AS tab, max(CASE WHEN kind = 'speech' AND regexp_matches(lower(text), '{tl.PLAN}') THEN 1 ELSE 0 END) AS plan,
  count(DISTINCT CASE WHEN kind = 'speech' THEN player_id END) AS n_speakers, sum(CASE WHEN kind = 'speech' AND player_id <> 'system' THEN t_end_s - t_start_s ELSE 0.0 END) AS i, sum(CASE WHEN kind = 'speech' THEN t_end_s - t_start_s ELSE 0.0 END) AS a,
  {TERM} AS base, {', '.join(f"count(*) FILTER (roll_kind = '{k}') AS n_{k}" for k in tl.KINDS)} FROM assigned GROUP BY session_id, beat),
-beats AS (SELECT *, CASE WHEN combat = 1 THEN 'combat' WHEN recap = 1 THEN 'table' WHEN plan = 1 THEN 'planning' WHEN n_speakers >= 2 THEN 'social' ELSE 'exploration' END AS kind, row_number() OVER (PARTITION BY session_id, base ORDER BY beat) AS nth FROM b0)"""
+beats AS (SELECT *, CASE WHEN combat = 1 THEN 'combat' WHEN recap = 1 THEN 'recap' WHEN tab = 1 THEN 'table' WHEN plan = 1 THEN 'planning' WHEN n_speakers >= 2 THEN 'social' ELSE 'exploration' END AS kind, row_number() OVER (PARTITION BY session_id, base ORDER BY beat) AS nth FROM b0)"""
 
 
 def _beats(spark, sf):

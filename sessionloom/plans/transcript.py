@@ -109,7 +109,7 @@ def _(spark, sf):
     return tr.bleed_warnings(tr.bleed_edges(ad.two_tracks(spark, sf)))
 
 
-BACK = "(end_s - start_s) <= 1.5 AND trim(regexp_replace(lower(text), '[.!?,\\s]+$', '')) IN (" + ", ".join(f"'{w}'" for w in tr.BACKCHANNELS) + ")"
+BACK = f"(end_s - start_s) <= 1.5 AND {CMP} IN (" + ", ".join(f"'{w}'" for w in tr.BACKCHANNELS) + ")"
 
 
 @query("tr13_backchannel", f"""WITH {UTT} SELECT session_id, utt_id, {BACK} AS is_backchannel FROM utterances""")

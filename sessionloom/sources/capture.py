@@ -121,7 +121,7 @@ def resolved_total(explicit: Column, text: Column, dice: Column, modifier: Colum
 def roll_kind(text: Column) -> Column:
     """Keywords in order; the first found decides. (SRC-14)"""
     t = F.lower(text)
-    return F.when(t.rlike("death sav"), "death_save").when(t.rlike("initiative"), "initiative").when(t.rlike(r"\bsav(e|ing)"), "save").when(t.rlike("check|ability|skill"), "check").when(t.rlike("damage"), "damage").when(t.rlike("attack|to hit"), "attack").otherwise("other")
+    return F.when(t.rlike(r"death\s*save|death_save"), "death_save").when(t.rlike("initiative"), "initiative").when(t.rlike(r"saving\s*throw|\bsave\b"), "save").when(t.rlike(r"\bcheck\b|perception|athletics|acrobatics|insight|investigation"), "check").when(t.rlike("damage"), "damage").when(t.rlike(r"attack|to\s*hit"), "attack").otherwise("other")
 
 
 def advantage_of(text: Column, dice: Column, total: Column, modifier: Column) -> Column:
