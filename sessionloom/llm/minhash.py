@@ -1,11 +1,12 @@
 """Near-duplicate detection by ProbMinHash, banding and verification.
 
-A text is a weighted set of five-word shingles, weighted 1 + ln(count). Its
-signature holds, for each of M places, the shingle that arrives there first
-when each shingle arrives as a Poisson process of its weight; a shingle's
-process ends early once it can no longer be first anywhere. Two signatures
-agree in a place with the probability Jaccard of the two sets. Bands of the
-signature are buckets, in which candidates meet.
+A text is a set of five-word shingles, each of weight 1 however often it
+occurs. Its signature holds, for each of M places, the shingle that arrives
+there first when each shingle arrives as a Poisson process of its weight; a
+shingle's process ends early once it can no longer be first anywhere. Two
+signatures agree in a place with the Jaccard index of the two sets, the measure
+that links are verified on. Bands of the signature are buckets, in which
+candidates meet.
 
 Links are pairs of different texts whose shingle sets have a Jaccard index of
 at least the threshold, verified on the texts. Classes are the connected
@@ -115,8 +116,8 @@ def prob_min_hash(shingles: np.ndarray, weights: np.ndarray, m: int = M) -> np.n
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    distinct, counts = np.unique(shingles, return_counts=True)
-    return prob_min_hash(distinct, 1 + np.log(counts))
+    distinct = np.unique(shingles)
+    return prob_min_hash(distinct, np.ones(len(distinct)))
 
 
 def band_hashes(sig: np.ndarray) -> np.ndarray:

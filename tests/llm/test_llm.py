@@ -267,6 +267,22 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(r.doc_id for r in got if r.kept) == sorted(min(c) for c in classes.values())
 
 
+def test_near_duplicates_with_unequal_repeats_equal_brute_force(spark):
+    """Links are on sets, so a passage that one copy repeats and the other does not breaks none."""
+    rnd = random.Random(10)
+    rows = []
+    for k in range(40):
+        w = [f"w{rnd.randrange(4000)}" for _ in range(120)]
+        footer = [f"f{rnd.randrange(4000)}" for _ in range(18)]
+        longer = w + (w[-20:] * 200, w[-10:] * 30, footer * 6, footer + w)[k % 4]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(longer))]
+    classes = defaultdict(set)
+    for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        classes[r.class_id].add(r.doc_id)
+    assert {frozenset(c) for c in classes.values()} == jaccard_classes(rows)
+    assert sum(len(c) == 2 for c in classes.values()) >= 30
+
+
 def test_near_duplicates_of_odd_rows(odd):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()
