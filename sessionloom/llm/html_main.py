@@ -37,6 +37,10 @@ BOILERPLATE_NAMES = {
     "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "share", "sharing", "sidebar",
     "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: A class or id that begins or ends so tells what the page has, as in has-sidebar or share-enabled, not what the element is.
+LAYOUT_FIRST, LAYOUT_LAST = {"has", "no", "with", "without"}, {"enabled", "disabled"}
+#: Boilerplate names give way where the words under them outnumber the others by more than this.
+OUTWEIGHS = 20
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu"}
 #: Elements that an opening tag of these closes when still open.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -51,35 +55,46 @@ _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
 class Node:
-    """An open element: its key for weights and whether it is left out."""
+    """An open element: its key for weights, whether it is boilerplate by element or role, and how many boilerplate names it is under."""
 
-    __slots__ = ("name", "key", "out", "main")
+    __slots__ = ("name", "key", "hard", "cuts", "main")
 
-    def __init__(self, name: str, key: str, out: bool, main: bool):
-        self.name, self.key, self.out, self.main = name, key, out, main
+    def __init__(self, name: str, key: str, hard: bool, cuts: int, main: bool):
+        self.name, self.key, self.hard, self.cuts, self.main = name, key, hard, cuts, main
+
+
+def _name_words(value: str) -> list[str]:
+    """Words of a class or id, without those of layout names."""
+    out = []
+    for one in value.split():
+        words = _NAME.findall(one)
+        if len(words) > 1 and (words[0] in LAYOUT_FIRST or words[-1] in LAYOUT_LAST):
+            continue
+        out += words
+    return out
 
 
 def _opened(name: str, rest: str, parent: Node) -> Node:
-    key, out, main = name, parent.out or name in BOILERPLATE, name in ("article", "main")
+    key, hard, named, main = name, parent.hard or name in BOILERPLATE, False, name in ("article", "main")
     if rest and "=" in rest:
         for m in _ATTR.finditer(rest):
             kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if kind == "role":
-                out, main = out or value in ROLES, main or value == "main"
+                hard, main = hard or value in ROLES, main or value == "main"
                 continue
-            words = _NAME.findall(value)
+            words = _name_words(value)
             if kind == "class" and words and key == name:
                 key = f"{name}.{'-'.join(words[:2])}"
             if name not in ("html", "body", "main") and not BOILERPLATE_NAMES.isdisjoint(words):
-                out = True
+                named = True
     if name == "header" and not parent.main:
-        out = True
-    return Node(name, key, out, (main and not out) or parent.main)
+        hard = True
+    return Node(name, key, hard, parent.cuts + named, (main and not hard and not named) or parent.main)
 
 
 def tokens(page: str) -> Iterator[tuple]:
     """The page in order: ("text", text, node) and ("tag", name, key, node); raw elements have no text."""
-    root = Node("", "body", False, False)
+    root = Node("", "body", False, 0, False)
     stack, at = [root], 0
     while True:
         m = _TAG.search(page, at)
@@ -125,23 +140,48 @@ def tokens(page: str) -> Iterator[tuple]:
         yield "tag", name, node.key, node
 
 
+class LeftOut:
+    """Which nodes of a page are left out: boilerplate by element or role, and what is under boilerplate names.
+
+    A name is evidence only. If nearly all of the page's marked main text (of
+    all its text, where none is marked) is under names, as in a wrapper called
+    after its sidebar, so many names as most of it is under don't count.
+    """
+
+    def __init__(self, items: list[tuple]):
+        at: Counter = Counter()
+        self.labelled = any(t[3].main for t in items if t[0] == "tag")
+        for t in items:
+            if t[0] == "text" and not t[2].hard and (t[2].main or not self.labelled):
+                at[t[2].cuts] += len(t[1].split())
+        self.level, words, total = 0, at[0], sum(at.values())
+        while OUTWEIGHS * words < total:
+            self.level += 1
+            words += at[self.level]
+
+    def __call__(self, node: Node) -> bool:
+        return node.hard or node.cuts > (self.level if node.main or not self.labelled else 0)
+
+
 def page_counts(page: str) -> Counter:
     """How often each word context and each tag lies within ("w in", "t in") and outside main text; empty if the page isn't labelled."""
     found: Counter = Counter()
-    labelled, block = False, "body"
-    for token in tokens(page):
+    items, block = list(tokens(page)), "body"
+    out = LeftOut(items)
+    if not out.labelled:
+        return found
+    for token in items:
         if token[0] == "text":
             node = token[2]
             block = node.key if node.name not in PLAIN else block
             if n := len(token[1].split()):
-                found["w", block, node.main and not node.out] += n
+                found["w", block, node.main and not out(node)] += n
         else:
             node = token[3]
-            labelled = labelled or node.main
             block = node.key if node.name not in PLAIN else block
             if token[1] not in PLAIN:
-                found["t", token[2], node.main and not node.out] += 1
-    return found if labelled else Counter()
+                found["t", token[2], node.main and not out(node)] += 1
+    return found
 
 
 def _prior(key: str) -> tuple[float, float]:
@@ -188,15 +228,15 @@ def main_text(page: str | None, weights: Weights) -> str:
     """
     if not page:
         return ""
-    items, block = [], "body"
+    items, block = list(tokens(page)), "body"
+    out = LeftOut(items)
     best, best_span, run, begin = 0.0, None, 0.0, 0
-    for i, token in enumerate(tokens(page)):
-        items.append(token)
+    for i, token in enumerate(items):
         if token[0] == "text":
             node = token[2]
             block = node.key if node.name not in PLAIN else block
             n = len(token[1].split())
-            score = n * (0.02 if node.out else weights.word(block)) if n else 0.0
+            score = n * (0.02 if out(node) else weights.word(block)) if n else 0.0
         else:
             node = token[3]
             block = node.key if node.name not in PLAIN else block
@@ -215,7 +255,7 @@ def main_text(page: str | None, weights: Weights) -> str:
         if token[0] == "tag":
             if token[1] not in INLINE:
                 parts.append(" ")
-        elif not token[2].out:
+        elif not out(token[2]):
             parts.append(html.unescape(token[1]))
         else:
             parts.append(" ")

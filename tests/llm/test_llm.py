@@ -215,6 +215,26 @@ def test_html_blocks(spark):
     assert (text[2], text[3], text[4], text[5]) == ("", "", "just text < 5 & more", "a") and text[None] == " ".join(["x"] * 3000)
 
 
+@pytest.mark.parametrize("wrapper", ["page has-sidebar", "layout no-sidebar", "post with-header", "content share-enabled", "sidebar-right", "page widget header"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_html_wrapper_named_after_boilerplate(wrapper, inner):
+    """A wrapper's class doesn't empty the page; what is boilerplate within the wrapper still goes."""
+    words, end = (" ".join(f"{k}{i}" for i in range(50)) for k in "we")
+    page = f'<a href="#c">Skip to it</a><div class="{wrapper}"><nav><a>Home</a></nav><{inner}><p>{words}</p><div class="ad">Buy this</div><p>{end}</p></{inner}><div class="sidebar"><p>Other posts</p></div></div>'
+    got = html_main.main_text(page, html_main.Weights({}))
+    assert got.removeprefix("Skip to it ") == f"{words} {end}"
+    if inner == "article":
+        counts = html_main.page_counts(page)
+        assert counts["w", "p", True] == 100
+
+
+def test_html_names_still_cut():
+    text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"c{i}" for i in range(300))
+    page = f'<article><p>{text}</p></article><div class="comments"><article><p>{other}</p></article></div><div class="related"><p>{other}</p></div>'
+    assert html_main.main_text(page, html_main.Weights({})) == text
+    assert html_main.main_text(page.replace("article", "div"), html_main.Weights({})) == text
+
+
 def test_html_articles_of_the_pages(spark):
     import html
 
