@@ -93,7 +93,10 @@ def _opened(name: str, rest: str, parent: Node) -> Node:
 
 
 def tokens(page: str) -> Iterator[tuple]:
-    """The page in order: ("text", text, node) and ("tag", name, key, node); raw elements have no text."""
+    """The page in order: ("text", text, node) and ("tag", name, key, node, own); raw elements have no text.
+
+    ``own`` is the element that a tag belongs to, ``node`` the one that is open after it.
+    """
     root = Node("", "body", False, 0, False)
     stack, at = [root], 0
     while True:
@@ -113,18 +116,18 @@ def tokens(page: str) -> Iterator[tuple]:
                 if stack[depth].name == name:
                     node = stack[depth]
                     del stack[depth:]
-                    yield "tag", name, node.key, stack[-1]
+                    yield "tag", name, node.key, stack[-1], node
                     break
             else:
-                yield "tag", name, name, stack[-1]
+                yield "tag", name, name, stack[-1], stack[-1]
             continue
         if name in VOID or m["rest"].endswith("/"):
-            yield "tag", name, name, stack[-1]
+            yield "tag", name, name, stack[-1], stack[-1]
             continue
         if name in RAW:
             end = _RAW_END[name].search(page, at)
             at = end.end() if end else len(page)
-            yield "tag", name, name, stack[-1]
+            yield "tag", name, name, stack[-1], stack[-1]
             continue
         shut = CLOSES.get(name, ())
         if name in CLOSES_P or shut:
@@ -137,7 +140,7 @@ def tokens(page: str) -> Iterator[tuple]:
                     break
         node = _opened(name, m["rest"], stack[-1])
         stack.append(node)
-        yield "tag", name, node.key, node
+        yield "tag", name, node.key, node, node
 
 
 class LeftOut:
@@ -241,8 +244,11 @@ def main_text(page: str | None, weights: Weights) -> str:
             node = token[3]
             block = node.key if node.name not in PLAIN else block
             score = 0.0 if token[1] in PLAIN else weights.tag(token[2])
-            # what the markup itself calls main text is not broken by an aside or a form in it
+            # what the markup itself calls main text is not broken by a tag in it
             score = max(score, -0.5) if node.main else score
+            # nor is any text by what is left out between, however long; an end tag still counts outside main text
+            if out(node) or node.main and out(token[4]):
+                score = 0.0
         if run <= 0:
             run, begin = 0.0, i
         run += score

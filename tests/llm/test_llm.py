@@ -235,6 +235,19 @@ def test_html_names_still_cut():
     assert html_main.main_text(page.replace("article", "div"), html_main.Weights({})) == text
 
 
+@pytest.mark.parametrize("wrapper", ["article", "main", 'div class="content"'])
+@pytest.mark.parametrize("inner", ["<aside><ul>{}</ul></aside>", "<form>{}</form>", '<div class="related">{}</div>', "<aside>x</aside>{}"])
+@pytest.mark.parametrize("n", [1, 30, 1000])
+def test_html_text_is_not_broken_by_what_is_left_out(wrapper, inner, n):
+    """Asides and forms of any length, between the halves of an article."""
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(80))
+    many = "<aside><p>more</aside>" * (n if wrapper != 'div class="content"' else min(n, 10)) if inner.startswith("<aside>x") else "<li><a>more</a></li><input>" * n
+    page = f"<nav>Home</nav><{wrapper}><p>{one}</p>{inner.format(many)}<p>{two}</p></{wrapper.split()[0]}><footer>c</footer>"
+    learned = html_main.Weights({("w", "p"): (5000, 10), ("t", "p"): (500, 10), ("t", "aside"): (0, 500), ("t", "a"): (5, 500), ("t", "li"): (5, 500)})
+    for weights in (html_main.Weights({}), learned):
+        assert html_main.main_text(page, weights) == f"{one} {two}"
+
+
 def test_html_articles_of_the_pages(spark):
     import html
 
