@@ -349,6 +349,27 @@ def test_language_and_quality_on_held_out_rows(spark):
     assert scored.where("score < 0 OR score > 1 OR score IS NULL").isEmpty()
 
 
+def test_quality_reads_whole_words_and_texts():
+    """Of long words all n-grams, and of texts to learn from all words."""
+    slow = lambda w: [zlib.crc32(w.encode()) % quality.BUCKETS] + [zlib.crc32(f"<{w}>"[i : i + n].encode(), n) % quality.BUCKETS for n in (3, 4) for i in range(len(w) + 3 - n)]
+    ends = "a" * 40, "z" * 40
+    good, spam = ends[0] + "good" * 500 + ends[1], ends[0] + "spam" * 5000 + ends[1]
+    words = [good, spam, "日本語é😀x" * 30, "b" * 79, "b" * 80, "b" * 81, "日" * (quality.PIECE + 5)]
+    assert all(quality.word_features(w) == slow(w) for w in words)
+    assert set(quality.word_features(good)[1:]) != set(quality.word_features(spam)[1:])
+    table = np.random.default_rng(3).normal(size=(2 * quality.BUCKETS + 1, 2)).astype(np.float32)
+    scorer = quality.Scorer(table)
+    text = " ".join(["one", good, "two", good, spam, *(f"w{i}" for i in range(900)), words[2]])
+    for _ in range(2):
+        ids, counts = quality._bag(text)
+        want = [i for w in text.split() for i in slow(w)] + quality.pair_buckets(np.array([slow(w)[0] for w in text.split()])).tolist()
+        assert np.repeat(ids, counts).tolist() == sorted(want)
+        z = table[want].astype(np.float64).mean(axis=0) + table[-1]
+        p = np.exp(z - z.max())
+        assert np.allclose(scorer.probabilities(text), p / p.sum(), atol=1e-6)
+    assert all(len(w) <= quality.LONG for w in scorer.slots)
+
+
 def test_language_and_quality_of_odd_rows(spark, odd):
     model = langid.fit(odd)
     rows = langid.identify(odd, model).collect()
