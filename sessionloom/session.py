@@ -61,4 +61,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote, after their last reader has been written itself."""
+    for table in tables:
+        jvm, path = table.sparkSession.sparkContext._jvm, table.scratch_path
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
