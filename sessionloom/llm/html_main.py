@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 
 #: Labelled pages to learn from, at most about this many.
 SAMPLE_PAGES = 4000
-#: Features kept in the model, the most frequent ones.
-MODEL_FEATURES = 5000
 
 # Elements of HTML by their role.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas", "select", "title"}
@@ -39,6 +37,14 @@ BOILERPLATE_NAMES = {
 }
 #: A class or id that begins or ends so tells what the page has, as in has-sidebar or share-enabled, not what the element is.
 LAYOUT_FIRST, LAYOUT_LAST = {"has", "no", "with", "without"}, {"enabled", "disabled"}
+#: In a name of several words the last one tells what the element is, unless only such words follow, as in related-posts.
+HOLDERS = {
+    "area", "articles", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "col", "column", "container", "content", "feed", "form", "group", "holder", "icon", "icons", "image", "inner", "item", "items",
+    "left", "link", "links", "list", "main", "message", "news", "outer", "overlay", "panel", "posts", "right", "row", "section", "signup", "slot", "stories", "text", "title", "toggle", "top", "unit", "widget", "wrap", "wrapper",
+}
+#: The header of one of these is its title, where it stands in marked main text.
+OWN_HEADER = {"article", "chapter", "content", "entry", "page", "post", "section", "story"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Boilerplate names give way where the words under them outnumber the others by more than this.
 OUTWEIGHS = 20
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu"}
@@ -48,9 +54,11 @@ CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset"
 # Weights of elements before anything is learned, as if seen this often within and outside main text.
 PRIOR_IN = {"p": 8, "article": 8, "main": 8, "blockquote": 6, "pre": 6, "h1": 6, "h2": 6, "h3": 6, "h4": 6, "h5": 4, "h6": 4, "section": 4, "figcaption": 4, "td": 3, "th": 3, "tr": 3, "table": 3, "dd": 4, "dt": 4, "div": 3, "li": 3, "ul": 3, "ol": 3, "br": 8, "body": 2, "html": 1}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+# A quote holds a value only after an equals sign; what is not closed ends with the page. Nothing is tried twice, so a page is read in one pass.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?>=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
+_ATTR = re.compile(r"""([^\s=/>"']++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""")
 _NAME = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
@@ -63,30 +71,40 @@ class Node:
         self.name, self.key, self.hard, self.cuts, self.main = name, key, hard, cuts, main
 
 
-def _name_words(value: str) -> list[str]:
-    """Words of a class or id, without those of layout names."""
+def _names(value: str) -> list[list[str]]:
+    """The words of each class or id in an attribute, without layout names."""
     out = []
-    for one in value.split():
+    for one in _CAMEL.sub("-", value).lower().split():
         words = _NAME.findall(one)
-        if len(words) > 1 and (words[0] in LAYOUT_FIRST or words[-1] in LAYOUT_LAST):
-            continue
-        out += words
+        if words and not (len(words) > 1 and (words[0] in LAYOUT_FIRST or words[-1] in LAYOUT_LAST)):
+            out.append(words)
     return out
 
 
+def _is_boilerplate(words: list[str], in_main: bool) -> bool:
+    """Whether a name tells of boilerplate: by its last word, or by one that only holders follow."""
+    for i in range(len(words) - 1, -1, -1):
+        if words[i] in BOILERPLATE_NAMES:
+            return not (in_main and words[i] == "header" and i and words[i - 1] in OWN_HEADER)
+        if words[i] not in HOLDERS:
+            return False
+    return False
+
+
 def _opened(name: str, rest: str, parent: Node) -> Node:
     key, hard, named, main = name, parent.hard or name in BOILERPLATE, False, name in ("article", "main")
     if rest and "=" in rest:
         for m in _ATTR.finditer(rest):
-            kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if kind == "role":
-                hard, main = hard or value in ROLES, main or value == "main"
-                continue
-            words = _name_words(value)
-            if kind == "class" and words and key == name:
-                key = f"{name}.{'-'.join(words[:2])}"
-            if name not in ("html", "body", "main") and not BOILERPLATE_NAMES.isdisjoint(words):
-                named = True
+                hard, main = hard or value.lower() in ROLES, main or value.lower() == "main"
+            elif kind in ("class", "id"):
+                names = _names(value)
+                if kind == "class" and names and key == name:
+                    key = f"{name}.{'-'.join([w for words in names for w in words][:2])}"
+                # a heading's id is made from its words, and what a page calls its heading is still a heading
+                if name not in ("html", "body", "main") and name not in HEADINGS:
+                    named = named or any(_is_boilerplate(words, parent.main) for words in names)
     if name == "header" and not parent.main:
         hard = True
     return Node(name, key, hard, parent.cuts + named, (main and not hard and not named) or parent.main)
@@ -98,7 +116,14 @@ def tokens(page: str) -> Iterator[tuple]:
     ``own`` is the element that a tag belongs to, ``node`` the one that is open after it.
     """
     root = Node("", "body", False, 0, False)
-    stack, at = [root], 0
+    stack, at, is_open = [root], 0, Counter()
+    blocks = [0]  # where the last element that isn't inline stands, for each element on the stack
+
+    def close(depth: int) -> None:
+        for node in stack[depth:]:
+            is_open[node.name] -= 1
+        del stack[depth:], blocks[depth:]
+
     while True:
         m = _TAG.search(page, at)
         text = page[at : m.start()] if m else page[at:]
@@ -112,12 +137,13 @@ def tokens(page: str) -> Iterator[tuple]:
             continue
         name = name.lower()
         if m["close"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name == name:
-                    node = stack[depth]
-                    del stack[depth:]
-                    yield "tag", name, node.key, stack[-1], node
-                    break
+            if is_open[name] > 0:
+                depth = len(stack) - 1
+                while stack[depth].name != name:
+                    depth -= 1
+                node = stack[depth]
+                close(depth)
+                yield "tag", name, node.key, stack[-1], node
             else:
                 yield "tag", name, name, stack[-1], stack[-1]
             continue
@@ -129,17 +155,14 @@ def tokens(page: str) -> Iterator[tuple]:
             at = end.end() if end else len(page)
             yield "tag", name, name, stack[-1], stack[-1]
             continue
-        shut = CLOSES.get(name, ())
-        if name in CLOSES_P or shut:
-            # an open p, or item of the same list, ends here, with what is still open in it
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name in shut or name in CLOSES_P and stack[depth].name == "p":
-                    del stack[depth:]
-                    break
-                if stack[depth].name not in INLINE:
-                    break
+        # an open p, or item of the same list, ends here, with the inline elements that are still open in it
+        shut, depth = CLOSES.get(name, ()), blocks[-1]
+        if depth and (stack[depth].name in shut or name in CLOSES_P and stack[depth].name == "p"):
+            close(depth)
         node = _opened(name, m["rest"], stack[-1])
+        blocks.append(blocks[-1] if name in INLINE else len(stack))
         stack.append(node)
+        is_open[name] += 1
         yield "tag", name, node.key, node, node
 
 
@@ -189,7 +212,7 @@ def page_counts(page: str) -> Counter:
 
 def _prior(key: str) -> tuple[float, float]:
     name, _, words = key.partition(".")
-    if name in BOILERPLATE or name in RAW or name == "header" or words and not BOILERPLATE_NAMES.isdisjoint(words.split("-")):
+    if name in BOILERPLATE or name in RAW or name == "header" or name not in HEADINGS and _is_boilerplate(words.split("-"), True):
         return 0.2, 8.0
     return float(PRIOR_IN.get(name, 1)), 2.0 if name in ("p", "article", "main", "br") else 3.0
 
@@ -272,7 +295,8 @@ def learn_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     """Weights from about ``sample`` pages, chosen by a hash of the id (all, if there are fewer).
 
     Pages without labels add nothing; without any labelled page the prior
-    weights stand.
+    weights stand. The model has the elements and classes of the sample, so it
+    is bounded by the sample too.
     """
     total = pages.select(id_col).count()
     unit = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(77)), F.lit(1 << 30)) / float(1 << 30)
@@ -293,8 +317,6 @@ def learn_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
         .mapInArrow(count, "kind string, key string, inside boolean, n long")
         .groupBy("kind", "key")
         .agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("b"))
-        .orderBy(F.desc(F.col("a") + F.col("b")), "kind", "key")
-        .limit(MODEL_FEATURES)
         .collect()
     )
     return Weights({(r["kind"], r["key"]): (r["a"], r["b"]) for r in rows})
