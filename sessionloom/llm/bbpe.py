@@ -4,14 +4,16 @@ The distinct pre-tokens of a batch become rows of padded id matrices, one for
 each length bucket. In every round each unfinished row merges its leftmost
 pair of least rank, found in a hash table of mergeable pairs, and the matrix is
 compacted by the merged cell; a row leaves when none of its pairs is mergeable.
-A bounded cache of words keeps what a worker has encoded.
+A very long row has a matrix of its own and merges all its pairs of the least
+rank in one round, where that gives the same ids, so that its rounds are
+bounded by the vocabulary and not by its length. A bounded cache of words keeps
+what a worker has encoded.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 #: White space as the Rust regex library has it: the White_Space property.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NONE = np.int32(2**31 - 1)
-#: Longer pre-tokens are merged with a heap, as rows of a matrix cost their length squared.
+#: Longer pre-tokens are rows of their own, as with one merge a round rows cost their length squared.
 ROW_BYTES = 768
 
 
@@ -55,6 +57,10 @@ class PairTable:
                     keys.append(a << 32 | b)
                     ids.append(rank)
         keys, ids = np.array(keys, dtype=np.int64), np.array(ids, dtype=np.int32)
+        # whether every pair with this id in it has a higher rank, so that merging one place can't bring a lower rank there
+        self.early = np.ones(max(ranks.values(), default=0) + 1, dtype=bool)
+        for part in (keys >> 32, keys & 0xFFFFFFFF):
+            self.early[part[ids < part]] = False
         self.shift = np.uint64(64 - max(8, int(len(keys) * 3).bit_length()))
         size = 1 << (64 - int(self.shift))
         self.keys, self.ids = np.full(size + 64, -1, dtype=np.int64), np.full(size + 64, NONE, dtype=np.int32)
@@ -116,7 +122,7 @@ class ByteBpe:
         out: list[np.ndarray] = [np.empty(0, dtype=np.int32)] * len(pieces)
         lengths = np.array([len(p) for p in pieces], dtype=np.int64)
         for i in np.flatnonzero(lengths > ROW_BYTES):
-            out[i] = self._merge_long(pieces[i])
+            out[i] = self._merge_long_row(pieces[i])
         short = np.flatnonzero((lengths > 0) & (lengths <= ROW_BYTES))
         buckets = np.where(lengths[short] <= 16, (lengths[short] + 1) // 2 * 2, 1 << np.ceil(np.log2(np.maximum(lengths[short], 1))).astype(np.int64))
         for width in np.unique(buckets):
@@ -154,28 +160,23 @@ class ByteBpe:
             rank[left, at[left] - 1] = self.pairs.merged(ids[left, at[left] - 1], ids[left, at[left]])
             rank[right, at[right]] = self.pairs.merged(ids[right, at[right]], ids[right, at[right] + 1])
 
-    def _merge_long(self, piece: bytes) -> np.ndarray:
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        text = [self.tokens[i] for i in ids]
-        ranks = self.ranks
-        heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(text[i] + text[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, size = heapq.heappop(heap)
-            j = after[i] if text[i] else n
-            if j >= n or len(text[i]) + len(text[j]) != size or ranks.get(text[i] + text[j]) != r:
-                continue  # one of the two has been merged meanwhile
-            text[i] += text[j]
-            text[j] = b""
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (r := ranks.get(text[a] + text[b])) is not None:
-                    heapq.heappush(heap, (r, a, len(text[a]) + len(text[b])))
-        return np.array([ranks[t] for t in text if t], dtype=np.int32)
+    def _merge_long_row(self, piece: bytes) -> np.ndarray:
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        rank = self.pairs.merged(ids[:-1], ids[1:])
+        while len(rank) and (least := rank.min()) != NONE:
+            if self.pairs.early[least]:
+                at = np.flatnonzero(rank == least)
+                # pairs of one rank that overlap are merged from the left, every other one of a run
+                begins = np.concatenate([[True], np.diff(at) > 1])
+                at = at[(at - at[begins][np.cumsum(begins) - 1]) % 2 == 0]
+            else:
+                at = rank.argmin(keepdims=True)
+            ids[at] = least
+            ids, rank = np.delete(ids, at + 1), np.delete(rank, at)
+            at = at - np.arange(len(at))
+            for side in (at[at > 0] - 1, at[at < len(rank)]):
+                rank[side] = self.pairs.merged(ids[side], ids[side + 1])
+        return ids
 
     def _bytes_of(self, texts: list[str]) -> list[bytes]:
         """Ids of texts, pre-token by pre-token, as little-endian 32-bit integers."""
