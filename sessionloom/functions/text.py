@@ -6,6 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
+def ascii_edges(pattern: str) -> str:
+    """``pattern`` with every word boundary among ASCII letters, digits and underscores only, as in most engines.
+
+    Java versions differ in whether an accented letter is part of a word.
+    """
+    return pattern.replace(r"\b", _EDGE)
+
+
 def normalised_name(name: Column) -> Column:
     """Lower case, without a trailing #1234, marks folded, other signs as single spaces."""
     # Accented letters and what they fold to.

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import ascii_edges
 from .intervals import band_join
 
 # Fixed values.
@@ -79,22 +80,17 @@ def quote_children(spans: DataFrame, nearest: DataFrame) -> DataFrame:
 def smoothed(attributions: DataFrame, most: float = SMOOTH_MOST) -> DataFrame:
     """A weak decision between two equal neighbours takes their mode; later rows see earlier changes. (AT-07)
 
-    The order matters, so one session's rows are folded by an aggregate over
-    the sorted array.
+    A row next to a changed one never changes: the mode that the change brought
+    in is its own. So of a run of rows that would change by the modes given,
+    the first, third and so on do, and windows are enough.
     """
-    row = F.struct("ord", "utt_id", "mode", "confidence")
-    listed = attributions.groupBy("session_id").agg(F.array_sort(F.collect_list(row)).alias("r"))
-    start = F.array().cast("array<struct<ord:bigint,utt_id:string,mode:string,confidence:double,smoothed:boolean>>")
-
-    def step(acc, i):
-        x, after = F.get("r", i - 1), F.get("r", i)
-        before = F.get(acc, F.size(acc) - 1)
-        flip = F.coalesce((before["mode"] == after["mode"]) & (x["mode"] != before["mode"]) & (x["confidence"] <= most), F.lit(False))
-        mode = F.when(flip, before["mode"]).otherwise(x["mode"])
-        return F.concat(acc, F.array(F.struct(x["ord"].alias("ord"), x["utt_id"].alias("utt_id"), mode.alias("mode"), x["confidence"].alias("confidence"), flip.alias("smoothed"))))
-
-    out = listed.select("session_id", F.explode(F.aggregate(F.sequence(F.lit(1), F.size("r")), start, step)).alias("x"))
-    return out.select("session_id", "x.ord", "x.utt_id", "x.mode", "x.confidence", "x.smoothed")
+    w = W.partitionBy("session_id").orderBy("ord", "utt_id")
+    before, after = F.lag("mode").over(w), F.lead("mode").over(w)
+    weak = F.coalesce((before == after) & (F.col("mode") != before) & (F.col("confidence") <= most), F.lit(False))
+    held = attributions.select("session_id", "ord", "utt_id", "mode", "confidence", weak.alias("_weak"), before.alias("_before"), F.row_number().over(w).alias("_n"))
+    ended = F.max(F.when(~F.col("_weak"), F.col("_n"))).over(w.rowsBetween(W.unboundedPreceding, 0))
+    flip = F.col("_weak") & ((F.col("_n") - F.coalesce("_ended", F.lit(0))) % 2 == 1)
+    return held.withColumn("_ended", ended).select("session_id", "ord", "utt_id", F.when(flip, F.col("_before")).otherwise(F.col("mode")).alias("mode"), "confidence", flip.alias("smoothed"))
 
 
 def mode_summary(attributions: DataFrame) -> DataFrame:
@@ -153,7 +149,7 @@ def apply_reviews(attributions: DataFrame, decisions: DataFrame) -> DataFrame:
 def narrator_mode(text: Column) -> Column:
     """voice if quoted, or in the first or second person without a narration pattern; else narration. (NP-01)"""
     low = F.lower(text)
-    return F.when(text.rlike(QUOTE) | (low.rlike(DIRECT) & ~low.rlike(NARRATION)), "voice").otherwise("narration")
+    return F.when(text.rlike(QUOTE) | (low.rlike(ascii_edges(DIRECT)) & ~low.rlike(ascii_edges(NARRATION))), "voice").otherwise("narration")
 
 
 def discovered_names(utterances: DataFrame, stop: list[str]) -> DataFrame:

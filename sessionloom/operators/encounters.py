@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import ascii_edges
 from .intervals import as_of, band_join
 
 # Fixed values.
@@ -119,7 +120,7 @@ def skill_of(ref: Column) -> Column:
 
 def verdict_of(text: Column) -> Column:
     """failure before success, else unknown. (CK-04)"""
-    return F.when(F.lower(text).rlike(FAILURE), "failure").when(F.lower(text).rlike(SUCCESS), "success").otherwise("unknown")
+    return F.when(F.lower(text).rlike(ascii_edges(FAILURE)), "failure").when(F.lower(text).rlike(ascii_edges(SUCCESS)), "success").otherwise("unknown")
 
 
 def attempt_groups(checks: DataFrame, within: float = GROUP_S) -> DataFrame:
@@ -149,13 +150,13 @@ def topics(speech: DataFrame, terms: list[str]) -> DataFrame:
 
 def scene_outcome(speech: DataFrame) -> DataFrame:
     """refusal, else agreement, else transition, else unknown, over a scene's speeches. (CK-07)"""
-    any_ = lambda p: F.max(F.when(F.lower("text").rlike(p), 1).otherwise(0)) == 1
+    any_ = lambda p: F.max(F.when(F.lower("text").rlike(ascii_edges(p)), 1).otherwise(0)) == 1
     return speech.groupBy("session_id").agg(F.when(any_(REFUSAL), "refusal").when(any_(AGREEMENT), "agreement").when(any_(TRANSITION), "transition").otherwise("unknown").alias("outcome"))
 
 
 def open_threads(speech: DataFrame) -> DataFrame:
     """First promise and first stake phrase of each speech. (CK-08)"""
-    pick = lambda kind, p: speech.select("session_id", "utt_id", F.lit(kind).alias("kind"), F.trim(F.regexp_extract("text", p, 1)).alias("phrase")).where("phrase <> ''")
+    pick = lambda kind, p: speech.select("session_id", "utt_id", F.lit(kind).alias("kind"), F.trim(F.regexp_extract("text", ascii_edges(p), 1)).alias("phrase")).where("phrase <> ''")
     return pick("promise", PROMISE).unionByName(pick("stake", STAKE))
 
 

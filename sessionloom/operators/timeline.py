@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import ascii_edges
+
 # Fixed values.
 GAP_S, SILENCE_S, SPACING_S = 2.0, 8.0, 30.0
 WEIGHTS = {"silence": 5.0, "turnorder": 8.0, "density": 3.0, "speakers": 3.0, "characters": 3.0, "glossary": 2.0, "narration": 4.0}
@@ -28,19 +30,47 @@ def gaps(speech: DataFrame, least: float = GAP_S, ends: DataFrame | None = None)
     return inner.where(F.col("t_end_s") - F.col("t_start_s") > least)
 
 
+def speech_events(speech: DataFrame, attributions: DataFrame, players: DataFrame, characters: DataFrame, rolls: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Speech with its attribution, the names of speaker and character, and the rolls anchored in it. (EV-02)
+
+    Columns: those of ``speech`` and mode, character_id, confidence (1 where
+    nothing is attributed, kept within 0 and 1), speaker_display,
+    character_display, is_dm, rolls (roll ids in order of the rolls; empty if
+    none). Attributions have one row an utterance, players and characters one
+    an id; ids that they lack leave nulls, and ``is_dm`` false. Rolls are
+    grouped before they are joined, by their utterance.
+    """
+    linked = anchors.where("matched_utt_id IS NOT NULL").join(rolls.select("session_id", "roll_id", "seq"), ["session_id", "roll_id"])
+    linked = linked.groupBy("session_id", F.col("matched_utt_id").alias("utt_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "roll_id"))), lambda x: x.roll_id).alias("rolls"))
+    out = speech.join(attributions.select("session_id", "utt_id", "mode", "character_id", "confidence"), ["session_id", "utt_id"], "left").join(linked, ["session_id", "utt_id"], "left")
+    out = out.join(players.select("player_id", F.col("display_name").alias("speaker_display"), "is_dm"), "player_id", "left").join(characters.select("character_id", F.col("name").alias("character_display")), "character_id", "left")
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(1.0))))
+    return out.withColumn("confidence", sure).withColumn("is_dm", F.coalesce("is_dm", F.lit(False))).withColumn("rolls", F.coalesce("rolls", F.array().cast(out.schema["rolls"].dataType)))
+
+
+def standalone_rolls(rolls: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Anchored rolls that no speech has, with ``confidence``: 1 if matched, else falling to 0 at 10 s of uncertainty. (EV-03)"""
+    alone = anchors.where("matched_utt_id IS NULL").select("session_id", "roll_id", F.when(F.col("anchor") == "matched", 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("uncertainty_s") / 10)).alias("confidence"))
+    return rolls.join(alone, ["session_id", "roll_id"])
+
+
 def event_union(speech: DataFrame, rolls: DataFrame, turnorder: DataFrame, gap_rows: DataFrame) -> DataFrame:
-    """All kinds on one clock, with ``ord`` by start, kind and id. (EV-01)"""
+    """All kinds on one clock, with ``ord`` by start, kind and id. (EV-01)
+
+    ``speech`` and ``rolls`` are those of EV-02 and EV-03, so a roll that a
+    speech has doesn't appear again.
+    """
     base = ["session_id", "id", "kind", "t_start_s", "t_end_s"]
     parts = [
-        speech.select("session_id", F.concat(F.lit("s"), "utt_id").alias("id"), F.lit("speech").alias("kind"), F.col("start_s").alias("t_start_s"), F.col("end_s").alias("t_end_s"), "player_id", "text"),
-        rolls.select("session_id", F.concat(F.lit("r"), "roll_id").alias("id"), F.lit("roll").alias("kind"), F.col("t_s").alias("t_start_s"), F.col("t_s").alias("t_end_s"), F.col("who").alias("player_id"), F.col("kind").alias("roll_kind"), "total"),
+        speech.select("session_id", F.concat(F.lit("s"), "utt_id").alias("id"), F.lit("speech").alias("kind"), F.col("start_s").alias("t_start_s"), F.col("end_s").alias("t_end_s"), "player_id", "character_id", "confidence", "text"),
+        rolls.select("session_id", F.concat(F.lit("r"), "roll_id").alias("id"), F.lit("roll").alias("kind"), F.col("t_s").alias("t_start_s"), F.col("t_s").alias("t_end_s"), F.col("who").alias("player_id"), "confidence", F.col("kind").alias("roll_kind"), "total"),
         turnorder.select("session_id", F.concat(F.lit("o"), "seq").alias("id"), F.lit("turnorder").alias("kind"), F.col("t_s").alias("t_start_s"), F.col("t_s").alias("t_end_s"), "marker"),
         gap_rows.select("session_id", F.concat(F.lit("g"), F.row_number().over(W.partitionBy("session_id").orderBy("t_start_s"))).alias("id"), F.lit("gap").alias("kind"), "t_start_s", "t_end_s"),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return out.withColumn("ord", F.row_number().over(W.partitionBy("session_id").orderBy("t_start_s", "kind", "id")).cast("long")).select("ord", *base, "player_id", "text", "roll_kind", "total", "marker")
+    return out.withColumn("ord", F.row_number().over(W.partitionBy("session_id").orderBy("t_start_s", "kind", "id")).cast("long")).select("ord", *base, "player_id", "character_id", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), "text", "roll_kind", "total", "marker")
 
 
 def session_bounds(events: DataFrame, durations: DataFrame) -> DataFrame:
@@ -81,14 +111,15 @@ def boundary_signals(events: DataFrame, terms: list[str], npc_prefix: str = "npc
     """``events`` with the seven boundary signals and their sum ``score``. (BT-01 to BT-08)
 
     All are frames of at most four rows on either side, so one sort of each
-    session serves them all. ``terms`` is a short glossary, matched as substrings.
+    session serves them all. ``terms`` is a short glossary, matched as
+    substrings; ids of characters that are not players' begin with ``npc_prefix``.
     """
     w = W.partitionBy("session_id").orderBy("ord")
     left, right = w.rowsBetween(-4, -1), w.rowsBetween(0, 3)
     before_kind, silence = F.lag("kind").over(w), F.lag(F.col("t_end_s") - F.col("t_start_s")).over(w)
     is_roll = F.when(F.col("kind") == "roll", 1.0).otherwise(0.0)
     person = F.when(F.col("kind").isin("speech", "roll"), F.col("player_id"))
-    character = F.when(F.col("player_id").startswith(npc_prefix), F.col("player_id"))
+    character = F.when(F.col("character_id").startswith(npc_prefix), F.col("character_id"))
     hit = F.when(F.greatest(*[F.contains(F.lower("text"), F.lit(t)) for t in [*terms, *terms[:1]]]), 1).otherwise(0) if terms else F.lit(0)
     quiet = (before_kind == "gap") & (silence >= SILENCE_S)
     out = (
@@ -126,13 +157,30 @@ def pick_peaks(candidates: DataFrame, bounds: DataFrame, spacing: float = SPACIN
     return listed.select("session_id", F.explode(taken).alias("p")).select("session_id", F.col("p.ord").alias("ord"), F.col("p.t").alias("t_start_s"))
 
 
-def merge_short(cuts: DataFrame, bounds: DataFrame, least: float) -> DataFrame:
-    """Cuts without those that would leave a span shorter than ``least``; the first span gives way forward. (BT-10)"""
-    listed = cuts.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(F.col("t_start_s").alias("t"), "ord"))).alias("c")).join(bounds, "session_id")
-    none = F.array().cast("array<struct<t:double,ord:bigint>>")
-    last = lambda acc: F.when(F.size(acc) > 0, F.element_at(acc, -1).t).otherwise(F.col("start_s"))
-    kept = F.aggregate("c", none, lambda acc, x: F.when((x.t - last(acc) >= least) & (F.col("end_s") - x.t >= least), F.concat(acc, F.array(x))).otherwise(acc))
-    return listed.select("session_id", F.explode(kept).alias("p")).select("session_id", F.col("p.ord").alias("ord"), F.col("p.t").alias("t_start_s"))
+def merge_short(events: DataFrame, cuts: DataFrame, least: float) -> DataFrame:
+    """(session_id, ord, t_start_s): cuts without those that leave a span shorter than ``least``. (BT-10)
+
+    A short span joins the one before, but the first of a session and those
+    that open with the start of a combat or session join the one after; the
+    last, having none after, the one before. A span lasts from the start of
+    its first event to the end of its last. The spans of a session, which its
+    cuts bound, are folded in order.
+    """
+    first, last = lambda c: F.min_by(c, "ord"), lambda c: F.max_by(c, "ord")
+    opens = (F.col("kind") == "session_start") | ((F.col("kind") == "turnorder") & (F.col("marker") == "started"))
+    spans = assign_beats(events, cuts).groupBy("session_id", "beat").agg(F.min("ord").alias("ord"), first("t_start_s").alias("t0"), last("t_end_s").alias("t1"), F.coalesce(first(F.coalesce(opens, F.lit(False))), F.lit(False)).alias("opens"))
+    listed = spans.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ord", "t0", "t1", "opens"))).alias("s"))
+    waiting = "struct<ord:bigint,t0:double,opens:boolean>"
+    start = F.struct(F.lit(None).cast(waiting).alias("wait"), F.array().cast("array<struct<ord:bigint,t0:double>>").alias("out"))
+
+    def step(s, x):
+        own = F.coalesce(s["wait"], F.struct(x["ord"].alias("ord"), x["t0"].alias("t0"), x["opens"].alias("opens")))
+        short = x["t1"] - own["t0"] < least
+        forward = short & (own["opens"] | (F.size(s["out"]) == 0))
+        return F.struct(F.when(forward, own).alias("wait"), F.when(short, s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(own["ord"].alias("ord"), own["t0"].alias("t0"))))).alias("out"))
+
+    kept = listed.select("session_id", F.explode(F.aggregate("s", start, step, lambda s: F.slice(s["out"], 2, F.greatest(F.size(s["out"]), F.lit(1))))).alias("p"))
+    return kept.select("session_id", F.col("p.ord").alias("ord"), F.col("p.t0").alias("t_start_s"))
 
 
 def assign_beats(events: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -146,7 +194,7 @@ def beats(assigned: DataFrame, terms: list[str]) -> DataFrame:
     """One row per beat: class, roll counts by kind, speech ratio, participants, title. (BT-12 to BT-15)"""
     speech, long_ = F.col("kind") == "speech", F.col("t_end_s") - F.col("t_start_s")
     said = F.lower(F.coalesce("text", F.lit("")))
-    has = lambda p: F.max(F.when(speech & said.rlike(p), 1).otherwise(0))
+    has = lambda p: F.max(F.when(speech & said.rlike(ascii_edges(p)), 1).otherwise(0))
     base = assigned.groupBy("session_id", "beat").agg(
         F.min("t_start_s").alias("t_start_s"), F.max("t_end_s").alias("t_end_s"), F.count("*").alias("n_events"),
         F.max(F.when(F.col("roll_kind").isin(COMBAT_ROLLS) | (F.col("kind") == "turnorder"), 1).otherwise(0)).alias("_combat"), has(RECAP).alias("_recap"), has(TABLE).alias("_table"), has(PLAN).alias("_plan"),

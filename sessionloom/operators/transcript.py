@@ -16,7 +16,7 @@ from .intervals import band_join, interval_join
 
 # Fixed values.
 WORD_GAP_S, OVERLAP_S, BLEED_S, BLEED_SIMILARITY, BACKCHANNEL_S = 0.75, 0.2, 0.75, 0.85, 1.5
-BACKCHANNELS = "yeah yea yes yep yup mhm okay ok right sure no nope hmm hm mm gotcha alright uhhuh".split() + ["mm hm", "uh huh", "got it", "all right"]
+BACKCHANNELS = ["yeah", "yea", "yes", "yep", "yup", "mhm", "mm hm", "uh huh", "uhhuh", "okay", "ok", "right", "sure", "no", "nope", "hmm", "hm", "mm", "got it", "gotcha", "all right", "alright"]
 
 
 def validate_segments(segments: DataFrame) -> DataFrame:

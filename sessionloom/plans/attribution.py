@@ -93,7 +93,13 @@ def _(spark, sf):
     return at.quote_children(spans, _nearest(spark, sf)).na.fill("", ["character_id"])
 
 
-query("at07_smoothed")(lambda spark, sf: at.smoothed(_banded(spark, sf)))
+# the rule as recursion, each row seeing the mode that the one before ended with
+SMOOTH = f"""{EV}, seq AS MATERIALIZED (SELECT session_id, utt_id, source_index AS ord, mode, abs(score - 0.5) * 2 AS confidence, row_number() OVER w AS n, lead(mode) OVER w AS after FROM banded WINDOW w AS (PARTITION BY session_id ORDER BY source_index, utt_id)),
+run AS (SELECT *, mode AS final, false AS smoothed FROM seq WHERE n = 1 UNION ALL
+  SELECT s.*, CASE WHEN coalesce(r.final = s.after AND s.mode <> r.final AND s.confidence <= 0.62, false) THEN r.final ELSE s.mode END, coalesce(r.final = s.after AND s.mode <> r.final AND s.confidence <= 0.62, false) FROM run r JOIN seq s ON s.session_id = r.session_id AND s.n = r.n + 1)"""
+
+
+query("at07_smoothed", f"WITH RECURSIVE {SMOOTH} SELECT session_id, ord, utt_id, final AS mode, round(confidence, 6) AS confidence, smoothed FROM run")(lambda spark, sf: at.smoothed(_banded(spark, sf)).withColumn("confidence", F.round("confidence", 6)))
 
 
 @query("at08_mode_summary", f"WITH {NEAR} SELECT session_id, count(*) FILTER (mode = 'in_character') AS in_character, count(*) FILTER (mode = 'out_of_character') AS out_of_character, count(*) FILTER (mode = 'narration') AS narration, count(*) FILTER (mode = 'uncertain') AS uncertain, count(*) FILTER (mode = 'in_character' AND character_id IS NULL) AS unknown_character FROM banded LEFT JOIN near USING (utt_id) GROUP BY 1")

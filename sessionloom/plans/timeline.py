@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import timeline as tl
 from ..operators.transcript import is_backchannel
+from ..session import materialise
 from . import adapters as ad
 from .transcript import BACK
 
@@ -30,12 +31,18 @@ turn1 AS (SELECT *, coalesce(lag(n_entries > 0) OVER (PARTITION BY session_id OR
 turnorder AS (SELECT session_id, seq, t_s, n_entries, CASE WHEN n_entries > 0 AND NOT was THEN 'started' WHEN n_entries = 0 AND was THEN 'ended' ELSE 'changed' END AS marker FROM turn1),
 gap0 AS (SELECT session_id, coalesce(max(end_s) OVER (PARTITION BY session_id ORDER BY start_s, end_s, utt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS t_start_s, start_s AS t_end_s FROM utt2),
 gaps AS (SELECT session_id, t_start_s, t_end_s FROM gap0 WHERE t_end_s - t_start_s > 2.0 UNION ALL SELECT session_id, t_start_s, t_end_s FROM (SELECT session_id, max(end_s) AS t_start_s, max(end_s) + 1.0 + session_id % 4 AS t_end_s FROM utt2 GROUP BY 1) WHERE t_end_s - t_start_s > 2.0)""".replace("turn0 AS", "utt2 AS (SELECT * REPLACE (start_s + 10 * (source_index // 2) AS start_s, end_s + 10 * (source_index // 2) AS end_s) FROM utterances),\nturn0 AS", 1)
-EVENTS = f"""{BASE},
-ev0 AS (SELECT session_id, 's' || utt_id AS id, 'speech' AS kind, start_s AS t_start_s, end_s AS t_end_s, player_id, text, NULL AS roll_kind, NULL::BIGINT AS total, NULL AS marker FROM utt2
-UNION ALL SELECT session_id, 'r' || roll_id, 'roll', t_s, t_s, who, NULL, kind, total, NULL FROM rolls
-UNION ALL SELECT session_id, 'o' || seq, 'turnorder', t_s, t_s, NULL, NULL, NULL, NULL, marker FROM turnorder
-UNION ALL SELECT session_id, 'g' || row_number() OVER (PARTITION BY session_id ORDER BY t_start_s), 'gap', t_start_s, t_end_s, NULL, NULL, NULL, NULL, NULL FROM gaps),
-ev AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t_start_s, kind, id) AS ord FROM ev0)"""
+LINKS = f"""{BASE},
+anchors AS (SELECT r.session_id, r.roll_id, u.utt_id AS matched_utt_id, (r.roll_id % 13)::DOUBLE AS uncertainty_s, CASE WHEN u.utt_id IS NOT NULL OR r.roll_id % 5 = 0 THEN 'matched' ELSE 'interpolated' END AS anchor FROM rolls r LEFT JOIN utt2 u ON r.roll_id % 3 = 0 AND u.session_id = r.session_id AND u.source_index = r.seq % 5 WHERE r.roll_id % 11 <> 0),
+alone AS (SELECT r.*, CASE WHEN a.anchor = 'matched' THEN 1.0 ELSE greatest(0.0, 1 - a.uncertainty_s / 10) END::DOUBLE AS confidence FROM rolls r JOIN anchors a USING (session_id, roll_id) WHERE a.matched_utt_id IS NULL),
+linked AS (SELECT a.session_id, a.matched_utt_id AS utt_id, string_agg(r.roll_id::VARCHAR, ',' ORDER BY r.seq, r.roll_id) AS rolls FROM anchors a JOIN rolls r USING (session_id, roll_id) WHERE a.matched_utt_id IS NOT NULL GROUP BY 1, 2),
+spoken AS (SELECT u.session_id, u.utt_id, u.player_id, u.text, u.start_s, u.end_s, a.mode, a.character_id, greatest(0.0, least(1.0, coalesce(a.confidence, 1.0))) AS confidence, upper(u.player_id) AS speaker_display, r_name AS character_display, u.player_id = 'system' AS is_dm, coalesce(l.rolls, '') AS rolls
+  FROM utt2 u LEFT JOIN (SELECT session_id, utt_id, CASE WHEN length(text) % 2 = 0 THEN 'in_character' ELSE 'out_of_character' END AS mode, CASE length(text) % 4 WHEN 0 THEN 'npc' || (length(text) % 3) WHEN 1 THEN 'pc' || (length(text) % 5) END AS character_id, (length(text) % 130) / 100.0::DOUBLE AS confidence FROM utt2 WHERE source_index % 7 <> 6) a USING (session_id, utt_id) LEFT JOIN linked l USING (session_id, utt_id) LEFT JOIN region ON 'npc' || r_regionkey = a.character_id)"""
+EVENTS = f"""{LINKS},
+ev0 AS (SELECT session_id, 's' || utt_id AS id, 'speech' AS kind, start_s AS t_start_s, end_s AS t_end_s, player_id, character_id, confidence, text, NULL AS roll_kind, NULL::BIGINT AS total, NULL AS marker FROM spoken
+UNION ALL SELECT session_id, 'r' || roll_id, 'roll', t_s, t_s, who, NULL, confidence, NULL, kind, total, NULL FROM alone
+UNION ALL SELECT session_id, 'o' || seq, 'turnorder', t_s, t_s, NULL, NULL, 1.0, NULL, NULL, NULL, marker FROM turnorder
+UNION ALL SELECT session_id, 'g' || row_number() OVER (PARTITION BY session_id ORDER BY t_start_s), 'gap', t_start_s, t_end_s, NULL, NULL, 1.0, NULL, NULL, NULL, NULL FROM gaps),
+ev AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t_start_s, kind, id) AS ord FROM ev0)"""
 
 
 def _speech(spark, sf):
@@ -54,7 +61,24 @@ def _gaps(spark, sf):
 
 
 def _events(spark, sf):
-    return tl.event_union(_speech(spark, sf), ad.rolls(spark, sf), _turnorder(spark, sf), _gaps(spark, sf))
+    return tl.event_union(_speech_events(spark, sf), tl.standalone_rolls(ad.rolls(spark, sf), _anchors(spark, sf)), _turnorder(spark, sf), _gaps(spark, sf))
+
+
+def _attributions(spark, sf):
+    return _speech(spark, sf).where("source_index % 7 <> 6").selectExpr("session_id", "utt_id", "CASE WHEN length(text) % 2 = 0 THEN 'in_character' ELSE 'out_of_character' END AS mode", "CASE length(text) % 4 WHEN 0 THEN concat('npc', length(text) % 3) WHEN 1 THEN concat('pc', length(text) % 5) END AS character_id", "(length(text) % 130) / 100.0D AS confidence")
+
+
+def _anchors(spark, sf):
+    """Two rolls in three stand alone, some have no anchor at all, and the others belong to one of a session's first speeches, where there is one."""
+    said = _speech(spark, sf).select("session_id", F.col("source_index").alias("_i"), F.col("utt_id").alias("matched_utt_id"))
+    rolls = ad.rolls(spark, sf).where("roll_id % 11 <> 0").selectExpr("session_id", "roll_id", "CASE WHEN roll_id % 3 = 0 THEN seq % 5 END AS _i", "CAST(roll_id % 13 AS DOUBLE) AS uncertainty_s")
+    return rolls.join(said, ["session_id", "_i"], "left").withColumn("anchor", F.when(F.col("matched_utt_id").isNotNull() | (F.col("roll_id") % 5 == 0), "matched").otherwise("interpolated"))
+
+
+def _speech_events(spark, sf):
+    players = ad.table(spark, sf, "conversations").selectExpr("role AS player_id", "upper(role) AS display_name", "role = 'system' AS is_dm").distinct()
+    characters = ad.table(spark, sf, "region").selectExpr("concat('npc', r_regionkey) AS character_id", "r_name AS name")
+    return tl.speech_events(_speech(spark, sf), _attributions(spark, sf), players, characters, ad.rolls(spark, sf), _anchors(spark, sf))
 
 
 @query("src18_combat_markers", f"WITH {BASE} SELECT session_id, seq, n_entries, marker FROM turnorder")
@@ -62,9 +86,19 @@ def _(spark, sf):
     return _turnorder(spark, sf).select("session_id", "seq", "n_entries", "marker")
 
 
-@query("ev01_event_union", f"WITH {EVENTS} SELECT session_id, ord, id, kind, t_start_s, t_end_s, player_id, roll_kind, coalesce(total, -1) AS total, marker FROM ev")
+@query("ev01_event_union", f"WITH {EVENTS} SELECT session_id, ord, id, kind, t_start_s, t_end_s, player_id, character_id, round(confidence, 6) AS confidence, roll_kind, coalesce(total, -1) AS total, marker FROM ev")
+def _(spark, sf):
+    return _events(spark, sf).drop("text").withColumn("total", F.coalesce("total", F.lit(-1))).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("ev02_speech_events", f"WITH {LINKS} SELECT session_id, utt_id, mode, character_id, round(confidence, 6) AS confidence, speaker_display, character_display, is_dm, rolls FROM spoken")
 def _(spark, sf):
-    return _events(spark, sf).drop("text").withColumn("total", F.coalesce("total", F.lit(-1)))
+    return _speech_events(spark, sf).select("session_id", "utt_id", "mode", "character_id", F.round("confidence", 6).alias("confidence"), "speaker_display", "character_display", "is_dm", F.array_join("rolls", ",").alias("rolls"))
+
+
+@query("ev03_standalone_rolls", f"WITH {LINKS} SELECT session_id, roll_id, who, kind, total, round(confidence, 6) AS confidence FROM alone")
+def _(spark, sf):
+    return tl.standalone_rolls(ad.rolls(spark, sf), _anchors(spark, sf)).select("session_id", "roll_id", "who", "kind", "total", F.round("confidence", 6).alias("confidence"))
 
 
 @query("ev04_gaps", f"WITH {BASE} SELECT session_id, round(t_start_s, 6) AS t_start_s, round(t_end_s, 6) AS t_end_s FROM gaps")
@@ -93,14 +127,14 @@ def _(spark, sf):
 HIT = " OR ".join(f"contains(lower(text), '{t}')" for t in TERMS)
 JD = lambda a, b: f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE 1 - len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct({a} || {b})) END"
 SIGNALS = f"""{EVENTS}, f0 AS (SELECT *, lag(kind) OVER w AS bk, lag(t_end_s - t_start_s) OVER w AS bd, CASE WHEN kind = 'roll' THEN 1.0 ELSE 0.0 END::DOUBLE AS is_roll, CASE WHEN coalesce({HIT}, false) THEN 1 ELSE 0 END AS hit,
- CASE WHEN kind IN ('speech', 'roll') THEN player_id END AS person FROM ev WINDOW w AS (PARTITION BY session_id ORDER BY ord)),
+ CASE WHEN kind IN ('speech', 'roll') THEN player_id END AS person, CASE WHEN character_id LIKE 'npc%' THEN character_id END AS npc FROM ev WINDOW w AS (PARTITION BY session_id ORDER BY ord)),
 f1 AS (SELECT *, coalesce(avg(is_roll) OVER l, 0.0) AS mean, is_roll AS x0, coalesce(lead(is_roll, 1) OVER w, 0.0) AS x1, coalesce(lead(is_roll, 2) OVER w, 0.0) AS x2, coalesce(lead(is_roll, 3) OVER w, 0.0) AS x3,
- coalesce(list_filter(list_distinct(list(person) OVER l), lambda x: x IS NOT NULL), []) AS lp, coalesce(list_filter(list_distinct(list(person) OVER r), lambda x: x IS NOT NULL), []) AS rp, coalesce(max(hit) OVER l, 0) AS before_hit, bk = 'gap' AND bd >= 8 AS quiet
+ coalesce(list_filter(list_distinct(list(person) OVER l), lambda x: x IS NOT NULL), []) AS lp, coalesce(list_filter(list_distinct(list(person) OVER r), lambda x: x IS NOT NULL), []) AS rp, coalesce(list_filter(list_distinct(list(npc) OVER l), lambda x: x IS NOT NULL), []) AS ln, coalesce(list_filter(list_distinct(list(npc) OVER r), lambda x: x IS NOT NULL), []) AS rn, coalesce(max(hit) OVER l, 0) AS before_hit, bk = 'gap' AND bd >= 8 AS quiet
  FROM f0 WINDOW w AS (PARTITION BY session_id ORDER BY ord), l AS (PARTITION BY session_id ORDER BY ord ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), r AS (PARTITION BY session_id ORDER BY ord ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
 f2 AS (SELECT *, greatest(0.0, x0 - mean - 0.1) AS c0 FROM f1), f3 AS (SELECT *, greatest(0.0, c0 + x1 - mean - 0.1) AS c1 FROM f2), f4 AS (SELECT *, greatest(0.0, c1 + x2 - mean - 0.1) AS c2 FROM f3), f5 AS (SELECT *, greatest(0.0, c2 + x3 - mean - 0.1) AS c3 FROM f4),
 sig AS (SELECT session_id, ord, t_start_s, CASE WHEN quiet THEN least(2.0, bd / 8) * 5 ELSE 0.0 END AS silence, CASE WHEN kind = 'turnorder' AND marker IN ('started', 'ended') THEN 8.0 ELSE 0.0 END AS turnorder,
- least(1.0, greatest(c0, c1, c2, c3)) * 3 AS density, ({JD('lp', 'rp')}) * 3 AS speakers, 0.0 AS characters, CASE WHEN hit = 1 AND before_hit = 0 THEN 2.0 ELSE 0.0 END AS glossary, CASE WHEN quiet AND kind = 'speech' AND player_id = 'system' THEN 4.0 ELSE 0.0 END AS narration FROM f5),
-scored AS (SELECT *, round(silence + turnorder + density + speakers + characters + glossary + narration, 6) AS score FROM sig)"""
+ least(1.0, greatest(c0, c1, c2, c3)) * 3 AS density, ({JD('lp', 'rp')}) * 3 AS speakers, ({JD('ln', 'rn')}) * 3 AS characters, CASE WHEN hit = 1 AND before_hit = 0 THEN 2.0 ELSE 0.0 END AS glossary, CASE WHEN quiet AND kind = 'speech' AND player_id = 'system' THEN 4.0 ELSE 0.0 END AS narration FROM f5),
+scored AS MATERIALIZED (SELECT *, round(silence + turnorder + density + speakers + characters + glossary + narration, 6) AS score FROM sig)"""
 
 
 def _scored(spark, sf):
@@ -111,33 +145,44 @@ for _name, _col in (("bt01_silence", "silence"), ("bt02_turnorder", "turnorder")
     query(_name, f"WITH {SIGNALS} SELECT session_id, ord, round({_col}, 6)::DOUBLE AS {_col} FROM scored")(lambda spark, sf, c=_col: _scored(spark, sf).select("session_id", "ord", F.round(c, 6).alias(c)))
 
 
-@query("bt08_candidates", f"WITH {SIGNALS} SELECT session_id, ord, score, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, ord) AS rank, concat_ws(',', CASE WHEN silence > 0 THEN 'silence' END, CASE WHEN turnorder > 0 THEN 'turnorder' END, CASE WHEN density > 0 THEN 'density' END, CASE WHEN speakers > 0 THEN 'speakers' END, CASE WHEN glossary > 0 THEN 'glossary' END, CASE WHEN narration > 0 THEN 'narration' END) AS signals FROM scored WHERE score > 0")
+@query("bt08_candidates", f"WITH {SIGNALS} SELECT session_id, ord, score, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, ord) AS rank, concat_ws(',', CASE WHEN silence > 0 THEN 'silence' END, CASE WHEN turnorder > 0 THEN 'turnorder' END, CASE WHEN density > 0 THEN 'density' END, CASE WHEN speakers > 0 THEN 'speakers' END, CASE WHEN characters > 0 THEN 'characters' END, CASE WHEN glossary > 0 THEN 'glossary' END, CASE WHEN narration > 0 THEN 'narration' END) AS signals FROM scored WHERE score > 0")
 def _(spark, sf):
     return tl.boundary_candidates(_scored(spark, sf)).select("session_id", "ord", "score", "rank", F.array_join("signals", ",").alias("signals"))
 
 
-def _bounds(spark, sf):
-    return tl.session_bounds(_events(spark, sf), _events(spark, sf).select("session_id", F.lit(0.0).alias("duration_s")).distinct())
-
-
 def _cuts(spark, sf):
-    bounds = _bounds(spark, sf)
-    return tl.merge_short(tl.pick_peaks(tl.boundary_candidates(_scored(spark, sf)), bounds), bounds, 40.0)
-
-
-query("bt09_pick_peaks")(lambda spark, sf: tl.pick_peaks(tl.boundary_candidates(_scored(spark, sf)), _bounds(spark, sf)))
-query("bt10_merge_short")(_cuts)
-
-# cuts that SQL can place too, for what follows: every fifth candidate
-CUTS = f"""{SIGNALS}, cuts AS (SELECT session_id, ord FROM scored WHERE score > 0 AND ord % 20 = 0),
-assigned AS (SELECT e.*, 1 + coalesce(sum(CASE WHEN c.ord IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY e.session_id ORDER BY e.ord), 0)::BIGINT AS beat FROM ev e LEFT JOIN cuts c ON e.session_id = c.session_id AND e.ord = c.ord)"""
+    """(events, peaks, cuts) of all sessions; the events are written once, as all three read them."""
+    events = materialise(_events(spark, sf), "events")
+    bounds = tl.session_bounds(events, events.select("session_id", F.lit(0.0).alias("duration_s")).distinct())
+    peaks = materialise(tl.pick_peaks(tl.boundary_candidates(tl.boundary_signals(events, TERMS)), bounds), "peaks")
+    return events, peaks, tl.merge_short(events, peaks, 40.0)
+
+
+# both folds as recursion: over the candidates of a session by rank, and over its spans in order
+PEAKS = f"""{SIGNALS}, bnd AS MATERIALIZED (SELECT session_id, max(t_end_s) AS end_s FROM ev GROUP BY 1),
+cand AS MATERIALIZED (SELECT session_id, ord, t_start_s AS t, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, ord) AS rank, t_start_s >= 30 AND end_s - t_start_s >= 30 AS inside FROM scored JOIN bnd USING (session_id) WHERE score > 0),
+picks AS (SELECT session_id, 0::BIGINT AS k, []::DOUBLE[] AS ts, []::BIGINT[] AS os FROM bnd UNION ALL
+  SELECT p.session_id, p.k + 1, CASE WHEN c.inside AND NOT coalesce(list_bool_or([abs(x - c.t) < 30 FOR x IN p.ts]), false) THEN list_append(p.ts, c.t) ELSE p.ts END, CASE WHEN c.inside AND NOT coalesce(list_bool_or([abs(x - c.t) < 30 FOR x IN p.ts]), false) THEN list_append(p.os, c.ord) ELSE p.os END FROM picks p JOIN cand c ON c.session_id = p.session_id AND c.rank = p.k + 1),
+peaks AS MATERIALIZED (SELECT session_id, unnest(o) AS ord FROM (SELECT session_id, arg_max(os, k) AS o FROM picks GROUP BY 1))"""
+CUTS = f"""{PEAKS},
+spans0 AS (SELECT e.*, 1 + coalesce(sum(CASE WHEN c.ord IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY e.session_id ORDER BY e.ord), 0)::BIGINT AS n FROM ev e LEFT JOIN peaks c ON e.session_id = c.session_id AND e.ord = c.ord),
+spans AS MATERIALIZED (SELECT session_id, n, min(ord) AS ord, arg_min(t_start_s, ord) AS t0, arg_max(t_end_s, ord) AS t1, arg_min(coalesce(kind = 'turnorder' AND marker = 'started', false), ord) AS opens FROM spans0 GROUP BY 1, 2),
+fold AS (SELECT session_id, 0::BIGINT AS k, NULL::BIGINT AS w_ord, NULL::DOUBLE AS w_t0, NULL::BOOLEAN AS w_opens, []::BIGINT[] AS os FROM bnd UNION ALL
+  SELECT session_id, k + 1, CASE WHEN short AND (o_opens OR len(os) = 0) THEN o_ord END, CASE WHEN short AND (o_opens OR len(os) = 0) THEN o_t0 END, CASE WHEN short AND (o_opens OR len(os) = 0) THEN o_opens END, CASE WHEN short THEN os ELSE list_append(os, o_ord) END
+  FROM (SELECT f.session_id, f.k, f.os, coalesce(f.w_ord, s.ord) AS o_ord, coalesce(f.w_t0, s.t0) AS o_t0, coalesce(f.w_opens, s.opens) AS o_opens, s.t1 - coalesce(f.w_t0, s.t0) < 40 AS short FROM fold f JOIN spans s ON s.session_id = f.session_id AND s.n = f.k + 1)),
+cuts AS MATERIALIZED (SELECT session_id, unnest(o[2:]) AS ord FROM (SELECT session_id, arg_max(os, k) AS o FROM fold GROUP BY 1)),
+assigned AS MATERIALIZED (SELECT e.*, 1 + coalesce(sum(CASE WHEN c.ord IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY e.session_id ORDER BY e.ord), 0)::BIGINT AS beat FROM ev e LEFT JOIN cuts c ON e.session_id = c.session_id AND e.ord = c.ord)"""
+
+query("bt09_pick_peaks", f"WITH RECURSIVE {PEAKS} SELECT session_id, ord, t_start_s FROM peaks JOIN ev USING (session_id, ord)")(lambda spark, sf: _cuts(spark, sf)[1])
+query("bt10_merge_short", f"WITH RECURSIVE {CUTS} SELECT session_id, ord, t_start_s FROM cuts JOIN ev USING (session_id, ord)")(lambda spark, sf: _cuts(spark, sf)[2])
 
 
 def _assigned(spark, sf):
-    return tl.assign_beats(_events(spark, sf), _scored(spark, sf).where("score > 0 AND ord % 20 = 0").select("session_id", "ord"))
+    events, _, cuts = _cuts(spark, sf)
+    return materialise(tl.assign_beats(events, cuts), "assigned")
 
 
-@query("bt11_assign_beats", f"WITH {CUTS} SELECT session_id, ord, id, beat FROM assigned")
+@query("bt11_assign_beats", f"WITH RECURSIVE {CUTS} SELECT session_id, ord, id, beat FROM assigned")
 def _(spark, sf):
     return _assigned(spark, sf).select("session_id", "ord", "id", "beat")
 
@@ -154,28 +199,28 @@ def _beats(spark, sf):
     return tl.beats(_assigned(spark, sf), TERMS)
 
 
-@query("bt12_classes", f"WITH {BEATS} SELECT session_id, beat, kind, n_events FROM beats")
+@query("bt12_classes", f"WITH RECURSIVE {BEATS} SELECT session_id, beat, kind, n_events FROM beats")
 def _(spark, sf):
     return _beats(spark, sf).select("session_id", "beat", "kind", "n_events")
 
 
-@query("bt13_roll_counts", f"WITH {BEATS} SELECT session_id, beat, {', '.join('n_' + k for k in tl.KINDS)} FROM beats")
+@query("bt13_roll_counts", f"WITH RECURSIVE {BEATS} SELECT session_id, beat, {', '.join('n_' + k for k in tl.KINDS)} FROM beats")
 def _(spark, sf):
     return _beats(spark, sf).select("session_id", "beat", *[f"n_{k}" for k in tl.KINDS])
 
 
-@query("bt14_speech_measures", f"WITH {BEATS}, air AS (SELECT session_id, beat, player_id, round(sum(t_end_s - t_start_s), 6) AS s FROM assigned WHERE kind = 'speech' GROUP BY 1, 2, 3), part AS (SELECT session_id, beat, string_agg(player_id, ',' ORDER BY s DESC, player_id) AS participants FROM air GROUP BY 1, 2) SELECT session_id, beat, round(CASE WHEN a > 0 THEN i / a ELSE 0.0 END, 6) AS ratio, participants FROM beats JOIN part USING (session_id, beat)")
+@query("bt14_speech_measures", f"WITH RECURSIVE {BEATS}, air AS (SELECT session_id, beat, player_id, round(sum(t_end_s - t_start_s), 6) AS s FROM assigned WHERE kind = 'speech' GROUP BY 1, 2, 3), part AS (SELECT session_id, beat, string_agg(player_id, ',' ORDER BY s DESC, player_id) AS participants FROM air GROUP BY 1, 2) SELECT session_id, beat, round(CASE WHEN a > 0 THEN i / a ELSE 0.0 END, 6) AS ratio, participants FROM beats JOIN part USING (session_id, beat)")
 def _(spark, sf):
     a = _assigned(spark, sf)
     return tl.beats(a, TERMS).select("session_id", "beat", "ratio").join(tl.airtime(a), ["session_id", "beat"])
 
 
-@query("bt15_titles", f"WITH {BEATS} SELECT session_id, beat, CASE WHEN nth = 1 THEN base ELSE base || ' (' || nth || ')' END AS title FROM beats")
+@query("bt15_titles", f"WITH RECURSIVE {BEATS} SELECT session_id, beat, CASE WHEN nth = 1 THEN base ELSE base || ' (' || nth || ')' END AS title FROM beats")
 def _(spark, sf):
     return _beats(spark, sf).select("session_id", "beat", "title")
 
 
-@query("bt16_segmentation_metrics", f"WITH {BEATS}, truth AS (SELECT session_id, beat, CASE WHEN beat % 3 = 0 THEN 'social' ELSE kind END AS kind, t_start_s + (beat % 2) * 2 AS t_start_s FROM beats WHERE beat % 5 <> 4) SELECT session_id, abs(count(b.kind) - count(t.kind)) AS count_error, round(sum(CASE WHEN b.kind = t.kind THEN 1.0 ELSE 0.0 END) / greatest(count(t.kind), 1), 6)::DOUBLE AS class_accuracy, round(sum(CASE WHEN abs(b.t_start_s - t.t_start_s) <= 1.0 THEN 1.0 ELSE 0.0 END) / greatest(count(t.kind), 1), 6)::DOUBLE AS boundary_accuracy FROM beats b FULL JOIN truth t USING (session_id, beat) GROUP BY session_id")
+@query("bt16_segmentation_metrics", f"WITH RECURSIVE {BEATS}, truth AS (SELECT session_id, beat, CASE WHEN beat % 3 = 0 THEN 'social' ELSE kind END AS kind, t_start_s + (beat % 2) * 2 AS t_start_s FROM beats WHERE beat % 5 <> 4) SELECT session_id, abs(count(b.kind) - count(t.kind)) AS count_error, round(sum(CASE WHEN b.kind = t.kind THEN 1.0 ELSE 0.0 END) / greatest(count(t.kind), 1), 6)::DOUBLE AS class_accuracy, round(sum(CASE WHEN abs(b.t_start_s - t.t_start_s) <= 1.0 THEN 1.0 ELSE 0.0 END) / greatest(count(t.kind), 1), 6)::DOUBLE AS boundary_accuracy FROM beats b FULL JOIN truth t USING (session_id, beat) GROUP BY session_id")
 def _(spark, sf):
     b = _beats(spark, sf)
     truth = b.where("beat % 5 <> 4").withColumn("kind", F.expr("CASE WHEN beat % 3 = 0 THEN 'social' ELSE kind END")).withColumn("t_start_s", F.expr("t_start_s + (beat % 2) * 2"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import ascii_edges
+
 # The fields of a captured message under all their names.
 MESSAGE = "id string, seq bigint, t_wall_ms bigint, t_wallclock bigint, who string, player_id string, playerId string, kind string, text string, `to` string, target string, whisper_to string, outer_html string, outerHTML string, roll struct<formula:string,total:bigint,target:string>, formula string, total bigint"
 CAPTURE = "mode string, messages array<string>, turnorder_events array<struct<id:string,seq:bigint,n_entries:bigint>>"
@@ -121,7 +123,7 @@ def resolved_total(explicit: Column, text: Column, dice: Column, modifier: Colum
 def roll_kind(text: Column) -> Column:
     """Keywords in order; the first found decides. (SRC-14)"""
     t = F.lower(text)
-    return F.when(t.rlike(r"death\s*save|death_save"), "death_save").when(t.rlike("initiative"), "initiative").when(t.rlike(r"saving\s*throw|\bsave\b"), "save").when(t.rlike(r"\bcheck\b|perception|athletics|acrobatics|insight|investigation"), "check").when(t.rlike("damage"), "damage").when(t.rlike(r"attack|to\s*hit"), "attack").otherwise("other")
+    return F.when(t.rlike(r"death\s*save|death_save"), "death_save").when(t.rlike("initiative"), "initiative").when(t.rlike(ascii_edges(r"saving\s*throw|\bsave\b")), "save").when(t.rlike(ascii_edges(r"\bcheck\b|perception|athletics|acrobatics|insight|investigation")), "check").when(t.rlike("damage"), "damage").when(t.rlike(r"attack|to\s*hit"), "attack").otherwise("other")
 
 
 def advantage_of(text: Column, dice: Column, total: Column, modifier: Column) -> Column:
@@ -140,7 +142,7 @@ def target_of(explicit: Column, markup: Column, text: Column) -> Column:
 
 def name_mentions(text: Column, speaker: Column) -> Column:
     """Proper names: capitalised runs and capitalised words after an article; first spellings, without the speaker. (SRC-17)"""
-    found = F.concat(F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]+(?: [A-Z][a-z]+)+)\b"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"\b(?:the|The|a|an) ([A-Z][a-z]+)\b"), F.lit(1)))
+    found = F.concat(F.regexp_extract_all(text, F.lit(ascii_edges(r"\b([A-Z][a-z]+(?: [A-Z][a-z]+)+)\b")), F.lit(1)), F.regexp_extract_all(text, F.lit(ascii_edges(r"\b(?:the|The|a|an) ([A-Z][a-z]+)\b")), F.lit(1)))
     found = F.transform(found, lambda n: F.regexp_replace(n, "^(The|An?) ", ""))
     fine = F.filter(found, lambda n: ~F.lower(n).isin(GENERIC_NAMES) & (F.lower(n) != F.lower(F.coalesce(speaker, F.lit("")))))
     return F.filter(fine, lambda n, i: F.array_position(F.transform(fine, lambda m: F.lower(m)), F.lower(n)) == i + 1)

@@ -219,10 +219,10 @@ def test_samples_and_folds(spark):
 
 
 def test_beats_conserve_events(spark):
-    events = spark.createDataFrame([(s, i, f"s{i}", "speech" if i % 4 else "gap", float(i * 10), float(i * 10 + 9), f"p{i % 3}", "the thing", None, None, None) for s in (1, 2) for i in range(40)], "session_id long, ord long, id string, kind string, t_start_s double, t_end_s double, player_id string, text string, roll_kind string, total long, marker string")
+    events = spark.createDataFrame([(s, i, f"s{i}", "speech" if i % 4 else "gap", float(i * 10), float(i * 10 + 9), f"p{i % 3}", None, "the thing", None, None, None) for s in (1, 2) for i in range(40)], "session_id long, ord long, id string, kind string, t_start_s double, t_end_s double, player_id string, character_id string, text string, roll_kind string, total long, marker string")
     scored = tl.boundary_signals(events, ["thing"])
     bounds = tl.session_bounds(events, events.select("session_id", F.lit(0.0).alias("duration_s")).distinct())
-    cuts = tl.merge_short(tl.pick_peaks(tl.boundary_candidates(scored), bounds), bounds, 40.0)
+    cuts = tl.merge_short(events, tl.pick_peaks(tl.boundary_candidates(scored), bounds), 40.0)
     beats = tl.assign_beats(events, cuts)
     assert beats.count() == 80 and beats.select("session_id", "id").distinct().count() == 80
     spans = beats.groupBy("session_id", "beat").agg(F.min("t_start_s").alias("t")).orderBy("session_id", "t").collect()
@@ -231,6 +231,34 @@ def test_beats_conserve_events(spark):
     assert sorted(map(tuple, alone.select("id", "beat").collect())) == sorted(map(tuple, beats.where("session_id = 1").select("id", "beat").collect()))
 
 
+@pytest.mark.parametrize("spans, kept", [
+    ([(0, 5, "speech"), (5, 20, "speech"), (20, 40, "speech")], [0, 2]),  # the first joins the one after
+    ([(0, 20, "speech"), (20, 23, "speech"), (23, 40, "speech")], [0, 2]),  # others the one before
+    ([(0, 20, "speech"), (20, 20, "started"), (20, 40, "speech")], [0, 1]),  # a start of combat opens what follows
+    ([(0, 20, "speech"), (20, 20, "ended"), (20, 40, "speech")], [0, 2]),
+    ([(0, 20, "speech"), (20, 22, "started")], [0]),  # the last has none after
+    ([(0, 2, "speech"), (2, 4, "speech"), (4, 6, "speech")], [0]),
+    ([(0, 20, "speech"), (20, 22, "started"), (22, 25, "speech"), (25, 40, "speech")], [0, 1]),
+])
+def test_short_spans_join_a_neighbour(spark, spans, kept):
+    rows = [(1, i, float(a), float(b), "speech" if m == "speech" else "turnorder", None if m == "speech" else m) for i, (a, b, m) in enumerate(spans)]
+    events = spark.createDataFrame(rows, "session_id long, ord long, t_start_s double, t_end_s double, kind string, marker string")
+    cuts = events.where("ord > 0").select("session_id", "ord", "t_start_s")
+    assert sorted(r.ord for r in tl.merge_short(events, cuts, 10.0).collect()) == kept[1:]
+
+
+def test_speech_events_and_standalone_rolls(spark):
+    df = spark.createDataFrame
+    speech = df([(1, "u1", "p", 1.0, 2.0, "hi"), (1, "u2", "q", 3.0, 4.0, "ho"), (2, "u1", "p", 1.0, 2.0, "x")], "session_id long, utt_id string, player_id string, start_s double, end_s double, text string")
+    attributions = df([(1, "u1", "in_character", "npc_a", 1.5), (2, "u1", "uncertain", None, -1.0)], "session_id long, utt_id string, mode string, character_id string, confidence double")
+    players, characters = df([("p", "Pia", True)], "player_id string, display_name string, is_dm boolean"), df([("npc_a", "Ann")], "character_id string, name string")
+    rolls = df([(1, i, 9 - i, float(i)) for i in range(5)], "session_id long, roll_id long, seq long, t_s double")
+    anchors = df([(1, 0, "u1", "matched", 0.0), (1, 1, "u1", "matched", 0.0), (1, 2, None, "interpolated", 4.0), (1, 3, None, "order_only", 40.0)], "session_id long, roll_id long, matched_utt_id string, anchor string, uncertainty_s double")
+    got = {(r.session_id, r.utt_id): (r.mode, r.character_display, r.speaker_display, r.is_dm, r.confidence, r.rolls) for r in tl.speech_events(speech, attributions, players, characters, rolls, anchors).collect()}
+    assert got == {(1, "u1"): ("in_character", "Ann", "Pia", True, 1.0, [1, 0]), (1, "u2"): (None, None, None, False, 1.0, []), (2, "u1"): ("uncertain", None, "Pia", True, 0.0, [])}
+    assert {r.roll_id: r.confidence for r in tl.standalone_rolls(rolls, anchors).collect()} == {2: 0.6, 3: 0.0}
+
+
 def test_encounters(spark):
     rolls = spark.createDataFrame([(1, i, i, float(i), w, k, 5 + 2 * (w == "B"), t) for i, (w, k, t) in enumerate([("A", "initiative", None), ("A", "attack", None), ("B", "damage", "x"), ("A", "damage", "x")])], "session_id long, roll_id long, seq long, t_s double, who string, kind string, total long, target string")
     got = {r.roll_id: (r.round, r.turn) for r in en.rounds_and_turns(rolls).collect()}
