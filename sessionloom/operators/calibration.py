@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialise
-from .identity import small
+from .intervals import in_blocks, in_order
 from .vectors import cosine
 
 # Fixed values.
 EPOCHS, RATE, L2, MOST_FOLDS, LEAST_LABELS = 160, 0.05, 0.01, 5, 20
+#: Labels that a model is fitted on, at most about so many.
+MOST_FITTED = 20_000
 
 
 def uncertain_sample(items: DataFrame, labelled: DataFrame, limit: int) -> DataFrame:
@@ -49,11 +50,8 @@ def folds(labels: DataFrame, most: int = MOST_FOLDS) -> DataFrame:
     The rank comes from range partitions and their sizes, so no single task
     sorts all labels.
     """
-    ranged = labels.repartitionByRange("id").sortWithinPartitions("id").withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id() % (1 << 33))
-    ranged = materialise(ranged, "ranked")
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = sizes.select("_p", (F.sum("_c").over(W.orderBy("_p")) - F.col("_c")).alias("_before"), F.sum("_c").over(W.partitionBy()).alias("_total"))
-    return ranged.join(F.broadcast(before), "_p").withColumn("fold", ((F.col("_before") + F.col("_m")) % F.least(F.lit(most), F.col("_total"))).cast("long")).drop("_p", "_m", "_before", "_total")
+    n = labels.agg(F.count("*").alias("_n"))  # one row
+    return in_order(labels, ["id"]).crossJoin(F.broadcast(n)).withColumn("fold", ((F.col("rank") - 1) % F.least(F.lit(most), F.col("_n"))).cast("long")).drop("rank", "_n")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, l2: float = L2) -> np.ndarray:
@@ -68,13 +66,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float
     return np.append(w, b)
 
 
-def one_vs_rest(labels: DataFrame, classes: list[str], keys: list[str]) -> DataFrame:
+def one_vs_rest(labels: DataFrame, classes: list[str], keys: list[str], most: int = MOST_FITTED) -> DataFrame:
     """(fold, class, weights): one model for each fold held out and class. (CA-05)
 
-    Fits run in parallel over (fold, class). Labels are made by hand, so one
-    fit holds few rows; each row goes to every other fold's fits.
+    Fits run in parallel over (fold, class); each row goes to every other
+    fold's fits. Updates depend on the order of rows, so one task makes a fit;
+    of more than ``most`` labels about so many are learned from, chosen by a
+    hash of the id, which bounds it.
     """
-    n_folds = labels.agg(F.max("fold")).first()[0]
+    n, n_folds = labels.agg(F.count("*"), F.max("fold")).first()
+    unit = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
+    labels = labels.where(unit < min(1.0, most / max(1, n)))
     fits = F.explode(F.array_remove(F.array(*[F.lit(i).cast("long") for i in range((n_folds or 0) + 1)]), F.col("fold")))
     x = F.array(*[F.col(k).cast("double") for k in keys])
     rows = labels.select("id", "label", x.alias("x"), fits.alias("held")).withColumn("class", F.explode(F.array(*map(F.lit, classes))))
@@ -111,11 +113,10 @@ def class_metrics(predicted: DataFrame) -> DataFrame:
 def threshold_sweep(predicted: DataFrame, fractions: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """(fraction, flagged, residual_error, cut_margin): the least certain share flagged. (CA-08)
 
-    Margins are counted by value first, so the ranked rows are distinct margins.
+    Margins are counted by value first and summed over range partitions.
     """
     levels = predicted.groupBy("margin").agg(F.count("*").alias("n"), F.sum(F.when(F.col("label") != F.col("predicted"), 1).otherwise(0)).alias("wrong"))
-    w = W.orderBy("margin").rowsBetween(W.unboundedPreceding, 0)
-    held = levels.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(W.partitionBy()))
+    held = in_order(levels, ["margin"], {"upto": "n"}).crossJoin(F.broadcast(levels.agg(F.sum("n").alias("total"))))  # the total is one row
     each = held.withColumn("fraction", F.explode(F.array(*map(F.lit, fractions)))).withColumn("flagged", F.ceil(F.round(F.col("fraction") * F.col("total"), 9)))
     # levels wholly beyond the cut count as left; the one it runs through is flagged whole
     rest = F.col("upto") - F.col("n") >= F.col("flagged")
@@ -124,8 +125,8 @@ def threshold_sweep(predicted: DataFrame, fractions: tuple[float, ...] = (0.25,
 
 def profile_accuracy(labels: DataFrame, profiles: DataFrame) -> DataFrame:
     """(n, accuracy): how often the nearest profile is the label's own. (CA-09)"""
-    p = small(profiles.select("profile_id", F.col("centroid").alias("_c")))
-    met = labels.select("id", "character_id", "vector").crossJoin(p).withColumn("_s", F.round(cosine(F.col("vector"), F.col("_c"), -1.0), 9))
+    p = profiles.select("profile_id", F.col("centroid").alias("_c"))
+    met = in_blocks(labels.select("id", "character_id", "vector"), p, "profile_id").withColumn("_s", F.round(cosine(F.col("vector"), F.col("_c"), -1.0), 9))
     best = met.groupBy("id", "character_id").agg(F.max_by("profile_id", F.struct("_s", "profile_id")).alias("nearest"))
     return best.agg(F.count("*").alias("n"), F.round(F.avg((F.col("nearest") == F.col("character_id")).cast("double")), 6).alias("accuracy"))
 

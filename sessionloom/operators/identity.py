@@ -1,7 +1,7 @@
 """Operators that resolve identities: lookups, suggestions, binding, registry upkeep.
 
-Dimension tables (players, characters, terms) are small; where one is crossed
-with observations it is broadcast after its size has been checked.
+Names meet by equi-joins on parts that any similar pair shares, so neither
+side has to be small; where a dimension is, Spark broadcasts it by its size.
 """
 
 from __future__ import annotations
@@ -11,18 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import name_similarity, normalised_name
+from .intervals import in_order
 
 # Fixed values.
 SUGGEST_LEAST, BIND_LEAST, BIND_LEAD = 0.4, 0.8, 0.05
-#: Rows that a broadcast dimension may have.
-MOST_DIMENSION_ROWS = 20_000
-
-
-def small(dim: DataFrame, most: int = MOST_DIMENSION_ROWS) -> DataFrame:
-    """``dim`` as a broadcast side, refused if it has more than ``most`` rows."""
-    if dim.limit(most + 1).count() > most:
-        raise ValueError(f"a dimension has more than {most} rows")
-    return F.broadcast(dim)
+#: Characters of normalised names, rare ones first: any order is right, this one meets few pairs.
+RARE_FIRST = "9876543210zqjxkvbpgwyfmcudlhrnsiotae "
 
 
 def identity_keys(players: DataFrame) -> DataFrame:
@@ -49,23 +43,47 @@ def trailing_number(name: Column) -> Column:
 def active_at(characters: DataFrame, sessions: DataFrame) -> DataFrame:
     """(session_id, character_id): characters whose open or closed range covers the session's number. (ID-06)
 
-    Characters with a lower bound meet sessions by exploding neither side: the
-    dimension is broadcast after a size check.
+    A range becomes the blocks of 64 numbers that it covers among those that
+    occur, and sessions meet it in their number's block.
     """
     c = characters.withColumn("_from", trailing_number(F.col("active_from"))).withColumn("_to", trailing_number(F.col("active_to")))
-    on = (F.col("_from").isNull() | (F.col("number") >= F.col("_from"))) & (F.col("_to").isNull() | (F.col("number") <= F.col("_to")))
-    return sessions.join(small(c), on).select("session_id", "character_id")
+    ends = sessions.agg(F.min("number").alias("_low"), F.max("number").alias("_high"))  # one row
+    c = c.crossJoin(F.broadcast(ends)).withColumn("_low", F.greatest("_from", "_low")).withColumn("_high", F.least("_to", "_high")).where("_low <= _high")
+    c = c.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_low") / 64), F.floor(F.col("_high") / 64))))
+    met = sessions.withColumn("_block", F.floor(F.col("number") / 64)).join(c, "_block").where("number BETWEEN _low AND _high")
+    return met.select("session_id", "character_id")
+
+
+def meeting_parts(name: Column, least: float) -> Column:
+    """Parts of a normalised name of which two names share one if their similarity may reach ``least``, above 0.
+
+    Names with a word in common share the word, those that begin alike their
+    first three letters. For the edit distance at least that share of the
+    longer name's letters occur in both, so by the pigeonhole principle the
+    rarest letters of either, but for so many less one, have one in common.
+    """
+    words = F.split(name, " ")
+    starts = F.transform(F.filter(F.array_append(words, name), lambda x: F.length(x) >= 3), lambda x: F.concat(F.lit("<"), F.substring(x, 1, 3)))
+    letters = F.filter(F.split(name, ""), lambda x: x != "")
+    nth = lambda i, x: F.size(F.filter(F.slice(letters, 1, i + 1), lambda y: y == x))
+    rare = F.array_sort(F.transform(letters, lambda x, i: F.struct(F.instr(F.lit(RARE_FIRST), x).alias("r"), F.concat(F.lit("#"), x, nth(i, x).cast("string")).alias("k"))))
+    most = F.size(letters) - F.ceil(F.round(F.lit(least) * F.size(letters), 9)).cast("int") + 1
+    return F.array_distinct(F.concat(F.transform(words, lambda x: F.concat(F.lit("="), x)), starts, F.transform(F.slice(rare, 1, F.greatest(most, F.lit(1))), lambda s: s["k"])))
 
 
 def suggestions(observed: DataFrame, players: DataFrame, k: int = 3, least: float = SUGGEST_LEAST) -> DataFrame:
     """(name, player_id, score, rank): the best players for each distinct observed name. (ID-07)
 
     Distinct names are scored, so a name that occurs a million times costs one
-    row; the players' names are a checked broadcast.
+    row, and only with names that share a part with them.
     """
     names = observed.select("name").distinct().withColumn("_n", normalised_name(F.col("name")))
     known = identity_keys(players).select(F.col("key").alias("_k"), "player_id").distinct()
-    scored = names.crossJoin(small(known)).withColumn("score", F.round(name_similarity(F.col("_n"), F.col("_k")), 4)).where(F.col("score") >= least)
+    left = names.where("_n <> ''").select("_n").distinct().withColumn("_part", F.explode(meeting_parts(F.col("_n"), least)))
+    right = known.select("_k").distinct().withColumn("_part", F.explode(meeting_parts(F.col("_k"), least)))
+    met = left.join(right, "_part").select("_n", "_k").distinct()
+    alike = met.withColumn("score", F.round(name_similarity(F.col("_n"), F.col("_k")), 4)).where(F.col("score") >= least)
+    scored = names.join(alike, "_n").join(known, "_k")
     best = scored.groupBy("name", "player_id").agg(F.max("score").alias("score"))
     return best.withColumn("rank", F.row_number().over(W.partitionBy("name").orderBy(F.desc("score"), "player_id")).cast("long")).where(F.col("rank") <= k)
 
@@ -130,10 +148,12 @@ def integrity_problems(players: DataFrame, characters: DataFrame, npcs: DataFram
 
 
 def worklist(tracks: DataFrame, rolls: DataFrame) -> DataFrame:
-    """(kind, name, ord): distinct names still unbound. (ID-13)"""
+    """(kind, name, ord): distinct names still unbound, numbered within their kind. (ID-13)"""
     open_ = tracks.where("player_id IS NULL").select(F.lit("track").alias("kind"), "name").unionByName(rolls.where("player_id IS NULL").select(F.lit("account").alias("kind"), "name"))
     distinct = open_.where("name IS NOT NULL AND trim(name) <> ''").distinct()
-    return distinct.withColumn("ord", F.row_number().over(W.partitionBy("kind").orderBy("name")).cast("long"))
+    ranked = in_order(distinct, ["kind", "name"])
+    first = ranked.groupBy("kind").agg(F.min("rank").alias("_first"))
+    return ranked.join(first, "kind").select("kind", "name", (F.col("rank") - F.col("_first") + 1).alias("ord"))
 
 
 def apply_mappings(players: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -153,7 +173,7 @@ def term_dictionary(terms: DataFrame) -> DataFrame:
     """Terms with white space collapsed, distinct in any case, the first spelling kept, sorted. (ID-16)"""
     clean = terms.withColumn("term", F.trim(F.regexp_replace("term", r"\s+", " "))).where("term <> ''")
     first = clean.groupBy(F.lower("term").alias("folded")).agg(F.min(F.struct("ord", "term")).term.alias("term"))
-    return first.withColumn("place", F.row_number().over(W.orderBy("folded", "term")).cast("long"))
+    return in_order(first, ["folded", "term"]).withColumnRenamed("rank", "place")
 
 
 def budgeted_prefix(terms: DataFrame, limit: int, keys: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Joins and folds on time intervals, shared by the other operators."""
+"""Joins and folds on time intervals, ranks over whole tables and pairs in blocks, shared by the other operators."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], bounds: tuple[str, str, str, str], width: float) -> DataFrame:
     """Rows of ``left`` and ``right`` with equal keys whose closed intervals meet.
@@ -50,6 +52,33 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: str,
     return out.select(*left.columns, *[F.col(f"_value.{v}").alias(v) for v in values])
 
 
+def in_order(df: DataFrame, order: list[str], sums: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with ``rank``, from 1 in the given order, and running sums {name: column}.
+
+    Ranks and sums come from range partitions and their totals, of which there
+    is one row a partition, so no single task sorts the table. The ranged rows
+    are written once, as their places must not change between the two passes.
+    """
+    sums = {"rank": "1", **(sums or {})}
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    ranged = materialise(ranged, "ranged")
+    own = W.partitionBy("_p").orderBy("_m").rowsBetween(W.unboundedPreceding, 0)
+    totals = ranged.groupBy("_p").agg(*[F.sum(F.expr(c)).alias(f"_t{i}") for i, c in enumerate(sums.values())])
+    before = totals.select("_p", *[F.coalesce(F.sum(f"_t{i}").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"_b{i}") for i in range(len(sums))])
+    return ranged.join(F.broadcast(before), "_p").select(*df.columns, *[(F.sum(F.expr(c)).over(own) + F.col(f"_b{i}")).alias(name) for i, (name, c) in enumerate(sums.items())])
+
+
+def in_blocks(rows: DataFrame, others: DataFrame, key: str, size: int = 10_000) -> DataFrame:
+    """Each of ``rows`` with each of ``others``, which is dealt to blocks of about ``size`` rows by its key.
+
+    An equi-join on the block: a row is copied once for each block, so any
+    number of others is met, and no side needs to fit one task.
+    """
+    n = max(1, -(-others.count() // size))
+    dealt = others.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(n)))
+    return rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(dealt, "_block").drop("_block")
+
+
 def running_islands(df: DataFrame, keys: list[str], start: str, end: str, order: list[str], gap: Column | None = None) -> DataFrame:
     """``df`` with ``island``: rows whose intervals touch, or come within ``gap``, share a number."""
     before = W.partitionBy(*keys).orderBy(start, *order).rowsBetween(W.unboundedPreceding, -1)

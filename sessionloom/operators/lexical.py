@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .identity import small
 from .intervals import band_join
 
 # Contractions, and words for numbers.
@@ -16,30 +15,50 @@ CONTRACTIONS = {
     "can't": "cannot", "couldn't": "could not", "didn't": "did not", "doesn't": "does not", "don't": "do not", "i'd": "i would", "i'll": "i will", "i'm": "i am", "i've": "i have", "isn't": "is not", "it'll": "it will",
     "let's": "let us", "shouldn't": "should not", "that's": "that is", "they're": "they are", "wasn't": "was not", "we'll": "we will", "we're": "we are", "weren't": "were not", "won't": "will not", "wouldn't": "would not", "you're": "you are",
 }
-SMALL = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
-TENS = {w: 10 * (i + 2) for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split())}
+SMALL_NUMBERS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen"]
+TENS = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
+
+NUMBERS = {w: i for i, w in enumerate(SMALL_NUMBERS)} | {w: 10 * (i + 2) for i, w in enumerate(TENS)}
 
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 
 
-def spoken_number(tokens: list[str]) -> int | None:
-    """The number that all ``tokens`` say together, None if they don't; digits count alone only. (TXT-02)"""
+def number_said(tokens: list[str]) -> int | None:
+    """The number that all ``tokens`` say together, None if they don't; see ``spoken_number``."""
     if len(tokens) == 1 and tokens[0].isascii() and tokens[0].isdigit():
         return int(tokens[0])
-    total, last, seen = 0, 1000, False
+    total, seen = 0, False
     for t in tokens:
-        if t == "and" and seen:
+        if t == "and":
             continue
-        if t == "hundred" and seen and 0 < total < 10:
-            total, last = total * 100, 100
-        elif t in TENS and last >= 100:
-            total, last = total + TENS[t], 10
-        elif t in SMALL and (last >= 100 or last == 10 and 0 < SMALL[t] < 10):
-            total, last = total + SMALL[t], 1
+        if t in NUMBERS:
+            total += NUMBERS[t]
+        elif t == "hundred" and total > 0:
+            total *= 100
         else:
             return None
         seen = True
-    return total if seen and tokens[-1] != "and" else None
+    return total if seen else None
+
+
+def spoken_number(tokens: Column) -> Column:
+    """The number that all tokens of an array say together, else null. (TXT-02)
+
+    Number words add up in any order, ``hundred`` multiplies what was said
+    before it if that isn't 0, ``and`` is skipped anywhere, and digits count
+    alone only, up to 18 of them.
+    """
+    known = F.create_map(*[F.lit(x) for pair in NUMBERS.items() for x in pair])
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(False).alias("seen"), F.lit(True).alias("fine"))
+
+    def step(s, t):
+        value = F.try_element_at(known, t)
+        hundred = (t == "hundred") & (s["total"] > 0)
+        total = F.when(hundred, s["total"] * 100).otherwise(s["total"] + F.coalesce(value, F.lit(0)))
+        return F.struct(total.alias("total"), (s["seen"] | value.isNotNull() | hundred).alias("seen"), (s["fine"] & (value.isNotNull() | hundred | (t == "and"))).alias("fine"))
+
+    said = F.aggregate(tokens, start, step, lambda s: F.when(s["fine"] & s["seen"], s["total"]))
+    return F.when((F.size(tokens) == 1) & F.get(tokens, F.lit(0)).rlike(r"^[0-9]{1,18}$"), F.get(tokens, F.lit(0)).try_cast("long")).otherwise(said)
 
 
 def normalise(text: str) -> str:
@@ -48,7 +67,7 @@ def normalise(text: str) -> str:
     out, i = [], 0
     while i < len(tokens):
         for n in (3, 2, 1):
-            value = spoken_number(tokens[i : i + n]) if i + n <= len(tokens) else None
+            value = number_said(tokens[i : i + n]) if i + n <= len(tokens) else None
             if value is not None:
                 out.append(str(value))
                 i += n
@@ -86,31 +105,38 @@ def lexicon_issues(lexicon: DataFrame) -> DataFrame:
     return lexicon.select("class", "term", F.explode(issue).alias("issue"))
 
 
-def phrase_markers(texts: DataFrame, lexicon: DataFrame, longest: int = 3) -> DataFrame:
+def phrase_markers(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(id, class, polarity, weight, term, pos): terms found as runs of tokens. (TXT-05)
 
-    Token n-grams up to the longest term meet the terms in an equi-join, so a
-    text is never compared with every term.
+    Token n-grams of the lengths that terms have meet the terms in an
+    equi-join, so a text is never compared with every term. Terms of the class
+    ``vocative`` count only where the text addresses with them: after its
+    beginning or one of , ! ? ; and before one of , ! ? :
     """
-    toks = texts.select("id", tokens_of(F.col("text")).alias("t"))
+    terms = lexicon.select("class", "polarity", "weight", "term", tokens_of(F.col("term")).alias("_t")).withColumn("gram", F.array_join("_t", " ")).withColumn("_n", F.size("_t"))
+    lengths = sorted(r[0] for r in terms.where("_n > 0").select("_n").distinct().collect())  # of terms: a few numbers
 
-    def runs_of(n: int) -> DataFrame:
-        at = F.sequence(F.lit(1), F.size("t") - n + 1)
-        return toks.where(F.size("t") >= n).select("id", F.posexplode(F.transform(at, lambda i: F.array_join(F.slice("t", i, n), " "))).alias("pos", "gram"))
+    def found(own: DataFrame, *more: str) -> DataFrame:
+        toks = texts.select("id", tokens_of(F.col("text")).alias("t"), *more)
+        gram = lambda n: lambda i: F.array_join(F.slice("t", i, n), " ")
+        runs = [toks.where(F.size("t") >= n).select("id", *more, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), gram(n))).alias("pos", "gram")) for n in lengths or [1]]
+        grams = runs[0]
+        for r in runs[1:]:
+            grams = grams.unionByName(r)
+        return grams.join(own.drop("_t", "_n"), "gram")
 
-    grams = [runs_of(n) for n in range(1, longest + 1)]
-    all_ = grams[0]
-    for g in grams[1:]:
-        all_ = all_.unionByName(g)
-    terms = lexicon.select("class", "polarity", "weight", "term", F.array_join(tokens_of(F.col("term")), " ").alias("gram"))
-    return all_.join(small(terms), "gram").select("id", "class", "polarity", "weight", "term", F.col("pos").cast("long").alias("pos")).dropDuplicates(["id", "class", "term", "pos"])
+    plain = found(terms.where("class IS DISTINCT FROM 'vocative'"))
+    addressed = F.regexp_like("text", F.concat(F.lit(r"(?i)(?:^|[,!?;])\s*"), "gram", F.lit(r"\s*[,!?:]")))
+    called = found(terms.where("class = 'vocative'"), "text").where(addressed)
+    columns = ["id", "class", "polarity", "weight", "term", F.col("pos").cast("long").alias("pos")]
+    return plain.select(*columns).unionByName(called.select(*columns)).dropDuplicates(["id", "class", "term", "pos"])
 
 
 def real_name_markers(texts: DataFrame, players: DataFrame, characters: DataFrame) -> DataFrame:
     """(id, owner, pos): other players' first names, but for words that characters have too. (TXT-06)"""
     names = players.select(F.col("player_id").alias("owner"), F.element_at(tokens_of(F.col("display_name")), 1).alias("token")).join(characters.select(F.explode(tokens_of(F.col("name"))).alias("token")).distinct(), "token", "left_anti")
     words = texts.select("id", "player_id", F.posexplode(tokens_of(F.col("text"))).alias("pos", "token"))
-    return words.join(small(names), "token").where(F.col("player_id") != F.col("owner")).select("id", "owner", F.col("pos").cast("long").alias("pos"))
+    return words.join(names, "token").where(F.col("player_id") != F.col("owner")).select("id", "owner", F.col("pos").cast("long").alias("pos"))
 
 
 def roll_total_evidence(numbers: DataFrame, rolls: DataFrame, uncertainty: float) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .identity import small
+from .intervals import in_blocks
 
 # Fixed values.
 STOP_DISTANCE, MATCH_LEAST, MATCH_MARGIN, KEEP = 0.28, 0.78, 0.08, 0.9
@@ -132,11 +132,11 @@ def default_voice(stats: DataFrame, keys: list[str]) -> DataFrame:
 def match_profiles(clusters: DataFrame, profiles: DataFrame, least: float = MATCH_LEAST, margin: float = MATCH_MARGIN) -> DataFrame:
     """(cluster_id, profile_id, similarity, margin, rank, labelled). (VEC-09)
 
-    The margin is to the next profile, or to 0 for the last. Profiles are a
-    checked broadcast.
+    The margin is to the next profile, or to 0 for the last. Profiles are met
+    in blocks.
     """
-    p = small(profiles.select("profile_id", F.col("centroid").alias("_c")))
-    met = clusters.select("cluster_id", "centroid").crossJoin(p).withColumn("similarity", F.round(cosine(F.col("centroid"), F.col("_c")), 6))
+    p = profiles.select("profile_id", F.col("centroid").alias("_c"))
+    met = in_blocks(clusters.select("cluster_id", "centroid"), p, "profile_id").withColumn("similarity", F.round(cosine(F.col("centroid"), F.col("_c")), 6))
     w = W.partitionBy("cluster_id").orderBy(F.desc("similarity"), "profile_id")
     ranked = met.withColumn("rank", F.row_number().over(w).cast("long")).withColumn("margin", F.round(F.col("similarity") - F.lead("similarity", 1, 0.0).over(w), 6))
     return ranked.select("cluster_id", "profile_id", "similarity", "margin", "rank", ((F.col("rank") == 1) & (F.col("similarity") >= least) & (F.col("margin") >= margin)).alias("labelled"))

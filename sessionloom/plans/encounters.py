@@ -57,7 +57,14 @@ def _(spark, sf):
     return en.trackerless_scope(_rolls(spark, sf), 14.0).select("session_id", "roll_id", "place")
 
 
-query("en05_rounds_and_turns")(lambda spark, sf: en.rounds_and_turns(_rolls(spark, sf)))
+# one roll after the other, with the round, its turn, who has acted in it and who acted last
+ROUNDS = f"""{R}, ro AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t_s, seq, roll_id) AS n FROM rolls),
+tu AS (SELECT session_id, 0::BIGINT AS n, NULL::BIGINT AS roll_id, 0 AS round, 0 AS turn, []::VARCHAR[] AS acted, '' AS last, true AS skip FROM (SELECT DISTINCT session_id FROM ro) UNION ALL
+  SELECT session_id, n, roll_id, CASE WHEN skip THEN round WHEN fresh THEN round + 1 ELSE round END, CASE WHEN skip THEN turn WHEN fresh THEN 1 WHEN last = who THEN turn ELSE turn + 1 END, CASE WHEN skip THEN acted WHEN fresh THEN [who] ELSE list_append(acted, who) END, CASE WHEN skip THEN last ELSE who END, skip
+  FROM (SELECT t.session_id, r.n, r.roll_id, t.round, t.turn, t.acted, t.last, r.who, r.kind = 'initiative' AS skip, t.round = 0 OR (t.last <> r.who AND list_contains(t.acted, r.who)) AS fresh FROM tu t JOIN ro r ON r.session_id = t.session_id AND r.n = t.n + 1)),
+rounds AS (SELECT session_id, roll_id, round, CASE WHEN skip THEN 0 ELSE turn END AS turn FROM tu WHERE n > 0)"""
+
+query("en05_rounds_and_turns", f"WITH RECURSIVE {ROUNDS} SELECT * FROM rounds")(lambda spark, sf: en.rounds_and_turns(_rolls(spark, sf)))
 
 
 @query("en06_unassigned", f"WITH {SCOPE} SELECT session_id, roll_id, CASE WHEN total IS NULL THEN 'no_total' WHEN kind = 'other' THEN 'not_combat' ELSE 'outside_encounter' END AS reason FROM rolls WHERE (session_id, roll_id) NOT IN (SELECT (session_id, roll_id) FROM sc)")
@@ -84,7 +91,7 @@ def _(spark, sf):
     return _rolls(spark, sf).select("session_id", "roll_id", en.notable(F.col("die")).alias("notable"))
 
 
-query("en10_encounter_summary")(lambda spark, sf: en.encounter_summary(_rolls(spark, sf), en.rounds_and_turns(_rolls(spark, sf))).select("session_id", "n_rounds", "n_turns", "damage_total"))
+query("en10_encounter_summary", f"WITH RECURSIVE {ROUNDS}, per AS (SELECT session_id, round, max(turn) AS turns, sum(CASE WHEN kind = 'damage' AND target IS NOT NULL THEN total ELSE 0 END) AS damage FROM ro JOIN rounds USING (session_id, roll_id) WHERE round > 0 GROUP BY 1, 2) SELECT session_id, count(*) AS n_rounds, sum(turns)::BIGINT AS n_turns, sum(damage)::BIGINT AS damage_total FROM per GROUP BY 1")(lambda spark, sf: en.encounter_summary(_rolls(spark, sf), en.rounds_and_turns(_rolls(spark, sf))).select("session_id", "n_rounds", "n_turns", "damage_total"))
 
 
 @query("ck01_stated_intent", f"WITH {BOTH}, c AS (SELECT * FROM rolls WHERE kind = 'check') SELECT c.session_id, c.roll_id, coalesce((SELECT CASE WHEN c.t_s - max(u.end_s) <= 12 THEN arg_max(u.utt_id, {{'e': u.end_s, 'u': u.utt_id}}) END FROM utterances u WHERE u.session_id = c.session_id AND u.end_s <= c.t_s), '') AS intent FROM c")

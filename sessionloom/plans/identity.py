@@ -155,7 +155,7 @@ def _(spark, sf):
 
 # Lexical evidence.
 U = ad.UTTERANCES
-LEX = [("intent", "in", 1.5, "the"), ("intent", "in", 0.5, "and the"), ("table", "out", 2.0, "of"), ("table", "out", 1.0, "in the of"), ("name", "in", 0.25, "de la"), ("broken", "sideways", -1.0, " ")]
+LEX = [("intent", "in", 1.5, "the"), ("intent", "in", 0.5, "and the"), ("table", "out", 2.0, "of"), ("table", "out", 1.0, "in the of"), ("name", "in", 0.25, "de la"), ("vocative", "in", 0.5, "la"), ("vocative", "out", 0.5, "of the"), ("phrase", "out", 0.75, "and the of in"), ("broken", "sideways", -1.0, " ")]
 LEXSQL = "lex AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{p}', {w}::DOUBLE, '{t}')" for c, p, w, t in LEX) + ") v(class, polarity, weight, term))"
 TOK = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
@@ -174,6 +174,17 @@ def _(spark, sf):
     return ad.utterances(spark, sf).select("session_id", "utt_id", lx.normalised_text(F.col("text")).alias("text"))
 
 
+WORDS_SAID = "CASE event_id % 6 WHEN 0 THEN small WHEN 1 THEN tens || ' ' || small WHEN 2 THEN small || ' hundred and ' || tens WHEN 3 THEN 'and ' || small || ' and' WHEN 4 THEN (event_id * 7)::VARCHAR ELSE small || ' dragons' END"
+
+
+@query("txt02_spoken_number", f"WITH x AS (SELECT event_id, list_extract({lx.SMALL_NUMBERS}, (event_id % 20 + 1)::INT) AS small, event_id % 20 AS s, list_extract({lx.TENS}, (event_id % 8 + 1)::INT) AS tens, 10 * (event_id % 8 + 2) AS t FROM events) SELECT event_id, {WORDS_SAID} AS said, CASE event_id % 6 WHEN 0 THEN s WHEN 1 THEN t + s WHEN 2 THEN CASE WHEN s > 0 THEN 100 * s + t ELSE -1 END WHEN 3 THEN s WHEN 4 THEN event_id * 7 ELSE -1 END AS number FROM x")
+def _(spark, sf):
+    pick = lambda words, i: F.element_at(F.array(*map(F.lit, words)), i.cast("int") + 1)
+    x = ad.table(spark, sf, "events").withColumn("small", pick(lx.SMALL_NUMBERS, F.col("event_id") % 20)).withColumn("tens", pick(lx.TENS, F.col("event_id") % 8))
+    x = x.withColumn("said", F.expr(WORDS_SAID.replace("(event_id * 7)::VARCHAR", "CAST(event_id * 7 AS STRING)")))
+    return x.select("event_id", "said", F.coalesce(lx.spoken_number(F.split("said", " ")), F.lit(-1)).alias("number"))
+
+
 @query("txt03_rule_table", f"WITH {LEXSQL}, d AS (SELECT class, max(weight) AS weight, list(DISTINCT term) AS terms FROM lex GROUP BY 1), o AS (SELECT 'w' || n_regionkey AS class, max(n_nationkey)::DOUBLE AS weight, list(DISTINCT n_name) AS terms FROM nation GROUP BY 1 UNION ALL SELECT 'table', 9.0, ['of', 'dice']) SELECT class, coalesce(o.weight, d.weight) AS weight, array_to_string(list_sort(list_distinct(coalesce(d.terms, []) || coalesce(o.terms, []))), ',') AS terms FROM d FULL JOIN o USING (class)")
 def _(spark, sf):
     d = _lex(spark).groupBy("class").agg(F.max("weight").alias("weight"), F.collect_set("term").alias("terms"))
@@ -187,7 +198,7 @@ def _(spark, sf):
     return lx.lexicon_issues(ad.table(spark, sf, "part").selectExpr("p_type AS class", "p_name AS term", "CAST(p_size - 5 AS DOUBLE) AS weight", "CASE WHEN p_partkey % 3 = 0 THEN 'in' WHEN p_partkey % 3 = 1 THEN 'out' ELSE '?' END AS polarity"))
 
 
-MARK = f"{U}, {LEXSQL}, tk AS (SELECT utt_id AS id, {TOK('text')} AS t FROM utterances), g AS (SELECT id, n, unnest(range(0, len(t) - n + 1)) AS pos, t FROM tk, (SELECT unnest([1, 2, 3]) AS n) WHERE len(t) >= n), marks AS (SELECT DISTINCT id, class, polarity, weight, term, pos FROM g JOIN lex ON array_to_string({TOK('term')}, ' ') = array_to_string(t[pos + 1:pos + n], ' '))"
+MARK = f"{U}, {LEXSQL}, tk AS (SELECT utt_id AS id, text, {TOK('text')} AS t FROM utterances), g AS (SELECT id, n, unnest(range(0, len(t) - n + 1)) AS pos, t, text FROM tk, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE len(t) >= n), marks AS (SELECT DISTINCT id, class, polarity, weight, term, pos FROM g JOIN lex ON array_to_string({TOK('term')}, ' ') = array_to_string(t[pos + 1:pos + n], ' ') AND (class <> 'vocative' OR regexp_matches(text, '(?i)(?:^|[,!?;])\\s*' || term || '\\s*[,!?:]')))"
 
 
 @query("txt05_phrase_markers", f"WITH {MARK} SELECT * FROM marks")
@@ -213,7 +224,12 @@ def _(spark, sf):
     return lx.polarity_scores(_texts(spark, sf), lx.phrase_markers(_texts(spark, sf), _lex(spark)))
 
 
-@query("txt09_quoted_spans")
+QUOTED = f"""{U}, qw AS MATERIALIZED (SELECT session_id, utt_id, i - 1 AS pos, CASE WHEN (i - 1) % 5 = 1 THEN '"' || l[i] WHEN (i - 1) % 5 = 3 THEN l[i] || '"' ELSE l[i] END AS t FROM (SELECT session_id, utt_id, string_split(text, ' ') AS l, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i FROM utterances)),
+st AS (SELECT session_id, utt_id, 0::BIGINT AS k, -1::BIGINT AS open, -1::BIGINT AS first FROM (SELECT DISTINCT session_id, utt_id FROM qw) UNION ALL
+  SELECT session_id, utt_id, k + 1, CASE WHEN shut THEN -1 ELSE at_ END, CASE WHEN shut THEN at_ ELSE -1 END FROM (SELECT *, at_ >= 0 AND regexp_matches(regexp_replace(t, '[.,!?;:]+$', ''), '.["”]$') AS shut FROM (SELECT s.session_id, s.utt_id, s.k, w.t, CASE WHEN s.open >= 0 THEN s.open WHEN t[1] IN ('"', '“') THEN w.pos ELSE -1 END AS at_ FROM st s JOIN qw w ON w.session_id = s.session_id AND w.utt_id = s.utt_id AND w.pos = s.k)))"""
+
+
+@query("txt09_quoted_spans", f"WITH RECURSIVE {QUOTED} SELECT session_id, utt_id, first, k - 1 AS last FROM st WHERE first >= 0")
 def _(spark, sf):
     w = ad.utterances(spark, sf).select("session_id", "utt_id", F.transform(F.split("text", " "), lambda x, i: F.when(i % 5 == 1, F.concat(F.lit('"'), x)).when(i % 5 == 3, F.concat(x, F.lit('"'))).otherwise(x)).alias("w"))
     return w.select("session_id", "utt_id", F.explode(lx.quoted_spans(F.col("w"))).alias("s")).select("session_id", "utt_id", "s.first", "s.last")

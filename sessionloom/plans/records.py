@@ -99,16 +99,18 @@ def _(spark, sf):
     return al.align(_candidates(spark, sf))
 
 
-PTS = f"{R}, pts AS (SELECT session_id, seq, t_s + CASE WHEN roll_id % 23 = 0 THEN 90 ELSE 0 END AS t_s FROM rolls WHERE roll_id % 5 = 0), o AS (SELECT *, round(abs(t_s - (lag(t_s) OVER w + (lead(t_s) OVER w - lag(t_s) OVER w) * (seq - lag(seq) OVER w) / (lead(seq) OVER w - lag(seq) OVER w))), 6) AS off FROM pts WINDOW w AS (PARTITION BY session_id ORDER BY seq)), cut AS (SELECT session_id, greatest(20.0, coalesce(quantile_cont(off, 0.5), 20.0)) AS c FROM o GROUP BY 1), fit AS (SELECT o.session_id, seq, t_s FROM o JOIN cut USING (session_id) WHERE off IS NULL OR off <= c)"
+_PTS = "{R}, pts AS (SELECT session_id, seq, t_s + CASE WHEN roll_id % 23 = 0 THEN 90 ELSE 0 END AS t_s FROM rolls{ONLY}), o AS (SELECT *, round(abs(t_s - (lag(t_s) OVER w + (lead(t_s) OVER w - lag(t_s) OVER w) * (seq - lag(seq) OVER w) / (lead(seq) OVER w - lag(seq) OVER w))), 6) AS off FROM pts WINDOW w AS (PARTITION BY session_id ORDER BY seq)), cut AS (SELECT session_id, greatest(20.0, coalesce(quantile_cont(off, 0.5), 20.0)) AS c FROM o GROUP BY 1), fit AS (SELECT o.session_id, seq, t_s FROM o JOIN cut USING (session_id) WHERE off IS NULL OR off <= c)"
+PTS, PTS_ALL = _PTS.replace("{R}", R).replace("{ONLY}", " WHERE roll_id % 5 = 0"), _PTS.replace("{R}", R).replace("{ONLY}", "")
 
 
-def _points(spark, sf):
-    return al.robust_fit(ad.rolls(spark, sf).where("roll_id % 5 = 0").selectExpr("session_id", "seq", "t_s + CASE WHEN roll_id % 23 = 0 THEN 90 ELSE 0 END AS t_s"))
+def _points(spark, sf, only="roll_id % 5 = 0"):
+    """Points of one roll in five, so that the others are projected."""
+    return al.robust_fit(ad.rolls(spark, sf).where(only).selectExpr("session_id", "seq", "t_s + CASE WHEN roll_id % 23 = 0 THEN 90 ELSE 0 END AS t_s"))
 
 
-@query("al08_robust_fit", f"WITH {PTS} SELECT * FROM fit")
+@query("al08_robust_fit", f"WITH {PTS_ALL} SELECT * FROM fit")
 def _(spark, sf):
-    return _points(spark, sf)
+    return _points(spark, sf, "true")
 
 
 PROJ = f"""{PTS}, ax AS (SELECT r.session_id, r.seq, r.roll_id, r.t_s + 2 AS expected_s, f.t_s AS pt FROM rolls r LEFT JOIN fit f USING (session_id, seq)), ab AS (SELECT *, last_value(CASE WHEN pt IS NOT NULL THEN seq END IGNORE NULLS) OVER p AS aq, last_value(pt IGNORE NULLS) OVER p AS at_, first_value(CASE WHEN pt IS NOT NULL THEN seq END IGNORE NULLS) OVER n AS bq, first_value(pt IGNORE NULLS) OVER n AS bt FROM ax WINDOW p AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),

@@ -60,9 +60,9 @@ def _(spark, sf):
 FILES = "CASE event_id % 4 WHEN 0 THEN 'b-chat-capture.json' WHEN 1 THEN 'a.json' WHEN 2 THEN 'c.HTML' ELSE 'd.txt' END"
 
 
-@query("src04_preferred_capture", f"WITH f AS (SELECT user_id AS session_id, {FILES} AS path, event_id FROM events WHERE event_id % 7 <> user_id % 3), r AS (SELECT session_id, path, row_number() OVER (PARTITION BY session_id ORDER BY CASE WHEN path LIKE '%chat-capture.json' THEN 0 WHEN path LIKE '%.json' THEN 1 WHEN lower(path) LIKE '%.html' THEN 2 ELSE 3 END, path) AS r FROM f) SELECT session_id, path FROM r WHERE r = 1")
+@query("src04_preferred_capture", f"WITH f AS (SELECT user_id AS session_id, {FILES} AS path, event_id FROM events), r AS (SELECT session_id, path, row_number() OVER (PARTITION BY session_id ORDER BY CASE WHEN path LIKE '%chat-capture.json' THEN 0 WHEN path LIKE '%.json' THEN 1 WHEN lower(path) LIKE '%.html' THEN 2 ELSE 3 END, path) AS r FROM f) SELECT session_id, path FROM r WHERE r = 1")
 def _(spark, sf):
-    return cp.preferred_capture(_events(spark, sf).where("event_id % 7 <> user_id % 3").selectExpr("user_id AS session_id", f"{FILES} AS path"))
+    return cp.preferred_capture(_events(spark, sf).selectExpr("user_id AS session_id", f"{FILES} AS path"))
 
 
 @query("src05_capture_mode", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'archive' WHEN event_id % 2 = 0 THEN 'live' ELSE 'post_hoc' END AS mode FROM events")
@@ -146,7 +146,9 @@ def _(spark, sf):
     return _events(spark, sf).select("event_id", F.coalesce(cp.target_of(F.when(e == 0, "orc"), F.when(e == 1, '<b data-target="elf">'), F.when(e == 2, "Target: ogre king")), F.lit("")).alias("target"))
 
 
-query("src17_name_mentions")(lambda spark, sf: ad.utterances(spark, sf).select("utt_id", F.array_join(cp.name_mentions(F.col("text"), F.col("player_id")), ",").alias("names")))
+NAMED = f"""WITH {ad.UTTERANCES}, f AS (SELECT utt_id, list_filter(list_transform(regexp_extract_all(text, '\\b([A-Z][a-z]+(?: [A-Z][a-z]+)+)\\b', 1) || regexp_extract_all(text, '\\b(?:the|The|a|an) ([A-Z][a-z]+)\\b', 1), lambda x: regexp_replace(x, '^(The|An?) ', '')), lambda x: NOT list_contains({cp.GENERIC_NAMES}, lower(x)) AND lower(x) <> lower(player_id)) AS names FROM utterances)
+SELECT utt_id, array_to_string(list_filter(names, lambda x, i: list_position(list_transform(names, lambda y: lower(y)), lower(x)) = i), ',') AS names FROM f"""
+query("src17_name_mentions", NAMED)(lambda spark, sf: ad.utterances(spark, sf).select("utt_id", F.array_join(cp.name_mentions(F.col("text"), F.col("player_id")), ",").alias("names")))
 
 
 @query("src19_parser_metrics", "SELECT user_id AS session_id, count(*) FILTER (event_type <> 'error') AS parsed, count(*) FILTER (event_type = 'error') AS unrecognised, count(*) FILTER (event_type = 'click') AS rolls, count(*) FILTER (event_type = 'signup') AS turnorder FROM events GROUP BY 1")
@@ -183,7 +185,11 @@ def _(spark, sf):
     return ad.table(spark, sf, "orders").select("o_orderkey", cp.track_name(f).alias("t")).select("o_orderkey", F.coalesce("t.index", F.lit(-1)).alias("index"), "t.name", F.coalesce("t.discriminator", F.lit("")).alias("discriminator"))
 
 
-query("src23_track_ids")(lambda spark, sf: cp.track_ids(ad.table(spark, sf, "orders").selectExpr("o_custkey AS session_id", "CAST(o_orderkey AS STRING) AS file", "CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderkey % 5 + 1 AS INT) END AS index")))
+NUMBERED = """WITH x AS (SELECT o_custkey AS session_id, o_orderkey::VARCHAR AS file, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 5 + 1 END AS index FROM orders), o AS (SELECT *, index IS NOT NULL AND row_number() OVER (PARTITION BY session_id, index ORDER BY file) = 1 AS own FROM x),
+rest AS (SELECT session_id, file, row_number() OVER (PARTITION BY session_id ORDER BY index NULLS LAST, file) AS k FROM o WHERE NOT own), room AS (SELECT session_id, unnest(range(1, count(*) + 1)) AS track_no FROM x GROUP BY 1),
+free AS (SELECT session_id, track_no, row_number() OVER (PARTITION BY session_id ORDER BY track_no) AS k FROM room r WHERE NOT EXISTS (SELECT 1 FROM o WHERE own AND o.session_id = r.session_id AND o.index = r.track_no))
+SELECT session_id, file, index AS track_no FROM o WHERE own UNION ALL SELECT session_id, file, track_no FROM rest JOIN free USING (session_id, k)"""
+query("src23_track_ids", NUMBERED)(lambda spark, sf: cp.track_ids(ad.table(spark, sf, "orders").selectExpr("o_custkey AS session_id", "CAST(o_orderkey AS STRING) AS file", "CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderkey % 5 + 1 AS INT) END AS index")))
 
 
 def _round_trip(df, how):

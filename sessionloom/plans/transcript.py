@@ -93,12 +93,16 @@ def _(spark, sf):
     return tr.bleed_edges(ad.two_tracks(spark, sf)).select("session_id", "a_utt_id", "b_utt_id")
 
 
-@query("tr10_bleed_components")
+GROUPS = f"""{EDGES}, both_ways AS MATERIALIZED (SELECT session_id, a_utt_id AS a, b_utt_id AS b FROM edges UNION SELECT session_id, b_utt_id, a_utt_id FROM edges),
+reached AS (SELECT session_id, a AS u, a AS v FROM both_ways UNION SELECT r.session_id, r.u, e.b FROM reached r JOIN both_ways e ON e.session_id = r.session_id AND e.a = r.v), comp AS (SELECT session_id, u AS utt_id, min(v) AS component FROM reached GROUP BY 1, 2)"""
+
+
+@query("tr10_bleed_components", f"WITH RECURSIVE {GROUPS} SELECT * FROM comp")
 def _(spark, sf):
     return tr.bleed_components(tr.bleed_edges(ad.two_tracks(spark, sf)))
 
 
-@query("tr11_bleed_primary")
+@query("tr11_bleed_primary", f"WITH RECURSIVE {GROUPS}, r AS (SELECT session_id, utt_id, component, first_value(utt_id) OVER (PARTITION BY session_id, component ORDER BY round(energy, 12) DESC, track_id, source_index) AS f FROM two_tracks JOIN comp USING (session_id, utt_id)) SELECT session_id, utt_id, component, CASE WHEN f <> utt_id THEN f END AS bleed_of FROM r")
 def _(spark, sf):
     two = ad.two_tracks(spark, sf)
     return tr.bleed_primary(two, tr.bleed_components(tr.bleed_edges(two)))

@@ -157,7 +157,7 @@ def parser_metrics(messages: DataFrame) -> DataFrame:
 def roll_records(rolls: DataFrame, players: DataFrame) -> DataFrame:
     """Rolls numbered r0001… in order, with the account's player. (SRC-20)"""
     w = W.partitionBy("session_id").orderBy("ord")
-    return rolls.join(F.broadcast(players), "account", "left").withColumn("roll_no", F.format_string("r%04d", F.row_number().over(w)))
+    return rolls.join(players, "account", "left").withColumn("roll_no", F.format_string("r%04d", F.row_number().over(w)))
 
 
 def recording_info(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

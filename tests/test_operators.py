@@ -132,9 +132,38 @@ def test_mapping_decided_twice_fails(spark):
         idn.apply_mappings(p, spark.createDataFrame([("n", "p1"), ("n", "p1")], "name string, player_id string")).collect()
 
 
-def test_spoken_numbers():
+def test_suggestions_equal_all_pairs(spark):
+    """Names that share a part are all that are similar enough."""
+    rnd = random.Random(8)
+    base = ["".join(rnd.choice("abcdeilnorst ") for _ in range(rnd.randint(1, 12))) for _ in range(60)]
+    noisy = ["".join(rnd.choice("abcxyz") if rnd.random() < 0.35 else c for c in n) for n in base] + ["ab", "x", "zz top", ""]
+    players = spark.createDataFrame([(f"p{i}", n, None, None) for i, n in enumerate(base)], "player_id string, display_name string, username string, account string")
+    observed = spark.createDataFrame([(n,) for n in noisy], "name string")
+    got = {(r.name, r.player_id): r.score for r in idn.suggestions(observed, players, k=1000).collect()}
+    pairs = observed.distinct().crossJoin(players).select("name", "player_id", F.round(name_similarity(normalised_name(F.col("name")), normalised_name(F.col("display_name"))), 4).alias("score")).where("score >= 0.4")
+    assert got == {(r.name, r.player_id): r.score for r in pairs.collect()} and len(got) > 90
+
+
+def test_ranks_sums_and_blocks(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), (F.col("id") % 3).alias("n"))
+    rows = sorted(iv.in_order(df, ["v"], {"upto": "n"}).collect())
+    assert [r["rank"] for r in rows] == list(range(1, 1001)) and [r.upto for r in rows] == list(np.cumsum([r.n for r in rows]))
+    assert iv.in_order(df.where("v < 0"), ["v"]).count() == 0
+    assert iv.in_blocks(spark.range(7).withColumnRenamed("id", "a"), spark.range(50), "id", size=9).distinct().count() == 350
+
+
+def test_vocatives_and_long_terms(spark):
+    texts = spark.createDataFrame([(1, "Aveline, take the bridge."), (2, "Aveline is a brave ranger."), (3, "so, aveline! one two three four five")], "id long, text string")
+    lexicon = spark.createDataFrame([("vocative", "in", 1.0, "Aveline"), ("x", "out", 1.0, "two three four five"), ("y", "in", 1.0, " ")], "class string, polarity string, weight double, term string")
+    assert sorted((r.id, r["class"], r.pos) for r in lx.phrase_markers(texts, lexicon).collect()) == [(1, "vocative", 0), (3, "vocative", 1), (3, "x", 3)]
+
+
+def test_spoken_numbers(spark):
     assert lx.normalise("I'll roll nineteen — doesn't that hit?") == "i will roll 19 does not that hit"
-    assert lx.normalise("twenty one") == "21" and lx.spoken_number(["two", "hundred"]) == 200 and lx.spoken_number(["and"]) is None
+    assert lx.normalise("twenty one") == "21"
+    said = {"two hundred": 200, "and": None, "one twenty": 21, "five six": 11, "and five": 5, "five and": 5, "hundred": None, "zero hundred": None, "12": 12, "12 five": None, "two hundred and thirty one": 231, "dragon": None, "": None, "９": None}
+    df = spark.createDataFrame([(k,) for k in said], "t string").select("t", lx.spoken_number(F.split("t", " ")).alias("n"))
+    assert {r.t: r.n for r in df.collect()} == said and {k: lx.number_said(k.split()) for k in said} == said
 
 
 def test_quoted_spans(spark):

@@ -8,7 +8,7 @@ import pytest
 
 from sessionloom.plans import ORACLE_SQL, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
