@@ -17,9 +17,12 @@ are never expanded into all their pairs:
    rounds, with verification and components in between. A sketch of one bit a
    place, which the bucket's rows carry, drops most unlike pairs beforehand.
 2. A bucket that lies in one component is done. Elsewhere the members outside
-   the bucket's largest component meet the others, in tiles of bounded size:
-   where signatures agree enough and no link joins the two components yet, the
-   texts are compared. A tile gives back only links that join components.
+   the bucket's largest component meet the others, in tiles of bounded size.
+   First tiles of signatures tell which members have a partner in another
+   component whose signature agrees enough; then those members alone meet
+   again with their texts, which are compared unless a link joins the two
+   components already. A tile gives back members or links that join
+   components, never all its pairs.
 
 So each pair that shares a bucket and could still join two components is
 looked at, and no other. A link is missed only if its texts share no bucket or
@@ -38,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import materialise
+from .common import discard, materialise
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -49,7 +52,7 @@ LEAST_AGREEMENT = 0.64
 #: Bits in which two sketches may differ: at the threshold 12.5 of 125 are expected, with a standard deviation of 3.4.
 MOST_BITS = 30
 #: Members of a tile, of either side.
-TILE = 512
+TILE = 256
 
 _WORD = re.compile(r"\w+")
 _GOLD, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -66,7 +69,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingles:
     """Hashes of a text's shingles; keeps the hashes of words, up to a limit."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000):
         self.limit, self.words = limit, {}
 
     def of(self, words: list[str]) -> np.ndarray:
@@ -177,7 +180,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
         def distinct(v, text):
             if v not in known:
-                if len(known) > 1000:
+                if len(known) > 500:
                     known.clear()
                 known[v] = np.unique(shingles.of(words_of(text)))
             return known[v]
@@ -205,14 +208,53 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "dst").join(two, "src").where(agree >= least * M).select("src", "dst")
 
 
+_TILE_COLUMNS = ["b", "k", "v", "component", "main", "outside", "i", "j"]
+
+
+class _Tile:
+    """Members of a bucket, some outside its largest component on the left, some of all on the right."""
+
+    def __init__(self, table: pa.Table, least: float):
+        self.outside = table.column("outside").to_numpy()
+        self.v, self.c, self.main = (table.column(x).to_numpy() for x in ("v", "component", "main"))
+        self.sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, M)
+        self.band, self.least = table.column("k")[0].as_py(), least
+        self.right = np.flatnonzero(~self.outside)
+
+    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each row of the left with those of the right that agree enough, the best first; a pair is given in its first common band only."""
+        right = self.right
+        sig, v, c = self.sig[right], self.v[right], self.c[right]
+        for i in np.flatnonzero(self.outside):
+            same = sig == self.sig[i]
+            agree = same.sum(axis=1)
+            # two outsiders meet in two tiles; one of them is enough
+            hit = np.flatnonzero((agree >= self.least * M) & (c != self.c[i]) & ((c == self.main[i]) | (v > self.v[i])))
+            if len(hit):
+                hit = hit[same[hit].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == self.band]
+                if len(hit):
+                    yield i, right[hit[np.argsort(-agree[hit], kind="stable")]]
+
+
+def _tile_needs(least: float):
+    """The rows of a tile that have a candidate in it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        needed = np.zeros(table.num_rows, dtype=bool)
+        for i, partners in _Tile(table, least).candidates():
+            needed[i] = True
+            needed[partners] = True
+        return table.select(_TILE_COLUMNS).filter(pa.array(needed))
+
+    return run
+
+
 def _tile_links(least: float, threshold: float):
-    """Links between components within one tile; each pair is looked at in its first common band only."""
+    """Links between components within one tile."""
 
     def run(table: pa.Table) -> pa.Table:
-        outside = np.asarray(table.column("outside").to_pylist(), dtype=bool)
-        v, c, main = (table.column(x).to_numpy() for x in ("v", "component", "main"))
-        sig = np.array(table.column("sig").to_pylist(), dtype=np.int32).reshape(-1, M)
-        band, texts, shingles, sets, links = table.column("k")[0].as_py(), table.column("text"), Shingles(), {}, []
+        tile, texts, shingles, sets, links = _Tile(table, least), table.column("text"), Shingles(), {}, []
+        v, c = tile.v, tile.c
         parent = {x: x for x in c.tolist()}
 
         def find(x):
@@ -226,14 +268,8 @@ def _tile_links(least: float, threshold: float):
                 sets[v[i]] = np.unique(shingles.of(words_of(texts[i].as_py())))
             return sets[v[i]]
 
-        right = np.flatnonzero(~outside)
-        for i in np.flatnonzero(outside):
-            same = sig[right] == sig[i]
-            agree = same.sum(axis=1)
-            # two outsiders meet in two tiles; one of them is enough
-            hit = np.flatnonzero((agree >= least * M) & (c[right] != c[i]) & ((c[right] == main[i]) | (v[right] > v[i])))
-            hit = hit[same[hit].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
-            for j in right[hit[np.argsort(-agree[hit], kind="stable")]]:
+        for i, partners in tile.candidates():
+            for j in partners:
                 x, y = find(int(c[i])), find(int(c[j]))
                 if x != y and _similar(distinct(i), distinct(j), threshold):
                     parent[x] = y
@@ -245,11 +281,11 @@ def _tile_links(least: float, threshold: float):
 
 
 def _rest_links(buckets: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, least: float, threshold: float, tile: int) -> DataFrame:
-    """Links between members of a bucket that lie in different components.
+    """Links between members of a bucket that lie in different components, as a written table.
 
     A tile holds some of the members outside the bucket's largest component
-    and some of all members, with signatures and texts, and only gives back
-    links that join components: fewer than it has members.
+    and some of all members. Signatures are compared first, and texts go only
+    where a member has a candidate.
     """
     members = materialise(buckets.join(labels, "v", "left").select("b", "k", "v", F.coalesce("component", "v").alias("component")), "members")
     counts = members.groupBy("b", "component").count()
@@ -261,9 +297,13 @@ def _rest_links(buckets: DataFrame, labels: DataFrame, reps: DataFrame, texts: D
     cols = ["b", "k", "v", "component", "main"]
     left = rows.where("component <> main").select(*cols, F.lit(True).alias("outside"), block("is_").alias("i"), steps("js").alias("j"))
     right = rows.select(*cols, F.lit(False).alias("outside"), steps("is_").alias("i"), block("js").alias("j"))
-    own = materialise(reps.select("v", "sig").join(texts, "v"), "signed-texts")
-    tiles = left.unionByName(right).join(own, "v")
-    return tiles.groupBy("b", "i", "j").applyInArrow(_tile_links(least, threshold), "src long, dst long")
+    signed = reps.select("v", "sig")
+    needs = left.unionByName(right).join(signed, "v").groupBy("b", "i", "j").applyInArrow(_tile_needs(least), "b long, k int, v long, component long, main long, outside boolean, i int, j int")
+    needs = materialise(needs, "tile-needs")
+    links = needs.join(signed, "v").join(texts, "v").groupBy("b", "i", "j").applyInArrow(_tile_links(least, threshold), "src long, dst long")
+    links = materialise(links, "links")
+    discard(members, open_, needs)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least_agreement: float = LEAST_AGREEMENT, rounds: int = 2, tile: int = TILE) -> DataFrame:
@@ -283,6 +323,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = materialise(reps.select("v", F.posexplode("bands").alias("k", "b")), "bands")
     crowded = materialise(spread.groupBy("b").count().where("count > 1").select("b"), "crowded")
     buckets = materialise(spread.join(crowded, "b").join(reps.select("v", "bits_a", "bits_b"), "v"), "buckets")
+    discard(spread, crowded)
 
     # texts of the vertices that share a bucket; a repeated id may bring a wrong text, which its words tell
     wanted = buckets.select("v").distinct().join(reps.select("v", "vid", "first_doc"), "v")
@@ -308,13 +349,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = met.select(F.least("v", "leader.v").alias("src"), F.greatest("v", "leader.v").alias("dst")).distinct()
         pairs = materialise(_agreeing(pairs, reps, least_agreement), "pairs")
         new = materialise(_verified(pairs, texts, threshold), "links")
+        discard(leaders, pairs)
         links = new if links is None else links.unionByName(new)
         labels = connected_components(links)
-    links = links.unionByName(materialise(_rest_links(buckets, labels, reps, texts, least_agreement, threshold, tile), "links"))
+    links = links.unionByName(_rest_links(buckets, labels, reps, texts, least_agreement, threshold, tile))
+    discard(buckets, texts)
     labels = connected_components(links)
 
     vertex = materialise(reps.select("vid", "v").join(labels, "v", "left").select("vid", F.coalesce("component", "v").alias("component")), "vertex-classes")
     placed = materialise(signed.select("doc_id", "vid").groupBy("doc_id", "vid").agg(F.count("*").alias("copies")).join(vertex, "vid"), "placed")
+    discard(signed, reps, vertex)
     classes = materialise(placed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "vid")).alias("head")), "classes")
     first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("vid") == F.col("head.vid"))
     return (
