@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 from ..sources import capture as cp
 from ..streaming import live
 from . import adapters as ad
@@ -31,8 +31,13 @@ def _captures(spark, sf):
     item = F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("bare "), "event_id")).otherwise(
         F.to_json(F.struct(F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("m"), "event_id")).alias("id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, F.col("user_id")).alias("t_wall_ms"), F.when(F.col("event_id") % 2 == 1, F.col("user_id")).alias("t_wallclock"), F.col("event_type").alias("who"), F.when(F.col("event_id") % 3 == 0, F.lit("x")).alias("playerId"), F.concat(F.lit("/r 2d6+"), F.col("event_id") % 4).alias("text"), F.when(F.col("event_id") % 4 == 0, F.struct(F.lit("1d20").alias("formula"), (F.col("event_id") % 20).alias("total"))).alias("roll")))
     )
-    rows = _events(spark, sf).select(F.col("user_id").alias("session_id"), F.struct("event_id", item.alias("i")).alias("i"))
-    return rows.groupBy("session_id").agg(F.to_json(F.struct(F.lit("live").alias("mode"), F.transform(F.array_sort(F.collect_list("i")), lambda x: x.i).alias("messages"))).alias("raw"))
+    order = F.to_json(F.struct(F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("m"), F.col("event_id") % 70)).alias("id"), F.col("event_id").alias("seq"), F.array(F.struct(F.lit("orc").alias("name"), (F.col("event_id") % 20).alias("value"))).alias("entries")))
+    rows = _events(spark, sf).select(F.col("user_id").alias("session_id"), F.struct("event_id", item.alias("i")).alias("i"), F.when(F.col("event_type") == "signup", F.struct("event_id", order.alias("i"))).alias("o"))
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x.i)
+    raw = F.to_json(F.struct(F.lit("live").alias("mode"), listed("i").alias("messages"), listed("o").alias("turnorder_events")))
+    # a third are arrays of messages, another third are JSON strings
+    messages = F.get_json_object(raw, "$.messages")
+    return rows.groupBy("session_id").agg(F.when(F.col("session_id") % 3 == 0, messages).when(F.col("session_id") % 3 == 1, F.to_json(F.array(raw)).substr(F.lit(2), F.length(F.to_json(F.array(raw))) - 2)).otherwise(raw).alias("raw"))
 
 
 M = "m AS (SELECT user_id AS session_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS source_index, event_id % 11 = 0 AS bare, event_type FROM events)"
@@ -44,16 +49,28 @@ def _(spark, sf):
     return m.select("session_id", "source_index", "id", "t_wall_ms", "who", "player_id", "text", "total").na.fill("", ["id", "who", "player_id"]).na.fill(-1, ["t_wall_ms", "total"])
 
 
-@query("src02_html_messages", "WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages WHERE html IS NOT NULL) SELECT page_id AS session_id, k AS source_index, 'a' || k AS id, trim(replace(replace(replace(replace(replace(replace(regexp_replace(t || ' ' || k, '\\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')) AS text FROM p, (SELECT unnest([0, 1]) AS k)")
+@query("src01_turnorder_events", "WITH o AS (SELECT user_id AS session_id, event_id AS seq, event_id % 20 AS value, CASE WHEN event_id % 3 <> 0 THEN 'm' || event_id % 70 END AS id, (SELECT count(*) FROM events x WHERE x.user_id = e.user_id) + row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS source_index FROM events e WHERE event_type = 'signup' AND user_id % 3 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY session_id, id ORDER BY seq) AS r FROM o) SELECT session_id, source_index, id, seq, 'orc ' || value AS entry FROM r WHERE id IS NULL OR r = 1")
 def _(spark, sf):
+    e = cp.turnorder_events(_captures(spark, sf))
+    return e.select("session_id", "source_index", "id", "seq", F.concat(F.get("entries", F.lit(0))["name"], F.lit(" "), F.get("entries", F.lit(0))["value"].cast("int")).alias("entry"))
+
+
+PAGE_TEXT = "trim(replace(replace(replace(replace(replace(replace(regexp_replace(t || ' ' || k, '\\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'))"
+
+
+@query("src02_html_messages", f"WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages WHERE html IS NOT NULL) SELECT page_id AS session_id, k AS source_index, 'a' || k AS id, CASE k WHEN 0 THEN 'Bob' ELSE '' END AS who, CASE k WHEN 0 THEN 'general' ELSE '' END AS source_kind, {PAGE_TEXT} AS text FROM p, (SELECT unnest([0, 1]) AS k)")
+def _(spark, sf):
+    """A message with inner elements, and one of another element and order of attributes; what is outside the chat doesn't count."""
+    ship_package(spark)
     t = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    page = lambda k: F.concat(F.lit(f'<div class="message general" data-messageid="a{k}"><script>x()</script><b>'), t, F.lit(f"</b><br>{k}</div>"))
-    return cp.html_messages(ad.table(spark, sf, "pages").where("html IS NOT NULL").select(F.col("page_id").alias("session_id"), F.concat(F.lit("<div id=textchat>"), page(0), page(1), F.lit("</div>")).alias("raw")))
+    one = F.concat(F.lit('<div class="message general" data-messageid="a0"><div class="by">Bob:</div><script>x()</script><div><b>'), t, F.lit("</b></div><br>0</div>"))
+    two = F.concat(F.lit('<li data-messageid="a1" class="message"><i>'), t, F.lit("</i> 1</li>"))
+    return cp.html_messages(ad.table(spark, sf, "pages").where("html IS NOT NULL").select(F.col("page_id").alias("session_id"), F.concat(F.lit('<p class="message">x</p><div id=textchat>'), one, two, F.lit("</div>")).alias("raw"))).na.fill("", ["who", "source_kind"])
 
 
-@query("src03_route", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'json' ELSE 'html' END AS route FROM events")
+@query("src03_route", "SELECT event_id, CASE WHEN event_id % 6 IN (0, 3, 4) THEN 'json' ELSE 'html' END AS route FROM events")
 def _(spark, sf):
-    raw = F.expr("CASE event_id % 3 WHEN 0 THEN concat(' {\"mode\": \"live\", \"messages\": [', event_id, ']}') WHEN 1 THEN '{broken' ELSE '<div></div>' END")
+    raw = F.expr("CASE event_id % 6 WHEN 0 THEN concat(' {\"mode\": \"live\", \"messages\": [', event_id, ']}') WHEN 1 THEN '{broken' WHEN 2 THEN '<div></div>' WHEN 3 THEN concat('[', event_id, ']') WHEN 4 THEN '\"[1]\"' ELSE '{\"html\": \"<p>x</p>\"}' END")
     return _events(spark, sf).select("event_id", cp.route(raw).alias("route"))
 
 
@@ -114,8 +131,18 @@ def _(spark, sf):
 
 
 def _dice(spark, sf):
-    raw = F.array(F.struct(F.lit(None).cast("int").alias("sides"), (F.col("event_id") % 20 + 1).alias("value"), F.lit(None).cast("boolean").alias("dropped"), F.lit(None).cast("boolean").alias("used")), F.struct(F.lit(20).alias("sides"), (F.col("event_id") % 17 + 1).alias("value"), F.lit(None).cast("boolean").alias("dropped"), (F.col("event_id") % 2 == 0).alias("used")))
-    return _events(spark, sf).withColumn("dice", cp.kept_dice(raw, F.array(F.lit(20), F.lit(20))))
+    """Two captured dice: a bare number or an object, and an object under changing names."""
+    one = F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 20 + 1).cast("string")).otherwise(F.format_string('{"v": %d}', F.col("event_id") % 20 + 1))
+    two = F.when(F.col("event_id") % 4 == 0, F.format_string('{"value": %d, "sides": 20, "used": true}', F.col("event_id") % 17 + 1)).when(F.col("event_id") % 4 == 1, F.format_string('{"result": %d, "size": 20, "discarded": "true"}', F.col("event_id") % 17 + 1)).when(F.col("event_id") % 4 == 2, F.format_string('{"value": %d, "d": 20, "drop": false}', F.col("event_id") % 17 + 1)).otherwise(F.format_string('{"die": %d, "sides": 20, "kept": false}', F.col("event_id") % 17 + 1))
+    return _events(spark, sf).withColumn("dice", F.transform(cp.kept_dice(F.array(one, two, F.lit('{"label": 1}')), F.array(F.lit(20), F.lit(20))), lambda d: F.struct(d["sides"].alias("sides"), d["value"].cast("long").alias("value"), d["dropped"].alias("dropped"))))
+
+
+@query("src12_markup_dice", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '8:' || event_id % 8 || ':false,6:' || event_id % 6 || ':true' WHEN event_id % 3 = 1 THEN '20:' || event_id % 20 || ':false,4:7:false' ELSE '' END AS dice FROM events")
+def _(spark, sf):
+    e = F.col("event_id")
+    markup = F.when(e % 3 == 0, F.concat(F.lit('<i class="die d8">'), e % 8, F.lit('</i><i data-die="'), e % 6, F.lit('" class="die dropped">x</i>'))).when(e % 3 == 1, F.concat(F.lit('<span title="Rolling 1d20+1d4 = ('), e % 20, F.lit(')+(7)">9</span>'))).otherwise(F.lit("<b>4</b>"))
+    dice = F.transform(cp.markup_dice(markup, F.when(e % 3 == 0, F.array(F.lit(8), F.lit(6))).otherwise(F.array(F.lit(20), F.lit(4)))), lambda d: F.concat_ws(":", d["sides"].cast("string"), d["value"].cast("long").cast("string"), d["dropped"].cast("string")))
+    return _events(spark, sf).select("event_id", F.array_join(dice, ",").alias("dice"))
 
 
 @query("src12_dice", "SELECT event_id, '20:' || (event_id % 20 + 1) || ':false,20:' || (event_id % 17 + 1) || ':' || (event_id % 2 = 1) AS dice FROM events")
@@ -123,9 +150,9 @@ def _(spark, sf):
     return _dice(spark, sf).select("event_id", F.array_join(F.transform("dice", lambda d: F.concat_ws(":", d["sides"], d["value"], d["dropped"])), ",").alias("dice"))
 
 
-@query("src13_total", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 7 WHEN event_id % 4 = 1 THEN event_id % 90 ELSE event_id % 20 + 1 + CASE WHEN event_id % 2 = 0 THEN event_id % 17 + 1 ELSE 0 END + 3 END AS total FROM events")
+@query("src13_total", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 7 WHEN event_id % 4 = 1 THEN event_id % 90 WHEN event_id % 8 = 2 THEN event_id % 70 ELSE event_id % 20 + 1 + CASE WHEN event_id % 2 = 0 THEN event_id % 17 + 1 ELSE 0 END + 3 END AS total FROM events")
 def _(spark, sf):
-    return _dice(spark, sf).select("event_id", cp.resolved_total(F.expr("CASE WHEN event_id % 4 = 0 THEN 7L END"), F.expr("CASE WHEN event_id % 4 = 1 THEN concat('sum = ', event_id % 90) END"), F.col("dice"), F.lit(3)).alias("total"))
+    return _dice(spark, sf).select("event_id", cp.resolved_total(F.expr("CASE WHEN event_id % 4 = 0 THEN 7L END"), F.expr("CASE WHEN event_id % 4 = 1 THEN concat('sum = ', event_id % 90) WHEN event_id % 8 = 2 THEN concat('<b>= 3 + </b><strong class=x> ', event_id % 70, '</strong>') END"), F.col("dice"), F.lit(3)).cast("long").alias("total"))
 
 
 @query("src14_roll_kind", "SELECT event_id, ['death_save', 'initiative', 'save', 'check', 'damage', 'attack', 'other'][event_id % 7 + 1] AS kind FROM events")

@@ -6,6 +6,9 @@ rows, so any number of captures are read in one job.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,7 +17,10 @@ from ..functions.text import ascii_edges
 
 # The fields of a captured message under all their names.
 MESSAGE = "id string, seq bigint, t_wall_ms bigint, t_wallclock bigint, who string, player_id string, playerId string, kind string, text string, `to` string, target string, whisper_to string, outer_html string, outerHTML string, roll struct<formula:string,total:bigint,target:string>, formula string, total bigint"
-CAPTURE = "mode string, messages array<string>, turnorder_events array<struct<id:string,seq:bigint,n_entries:bigint>>"
+CAPTURE = "mode string, messages array<string>, turnorder_events array<string>"
+ORDER = "id string, seq bigint, t_wall_ms bigint, t_wallclock bigint, who string, kind string, entries array<struct<name:string,value:double>>, turnorder array<struct<name:string,value:double>>"
+#: The fields of a captured die under all their names.
+DIE = "value double, v double, result double, die double, sides int, size int, d int, dropped string, `drop` string, discarded string, used boolean, kept boolean"
 GENERIC_NAMES = ["attack", "damage", "roll", "check", "save", "total", "target", "the"]
 
 
@@ -23,39 +29,130 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
 
 
+def document(raw: Column) -> Column:
+    """A capture's own text: what a JSON string holds, else the text itself."""
+    return F.when(F.ltrim(raw).startswith('"'), F.coalesce(F.get_json_object(F.when(F.try_parse_json(raw).isNotNull(), F.trim(raw)), "$"), raw)).otherwise(raw)
+
+
+def archive_html(raw: Column) -> Column:
+    """The page of an archive: a field of a JSON object, else the document itself."""
+    doc = document(raw)
+    return F.coalesce(*[F.get_json_object(doc, f"$.{name}") for name in ("html", "archive_html", "chat_archive_html")], doc)
+
+
 def route(raw: Column) -> Column:
-    """json where the document parses as such, else html. (SRC-03)"""
-    looks = F.ltrim(raw).rlike(r"^[\[{]")
-    return F.when(looks & F.from_json(raw, CAPTURE, {"mode": "PERMISSIVE"}).isNotNull() & F.try_parse_json(raw).isNotNull(), "json").otherwise("html")
+    """json for arrays and objects, but objects with a page in them; else html, so that broken JSON is kept as text. (SRC-03)"""
+    doc = document(raw)
+    return F.when(F.ltrim(doc).rlike(r"^[\[{]") & F.try_parse_json(doc).isNotNull() & (archive_html(raw) == doc), "json").otherwise("html")
+
+
+def _items(captures: DataFrame) -> DataFrame:
+    """Captures with their mode, messages and order events as JSON texts; an array is a list of messages."""
+    doc = document(F.col("raw"))
+    parsed = F.from_json(F.when(F.ltrim(doc).startswith("["), F.concat(F.lit('{"messages":'), doc, F.lit("}"))).otherwise(doc), CAPTURE)
+    return captures.select("session_id", parsed.alias("c")).select("session_id", F.col("c.mode").alias("capture_mode"), F.coalesce("c.messages", F.array().cast("array<string>")).alias("messages"), F.coalesce("c.turnorder_events", F.array().cast("array<string>")).alias("events"))
 
 
 def json_messages(captures: DataFrame) -> DataFrame:
     """(session_id, source_index, …): messages with alias fields coalesced; bare items are their text. (SRC-01)"""
-    parsed = captures.withColumn("c", F.from_json("raw", CAPTURE))
-    rows = parsed.select("session_id", F.col("c.mode").alias("capture_mode"), F.posexplode("c.messages").alias("source_index", "item"))
+    rows = _items(captures).select("session_id", "capture_mode", F.posexplode("messages").alias("source_index", "item"))
     held = rows.withColumn("m", F.when(F.ltrim("item").startswith("{"), F.from_json("item", MESSAGE)))
     pick = lambda *names: F.coalesce(*[F.col(f"m.{n}") for n in names])
     return held.select(
         "session_id", F.col("source_index").cast("long").alias("source_index"), pick("id").alias("id"), pick("seq").alias("seq"), pick("t_wall_ms", "t_wallclock").alias("t_wall_ms"), pick("who").alias("who"), pick("player_id", "playerId").alias("player_id"),
-        pick("kind").alias("source_kind"), F.coalesce(F.col("m.text"), F.when(F.col("m").isNull(), F.col("item"))).alias("text"), pick("to", "whisper_to", "target").alias("whisper_to"), pick("outer_html", "outerHTML").alias("markup"),
+        pick("kind").alias("source_kind"), F.coalesce(F.col("m.text"), F.when(F.col("m").isNull(), F.col("item"))).alias("text"), pick("to", "whisper_to", "target").alias("whisper_to"), pick("outerHTML", "outer_html").alias("markup"),
         F.coalesce("m.roll.formula", "m.formula").alias("formula"), F.coalesce("m.roll.total", "m.total").alias("total"),
     )
 
 
-def html_messages(captures: DataFrame) -> DataFrame:
-    """(session_id, source_index, id, text): message elements of an archive page. (SRC-02)"""
-    each = F.regexp_extract_all("raw", F.lit(r'(?s)<div class="message[^"]*"([^>]*>.*?)</div>'), F.lit(1))
-    rows = captures.select("session_id", F.posexplode(each).alias("source_index", "m"))
-    return rows.select("session_id", F.col("source_index").cast("long").alias("source_index"), F.nullif(F.regexp_extract("m", r'data-messageid="([^"]*)"', 1), F.lit("")).alias("id"), markup_text(F.regexp_replace("m", r"^[^>]*>", "")).alias("text"))
+def turnorder_events(captures: DataFrame) -> DataFrame:
+    """(session_id, source_index, id, seq, t_wall_ms, who, entries) of a capture's order changes. (SRC-01)
+
+    Messages of kind turnorder or with entries come first, then the events
+    listed beside the messages whose id none of those and no earlier event has;
+    they follow the messages in place. Items that are no objects are left out.
+    """
+    items = _items(captures)
+    listed = lambda c, at: items.select("session_id", F.posexplode(c).alias("pos", "item"), F.size("messages").alias("n")).where(F.ltrim("item").startswith("{")).select("session_id", at.cast("long").alias("source_index"), F.from_json("item", ORDER).alias("e")).select(
+        "session_id", "source_index", F.col("e.id").alias("id"), F.col("e.seq").alias("seq"), F.coalesce("e.t_wall_ms", "e.t_wallclock").alias("t_wall_ms"), F.col("e.who").alias("who"), F.col("e.kind").alias("kind"), F.coalesce("e.entries", "e.turnorder").alias("entries")
+    )
+    own = listed("messages", F.col("pos")).where("kind = 'turnorder' OR entries IS NOT NULL")
+    return own.unionByName(new_turnorder(own, listed("events", F.col("n") + F.col("pos")))).drop("kind")
+
+
+def turnorder_messages(events: DataFrame) -> DataFrame:
+    """Order events as messages of their own, to be united with the others. (SRC-01)"""
+    return events.select("session_id", "source_index", "id", "seq", "t_wall_ms", "who", F.lit("turnorder").alias("source_kind"), F.lit("Turn order updated").alias("text"))
 
 
-def markup_text(markup: Column) -> Column:
-    """Text of markup: scripts dropped, breaks as white space, entities decoded, white space collapsed."""
-    bare = F.regexp_replace(markup, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"(?i)<br\s*/?>|</p>|</div>|</li>|</h[1-6]>", "\n"), r"<[^>]+>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+def html_messages(captures: DataFrame) -> DataFrame:
+    """(session_id, source_index, id, who, source_kind, text): message elements of an archive page. (SRC-02)
+
+    Elements of class ``message`` or with a message id, the outermost ones,
+    within the element ``textchat`` if there is one. A page with text but no
+    such element is one message, so that nothing is lost.
+    """
+    found = F.pandas_udf(lambda pages: pages.map(page_messages), "array<struct<id:string,who:string,source_kind:string,text:string>>")
+    rows = captures.select("session_id", F.posexplode(found(archive_html(F.col("raw")))).alias("source_index", "m"))
+    return rows.select("session_id", F.col("source_index").cast("long").alias("source_index"), "m.*")
+
+
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?>=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""")
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_KINDS = ["general", "emote", "whisper", "desc", "rollresult", "gmrollresult", "system"]
+
+
+def _elements(page: str, wanted: Callable[[dict[str, str]], bool]) -> list[tuple[dict[str, str], str]]:
+    """Attributes and inner markup of the outermost elements that are wanted; only tags of an element's own name are counted to find its end."""
+    out, name, depth, attributes, begin = [], None, 0, {}, 0
+    for m in _TAG.finditer(page):
+        tag = m[2].lower()
+        if name is None:
+            if not m[1] and tag not in _VOID:
+                attributes = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(m[3])}
+                if wanted(attributes):
+                    name, depth, begin = tag, 1, m.end()
+        elif tag == name:
+            depth += -1 if m[1] else 1
+            if not depth:
+                out.append((attributes, page[begin : m.start()]))
+                name = None
+    return out if name is None else [*out, (attributes, page[begin:])]
+
+
+def _is_message(attributes: dict[str, str]) -> bool:
+    return "message" in attributes.get("class", "").lower().split() or "data-messageid" in attributes or "data-message-id" in attributes
+
+
+def markup_text(markup: str) -> str:
+    """Text of markup: scripts dropped, tags as white space, the basic and all numeric references decoded, white space collapsed."""
+    bare = re.sub(r"(?is)<\s*(?:script|style)[^>]*>.*?<\s*/\s*(?:script|style)\s*>", " ", markup)
+    named = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
+
+    def char(m: re.Match) -> str:
+        code = int(m[2]) if m[2] else int(m[3], 16) if m[3] else None
+        return named[m[1].lower()] if m[1] else chr(code) if code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else m[0]
+
+    return " ".join(re.sub(r"(?i)&(?:(amp|lt|gt|quot|apos|nbsp)|#(\d{1,8})|#x([\da-f]{1,8}));", char, re.sub(r"<[^>]*>", " ", bare)).split())
+
+
+def page_messages(page: str | None) -> list[dict[str, str | None]]:
+    """Messages of one page in order; see ``html_messages``."""
+    if not page or not page.strip():
+        return []
+    root = _elements(page, lambda a: a.get("id", "").lower() == "textchat")
+    out = []
+    for attributes, inner in _elements(root[0][1] if root else page, _is_message):
+        by = _elements(inner, lambda a: not {"by", "speaker"}.isdisjoint(a.get("class", "").lower().split()))
+        who = (by[0][0].get("data-who") or by[0][0].get("data-speaker") or markup_text(by[0][1])).strip().rstrip(":").strip() if by else ""
+        who = who or attributes.get("data-who") or attributes.get("data-speaker")
+        text = markup_text(inner)
+        if who:
+            text = re.sub(rf"(?i)^{re.escape(who)}\s*:?\s*", "", text).strip()
+        kinds = [k for k in _KINDS if k in attributes.get("class", "").lower().split()]
+        out.append({"id": attributes.get("data-messageid") or attributes.get("data-message-id"), "who": who, "source_kind": kinds[0] if kinds else None, "text": text})
+    return out or [{"id": None, "who": None, "source_kind": None, "text": markup_text(page)}]
 
 
 def preferred_capture(files: DataFrame) -> DataFrame:
@@ -108,16 +205,42 @@ def modifier_sum(formula: Column) -> Column:
     return F.aggregate(F.regexp_extract_all(rest, F.lit(r"([+-]?\d+)"), F.lit(1)), F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
 
 
-def kept_dice(values: Column, sides: Column) -> Column:
-    """array<struct<sides,value,dropped>> of raw dice; sides are filled by position. (SRC-12)"""
-    return F.transform(values, lambda v, i: F.struct(F.coalesce(v["sides"], F.get(sides, i)).alias("sides"), v["value"].alias("value"), (F.coalesce(v["dropped"], F.lit(False)) | ~F.coalesce(v["used"], F.lit(True))).alias("dropped")))
+def kept_dice(items: Column, sides: Column) -> Column:
+    """array<struct<sides,value,dropped>> of captured dice, each a number or an object as JSON text. (SRC-12)
 
+    Alias fields are coalesced, missing sides filled by position; a die is
+    dropped if one of the drop fields is true or it isn't used or kept. Items
+    without a value are left out.
+    """
 
-def resolved_total(explicit: Column, text: Column, dice: Column, modifier: Column) -> Column:
-    """The explicit total, ``= N`` in the text, else kept dice and modifier; null without dice. (SRC-13)"""
-    said = F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), r"=\s*(-?\d+)", 1), F.lit("")).cast("long")
-    kept = F.aggregate(F.filter(dice, lambda d: ~d["dropped"]), F.lit(0).cast("long"), lambda s, d: s + d["value"])
-    return F.coalesce(explicit, said, F.when(F.size(dice) > 0, kept + modifier))
+    def one(x, i):
+        e = F.from_json(F.when(F.ltrim(x).startswith("{"), x), DIE)
+        flag = F.coalesce(e["dropped"], e["drop"], e["discarded"])
+        value = F.coalesce(F.when(x.rlike(r'^"?-?\d+(\.\d+)?"?$'), F.replace(x, F.lit('"'), F.lit("")).try_cast("double")), e["value"], e["v"], e["result"], e["die"])
+        dropped = F.coalesce(flag.isin("true", "1"), F.lit(False)) | ~F.coalesce(e["used"], F.lit(True)) | ~F.coalesce(e["kept"], F.lit(True))
+        return F.struct(F.coalesce(e["sides"], e["size"], e["d"], F.get(sides, i)).alias("sides"), value.alias("value"), dropped.alias("dropped"))
+
+    return F.filter(F.transform(items, one), lambda d: d["value"].isNotNull())
+
+
+def markup_dice(markup: Column, sides: Column) -> Column:
+    """Dice of a message's markup: its die elements, else the numbers in brackets of its titles. (SRC-12)"""
+    number = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r'data-(?:die|value|result)\s*=\s*"(-?\d+(?:\.\d+)?)"', 1), F.lit("")), F.nullif(F.regexp_extract(x, r">\D*?(-?\d+(?:\.\d+)?)", 1), F.lit(""))).try_cast("double")
+    own = lambda x: F.nullif(F.coalesce(F.nullif(F.regexp_extract(x, r'data-(?:sides|size)\s*=\s*"(\d+)"', 1), F.lit("")), F.regexp_extract(x, r'class\s*=\s*"(?:[^"]*\s)?d(\d+)[\s"]', 1)), F.lit("")).try_cast("int")
+    elements = F.regexp_extract_all(markup, F.lit(r'(?i)(<[^>]*(?:class\s*=\s*"(?:[^"]*\s)?(?:die|diceroll|basicdiceroll)[\s"]|data-die\s*=)[^>]*>[^<]*)'), F.lit(1))
+    dice = F.filter(F.transform(elements, lambda x, i: F.struct(F.coalesce(own(x), F.get(sides, i)).alias("sides"), number(x).alias("value"), x.rlike(r'(?i)(?:class|data-dropped)\s*=\s*"[^"]*(?:drop|discarded)').alias("dropped"))), lambda d: d["value"].isNotNull())
+    titles = F.regexp_extract_all(markup, F.lit(r'(?i)(?:title|aria-label)\s*=\s*"([^"]*)"'), F.lit(1))
+    groups = F.flatten(F.transform(titles, lambda t: F.regexp_extract_all(t, F.lit(r"\(([-+\d.,\s]+)\)"), F.lit(1))))
+    numbers = F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1))))
+    titled = F.transform(numbers, lambda x, i: F.struct(F.get(sides, i).alias("sides"), x.try_cast("double").alias("value"), F.lit(False).alias("dropped")))
+    return F.when(F.size(dice) > 0, dice).otherwise(titled)
+
+
+def resolved_total(explicit: Column, markup: Column, dice: Column, modifier: Column) -> Column:
+    """The explicit total, a number in a strong tag, ``= N``, else kept dice and modifier; null without dice. (SRC-13)"""
+    found = lambda p: F.nullif(F.regexp_extract(F.coalesce(markup, F.lit("")), p, 1), F.lit("")).try_cast("double")
+    kept = F.aggregate(F.filter(dice, lambda d: ~d["dropped"]), F.lit(0.0), lambda s, d: s + d["value"])
+    return F.coalesce(explicit.cast("double"), found(r"(?i)<strong[^>]*>\s*(-?\d+(?:\.\d+)?)\s*</strong>"), found(r"=\s*(-?\d+(?:\.\d+)?)\s*(?:<|$)"), F.when(F.size(dice) > 0, kept + modifier))
 
 
 def roll_kind(text: Column) -> Column:

@@ -166,6 +166,23 @@ def test_spoken_numbers(spark):
     assert {r.t: r.n for r in df.collect()} == said and {k: lx.number_said(k.split()) for k in said} == said
 
 
+def test_archive_pages(spark):
+    inner = '<div class="message rollresult" data-messageid="m1"><span class="by">Bob:</span><div>Hits <b>hard</b></div><div class="message">inner</div></div>'
+    assert cp.page_messages(f"<p class='message'>no</p><div id='textchat'>{inner}<li data-message-id=m2 class='x'>emote</li></div>") == [{"id": "m1", "who": "Bob", "source_kind": "rollresult", "text": "Hits hard inner"}, {"id": "m2", "who": None, "source_kind": None, "text": "emote"}]
+    assert [m["text"] for m in cp.page_messages("just <b>text</b> &amp; more")] == ["just text & more"] and cp.page_messages(" ") == cp.page_messages(None) == []
+    assert len(cp.page_messages("<div class=message>" * 20000)) == 1
+    raws = {1: '[{"id": "a", "text": "x"}, "bare"]', 2: '"[1]"', 3: '{"html": "<div class=message>hi</div>"}', 4: "{broken", 5: '{"messages": [{"kind": "turnorder", "id": "t"}], "turnorder_events": [{"id": "t"}, {"id": "u", "entries": [{"name": "a", "value": 1.5}]}, {"id": "u"}, {}]}'}
+    df = spark.createDataFrame(list(raws.items()), "session_id long, raw string")
+    routes = {r.session_id: r.r for r in df.select("session_id", cp.route(F.col("raw")).alias("r")).collect()}
+    assert routes == {1: "json", 2: "json", 3: "html", 4: "html", 5: "json"}
+    json_ = df.where("session_id IN (1, 2, 5)")
+    assert sorted((r.session_id, r.source_index, r.id, r.text) for r in cp.json_messages(json_).collect()) == [(1, 0, "a", "x"), (1, 1, None, "bare"), (2, 0, None, "1"), (5, 0, "t", None)]
+    assert [r.text for r in cp.html_messages(df.where("session_id IN (3, 4)")).orderBy("session_id").collect()] == ["hi", "{broken"]
+    events = cp.turnorder_events(json_)
+    assert sorted(((r.source_index, r.id, r.entries and r.entries[0].value) for r in events.collect()), key=str) == [(0, "t", None), (2, "u", 1.5), (4, None, None)]
+    assert {r.text for r in cp.turnorder_messages(events).collect()} == {"Turn order updated"}
+
+
 def test_quoted_spans(spark):
     words = F.array(*map(F.lit, ["He", "said", '"Halt', 'now."', "“Halt”"]))
     assert [tuple(x) for x in value(spark, lx.quoted_spans(words))] == [(2, 3), (4, 4)]
@@ -322,7 +339,7 @@ def test_ledger_upserts_are_idempotent(spark):
 
 def test_capture_formulas(spark):
     assert value(spark, cp.dice_sides(F.lit("2d6+d8"))) == [6, 6, 8] and value(spark, cp.modifier_sum(F.lit("2d6 + 3 - 1d4 - 1"))) == 2
-    assert value(spark, cp.markup_text(F.lit("<p>a &lt;b&gt;</p><script>x</script>c"))) == "a <b> c"
+    assert cp.markup_text("<p>a &lt;b&gt;</p><script>x</script>c&#33;&#x41;&bogus;") == "a <b> c!A&bogus;"
     assert value(spark, cp.name_mentions(F.lit("The Goblin met Ann Lee and the goblin, the Goblin"), F.lit("x"))) == ["Goblin", "Ann Lee"]
 
 
