@@ -198,21 +198,24 @@ def continuity(evidence_rows: DataFrame, narrator: DataFrame) -> DataFrame:
     task; rows are bounded by a session's narrator speeches and names.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(zip(pdf["start_s"], pdf["utt_id"], pdf["interrupted"], pdf["evidence"]), key=lambda r: r[:2])
         out, last, last_s = [], None, 0.0
-        for (start, utt), rows in pdf.sort_values(["start_s", "utt_id", "name"]).groupby(["start_s", "utt_id"], sort=True):
-            if bool(rows["interrupted"].iloc[0]):
+        for start, utt, interrupted, found in rows:
+            if interrupted:
                 last = None
-            total = {n: e for n, e in zip(rows["name"], rows["evidence"]) if n is not None and n == n}
+            total = {e["name"]: e["evidence"] for e in found}
             if last is not None and start - last_s <= DECAY_S:
                 total[last] = total.get(last, 0.0) + round(2.0 * (1 - (start - last_s) / DECAY_S), 6)
-            out += [(rows["session_id"].iloc[0], utt, n, float(t)) for n, t in total.items()]
+            out += [(key[0], utt, n, float(t)) for n, t in total.items()]
             if total:
                 last, last_s = min(total, key=lambda n: (-total[n], n)), start
         return pd.DataFrame(out, columns=["session_id", "utt_id", "name", "total"])
 
     summed = evidence_rows.groupBy("session_id", "utt_id", "name").agg(F.sum("evidence").alias("evidence"))
-    rows = narrator.select("session_id", "utt_id", "start_s", "interrupted").join(summed, ["session_id", "utt_id"], "left")
+    listed = summed.where("name IS NOT NULL").groupBy("session_id", "utt_id").agg(F.array_sort(F.collect_list(F.struct("name", "evidence"))).alias("evidence"))
+    rows = narrator.select("session_id", "utt_id", "start_s", "interrupted").join(listed, ["session_id", "utt_id"], "left")
+    rows = rows.withColumn("evidence", F.coalesce("evidence", F.array().cast(listed.schema["evidence"].dataType)))
     return rows.groupBy("session_id").applyInPandas(run, "session_id long, utt_id string, name string, total double")
 
 

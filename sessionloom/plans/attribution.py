@@ -226,7 +226,15 @@ def _continued(spark, sf):
     return at.continuity(rows, ad.utterances(spark, sf).withColumn("interrupted", F.col("player_id") == "user"))
 
 
-query("np08_continuity")(_continued)
+# one speech after the other, with the name that led last and when
+LED = f"""{ACT}, {RM.removeprefix(NP + ", ")}, found AS (SELECT session_id, utt_id, name, sum(evidence) AS e FROM (SELECT * FROM win UNION ALL SELECT * FROM rm) GROUP BY 1, 2, 3), listed AS (SELECT session_id, utt_id, list({{'n': name, 'e': e}} ORDER BY name) AS l FROM found GROUP BY 1, 2),
+said AS MATERIALIZED (SELECT session_id, utt_id, start_s, player_id = 'user' AS cut_in, coalesce(l, []) AS l, row_number() OVER (PARTITION BY session_id ORDER BY start_s, utt_id) AS k FROM utterances LEFT JOIN listed USING (session_id, utt_id)),
+led AS (SELECT session_id, 0::BIGINT AS k, NULL::VARCHAR AS utt_id, NULL::VARCHAR AS last, 0.0::DOUBLE AS last_s, (SELECT any_value(l) FROM said) AS total FROM (SELECT DISTINCT session_id FROM said) UNION ALL
+  SELECT session_id, k, utt_id, CASE WHEN len(total) > 0 THEN list_sort(list_transform(total, lambda x: {{'s': -x.e, 'n': x.n}}))[1].n ELSE was END, CASE WHEN len(total) > 0 THEN start_s ELSE last_s END, total
+  FROM (SELECT *, CASE WHEN bonus IS NULL THEN l WHEN list_contains(list_transform(l, lambda x: x.n), was) THEN list_transform(l, lambda x: {{'n': x.n, 'e': x.e + CASE WHEN x.n = was THEN bonus ELSE 0 END}}) ELSE list_append(l, {{'n': was, 'e': bonus}}) END AS total
+    FROM (SELECT s.session_id, s.k, s.utt_id, s.start_s, s.l, p.last_s, CASE WHEN NOT s.cut_in THEN p.last END AS was, CASE WHEN NOT s.cut_in AND p.last IS NOT NULL AND s.start_s - p.last_s <= 45 THEN round(2.0 * (1 - (s.start_s - p.last_s) / 45.0), 6) END AS bonus FROM led p JOIN said s ON s.session_id = p.session_id AND s.k = p.k + 1)))"""
+
+query("np08_continuity", f"WITH RECURSIVE {LED} SELECT session_id, utt_id, t.n AS name, round(t.e, 4) AS total FROM (SELECT session_id, utt_id, unnest(total) AS t FROM led WHERE k > 0)")(lambda spark, sf: _continued(spark, sf).withColumn("total", F.round("total", 4)))
 
 
 @query("np09_winners", f"WITH {RM}, t AS (SELECT *, row_number() OVER w AS r, coalesce(lead(evidence) OVER w, 0) AS nx FROM rm WINDOW w AS (PARTITION BY session_id, utt_id ORDER BY evidence DESC, name)) SELECT session_id, utt_id, name FROM t WHERE r = 1 AND round(evidence - nx, 6) >= 1.5 AND name <> 'npc2'")

@@ -140,7 +140,7 @@ def _(spark, sf):
     return al.alignment_quality(al.anchors(_projected(spark, sf))).na.fill(-1.0)
 
 
-query("al12_turnorder")(lambda spark, sf: al.project_turnorder(ad.rolls(spark, sf).where("kind = 'initiative'").select("session_id", "seq", "roll_id", F.array(F.struct(F.col("who").alias("name"), F.col("total").alias("value")), F.struct(F.lit(None).cast("string").alias("name"), F.col("total").alias("value"))).alias("entries")), _points(spark, sf)).select("session_id", "seq", F.size("entries").alias("n_entries"), "t_audio_s"))
+query("al12_turnorder", f"WITH {PROJ} SELECT p.session_id, p.seq, CASE WHEN r.total IS NULL THEN 0 ELSE 1 END AS n_entries, CASE WHEN anchor <> 'unanchored' THEN round(t_audio_s, 4) END AS t_audio_s FROM proj p JOIN rolls r USING (session_id, seq) WHERE r.kind = 'initiative'")(lambda spark, sf: al.project_turnorder(ad.rolls(spark, sf).where("kind = 'initiative'").select("session_id", "seq", "roll_id", F.array(F.struct(F.col("who").alias("name"), F.col("total").alias("value")), F.struct(F.lit(None).cast("string").alias("name"), F.col("total").alias("value"))).alias("entries")), _points(spark, sf)).select("session_id", "seq", F.size("entries").alias("n_entries"), F.round("t_audio_s", 4).alias("t_audio_s")))
 
 
 # Data quality.

@@ -306,7 +306,11 @@ def _(spark, sf):
     return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("day"), "n")
 
 
-query("st05_session_gaps_stream")(lambda spark, sf: live.run_to_end(live.session_runs(_stream(spark, sf), "ts", "user_id", "6 hours"), "append"))
+@query("st05_session_gaps_stream", "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS \"end\", count(*) AS n FROM r GROUP BY user_id, run HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM events)")
+def _(spark, sf):
+    """Runs that ended before the last watermark; later ones are still open."""
+    out = live.run_to_end(live.session_runs(_stream(spark, sf), "ts", "user_id", "6 hours"), "append")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
 @query("st05_stream_static_join", "SELECT event_id, coalesce(n_name, '') AS n_name FROM events LEFT JOIN nation ON user_id = n_nationkey")
