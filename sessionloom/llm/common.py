@@ -5,14 +5,15 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialise, scratch_path, shared_dir  # noqa: F401
+from ..session import discard, materialise, scratch_path  # noqa: F401
 
 
 def held_out(doc_id: Column) -> Column:
@@ -37,8 +38,15 @@ def bounded_sample(keys: DataFrame, stratum: str, key: str, bound: int) -> DataF
 
 _TOKENIZERS: dict[str, "WordIds"] = {}
 #: Words of these characters alone are cut into pre-tokens here; others go to the tokenizer whole.
-_SIMPLE = re.compile("[\\x21-\\x7e\u00df-\u00f6\u00f8-\u00ff]+")
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+_NOT_SIMPLE = "[^\\x21-\\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff ]+| ")
+#: Texts with such characters, or with the string of an added token, are encoded whole.
+_ODD = "[\\x1c-\\x1f\u0130\u03a3\u0300-\u036f]"
+#: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on.
+_SHOWN = {b: chr(b) for b in [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]}
+_SHOWN |= {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_AS_BYTES = {chr(c): "".join(_SHOWN[b] for b in chr(c).encode()) for c in [*range(0xDF, 0xF7), *range(0xF8, 0x100)]}
+_BREAK = np.uint32(2**32 - 1)
 
 
 class WordIds:
@@ -46,27 +54,30 @@ class WordIds:
 
     Such a tokenizer gives a text the ids of its words in order, so each
     distinct word of a worker is encoded once and kept, as is each distinct
-    pre-token. New pre-tokens go to the library joined by spaces; as each ends
-    in an id that carries the end-of-word mark, the ids are cut apart again.
-    Either cache is emptied at ``limit`` entries, which bounds memory.
+    pre-token. Texts are cut into words and the words numbered by Arrow; ids
+    of the numbered words are then laid out by numpy. New pre-tokens go to the
+    library joined by spaces; as each ends in an id that carries the
+    end-of-word mark, the ids are cut apart again. Either cache is emptied at
+    ``limit`` entries, which bounds memory.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        # for pre-tokens, which are lower-case words already: the same model without the steps before it
-        bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "added_tokens": []}
-        bare["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        # for pre-tokens, which are lower-case words in byte characters already: the same model without the steps before it
+        bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}
         self.bare = Tokenizer.from_str(json.dumps(bare))
         vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.size = max(vocab.values()) + 1
+        self.ends = np.zeros(self.size, dtype=bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.odd = "|".join([_ODD, *(re.escape(t.content) for t in added)])
         self.limit = limit
         self.cache: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {" ": _BREAK.tobytes()}
 
     @classmethod
     def of(cls, path: str) -> "WordIds":
@@ -77,26 +88,20 @@ class WordIds:
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
-    def _ids(self, pieces: list[str]) -> np.ndarray:
-        return np.asarray(self.bare.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    def _learn(self, words: list[str]) -> None:
-        cut, plain, known = {}, [], self.pieces
-        for w in words:
-            if not (w.isascii() and w.isprintable() or _SIMPLE.fullmatch(w)):
-                continue
-            if w.isalpha():
-                plain.append(w)
-            else:
-                cut[w] = (w[:-1], w[-1]) if w[:-1].isalpha() else _PIECES.findall(w)
-        wanted = set(plain).union(*cut.values())
+    def _learn_pieces(self, wanted: set[str]) -> None:
+        known = self.pieces
         new = list(wanted.difference(known))
         if len(known) + len(new) > self.limit:
             known.clear()
-            new = list(wanted)
-        for i in range(0, len(new), 4000):
-            some = new[i : i + 4000]
-            ids = self._ids(some)
+            known[" "] = _BREAK.tobytes()
+            new = list(wanted.difference(known))
+        for i in range(0, len(new), 8000):
+            some = new[i : i + 8000]
+            joined = " ".join(some)
+            if not joined.isascii():
+                for c, shown in _AS_BYTES.items():
+                    joined = joined.replace(c, shown)
+            ids = np.asarray(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(ends) != len(some):
                 known.update((p, self.whole(p)) for p in some)
@@ -105,62 +110,123 @@ class WordIds:
             for p, stop in zip(some, ends):
                 known[p] = data[4 * start : 4 * stop]
                 start = stop
-        for w in plain:
-            self.cache[w] = known[w]
-        for w, pieces in cut.items():
-            self.cache[w] = b"".join([known[p] for p in pieces])
-        if len(plain) + len(cut) < len(words):
-            for w in set(words).difference(cut, plain):
-                self.cache[w] = self.whole(w)
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; null counts as empty.
-
-        Texts with characters that str.split takes for white space and the
-        tokenizer doesn't, or whose lower case depends on the context, are
-        encoded whole. Texts are looked up in small groups, whose new words are
-        learned together.
-        """
-        return [x for i in range(0, len(texts), 16) for x in self._group(texts[i : i + 16])]
 
-    def _group(self, texts: list[str | None]) -> list[bytes]:
-        cache, lists = self.cache, []
-        out = [b""] * len(texts)
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text or not text.isascii() and _ODD.search(text):
-                out[i] = self.whole(text)
-                continue
-            words = text.lower().split()
-            found = list(map(cache.get, words))
-            holes = [k for k, x in enumerate(found) if x is None] if None in found else []
-            lists.append((i, words, found, holes))
-        missing = {words[k] for _, words, _, holes in lists for k in holes}
-        if len(cache) + len(missing) > self.limit:
-            cache.clear()
-        self._learn(list(missing))
-        for i, words, found, holes in lists:
-            for k in holes:
-                found[k] = cache[words[k]]
-            out[i] = b"".join(found)
-        return out
-
-
-_ODD = re.compile("[\u0130\u03a3\u0300-\u036f]")
-
-
-def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that ``decisions`` (doc_id, kept) keeps, with the columns of ``docs``.
-
-    Decisions are per row: where several rows share an id, as many of them
-    stay as are kept, taken in the order of a hash of the row. Null ids are
-    matched too.
+    def _learn(self, words: list[str]) -> None:
+        odd = pc.match_substring_regex(pa.array(words, pa.string()), _NOT_SIMPLE).to_numpy(zero_copy_only=False).tolist()
+        simple = [w for w, x in zip(words, odd) if not x]
+        if simple:
+            found = _PIECES.findall(" ".join(simple).lower())
+            self._learn_pieces(set(found))
+            data = b"".join(map(self.pieces.__getitem__, found))
+            at = np.flatnonzero(np.frombuffer(data, "<u4") == _BREAK) * 4
+            for w, a, b in zip(simple, [0, *(at + 4).tolist()], [*at.tolist(), len(data)]):
+                self.cache[w] = data[a:b]
+        if len(simple) < len(words):
+            for w, x in zip(words, odd):
+                if x:
+                    self.cache[w] = self.whole(w)
+
+    def ids_of(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): the ids of all texts in one array of 32-bit integers, and where each text begins.
+
+        Null counts as empty; ``end``, if given, follows each text. Texts with
+        characters that Arrow takes for white space and the tokenizer doesn't,
+        whose lower case depends on the context, or in which the tokenizer
+        finds added tokens are encoded whole.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        n = len(texts)
+        whole = np.flatnonzero(pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False))
+        if len(whole):
+            mask = np.zeros(n, dtype=bool)
+            mask[whole] = True
+            held = {i: self.whole(texts[i].as_py()) for i in whole.tolist()}
+            texts = pc.if_else(pa.array(mask), "", texts)
+        cut = pc.utf8_split_whitespace(texts)
+        words = cut.values.slice(cut.offsets[0].as_py(), cut.offsets[-1].as_py() - cut.offsets[0].as_py()).dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = words.indices.to_numpy()
+        first = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+
+        new = [w for w in distinct if w and w not in self.cache]
+        if len(self.cache) + len(new) > self.limit:
+            self.cache.clear()
+            new = [w for w in distinct if w]
+        self.cache[""] = b""
+        self._learn(new)
+        known = list(map(self.cache.__getitem__, distinct))
+        size = np.fromiter(map(len, known), np.int32, len(known)) >> 2
+        ids = np.frombuffer(b"".join(known), "<u4")
+        each = size[number]
+        stop = np.zeros(len(each) + 1, dtype=np.int64)
+        np.cumsum(each, out=stop[1:])
+        offsets = stop[first]
+        start = np.cumsum(size, dtype=np.int64) - size
+        at = np.repeat(start[number] - stop[:-1], each)
+        at += np.arange(len(at))
+        flat = ids[at]
+        if len(whole):
+            parts, at = [], 0
+            for i, x in held.items():
+                parts += [flat[at : offsets[i]], np.frombuffer(x, "<u4")]
+                at = offsets[i]
+            flat = np.concatenate([*parts, flat[at:]])
+            more = np.zeros(n + 1, dtype=np.int64)
+            more[whole + 1] = [len(x) // 4 for x in held.values()]
+            offsets = offsets + np.cumsum(more)
+        if end is not None:
+            offsets = offsets + np.arange(n + 1)
+            out = np.empty(offsets[-1], dtype="<u4")
+            last = np.zeros(len(out), dtype=bool)
+            last[offsets[1:] - 1] = True
+            out[last], out[~last] = end, flat
+            flat = out
+        return flat, offsets
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        ids, offsets = self.ids_of(pa.array(texts, pa.large_string()))
+        return [ids[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: int, rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut into slices of at most so many rows and, but for single rows, about so many bytes in that column."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+        start = 0
+        while start < batch.num_rows:
+            n = int(np.searchsorted(np.cumsum(lengths[start : start + rows], dtype=np.int64), size)) + 1
+            n = min(n, rows, batch.num_rows - start)
+            yield batch.slice(start, n)
+            start += n
+
+
+def without_duplicates(docs: DataFrame, classes_of: Callable[[DataFrame, str], DataFrame], id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stay when one of each class does, with the columns of ``docs``.
+
+    ``classes_of(docs, id_col)`` gives (doc_id, kept) and a class, ``keep_id``
+    or ``class_id``, of each row. Of a class the row of the least id stays,
+    null ids last. Where ids are unique, the usual case, only the ids of
+    dropped rows are joined. Where some repeat or are null, rows are written
+    with numbers of their own and classes are made of those, so that each row
+    is judged by its own text.
     """
-    kept = materialise(decisions.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_stay")), "kept")
-    several = decisions.groupBy("doc_id").count().where("count > 1")
+    several = docs.groupBy(F.col(id_col).alias("id")).count().where("count > 1 OR id IS NULL")
     if several.isEmpty():
-        return docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]), "left_semi")
-    order = W.partitionBy("_id").orderBy(F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith("map")]))
-    joined = docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]))
-    return joined.withColumn("_nth", F.row_number().over(order)).where("_nth <= _stay").select(*docs.columns)
+        gone = materialise(classes_of(docs, id_col).where("NOT kept").select(F.col("doc_id").alias(unused(docs))).distinct(), "dropped")
+        return docs.join(gone, docs[id_col] == gone[gone.columns[0]], "left_anti")
+    row = unused(docs)
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    classes = classes_of(rows.select(*docs.columns, row), row)
+    class_id = "class_id" if "class_id" in classes.columns else "keep_id"
+    classes = materialise(classes.select(F.col("doc_id").alias("_r"), F.col(class_id).alias("_c")).join(rows.select(F.col(row).alias("_r"), F.col(id_col).alias("_i")), "_r"), "row-classes")
+    first = classes.groupBy("_c").agg(F.min(F.struct(F.col("_i").isNull().alias("n"), "_i", "_r")).alias("first"))
+    stay = materialise(first.select(F.col("first._r").alias("_r")), "stay")
+    return rows.join(stay, rows[row] == stay["_r"], "left_semi").select(*docs.columns)
+
+
+def unused(docs: DataFrame) -> str:
+    """A column name that ``docs`` has not."""
+    taken, name = {c.lower() for c in docs.columns}, "_row"
+    while name in taken:
+        name += "_"
+    return name

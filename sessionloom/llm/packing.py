@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds
+from .common import WordIds, slices
 
 WINDOW = 4096
 #: Rests packed together; bounds a task's memory and the differencing's size.
@@ -100,28 +100,32 @@ def near_equal_windows(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return best
 
 
-def packed(docs: Iterable[tuple[int | None, bytes]], first: int, window: int, chunk: int, piece: int = PIECE) -> Iterator[list[tuple]]:
-    """Pieces of (doc_id, ids as bytes), as rows of SCHEMA; sequences count from ``first``."""
+def packed(docs: Iterable[tuple[int | None, np.ndarray]], first: int, window: int, chunk: int, piece: int = PIECE) -> Iterator[list[tuple]]:
+    """Pieces of (doc_id, ids), as rows of SCHEMA; sequences count from ``first``."""
     sequence = first
     rests: list[tuple] = []
+    rows: list[tuple] = []
     for doc_id, ids in docs:
-        total, rows = len(ids) // 4, []
+        total = len(ids)
         for start in range(0, total - window + 1, window):
-            rows.append((doc_id, start, window, zlib.crc32(ids[4 * start : 4 * (start + window)]), total, sequence, 0))
+            rows.append((doc_id, start, window, zlib.crc32(ids[start : start + window]), total, sequence, 0))
             sequence += 1
         rest = total % window
         cuts = -(-rest // piece)
         for i in range(cuts):
             start, stop = total - rest + rest * i // cuts, total - rest + rest * (i + 1) // cuts
-            rests.append((doc_id, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop]), total))
-        if rows:
-            yield rows
+            rests.append((doc_id, start, stop - start, zlib.crc32(ids[start:stop]), total))
         if len(rests) >= chunk:
-            rows, sequence = deal(rests, sequence, window)
+            dealt, sequence = deal(rests, sequence, window)
+            yield rows + dealt
+            rests, rows = [], []
+        elif len(rows) >= 4 * chunk:
             yield rows
-            rests = []
+            rows = []
     if rests:
-        yield deal(rests, sequence, window)[0]
+        rows += deal(rests, sequence, window)[0]
+    if rows:
+        yield rows
 
 
 def deal(rests: list[tuple], sequence: int, window: int) -> tuple[list[tuple], int]:
@@ -148,17 +152,17 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, end = WordIds.of(tokenizer), np.uint32(end_id).astype("<u4").tobytes()
+        words = WordIds.of(tokenizer)
 
         def documents():
-            for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1)
-                for i in range(0, len(ids), 256):
-                    for doc_id, x in zip(ids[i : i + 256], words.encode_all(texts.slice(i, 256).to_pylist())):
-                        yield doc_id, x + end
+            for some in slices(batches, 1):
+                ids, offsets = words.ids_of(some.column(1), end_id)
+                at = offsets.tolist()
+                for doc_id, a, b in zip(some.column(0).to_pylist(), at, at[1:]):
+                    yield doc_id, ids[a:b]
 
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for rows in packed(documents(), TaskContext.get().partitionId() << 33, window, chunk, piece):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)

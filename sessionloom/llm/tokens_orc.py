@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordIds, materialise, scratch_path
+from .common import WordIds, materialise, scratch_path, slices
 
 SCHEMA = "part int, ordinal long, doc_id long, ids array<int>"
 
@@ -33,19 +33,16 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, words, end, ordinal = TaskContext.get().partitionId(), WordIds.of(tokenizer), np.uint32(end_id).astype("<u4").tobytes(), 0
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                some = batch.slice(i, 256)
-                data = [x + end for x in words.encode_all(some.column(1).to_pylist())]
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in data])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data), "<i4")))
-                n = some.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(ordinal, ordinal + n)), some.column(0), ids], names=["part", "ordinal", "doc_id", "ids"])
-                ordinal += n
+        part, words, ordinal = TaskContext.get().partitionId(), WordIds.of(tokenizer), 0
+        for some in slices(batches, 1):
+            ids, offsets = words.ids_of(some.column(1), end_id)
+            n = some.num_rows
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view("<i4")))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(ordinal, ordinal + n)), some.column(0), lists], names=["part", "ordinal", "doc_id", "ids"])
+            ordinal += n
 
     (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         .withColumn("place", F.monotonically_increasing_id())
         .repartitionByRange("doc_id", "place")
         .sortWithinPartitions("doc_id", "place")
