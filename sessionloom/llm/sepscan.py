@@ -1,18 +1,19 @@
 """Token counts of flat, unindexed token files by separator scan.
 
 A token file is one stream of fixed-width ids in which each document ends with
-the end-of-document id; nothing tells where documents begin. It is read in
-blocks of any size. Each block is searched for the separator by one vectorised
-comparison and gives the lengths of the documents that end in it, its first
-one as far as the block has it, and the rest after its last separator. A
-prefix scan over the blocks of a file then carries those rests forward, so a
-document may span any number of blocks.
+the end-of-document id; nothing tells where documents begin. Blocks of any
+size are read from any place of a file, each by one task. A block is searched
+for the separator by one vectorised comparison and gives the lengths of the
+documents that end in it, its first one as far as the block has it, and the
+rest after its last separator. A prefix scan over the blocks of a file then
+carries those rests forward, so a document may span any number of blocks.
 
 Only one row per block and one per document are shuffled, never ids.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,93 +22,85 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordIds, materialise, scratch_path
+from .common import WordIds, materialise, scratch_path, slices
 
-#: Ids in one block of a file that is written here.
+#: Ids in one block.
 BLOCK_IDS = 1 << 18
 #: Documents listed in one row of a file's list of ids.
 LIST_ROWS = 4096
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, separator: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> tuple[DataFrame, DataFrame]:
-    """Write each partition as one flat file of unsigned 16-bit ids: (blocks, ids).
+def _file_system(path: str):
+    """The file system of a path or address, as Arrow knows it, and the path there."""
+    from pyarrow.fs import FileSystem
 
-    blocks(file, block, data): the stream, cut every ``block_ids`` ids without
-    regard to documents. ids(file, first, doc_ids): the documents in the
-    order written. Both are kept in the shared folder.
+    scheme, colon, rest = path.partition(":")
+    return FileSystem.from_uri(f"file://{rest}" if colon and scheme == "file" and not rest.startswith("//") else path)
+
+
+def write_token_files(docs: DataFrame, tokenizer: str, path: str, separator: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write each partition as one flat file of unsigned 16-bit ids under ``path``: rows (file, first, stop, doc_ids).
+
+    A row lists documents in the order written: ``first`` is the place of its
+    first one in the file, ``stop`` the file's length after its last one. Each
+    attempt of a task writes a file of its own, and only the files of attempts
+    whose rows were committed are listed, so tasks may be repeated at will.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        file, words = TaskContext.get().partitionId(), WordIds.of(tokenizer)
-        if words.ends.size > 65536:
+        words, out, first, stop = WordIds.of(tokenizer), None, 0, 0
+        if max(words.size - 1, separator) > 65535:
             raise ValueError("ids of this tokenizer need more than 16 bits")
-        end, size = np.uint16(separator).astype("<u2").tobytes(), 2 * block_ids
-        names = ["kind", "file", "number", "data", "doc_ids"]
-        types = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-
-        def row(*x):
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(x, types)], names=names)
-
-        held, block, listed, first = bytearray(), 0, [], 0
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(ids), 256):
-                for doc_id, x in zip(ids[i : i + 256], words.encode_all(texts.slice(i, 256).to_pylist())):
-                    held += np.frombuffer(x, "<u4").astype("<u2").tobytes() + end
-                    listed.append(doc_id)
-                    while len(held) >= size:
-                        yield row("block", file, block, bytes(held[:size]), None)
-                        del held[:size]
-                        block += 1
-                    if len(listed) == LIST_ROWS:
-                        yield row("ids", file, first, None, listed)
-                        first, listed = first + LIST_ROWS, []
-        if held:
-            yield row("block", file, block, bytes(held), None)
-        if listed:
-            yield row("ids", file, first, None, listed)
-
-    spark = docs.sparkSession
-    path = scratch_path(spark, "token-files")
-    written = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "kind string, file int, number long, data binary, doc_ids array<long>")
-    written.write.option("compression", "zstd").partitionBy("kind").parquet(path)
-    stored = spark.read.schema("file int, number long, data binary, doc_ids array<long>, kind string").parquet(path)
-    blocks = stored.where("kind = 'block'").select("file", F.col("number").alias("block"), "data")
-    return blocks, stored.where("kind = 'ids'").select("file", F.col("number").alias("first"), "doc_ids")
-
-
-def count_tokens(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame:
+        file = f"{path}/tokens-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}"
+        for some in slices(batches, 1, LIST_ROWS):
+            if out is None:
+                fs, at = _file_system(file)
+                fs.create_dir(at.rpartition("/")[0])
+                out = fs.open_output_stream(at)
+            ids, _ = words.ids_of(some.column(1), separator)
+            out.write(ids.astype("<u2").tobytes())
+            stop += 2 * len(ids)
+            listed = pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([first]), pa.array([stop]), listed], names=["file", "first", "stop", "doc_ids"])
+            first += some.num_rows
+        if out is not None:
+            out.close()
+
+    written = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "file string, first long, stop long, doc_ids array<long>")
+    return materialise(written, "token-lists")
+
+
+def count_tokens(files: DataFrame, separator: int, width: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Tokens of each document, as rows (file, ordinal, n_tokens), without the separator.
 
-    ``blocks`` has (file, block, data): parts of files, in the order of
-    ``block``; a part must be a whole number of ids of ``width`` bytes. Null
-    data counts as empty. Ids after a file's last separator are no document.
-    Block numbers may have gaps, but not repeat within a file. An empty table
+    ``files`` has (file, length): addresses of flat files that tasks can read,
+    and their bytes, a whole number of little-endian ids of ``width`` bytes.
+    Null lengths count as 0. Ids after a file's last separator are no
+    document. A file that is listed twice is counted once. An empty table
     gives an empty result; further columns are not read.
     """
     dtype = {1: "u1", 2: "<u2", 4: "<u4"}[width]
+    size = width * block_ids
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for file, block, data in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.frombuffer(data or b"", dtype)
+            for file, block in zip(*(c.to_pylist() for c in batch.columns)):
+                fs, at = _file_system(file)
+                with fs.open_input_file(at) as f:
+                    ids = np.frombuffer(f.read_at(size, block * size), dtype)
                 ends = np.flatnonzero(ids == separator)
                 lengths = np.diff(ends, prepend=-1) - 1
                 tail = len(ids) - (int(ends[-1]) + 1 if len(ends) else 0)
-                out.append((file, block, len(ends), tail, lengths))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in out], batch.column(0).type), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.int64()), pa.array([r[4] for r in out], pa.list_(pa.int64()))],
-                names=["file", "block", "n_ends", "tail", "lengths"],
-            )
-
-    file_type = blocks.schema["file"].dataType.simpleString()
-    found = materialise(
-        blocks.select("file", F.col("block").cast("long").alias("block"), "data").mapInArrow(scan, f"file {file_type}, block long, n_ends long, tail long, lengths array<long>"),
-        "separators",
-    )
+                lists = pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), pa.array(lengths, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([len(ends)], pa.int64()), pa.array([tail], pa.int64()), lists], names=["file", "block", "n_ends", "tail", "lengths"])
+
+    blocks = files.groupBy("file").agg(F.max("length").alias("length")).where("length > 0")
+    blocks = blocks.select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("length") / size) - 1)).alias("block"))
+    # one row a block, so that it takes this many tasks to read them, however few bytes the rows are
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = materialise(blocks.repartition(tasks, "file", "block").mapInArrow(scan, "file string, block long, n_ends long, tail long, lengths array<long>"), "separators")
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     run = F.sum("tail").over(before)  # of all blocks before
     # what the blocks up to and with the last one that has a separator leave behind is not carried further
@@ -128,12 +121,16 @@ def count_tokens(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame
     )
 
 
-def document_token_counts(docs: DataFrame, tokenizer: str, separator: int = 49407, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
+def document_token_counts(docs: DataFrame, tokenizer: str, separator: int | None = None, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
     """Write ``docs`` as token files and count each document's tokens from them: (doc_id, n_tokens).
 
-    One row per row of ``docs``, repeated rows and null ids too; null text
-    counts as empty and has 0 tokens; an empty table gives an empty result.
+    The separator is the id after the tokenizer's last one, which no text can
+    give. One row per row of ``docs``, repeated rows and null ids too; null
+    text counts as empty and has 0 tokens; an empty table gives an empty
+    result; further columns are not read.
     """
-    blocks, ids = write_token_files(docs, tokenizer, separator, id_col, text_col, block_ids)
-    listed = ids.select("file", "first", F.posexplode("doc_ids").alias("i", "doc_id")).select("file", (F.col("first") + F.col("i")).alias("ordinal"), "doc_id")
-    return listed.join(count_tokens(blocks, separator), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    separator = WordIds.of(tokenizer).size if separator is None else separator
+    lists = write_token_files(docs, tokenizer, scratch_path(docs.sparkSession, "token-files"), separator, id_col, text_col)
+    listed = lists.select("file", "first", F.posexplode("doc_ids").alias("i", "doc_id")).select("file", (F.col("first") + F.col("i")).alias("ordinal"), "doc_id")
+    counts = count_tokens(lists.select("file", F.col("stop").alias("length")), separator, block_ids=block_ids)
+    return listed.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
