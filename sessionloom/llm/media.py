@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise, slices
+
 TILE = 16
 WIDTH = 64
 
@@ -29,7 +31,8 @@ _HEADER = re.compile(rb"P([2356])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:
 def decode(data: bytes) -> np.ndarray:
     """uint8 array of (height, width) or (height, width, 3) of an 8-bit PGM, PPM or BMP.
 
-    Anything else raises ValueError.
+    Samples of a smaller maximum are scaled to 255. Anything else, and damaged
+    images, raise ValueError.
     """
     if data[:2] == b"BM":
         return _decode_bmp(data)
@@ -40,23 +43,27 @@ def decode(data: bytes) -> np.ndarray:
     if most > 255 or most == 0 or width == 0 or height == 0:
         raise ValueError("not 8-bit samples")
     shape = (height, width) if kind in (2, 5) else (height, width, 3)
-    n = int(np.prod(shape))
+    n = height * width * (1 if kind in (2, 5) else 3)
+    if len(data) - m.end() < n:
+        raise ValueError("truncated")
     if kind in (5, 6):
-        if len(data) - m.end() < n:
-            raise ValueError("truncated")
         out = np.frombuffer(data, np.uint8, n, m.end())
     else:
-        out = np.array(data[m.end() :].split()[:n], dtype=np.int64).astype(np.uint8)
+        out = np.array(data[m.end() :].split()[:n], dtype=np.int64)
         if len(out) < n:
             raise ValueError("truncated")
-    return out.reshape(shape)
+    if out.min() < 0 or out.max() > most:
+        raise ValueError("a sample above the maximum")
+    if most < 255:
+        out = (out.astype(np.int64) * 510 + most) // (2 * most)  # to the full range, rounded
+    return out.astype(np.uint8, copy=False).reshape(shape)
 
 
 def _decode_bmp(data: bytes) -> np.ndarray:
     if len(data) < 54:
         raise ValueError("truncated")
     start, header, width, height, _, bits, packed = struct.unpack_from("<10xIIiiHHI", data)
-    if bits not in (8, 24) or packed or width <= 0 or height == 0:
+    if header < 40 or start < 14 + header or bits not in (8, 24) or packed or width <= 0 or height == 0:
         raise ValueError("not an uncompressed BMP of 8 or 24 bits")
     rows, stride = abs(height), (width * bits // 8 + 3) // 4 * 4
     if len(data) < start + rows * stride:
@@ -68,6 +75,8 @@ def _decode_bmp(data: bytes) -> np.ndarray:
         return pixels.reshape(rows, width, 3)[:, :, ::-1]
     n = (start - 14 - header) // 4
     palette = np.frombuffer(data, np.uint8, 4 * n, 14 + header).reshape(n, 4)[:, 2::-1]
+    if pixels.max() >= n:
+        raise ValueError("a pixel beyond the palette")
     return palette[pixels]
 
 
@@ -142,29 +151,47 @@ def media_tiles(media: DataFrame, data_col: str = "media", side: int = TILE) ->
     return kept.mapInArrow(run, schema)
 
 
-def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, side: int = TILE) -> DataFrame:
-    """Each text as a PGM image, with what is read back from the stored bytes.
+def store_text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """(doc_id, n_bytes, media): each text as a PGM image, in a table that is written to the shared folder.
 
     The UTF-8 bytes and zeros up to a positive multiple of ``width`` are the
-    samples. Columns: doc_id, n_bytes, payload_bytes, payload_sha256,
-    tail_crc32, media_bytes, media_sha256, feature (difference hash), tile,
-    media. Null text counts as empty: one row of zeros.
+    samples. Null text counts as empty: one row of zeros.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                some = batch.slice(i, 256)
-                rows = []
-                for text in some.column(1).cast(pa.binary()).to_pylist():
-                    text = text or b""
-                    media = encode_pgm(text + bytes(-len(text) % width or (0 if text else width)), width)
-                    image = decode(media)
-                    back = image.tobytes()
-                    rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), npy_tile(image, side), media))
-                types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=["doc_id", *names])
-
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile", "media"]
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary, media binary"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+        for some in slices(batches, 1):
+            texts = [x or b"" for x in some.column(1).cast(pa.binary()).to_pylist()]
+            images = [encode_pgm(x + bytes(-len(x) % width or (0 if x else width)), width) for x in texts]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(images, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return materialise(docs.mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media")
+
+
+def read_text_media(stored: DataFrame, side: int = TILE) -> DataFrame:
+    """Digests of what was stored and of what is read back from it, the difference hash as ``feature``, and the NPY tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in slices(batches, 2):
+            rows = []
+            for media in some.column(2).to_pylist():
+                image = decode(media)
+                back = image.tobytes()
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), npy_tile(image, side)))
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=names)
+
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"]
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+
+
+def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, side: int = TILE) -> DataFrame:
+    """Each text stored as a PGM image, and what is read back from the store.
+
+    Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
+    media_bytes, media_sha256, feature (difference hash), tile (NPY). One row
+    per row of ``docs``, repeated rows and null ids too; null text counts as
+    empty; an empty table gives an empty result; further columns are not read.
+    """
+    return read_text_media(store_text_media(docs, id_col, text_col, width), side)

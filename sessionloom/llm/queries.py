@@ -41,8 +41,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.text_media(_table(spark, sf_dir, "documents"))
-    return stored.drop("tile", "media")
+    return media.text_media(_table(spark, sf_dir, "documents"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
