@@ -3,8 +3,8 @@
 Lower-cased UTF-8 is cut into fixed-length windows. Filters of several widths
 run over byte vectors, the largest response of each filter in a window passes
 on, and a softmax gives the languages; a text's probabilities are the mean
-over its windows, by their bytes. Training is in numpy on a bounded sample of
-windows; scoring runs in tasks over whole texts, in batches of windows, and
+over its windows, by their bytes. Training is in numpy on all windows of a
+bounded sample of texts; scoring runs in tasks over whole texts, in batches of windows, and
 shuffles nothing.
 
 For scoring, the filters are folded into two tables over byte pairs: a filter
@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, held_out
+from .common import bounded_sample, held_out, unused
 
 WINDOW = 192
-#: Texts to learn from, at most about this many of each language, and windows of each.
-SAMPLE_PER_LANGUAGE, WINDOWS_PER_TEXT = 700, 4
+#: Texts to learn from, with all their windows: at most about this many of each language.
+SAMPLE_PER_LANGUAGE = 250
 WIDTHS, FILTERS, DIM = (2, 3, 4), 10, 8
-EPOCHS, RATE, BATCH = 8, 0.01, 128
+EPOCHS, RATE, BATCH = 3, 0.01, 128
 UNKNOWN = "und"
 
 
@@ -73,10 +73,12 @@ class ByteCnn:
 
     def _gradient(self, x: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
         p, n = self.p, len(x)
+        # as in scoring, zeros after the window let every filter begin at all places but the last
+        x = np.pad(x, ((0, 0), (0, max(WIDTHS) - 2)))
         emb = p["emb"][x]
         pooled, where = [], []
         for k in WIDTHS:
-            view = np.lib.stride_tricks.sliding_window_view(emb, k, axis=1)  # (n, t, DIM, k)
+            view = np.lib.stride_tricks.sliding_window_view(emb[:, : x.shape[1] - max(WIDTHS) + k], k, axis=1)  # (n, t, DIM, k)
             flat = view.transpose(0, 1, 3, 2).reshape(n, -1, k * DIM)
             response = flat @ p[f"w{k}"]
             at = response.argmax(axis=1)  # (n, FILTERS)
@@ -153,16 +155,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             for doc_id, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                data = (text or "").lower().encode()
-                # whole windows spread over the text
-                last = max(0, len(data) - WINDOW)
-                for start in sorted({last * i // max(1, WINDOWS_PER_TEXT - 1) for i in range(WINDOWS_PER_TEXT)}):
-                    if data:
-                        out.append((doc_id, start, lang, data[start : start + WINDOW].ljust(WINDOW, b"\0")))
-            columns = [list(c) for c in zip(*out)] or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.string(), pa.binary()])], names=["doc_id", "start", "lang", "data"])
+                data = windows(text.lower().encode()) if text else b""
+                n = len(data) // WINDOW
+                columns = [np.full(n, doc_id), np.arange(n) * WINDOW, [lang] * n, [data[i * WINDOW : (i + 1) * WINDOW] for i in range(n)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.string(), pa.binary()])], names=["doc_id", "start", "lang", "data"])
 
     schema = "doc_id long, start long, lang string, data binary"
     table = bounded_sample(rows, "lang", "doc_id", per_language).mapInArrow(run, schema).dropDuplicates(["doc_id", "start", "lang"]).toArrow()
@@ -187,8 +184,8 @@ def _labelled(texts: list[str | None], letters: list[bool], scorer: Scorer | Non
     return lang, score
 
 
-def with_language(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and lang_score; columns of these names are replaced.
+def with_language(docs: DataFrame, model: dict | None, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
+    """``docs`` with a predicted language and its probability; columns of the two names are replaced.
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing
     was learned. Of equally likely languages the first by name is taken.
@@ -196,19 +193,20 @@ def with_language(docs: DataFrame, model: dict | None, text_col: str = "text") -
     result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "lang_score")
+    kept = docs.drop(pred_col, score_col)
+    letter = unused(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value) if sent.value else None
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 some = batch.slice(i, 200)
-                lang, score = _labelled(some.column(text_col).to_pylist(), some.column("_letter").to_pylist(), scorer)
-                own = [c for c in some.schema.names if c != "_letter"]
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in own), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*own, "lang_pred", "lang_score"])
+                lang, score = _labelled(some.column(text_col).to_pylist(), some.column(letter).to_pylist(), scorer)
+                own = [c for c in some.schema.names if c != letter]
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in own), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*own, pred_col, score_col])
 
-    marked = kept.drop("_letter").withColumn("_letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    schema = T.StructType([*kept.drop("_letter").schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    marked = kept.withColumn(letter, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    schema = T.StructType([*kept.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
     return marked.mapInArrow(run, schema)
 
 

@@ -214,14 +214,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(bags, marks, 2, prior - prior.max())
 
 
-def with_quality(docs: DataFrame, table: np.ndarray, text_col: str = "text") -> DataFrame:
-    """``docs`` with quality_score (probability of label 1); a column of this name is replaced.
+def with_quality(docs: DataFrame, table: np.ndarray, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
+    """``docs`` with the probability of label 1; a column of the name is replaced.
 
     Null and empty texts get the score of no words, the prior's. Repeated rows
     and nulls elsewhere are kept; an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(table)
-    kept = docs.drop("quality_score")
+    kept = docs.drop(score_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
@@ -229,9 +229,9 @@ def with_quality(docs: DataFrame, table: np.ndarray, text_col: str = "text") ->
             for i in range(0, batch.num_rows, 500):
                 some = batch.slice(i, 500)
                 p = pa.array([float(scorer.probabilities(t)[1]) for t in some.column(text_col).to_pylist()], pa.float64())
-                yield pa.RecordBatch.from_arrays([*some.columns, p], names=[*some.schema.names, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*some.columns, p], names=[*some.schema.names, score_col])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def score(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
