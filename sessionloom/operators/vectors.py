@@ -12,8 +12,6 @@ from .intervals import in_blocks
 
 # Fixed values.
 STOP_DISTANCE, MATCH_LEAST, MATCH_MARGIN, KEEP = 0.28, 0.78, 0.08, 0.9
-#: Vectors of one speaker in one session that may be clustered together; memory grows with the square.
-MOST_MEMBERS = 4000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -70,43 +68,53 @@ def agglomerate(vectors: np.ndarray, stop: float = STOP_DISTANCE) -> np.ndarray:
     The lowest (left, right) pair wins ties.
     """
     n = len(vectors)
-    owner = np.arange(n)
-    centroid, size, alive = vectors.astype(float).copy(), np.ones(n), np.ones(n, bool)
-    length = np.linalg.norm(centroid, axis=1)
-    unit = centroid / np.where(length > 0, length, 1)[:, None]
-    far = 1 - unit @ unit.T
-    far[np.tril_indices(n)] = np.inf
-    while alive.sum() > 1:
-        a, b = divmod(int(far.argmin()), n)
-        if not far[a, b] <= stop:
+    owner, centroid, size, alive = np.arange(n), vectors.astype(float).copy(), np.ones(n), np.ones(n, bool)
+    unit = centroid / np.maximum(np.linalg.norm(centroid, axis=1), 1e-300)[:, None]
+    # the nearest centroid to the right of each; memory grows with the vectors, not with their square
+    nearest, apart = np.full(n, -1), np.full(n, np.inf)
+
+    def look(i: int) -> None:
+        apart[i] = np.inf
+        row = np.where(alive[i + 1 :], np.round(1 - unit[i + 1 :] @ unit[i], 12), np.inf)
+        if len(row):
+            nearest[i] = i + 1 + row.argmin()
+            apart[i] = row.min()
+
+    for i in range(n):
+        look(i)
+    while n:
+        a = int(apart.argmin())
+        if not apart[a] <= stop:
             break
+        b = int(nearest[a])
         centroid[a] = (centroid[a] * size[a] + centroid[b] * size[b]) / (size[a] + size[b])
+        unit[a] = centroid[a] / max(np.linalg.norm(centroid[a]), 1e-300)
         size[a] += size[b]
-        alive[b] = False
+        alive[b], apart[b] = False, np.inf
         owner[owner == b] = a
-        unit[a] = centroid[a] / (np.linalg.norm(centroid[a]) or 1)
-        row = 1 - unit @ unit[a]
-        row[~alive] = np.inf
-        far[b, :] = far[:, b] = np.inf
-        far[a, a + 1 :], far[:a, a] = row[a + 1 :], row[:a]
+        row = np.round(1 - unit[:a] @ unit[a], 12)
+        stale = alive & ((nearest == a) | (nearest == b))
+        nearer = alive[:a] & ~stale[:a] & ((row < apart[:a]) | ((row == apart[:a]) & (a < nearest[:a])))
+        nearest[:a][nearer], apart[:a][nearer] = a, row[nearer]
+        stale[a] = True
+        for i in np.flatnonzero(stale):
+            look(i)
     return np.unique(owner, return_inverse=True)[1]
 
 
-def cluster(vectors: DataFrame, keys: list[str], stop: float = STOP_DISTANCE, most: int = MOST_MEMBERS) -> DataFrame:
+def cluster(vectors: DataFrame, keys: list[str], stop: float = STOP_DISTANCE) -> DataFrame:
     """(keys, id, cluster): the vectors of each group clustered. (VEC-06)
 
-    Groups are one speaker in one session; one of more than ``most`` fails
-    with a clear error before it is gathered.
+    Each merge depends on all before it, so a group, one speaker in one
+    session, is clustered in one task, in memory that grows with its vectors.
     """
-    n = F.count("*").over(W.partitionBy(*keys))
-    fits = vectors.withColumn("_n", n).where(F.when(F.col("_n") <= most, True).otherwise(F.raise_error(F.lit(f"a group has more than {most} vectors")).cast("boolean")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
         return pdf[[*keys, "id"]].assign(cluster=agglomerate(np.stack(pdf["vector"].to_numpy()), stop).astype("int64"))
 
     types = dict(vectors.dtypes)
-    return fits.select(*keys, "id", "vector").groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in [*keys, "id"]) + ", cluster long")
+    return vectors.select(*keys, "id", "vector").groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in [*keys, "id"]) + ", cluster long")
 
 
 def centroids(members: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:

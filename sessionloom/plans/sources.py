@@ -316,4 +316,4 @@ def _(spark, sf):
 @query("st05_stream_static_join", "SELECT event_id, coalesce(n_name, '') AS n_name FROM events LEFT JOIN nation ON user_id = n_nationkey")
 def _(spark, sf):
     dim = ad.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("user_id"), "n_name")
-    return live.run_to_end(_stream(spark, sf).join(F.broadcast(dim), "user_id", "left").select("event_id", F.coalesce("n_name", F.lit("")).alias("n_name")), "append")
+    return live.run_to_end(_stream(spark, sf).join(dim, "user_id", "left").select("event_id", F.coalesce("n_name", F.lit("")).alias("n_name")), "append")

@@ -248,8 +248,19 @@ def test_clusters(spark):
     assert len(set(owner)) == 4 and all(len(set(owner[i * 5 : i * 5 + 5])) == 1 for i in range(4))
     df = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(vectors)], "session_id long, id long, vector array<double>")
     assert vec.cluster(df, ["session_id"], 0.18).select("cluster").distinct().count() == 4
-    with pytest.raises(Exception, match="more than 3 vectors"):
-        vec.cluster(df, ["session_id"], 0.18, most=3).collect()
+    for n in (1, 2, 60):
+        many = np.round(rnd.normal(0, 1, (n, 3)), 1)
+        owner, centroid, size = list(range(n)), {i: v for i, v in enumerate(many)}, dict.fromkeys(range(n), 1)
+        unit = lambda v: v / max(np.linalg.norm(v), 1e-300)
+        while len(centroid) > 1:
+            far, i, j = min((round(1 - unit(centroid[i]) @ unit(centroid[j]), 12), i, j) for i, j in itertools.combinations(centroid, 2))
+            if far > 0.3:
+                break
+            centroid[i] = (centroid[i] * size[i] + centroid.pop(j) * size[j]) / (size[i] + size[j])
+            size[i] += size[j]
+            owner = [i if o == j else o for o in owner]
+        assert vec.agglomerate(many, 0.3).tolist() == np.unique(owner, return_inverse=True)[1].tolist()
+    assert len(vec.agglomerate(np.zeros((0, 3)))) == 0
     equal = spark.createDataFrame([("p", [1.0, 0.0]), ("q", [1.0, 0.0])], "profile_id string, centroid array<double>")
     assert not vec.match_profiles(spark.createDataFrame([("c", [1.0, 0.0])], "cluster_id string, centroid array<double>"), equal).where("labelled").count()
 
