@@ -31,8 +31,12 @@ def stratified_sample(items: DataFrame, strata: list[str], limit: int) -> DataFr
     The k-th draw of a stratum of n has need limit * n / total - (k - 1), so
     the draws of all strata are ranked at once and no loop is needed.
     """
-    w = W.partitionBy(*strata)
-    held = items.withColumn("_n", F.count("*").over(w)).withColumn("_k", F.row_number().over(w.orderBy("id")))
+    nth = F.row_number().over(W.partitionBy(*strata).orderBy("id"))
+    # no stratum gives more than all, so Spark keeps the first ones of each partition before it shuffles
+    first = items.withColumn("_k", nth).where(F.col("_k") <= limit)
+    sizes = items.groupBy(*strata).agg(F.count("*").alias("_n"))
+    same = [first[c].eqNullSafe(sizes[c]) for c in strata]
+    held = first.join(sizes, same).select(*[first[c] for c in items.columns], "_k", "_n")
     total = items.agg(F.count("*").alias("_total"))
     need = F.round(F.lit(limit) * F.col("_n") / F.col("_total") - (F.col("_k") - 1), 9)
     return held.crossJoin(F.broadcast(total)).withColumn("need", need).orderBy(F.desc("need"), *strata, "_k").limit(limit).drop("_n", "_k", "_total")

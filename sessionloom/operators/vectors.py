@@ -31,13 +31,14 @@ def l2_normalised(a: Column, dim: int | None = None) -> Column:
 
 
 def z_scores(features: DataFrame, fields: list[str], keys: list[str]) -> DataFrame:
-    """Each field as deviations from its group's mean; 0 where the group doesn't vary. (VEC-02)"""
-    w = W.partitionBy(*keys)
-    out = features
-    for f in fields:
-        std = F.stddev_pop(f).over(w)
-        out = out.withColumn(f"{f}_z", F.when(std <= 1e-12, F.lit(0.0)).otherwise((F.col(f) - F.avg(f).over(w)) / std))
-    return out
+    """Each field as deviations from its group's mean; 0 where the group doesn't vary. (VEC-02)
+
+    Means and deviations combine on the map side, so a group of any size is no hot key.
+    """
+    stats = features.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(*[x for f in fields for x in (F.avg(f).alias(f"_avg_{f}"), F.stddev_pop(f).alias(f"_std_{f}"))])
+    out = features.join(stats, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    z = lambda f: F.when(F.col(f"_std_{f}") <= 1e-12, F.lit(0.0)).otherwise((F.col(f) - F.col(f"_avg_{f}")) / F.col(f"_std_{f}"))
+    return out.select(*features.columns, *[z(f).alias(f"{f}_z") for f in fields])
 
 
 def incomplete_features(utterances: DataFrame, features: DataFrame, fields: list[str], shortest: float = 0.6) -> DataFrame:
