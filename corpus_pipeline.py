@@ -9,9 +9,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sessionloom.llm import exact, langid, minhash, packing, quality
-from sessionloom.llm.common import keep_rows, materialise
+from sessionloom.llm.common import materialise, unused, without_duplicates
 from sessionloom.session import ship_package
 
 #: Not expressible: trained models decide, and windows are packed by an algorithm.
@@ -21,27 +22,29 @@ ORACLE_SQL = None
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language is found, as they have no letters, go."""
     ship_package(spark)
-    found = langid.with_language(docs, langid.fit(docs))
-    return found.where(found.lang_pred != langid.UNKNOWN).select(*docs.columns)
+    pred = unused(docs)
+    found = langid.with_language(docs, langid.fit(docs), pred_col=pred, score_col=f"{pred}score")
+    return found.where(F.col(pred) != langid.UNKNOWN).select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality label is likelier 0 than 1 go."""
     ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.with_quality(docs, quality.fit(docs, labels))
-    return scored.where(scored.quality_score >= 0.5).select(*docs.columns)
+    name = unused(docs)
+    scored = quality.with_quality(docs, quality.fit(docs, labels), score_col=name)
+    return scored.where(F.col(name) >= 0.5).select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the least id stays."""
-    return keep_rows(docs, exact.exact_dedup(docs))
+    return without_duplicates(docs, exact.exact_dedup)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the least id stays."""
     ship_package(spark)
-    return keep_rows(docs, minhash.near_duplicates(docs))
+    return without_duplicates(docs, minhash.near_duplicates)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
