@@ -85,6 +85,11 @@ class WordIds:
             _TOKENIZERS[path] = cls(path)
         return _TOKENIZERS[path]
 
+    def forget(self) -> None:
+        """Empty the caches, at the end of a task, as a worker's memory is needed by other tasks then."""
+        self.cache, self.pieces = {}, {" ": _BREAK.tobytes()}
+        pa.default_memory_pool().release_unused()
+
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
@@ -188,7 +193,7 @@ class WordIds:
         return [ids[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: int, rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: int, rows: int = 512, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut into slices of at most so many rows and, but for single rows, about so many bytes in that column."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()

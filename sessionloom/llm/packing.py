@@ -164,5 +164,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for rows in packed(documents(), TaskContext.get().partitionId() << 33, window, chunk, piece):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
+        words.forget()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)

@@ -67,6 +67,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, separator: int
             first += some.num_rows
         if out is not None:
             out.close()
+        words.forget()
 
     written = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "file string, first long, stop long, doc_ids array<long>")
     return materialise(written, "token-lists")

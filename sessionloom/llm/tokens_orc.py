@@ -40,6 +40,7 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view("<i4")))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(ordinal, ordinal + n)), some.column(0), lists], names=["part", "ordinal", "doc_id", "ids"])
             ordinal += n
+        words.forget()
 
     (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
