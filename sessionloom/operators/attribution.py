@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -198,7 +200,7 @@ def continuity(evidence_rows: DataFrame, narrator: DataFrame) -> DataFrame:
     task; rows are bounded by a session's narrator speeches and names.
     """
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(zip(pdf["start_s"], pdf["utt_id"], pdf["interrupted"], pdf["evidence"]), key=lambda r: r[:2])
         out, last, last_s = [], None, 0.0
         for start, utt, interrupted, found in rows:
