@@ -232,7 +232,7 @@ st AS (SELECT session_id, utt_id, 0::BIGINT AS k, -1::BIGINT AS open, -1::BIGINT
 @query("txt09_quoted_spans", f"WITH RECURSIVE {QUOTED} SELECT session_id, utt_id, first, k - 1 AS last FROM st WHERE first >= 0")
 def _(spark, sf):
     w = ad.utterances(spark, sf).select("session_id", "utt_id", F.transform(F.split("text", " "), lambda x, i: F.when(i % 5 == 1, F.concat(F.lit('"'), x)).when(i % 5 == 3, F.concat(x, F.lit('"'))).otherwise(x)).alias("w"))
-    return w.select("session_id", "utt_id", F.explode(lx.quoted_spans(F.col("w"))).alias("s")).select("session_id", "utt_id", "s.first", "s.last")
+    return w.select("session_id", "utt_id", F.explode(lx.quoted_spans(F.col("w"))).alias("s")).select("session_id", "utt_id", F.col("s.first").cast("long").alias("first"), F.col("s.last").cast("long").alias("last"))
 
 
 @query("txt10_numbers", "WITH x AS (SELECT event_id, 'roll ' || event_id % 20 || ' and ' || user_id || ' then ' || event_id % 20 AS t FROM events) SELECT event_id, CASE WHEN event_id % 20 = split_part(t, ' ', 4)::INT THEN (event_id % 20)::VARCHAR ELSE (event_id % 20) || ',' || split_part(t, ' ', 4) END AS numbers FROM x")

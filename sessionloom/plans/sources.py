@@ -216,7 +216,7 @@ NUMBERED = """WITH x AS (SELECT o_custkey AS session_id, o_orderkey::VARCHAR AS
 rest AS (SELECT session_id, file, row_number() OVER (PARTITION BY session_id ORDER BY index NULLS LAST, file) AS k FROM o WHERE NOT own), room AS (SELECT session_id, unnest(range(1, count(*) + 1)) AS track_no FROM x GROUP BY 1),
 free AS (SELECT session_id, track_no, row_number() OVER (PARTITION BY session_id ORDER BY track_no) AS k FROM room r WHERE NOT EXISTS (SELECT 1 FROM o WHERE own AND o.session_id = r.session_id AND o.index = r.track_no))
 SELECT session_id, file, index AS track_no FROM o WHERE own UNION ALL SELECT session_id, file, track_no FROM rest JOIN free USING (session_id, k)"""
-query("src23_track_ids", NUMBERED)(lambda spark, sf: cp.track_ids(ad.table(spark, sf, "orders").selectExpr("o_custkey AS session_id", "CAST(o_orderkey AS STRING) AS file", "CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderkey % 5 + 1 AS INT) END AS index")))
+query("src23_track_ids", NUMBERED)(lambda spark, sf: cp.track_ids(ad.table(spark, sf, "orders").selectExpr("o_custkey AS session_id", "CAST(o_orderkey AS STRING) AS file", "CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderkey % 5 + 1 AS INT) END AS index")).withColumn("track_no", F.col("track_no").cast("long")))
 
 
 def _round_trip(df, how):
