@@ -270,9 +270,10 @@ def _stream(spark, sf):
     path = scratch_path(spark, "slices")
     span = e.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi"))
     cut = e.crossJoin(F.broadcast(span)).withColumn("_s", F.expr("CAST(least(3, 4 * (unix_micros(ts) - lo) / (hi - lo + 1)) AS INT)"))
+    files = max(4, spark.sparkContext.defaultParallelism)
     for k in range(4):  # files of later slices are newer, and so are read later
-        cut.where(F.col("_s") == k).select(*e.columns).coalesce(4).write.mode("append").parquet(path)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 4).parquet(path)
+        cut.where(F.col("_s") == k).select(*e.columns).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query("st01_live_upsert", "SELECT user_id, count(DISTINCT event_id % 50) AS n, min(event_id) AS first_id FROM events GROUP BY 1")
