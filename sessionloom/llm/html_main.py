@@ -31,9 +31,9 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 PLAIN = INLINE - {"a", "label"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head", "fieldset", "search"}
 BOILERPLATE_NAMES = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disqus", "footer", "header",
-    "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "share", "sharing", "sidebar",
-    "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+    "ad", "ads", "adsense", "adv", "advert", "adverts", "advertisement", "advertisements", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disqus", "footer", "header",
+    "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "share", "sharing", "side", "sidebar",
+    "skip", "social", "sponsor", "sponsored", "sponsors", "subscribe", "toolbar", "widget",
 }
 #: A class or id that begins or ends so tells what the page has, as in has-sidebar or share-enabled, not what the element is.
 LAYOUT_FIRST, LAYOUT_LAST = {"has", "no", "with", "without"}, {"enabled", "disabled"}

@@ -317,7 +317,7 @@ def test_html_names_that_only_look_like_boilerplate(kept, wrapper):
     assert html_main.main_text(page, html_main.Weights({})) == f"{own} {words}"
 
 
-@pytest.mark.parametrize("left", ['<div class="cookie-notice">{}</div>', '<div id="relatedPosts">{}</div>', '<div class="social-links bottom">{}</div>', '<p class="notice">{}</p>', '<section class="post-comments">{}</section>', '<div class="ad-slot">{}</div>', "<div class=newsletter_signup-form>{}</div>"])
+@pytest.mark.parametrize("left", ['<div class="cookie-notice">{}</div>', '<div class="side-bar">{}</div>', '<section id="comments">{}</section>', '<div id="relatedPosts">{}</div>', '<div class="social-links bottom">{}</div>', '<p class="notice">{}</p>', '<section class="post-comments">{}</section>', '<div class="ad-slot">{}</div>', "<div class=newsletter_signup-form>{}</div>"])
 def test_html_names_of_boilerplate(left):
     words, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"o{i}" for i in range(20))
     for page in (f"<article><p>{words}</p>{left.format(other)}</article>", f"<div class=content><p>{words}</p>{left.format(other)}</div>"):
