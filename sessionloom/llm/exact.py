@@ -27,14 +27,16 @@ BLOCK_CHARS = 4096
 
 
 def normalised(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    """Each run of white space as one space; single spaces, the usual case, are not matched as they stay what they are."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"\x20[\x20\x09-\x0D]+|[\x09-\x0D][\x20\x09-\x0D]*", " ")
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, block_chars: int, key) -> DataFrame:
-    cut = F.regexp_extract_all("norm", F.lit("(?s).{1,%d}" % block_chars), F.lit(0))
+    long_ = F.regexp_extract_all("norm", F.lit("(?s).{1,%d}" % block_chars), F.lit(0))
+    cut = F.when(F.length("norm") <= block_chars, F.array("norm")).otherwise(long_)  # a text of one block needs no pattern
     return (
         docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
-        .select("doc_id", F.unhex(F.sha2("norm", 256)).alias("sha"), F.when(F.col("norm") == "", F.array(F.lit(""))).otherwise(cut).alias("blocks"))
+        .select("doc_id", F.unhex(F.sha2("norm", 256)).alias("sha"), cut.alias("blocks"))
         .select("doc_id", "sha", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "block"))
         .withColumn("key", key(F.col("block")))
     )
