@@ -116,10 +116,10 @@ def phrase_markers(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     terms = lexicon.select("class", "polarity", "weight", "term", tokens_of(F.col("term")).alias("_t")).withColumn("gram", F.array_join("_t", " ")).withColumn("_n", F.size("_t"))
     lengths = sorted(r[0] for r in terms.where("_n > 0").select("_n").distinct().collect())  # of terms: a few numbers
 
-    def found(own: DataFrame, *more: str) -> DataFrame:
-        toks = texts.select("id", tokens_of(F.col("text")).alias("t"), *more)
+    def found(own: DataFrame) -> DataFrame:
+        toks = texts.select("id", tokens_of(F.col("text")).alias("t"))
         gram = lambda n: lambda i: F.array_join(F.slice("t", i, n), " ")
-        runs = [toks.where(F.size("t") >= n).select("id", *more, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), gram(n))).alias("pos", "gram")) for n in lengths or [1]]
+        runs = [toks.where(F.size("t") >= n).select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), gram(n))).alias("pos", "gram")) for n in lengths or [1]]
         grams = runs[0]
         for r in runs[1:]:
             grams = grams.unionByName(r)
@@ -127,7 +127,7 @@ def phrase_markers(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     plain = found(terms.where("class IS DISTINCT FROM 'vocative'"))
     addressed = F.regexp_like("text", F.concat(F.lit(r"(?i)(?:^|[,!?;])\s*"), "gram", F.lit(r"\s*[,!?:]")))
-    called = found(terms.where("class = 'vocative'"), "text").where(addressed)
+    called = found(terms.where("class = 'vocative'")).join(texts.select("id", "text"), "id").where(addressed)  # texts of matches only
     columns = ["id", "class", "polarity", "weight", "term", F.col("pos").cast("long").alias("pos")]
     return plain.select(*columns).unionByName(called.select(*columns)).dropDuplicates(["id", "class", "term", "pos"])
 
