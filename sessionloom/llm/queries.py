@@ -1,4 +1,4 @@
-"""The ten corpus queries over whole tables, with production parameters."""
+"""The corpus queries over whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import bbpe, exact, html_main, langid, media, minhash, packing, quality, sepscan, tokens_orc
+from . import bbpe, exact, html_main, langid, media, minhash, packing, piecebpe, quality, sepscan, tokens_orc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_orc.token_binary_output(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecebpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_html_text": op2_html_text,
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_token_orc": op10_token_orc,
+    "op12_sentencepiece": op12_sentencepiece,
 }
 
 ORACLE_SQL = {

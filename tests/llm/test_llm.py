@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sessionloom.llm import bbpe, exact, html_main, langid, media, minhash, packing, quality, queries, sepscan, tokens_orc
+from sessionloom.llm import bbpe, exact, html_main, langid, media, minhash, packing, piecebpe, quality, queries, sepscan, tokens_orc
 from sessionloom.llm.common import WordIds, bounded_sample, slices, without_duplicates
 
 SF = "/root/testdata/sf0.001"
@@ -613,3 +613,38 @@ def test_pipeline_stages_of_odd_rows(spark, odd, none):
             before, docs = docs.count(), stage(spark, docs, SF)
             assert docs.columns == odd.columns and docs.count() <= before
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def piece_library():
+    import sentencepiece as spm
+
+    if not hasattr(piece_library, "sp"):
+        piece_library.sp = spm.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    return piece_library.sp
+
+
+def test_piece_bpe_equals_the_library(odd, docs):
+    """Ids and decoded texts of odd and random texts, runs of spaces, long unbroken texts, and of a tiny cache."""
+    rnd = random.Random(5)
+    sp, bpe = piece_library(), piecebpe.PieceBpe.of(P.path("piece_bpe_32k.model"))
+    texts = ODD + [" " * n + "the" + " " * (40 - n) for n in range(40)] + ["▁a ▁", "<s> </s>", "　a", "﻿ab", "😀😀 ok", "梦梦", "\n \nx"]
+    texts += ["".join(rnd.choice("ab '\n\t é日1.!\x1c\x0bthe  ing▁") for _ in range(rnd.randint(1, 60))) for _ in range(1000)]
+    texts += ["".join(rnd.choice("etaoinshrdlu") for _ in range(n)) for n in (5, 300, 100_000)] + [r.text for r in docs.limit(50).collect()]
+    small = piecebpe.PieceBpe(P.path("piece_bpe_32k.model"), limit=20)
+    for text, ids in zip(texts, bpe.encode_all(texts)):
+        assert ids.tolist() == sp.encode(text or "", add_eos=True) and bpe.decode(ids) == sp.decode(ids.tolist())
+    for some in (texts[:30], texts[30:60]):
+        assert [x.tolist() for x in small.encode_all(some)] == [sp.encode(t or "", add_eos=True) for t in some]
+    for _ in range(1000):
+        ids = [rnd.choice([rnd.randrange(32_000), rnd.randrange(3, 259), rnd.randrange(3)]) for _ in range(rnd.randint(1, 12))]
+        assert bpe.decode(np.array(ids)) == sp.decode(ids)
+
+
+def test_piece_bpe_frames(spark, odd, none):
+    model = P.path("piece_bpe_32k.model")
+    back = piecebpe.decode(piecebpe.encode(odd, model), model)
+    assert sorted((str(r.doc_id), r.text) for r in back.collect()) == sorted((str(r.doc_id), r.text or "") for r in odd.collect())
+    assert piecebpe.round_trip(none, model).count() == 0
+    for r in piecebpe.round_trip(odd, model).join(odd.dropDuplicates(["doc_id", "text"]), "doc_id").where("doc_id <> 3 AND doc_id < 1000").collect():
+        ids = piece_library().encode(r.text or "", add_eos=True)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
