@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sessionloom.llm import bbpe, exact, html_main, langid, media, minhash, packing, piecebpe, quality, queries, sepscan, tokens_orc
+from sessionloom.llm import bbpe, exact, hardneg, html_main, langid, media, minhash, packing, piecebpe, quality, queries, sepscan, tokens_orc
 from sessionloom.llm.common import WordIds, bounded_sample, slices, without_duplicates
 
 SF = "/root/testdata/sf0.001"
@@ -648,3 +648,53 @@ def test_piece_bpe_frames(spark, odd, none):
     for r in piecebpe.round_trip(odd, model).join(odd.dropDuplicates(["doc_id", "text"]), "doc_id").where("doc_id <> 3 AND doc_id < 1000").collect():
         ids = piece_library().encode(r.text or "", add_eos=True)
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
+
+
+VEC = "vec_id long, embedding array<float>, label int, row long, vec string"
+
+
+def hard_negatives_by_force(rows, is_anchor, positives=5, negatives=10):
+    ok = [r for r in rows if r[2] is not None and r[1] is not None and all(x is not None and np.isfinite(x) for x in r[1])]
+    q = [[int(np.floor(256 * float(np.float32(x)))) for x in r[1]] for r in ok]
+    order = lambda x: (-x[0], x[1] is None, x[1] or 0)
+    out = []
+    for i, a in enumerate(ok):
+        if a[0] is None or not is_anchor(a[0]):
+            continue
+        scores = [(sum(x * y for x, y in zip(q[i], q[j])), b[0], b[2], j) for j, b in enumerate(ok) if j != i]
+        for p, pid, *_ in sorted((s for s in scores if s[2] == a[2]), key=order)[:positives]:
+            near = sorted((s for s in scores if s[2] != a[2] and 30 * p <= 100 * s[0] <= 90 * p), key=order)[:negatives]
+            out += [(a[0], pid, k + 1, s[1], p, s[0]) for k, s in enumerate(near)]
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("part_rows, block_rows", [(1 << 17, 1 << 10), (70, 3)])
+def test_hard_negatives_equal_brute_force(spark, part_rows, block_rows):
+    """Clusters, repeated vectors, ids and rows, ties, nulls, non-finite components, short vectors, names that clash."""
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(size=(6, 8))
+    rows = [(i, [float(x) for x in np.float32(centres[i % 6] + 0.2 * rnd.normal(size=8))], int(rnd.integers(3)), i, "x") for i in range(300)]
+    rows += [(300 + i, rows[5][1], i % 2, 0, "x") for i in range(60)] + [rows[10], rows[11], rows[11], rows[12][:2] + (0, 0, None)]
+    rows += [(None, rows[7][1], 1, 0, None), (None, rows[7][1], 2, 0, None), (400, None, 1, 0, ""), (401, rows[0][1], None, 0, ""), (410, [1.0, None], 1, 0, ""), (420, [float("nan")], 1, 0, ""), (430, [float("inf")], 1, 0, ""), (440, [0.5, 0.5], 1, 0, ""), (450, [], 1, 0, ""), (460, [-x for x in rows[0][1]], 0, 0, "")]
+    got = hardneg.hard_negatives(spark.createDataFrame(rows, VEC).repartition(3), F.col("vec_id") % 10 == 0, part_rows=part_rows, block_rows=block_rows)
+    assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    assert sorted(str(tuple(r)) for r in got.collect()) == hard_negatives_by_force(rows, lambda i: i % 10 == 0)
+    assert hardneg.hard_negatives(spark.createDataFrame([], VEC), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_spanning_tree_bounds_spare_most_scores_of_clusters():
+    """Bounds never lose a candidate of the window, and far clusters aren't scored."""
+    rnd = np.random.default_rng(4)
+    centres = rnd.normal(size=(20, 16)) * 300
+    near = lambda n: np.floor(np.repeat(centres, n, axis=0) + rnd.normal(size=(20 * n, 16)))
+    anchors, x = near(5), near(50)
+    order, parent, edge = hardneg.spanning_tree(anchors)
+    assert sorted(order.tolist()) == list(range(100)) and all(p < i for i, p in enumerate(parent))
+    assert all(abs(edge[i] - np.linalg.norm(anchors[order[i]] - anchors[order[p]])) < 1e-6 for i, p in enumerate(parent) if p >= 0)
+    tree = hardneg.Tree(anchors[order], parent, edge)
+    exact = anchors[order] @ x.T
+    low = np.sort(exact, axis=1)[:, -40]
+    s = tree.scores(x, np.sqrt((x**2).sum(axis=1)), low, np.full(100, np.inf))
+    wanted = exact >= low[:, None]
+    assert (s[wanted] == exact[wanted]).all() and (np.isnan(s) | (s == exact)).all()
+    assert tree.skipped > 0.5 * exact.size
