@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sessionloom.llm import bbpe, exact, hardneg, html_main, langid, media, minhash, packing, piecebpe, quality, queries, sepscan, tokens_orc
+from sessionloom.llm import bbpe, dialogue, exact, hardneg, html_main, langid, media, minhash, packing, piecebpe, quality, queries, sepscan, tokens_orc
 from sessionloom.llm.common import WordIds, bounded_sample, slices, without_duplicates
 
 SF = "/root/testdata/sf0.001"
@@ -698,3 +698,125 @@ def test_spanning_tree_bounds_spare_most_scores_of_clusters():
     wanted = exact >= low[:, None]
     assert (s[wanted] == exact[wanted]).all() and (np.isnan(s) | (s == exact)).all()
     assert tree.skipped > 0.5 * exact.size
+
+
+TURN = "conv_id long, turn long, role string, text string, sign string, kind int"
+WHITE = " \t\n\x0b\f\r"
+
+
+def repair_by_force(rows):
+    """Report of one conversation's rows (turn, role, text), which are damaged already, by comparing whole audits."""
+    rows = sorted(((t, " " if r is None else r, " " if x is None else x) for t, r, x in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), hashlib.sha256(r[2].encode()).hexdigest()))
+    seen, faults = set(), []
+    for _, role, text in rows:
+        bare = text.rstrip(WHITE)
+        faults.append("blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else "")
+        seen.add((role, text))
+    grammar = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    inf = (10**9, "")
+    best = {(len(rows), q): min([(0, "")] if q in (0, 3) else [inf]) for q in range(4)}
+    for i in range(len(rows), -1, -1):
+        if i < len(rows):
+            (_, role, _), fault = rows[i], faults[i]
+            for q in range(4):
+                some = [(2 + best[i + 1, q][0], "D" + best[i + 1, q][1])]
+                if fault in ("", "truncated"):
+                    for letter, cost, initial in [("K", 0, role[:1]), ("R", 1, "u"), ("R", 1, "a")]:
+                        if (q, initial) in grammar:
+                            c, a = best[i + 1, grammar[q, initial]]
+                            some.append((cost + 5 * (fault == "truncated") + c, letter + a))
+                best[i, q] = min(some)
+        for _ in range(4):
+            for (q, initial), to in grammar.items():
+                if initial != "s":
+                    best[i, q] = min(best[i, q], (5 + best[i, to][0], "I" + best[i, to][1]))
+    cost, audit = best[0, 0]
+    q, at, lines = 0, 0, []
+    for letter in audit:
+        want = "a" if q == 2 else "u"
+        if letter == "I":
+            lines.append({"u": "user:", "a": "assistant:"}[want])
+            q = grammar[q, want]
+            continue
+        _, role, text = rows[at]
+        at += 1
+        if letter != "D":
+            role = role if letter == "K" else {"u": "user", "a": "assistant"}[want]
+            lines.append(f"{role}:{text}")
+            q = grammar[q, role[:1]]
+    turns = [t for t, *_ in rows if t is not None]
+    initials = [r[1][:1] for r in rows]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+    return gaps, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest(), lines
+
+
+def odd_turns():
+    rnd = random.Random(11)
+    rows = []
+    for conv in [*range(250), None]:
+        for turn in range(rnd.randint(1, 12)):
+            text = rnd.choice(["", " \n", "ok.", "why?", "yes! ", "cut", "cut \t", None, f"t{turn}.", "é…", " ."])
+            rows.append((conv, rnd.choice([turn, turn, turn, None, turn + 3, -turn]), rnd.choice(["user", "assistant", "user", "assistant", "system", "tool", None, "", "User", "s"]), text, "x", 9))
+    rows += rows[:40] + [(7, 1, "user", "again and again", "x", 1)] * 200
+    rows += [(1000, i, "user" if i % 2 else "assistant", f"line {i}" + "." * (i % 3), "", 0) for i in range(3000)]
+    return rows
+
+
+def test_conversation_repair_equals_brute_force(spark):
+    """Ties, null and repeated turns, other roles, null ids, long conversations, conversations without rows, clashing names."""
+    rows = odd_turns()
+    convs = defaultdict(list)
+    for conv, turn, role, text, *_ in rows:
+        convs[conv].append((turn, role, text))
+    ids = spark.createDataFrame([(c,) for c in [*convs, 5000]], "conv_id long")
+    turns = spark.createDataFrame(rows, TURN).repartition(5)
+    got = {r.conv_id: tuple(r)[1:] for r in dialogue.repair_report(turns, ids).collect()}
+    assert got.pop(5000) == (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+    assert got == {c: repair_by_force(x)[:-1] for c, x in convs.items()}
+    assert len({x[6] for x in got.values()}) > 50  # rows are never inserted: deleting a neighbour is cheaper
+    lines = defaultdict(list)
+    for r in dialogue.repaired_turns(turns).orderBy("conv_id", "position").collect():
+        lines[r.conv_id].append(f"{r.role}:{r.text}")
+    assert {c: x for c, x in lines.items()} == {c: y for c, x in convs.items() if (y := repair_by_force(x)[-1])}
+    none = spark.createDataFrame([], TURN)
+    assert dialogue.repair_report(none).count() == dialogue.repaired_turns(none).count() == dialogue.repair_report(dialogue.damaged(none), none).count() == 0
+
+
+def test_suffixes_are_shared_and_blocks_agree_with_whole_conversations(monkeypatch):
+    """Blocks and pieces of any size, and an automaton that is emptied often, give the same report."""
+    rnd = random.Random(12)
+    whole = dialogue.Suffixes()
+    words = ["".join(chr(65 + rnd.randrange(16)) for _ in range(rnd.randint(1, 9))) for _ in range(3000)]
+    for w in words:
+        whole.nodes(w, None)
+    assert len(whole.ahead) == len({w[i:] for w in words for i in range(len(w))}) + 1
+    small = dialogue.Suffixes(limit=10)
+    long = "".join(chr(65 + rnd.randrange(16)) for _ in range(500))
+    monkeypatch.setattr(dialogue, "PIECE", 1000)
+    at = whole.nodes(long, None)[0][0]
+    for piece in (1, 7, 32):
+        monkeypatch.setattr(dialogue, "PIECE", piece)
+        for q in range(4):
+            state, audit, spent = q, "", 0
+            costs, cuts = None, []
+            for start in range(len(long) - 50, -1, -50):
+                cuts.append((long[start : start + 50], costs))
+                costs = small.nodes(long[start : start + 50], costs)[1]
+            for signs, after in reversed(cuts):
+                for node in small.nodes(signs, after)[0]:
+                    audit, spent, state = audit + small.audit[node][state], spent + small.spent[node][state], small.final[node][state]
+            assert (audit, spent) == (whole.audit[at][q], whole.spent[at][q])
+
+
+def test_damage_is_by_the_checksum_of_conversation_and_turn(spark):
+    rows = [(c, t, "assistant", f"a. b! {c}?", "", 0) for c in range(40) for t in range(9)] + [(None, None, None, None, None, None), (3, None, None, None, None, None)]
+    got = sorted(map(str, dialogue.damaged(spark.createDataFrame(rows, TURN)).collect()))
+    want = []
+    for c, t, role, text, *_ in rows:
+        d = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        role, text = role or " ", text or " "
+        if d:
+            out = f"Row(conv_id={c}, turn={t}, role={('user' if d == 4 else role)!r}, text={('' if d == 1 else re.sub('[.!?]', '', text) if d == 2 else text)!r})"
+            want += [out] * (2 if d == 3 else 1)
+    assert got == sorted(want)
