@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 # Severities in order, and the catalog of codes with severity and hint.
 SEVERITIES = ["error", "warning", "info"]
 CATALOG = [
@@ -73,7 +75,27 @@ def unparsed_sample(messages: DataFrame, most: int = 240) -> DataFrame:
     return messages.where("NOT recognised").groupBy("session_id").agg(F.min_by(flat, "ord").alias("sample"), F.count("*").alias("n"))
 
 
-def constraint_violations(table: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:
-    """(key, rule) of rows for which a rule, a SQL condition, is false; unknown is a violation too. (QA-10)"""
-    found = F.array_compact(F.array(*[F.when(~F.coalesce(F.expr(c), F.lit(False)), F.lit(name)) for name, c in rules.items()]))
+def constraint_violations(table: DataFrame, key: str, rules: dict[str, str], counters: Observation | None = None) -> DataFrame:
+    """(key, rule) of rows for which a rule, a SQL condition, is false; unknown is a violation too. (QA-10)
+
+    ``counters``, if given, has the number of rows and of violations of each
+    rule once the result has been computed, from the same pass.
+    """
+    broken = {name: ~F.coalesce(F.expr(c), F.lit(False)) for name, c in rules.items()}
+    if counters is not None:
+        table = table.observe(counters, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(name) for name, c in broken.items()])
+    found = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in broken.items()]))
     return table.select(key, F.explode(found).alias("rule"))
+
+
+def observed_counts(violations: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """(column, n): how often each of ``names`` occurs, counted while ``violations`` are written. (QA-10)
+
+    The written table can be read from ``scratch_path`` of the result; names
+    that don't occur are left out.
+    """
+    counters = Observation()
+    written = materialise(violations.observe(counters, *[F.count_if(F.col(column) == name).alias(name) for name in names]), "violations")
+    out = violations.sparkSession.createDataFrame([(name, n) for name, n in counters.get.items() if n], f"{column} string, n long")
+    out.scratch_path = written.scratch_path
+    return out

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..operators import alignment as al
 from ..operators import ledger as lg
 from ..operators import quality as qa
-from ..session import ship_package
+from ..session import materialise, ship_package
 from . import adapters as ad
 
 Q, S = {}, {}
@@ -225,6 +226,14 @@ def _(spark, sf):
     return qa.constraint_violations(ad.table(spark, sf, "orders"), "o_orderkey", RULES)
 
 
+@query("qa10_counters", "SELECT 'rows' AS rule, count(*) AS n FROM orders UNION ALL " + " UNION ALL ".join(f"SELECT '{n}', count(*) FILTER (NOT coalesce({c}, false)) FROM orders" for n, c in RULES.items()))
+def _(spark, sf):
+    """Rows and violations, counted by the pass that writes the violations."""
+    counters = Observation()
+    materialise(qa.constraint_violations(ad.table(spark, sf, "orders"), "o_orderkey", RULES, counters), "violations")
+    return spark.createDataFrame(list(counters.get.items()), "rule string, n long")
+
+
 # The ledger.
 @query("lg01_upsert_sessions", "WITH a AS (SELECT c_custkey AS session_id, c_name AS title, c_acctbal AS created_at FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT c_custkey AS session_id, upper(c_name) AS title, -1.0 AS created_at FROM customer WHERE c_custkey % 2 = 0) SELECT session_id, coalesce(b.title, a.title) AS title, coalesce(a.created_at, b.created_at)::DOUBLE AS created_at FROM a FULL JOIN b USING (session_id)")
 def _(spark, sf):

@@ -275,8 +275,15 @@ def test_samples_and_folds(spark):
     assert report.first().message == "need 8 more labels"
 
 
+EVENT = "session_id long, ord long, id string, kind string, t_start_s double, t_end_s double, player_id string, character_id string, character_display string, is_npc boolean, is_dm boolean, confidence double, text string, mode string, rolls array<struct<roll_id:long,kind:string>>, utterances array<string>"
+
+
+def event(session, ord_, kind="speech", start=0.0, end=0.0, player=None, character=None, name=None, text=None, mode=None, rolls=(), npc=False, dm=False):
+    return (session, ord_, f"e_{ord_}", kind, float(start), float(end), player, character, name, npc, dm, 1.0, text, mode, [(i, k) for i, k in rolls], [])
+
+
 def test_beats_conserve_events(spark):
-    events = spark.createDataFrame([(s, i, f"s{i}", "speech" if i % 4 else "gap", float(i * 10), float(i * 10 + 9), f"p{i % 3}", None, "the thing", None, None, None) for s in (1, 2) for i in range(40)], "session_id long, ord long, id string, kind string, t_start_s double, t_end_s double, player_id string, character_id string, text string, roll_kind string, total long, marker string")
+    events = spark.createDataFrame([event(s, i + 1, "speech" if i % 4 else "gap", i * 10, i * 10 + 9, f"p{i % 3}", text="the thing") for s in (1, 2) for i in range(40)], EVENT)
     scored = tl.boundary_signals(events, ["thing"])
     bounds = tl.session_bounds(events, events.select("session_id", F.lit(0.0).alias("duration_s")).distinct())
     cuts = tl.merge_short(events, tl.pick_peaks(tl.boundary_candidates(scored), bounds), 40.0)
@@ -288,18 +295,78 @@ def test_beats_conserve_events(spark):
     assert sorted(map(tuple, alone.select("id", "beat").collect())) == sorted(map(tuple, beats.where("session_id = 1").select("id", "beat").collect()))
 
 
+def test_peaks_keep_their_distance(spark):
+    """The same as comparing each candidate with all that are taken, scores that tie and negative times included."""
+    rnd = random.Random(8)
+    rows = [(s, i, rnd.uniform(-50, 900), float(rnd.randrange(6))) for s in (1, 2, 3) for i in range(200)]
+    bounds = spark.createDataFrame([(s, -20.0, 880.0) for s in (1, 2, 3)], "session_id long, start_s double, end_s double")
+    got = tl.pick_peaks(spark.createDataFrame(rows, "session_id long, ord long, t_start_s double, score double").repartition(3), bounds, 25.0)
+    want = []
+    for s in (1, 2, 3):
+        taken = []
+        for _, i, t, _ in sorted((r for r in rows if r[0] == s), key=lambda r: (-r[3], r[1])):
+            if t + 20 >= 25 and 880 - t >= 25 and all(abs(t - x) >= 25 for x in taken):
+                taken.append(t)
+                want.append((s, i, t))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_beats_count_rolls_in_speech_and_classify(spark):
+    """Each class, rolls of speech, dominant characters, titles and their numbers, words across events."""
+    talk = lambda s, n, *rows: [event(s, i + 1, **r) for i, r in enumerate(rows)]
+    ic = dict(mode="in_character")
+    rows = [
+        *talk(1, 0, dict(start=0, end=4, character="b", name="Bo", rolls=[(1, "attack"), (2, "check")], **ic), dict(kind="roll", start=5, end=5, rolls=[(3, "other")])),
+        *talk(2, 0, dict(start=0, end=4, character="b", name="Bo", text="as PREVIOUSLY told", **ic)),
+        *talk(3, 0, dict(start=0, end=4, character="b", name="Bo", mode="non_speech"), dict(start=4, end=5, text="my character", **ic), dict(start=5, end=6, text="sheet", **ic)),
+        *talk(4, 0, dict(start=0, end=4, text="we prepare", **ic)),
+        *talk(5, 0, dict(start=0, end=1, character="b", name="Bo", **ic), dict(start=1, end=9, character="a", name="Al", mode="narration"), dict(start=9, end=9, kind="gap")),
+        *talk(6, 0, dict(start=0, end=1, text="to the old mill", **ic)),
+        *talk(7, 0, dict(kind="combat_end", start=0, end=0)),
+        *talk(8, 0, dict(start=0, end=1, text="character", mode="in_character"), dict(start=1, end=2, text="sheet", mode="in_character")),
+    ]
+    assigned = spark.createDataFrame(rows, EVENT).withColumn("beat", F.lit(1).cast("long"))
+    got = {r.session_id: r for r in tl.beats(assigned, ["Mill"]).collect()}
+    assert {s: r.kind for s, r in got.items()} == {1: "combat", 2: "recap", 3: "table", 4: "planning", 5: "social", 6: "exploration", 7: "combat", 8: "table"}
+    assert (got[1].n_attack, got[1].n_check, got[1].n_other, got[1].n_events) == (1, 1, 1, 2)
+    assert (got[5].participants, got[5].dominant, got[5].title, got[5].ratio, got[5].t_end_s) == (["a", "b"], ["a", "b"], "social: Al + Bo", round(1 / 9, 6), 9.0)
+    assert got[6].title == "exploration: Mill" and got[7].title == "combat: segment 1" and got[3].participants == ["b"]
+    twice = spark.createDataFrame([event(1, 1, text="mill"), event(1, 2, text="the mill")], EVENT).withColumn("beat", F.col("ord"))
+    assert sorted(r.title for r in tl.beats(twice, ["mill"]).collect()) == ["exploration: mill", "exploration: mill (2)"]
+
+
+def test_density_and_fresh_terms(spark):
+    """Density counts rolls in speech, both ways from the mean, by the window's length, and is 0 without events before; a term is new once it is four events old."""
+    counts = [0, 0, 3, 1, 0, 0]
+    rows = [event(1, i + 1, start=i, end=i, rolls=[(10 * i + k, "check") for k in range(n)], text=t) for i, (n, t) in enumerate(zip(counts, ["the", "Mill", "", "old mill", "", "mill"]))]
+    got = {r.ord: r for r in tl.boundary_signals(spark.createDataFrame(rows, EVENT), ["mill"]).collect()}
+
+    def cusum(i):
+        left, right = counts[max(0, i - 4) : i], counts[i : i + 4]
+        if not left:
+            return 0.0
+        run = top = 0.0
+        for x in right:
+            run = max(0.0, run + abs(x - sum(left) / len(left)) - 0.1)
+            top = max(top, run)
+        return min(1.0, top / len(right)) * 3
+
+    assert [round(got[i + 1].density, 9) for i in range(6)] == [round(cusum(i), 9) for i in range(6)]
+    assert [got[i + 1].glossary for i in range(6)] == [0, 2, 0, 0, 0, 0]
+
+
 @pytest.mark.parametrize("spans, kept", [
     ([(0, 5, "speech"), (5, 20, "speech"), (20, 40, "speech")], [0, 2]),  # the first joins the one after
     ([(0, 20, "speech"), (20, 23, "speech"), (23, 40, "speech")], [0, 2]),  # others the one before
-    ([(0, 20, "speech"), (20, 20, "started"), (20, 40, "speech")], [0, 1]),  # a start of combat opens what follows
-    ([(0, 20, "speech"), (20, 20, "ended"), (20, 40, "speech")], [0, 2]),
-    ([(0, 20, "speech"), (20, 22, "started")], [0]),  # the last has none after
+    ([(0, 20, "speech"), (20, 20, "combat_start"), (20, 40, "speech")], [0, 1]),  # a start of combat opens what follows
+    ([(0, 20, "speech"), (20, 20, "combat_end"), (20, 40, "speech")], [0, 2]),
+    ([(0, 0, "session_start"), (0, 20, "speech"), (20, 40, "speech")], [0, 2]),
+    ([(0, 20, "speech"), (20, 22, "combat_start")], [0]),  # the last has none after
     ([(0, 2, "speech"), (2, 4, "speech"), (4, 6, "speech")], [0]),
-    ([(0, 20, "speech"), (20, 22, "started"), (22, 25, "speech"), (25, 40, "speech")], [0, 1]),
+    ([(0, 20, "speech"), (20, 22, "combat_start"), (22, 25, "speech"), (25, 40, "speech")], [0, 1]),
 ])
 def test_short_spans_join_a_neighbour(spark, spans, kept):
-    rows = [(1, i, float(a), float(b), "speech" if m == "speech" else "turnorder", None if m == "speech" else m) for i, (a, b, m) in enumerate(spans)]
-    events = spark.createDataFrame(rows, "session_id long, ord long, t_start_s double, t_end_s double, kind string, marker string")
+    events = spark.createDataFrame([(1, i, float(a), float(b), m) for i, (a, b, m) in enumerate(spans)], "session_id long, ord long, t_start_s double, t_end_s double, kind string")
     cuts = events.where("ord > 0").select("session_id", "ord", "t_start_s")
     assert sorted(r.ord for r in tl.merge_short(events, cuts, 10.0).collect()) == kept[1:]
 
@@ -308,12 +375,46 @@ def test_speech_events_and_standalone_rolls(spark):
     df = spark.createDataFrame
     speech = df([(1, "u1", "p", 1.0, 2.0, "hi"), (1, "u2", "q", 3.0, 4.0, "ho"), (2, "u1", "p", 1.0, 2.0, "x")], "session_id long, utt_id string, player_id string, start_s double, end_s double, text string")
     attributions = df([(1, "u1", "in_character", "npc_a", 1.5), (2, "u1", "uncertain", None, -1.0)], "session_id long, utt_id string, mode string, character_id string, confidence double")
-    players, characters = df([("p", "Pia", True)], "player_id string, display_name string, is_dm boolean"), df([("npc_a", "Ann")], "character_id string, name string")
-    rolls = df([(1, i, 9 - i, float(i)) for i in range(5)], "session_id long, roll_id long, seq long, t_s double")
+    players, characters = df([("p", "Pia", True)], "player_id string, display_name string, is_dm boolean"), df([("npc_a", "Ann", True)], "character_id string, name string, is_npc boolean")
+    rolls = df([(1, i, 9 - i, float(i), "check", "p") for i in range(5)], "session_id long, roll_id long, seq long, t_s double, kind string, who string")
     anchors = df([(1, 0, "u1", "matched", 0.0), (1, 1, "u1", "matched", 0.0), (1, 2, None, "interpolated", 4.0), (1, 3, None, "order_only", 40.0)], "session_id long, roll_id long, matched_utt_id string, anchor string, uncertainty_s double")
-    got = {(r.session_id, r.utt_id): (r.mode, r.character_display, r.speaker_display, r.is_dm, r.confidence, r.rolls) for r in tl.speech_events(speech, attributions, players, characters, rolls, anchors).collect()}
+    got = {(r.session_id, r.utt_id): (r.mode, r.character_display, r.speaker_display, r.is_dm, r.confidence, [x.roll_id for x in r.rolls]) for r in tl.speech_events(speech, attributions, players, characters, rolls, anchors).collect()}
     assert got == {(1, "u1"): ("in_character", "Ann", "Pia", True, 1.0, [1, 0]), (1, "u2"): (None, None, None, False, 1.0, []), (2, "u1"): ("uncertain", None, "Pia", True, 0.0, [])}
-    assert {r.roll_id: r.confidence for r in tl.standalone_rolls(rolls, anchors).collect()} == {2: 0.6, 3: 0.0}
+    alone = tl.standalone_rolls(rolls, anchors)
+    assert {r.roll_id: r.confidence for r in alone.collect()} == {2: 0.6, 3: 0.0}
+    turns = df([(1, 4, 0.0, "started"), (1, 5, 9.0, "ended"), (1, 6, 9.5, "changed")], "session_id long, seq long, t_s double, marker string")
+    chat = df([(1, "c", 1.0, None, "hm", 7.0)], "session_id long, chat_id string, t_start_s double, t_end_s double, text string, confidence double")
+    bounds = tl.session_bounds(speech.select("session_id", F.col("end_s").alias("t_end_s")), df([(2, 60.0)], "session_id long, duration_s double"))
+    events = tl.event_union(tl.speech_events(speech, attributions, players, characters, rolls, anchors), alone, turns, tl.gaps(speech, ends=bounds), bounds, chat)
+    order = ["e_combat_start_4", "e_session_start", "e_chat_c", "e_speech_u1", "e_roll_2", "e_roll_3", "e_speech_u2", "e_session_end", "e_combat_end_5", "e_turnorder_6"]
+    assert [r.id for r in events.where("session_id = 1").orderBy("ord").collect()] == order
+    assert [r.id for r in events.where("session_id = 2 AND kind = 'gap'").collect()] == ["e_gap_1jk_1aao_0"]
+    assert sorted(x.roll_id for r in events.collect() for x in r.rolls) == [0, 1, 2, 3]
+    assert tl.timeline_violations(events, speech, rolls, anchors).count() == 0
+    assert [r.id for r in tl.rolls_in_window(events.where("session_id = 1"), 1.5, 2.5).orderBy("ord").collect()] == ["e_speech_u1", "e_roll_2"]
+    assert [r.id for r in tl.events_for(events, df([(1, "npc_a"), (1, "npc_a"), (2, "npc_a")], "session_id long, character_id string")).collect()] == ["e_speech_u1"]
+
+
+def test_timeline_rules(spark):
+    """Each rule finds what breaks it, and the counters of the same pass agree."""
+    df = spark.createDataFrame
+    rows = [list(event(1, i, start=i, end=i + 1)) for i in range(1, 9)]
+    rows[1][2] = rows[2][2]
+    rows[3][2] = "s:4"
+    rows[4][5] = 0.0
+    rows[5][4:6] = [1.0, 2.0]
+    for i, c in ((0, None), (1, float("nan")), (6, -0.1), (7, 1.1)):
+        rows[i][11] = c
+    rows[7][14], rows[7][15] = [(1, "check"), (9, "check")], ["u1", "u9"]
+    speech, rolls = df([(1, "u1")], "session_id long, utt_id string"), df([(1, 1), (1, 2)], "session_id long, roll_id long")
+    anchors = df([(1, 1, "u1"), (1, 2, None), (1, 2, "u7"), (1, 5, None)], "session_id long, roll_id long, matched_utt_id string")
+    bad = tl.timeline_violations(df([tuple(r) for r in rows], EVENT), speech, rolls, anchors)
+    want = {"duplicate_id": ["e_3", "e_3"], "bad_id": ["s:4"], "bad_confidence": ["e_1", "e_3", "e_7", "e_8"], "negative_length": ["e_5"], "out_of_order": ["e_6"], "missing_utterance": ["e_8"], "missing_roll": ["e_8"], "several_anchors": ["2"], "anchor_without_roll": ["5"], "anchor_without_utterance": ["2"]}
+    got = {}
+    for r in bad.collect():
+        got.setdefault(r.rule, []).append(r.id)
+    assert {k: sorted(v) for k, v in got.items()} == want and set(want) == set(tl.EVENT_RULES)
+    assert {r.rule: r.n for r in qa.observed_counts(bad, "rule", tl.EVENT_RULES).collect()} == {k: len(v) for k, v in want.items()}
 
 
 def test_encounters(spark):
