@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import identity as idn
 from ..session import scratch_path, ship_package
 from ..sources import capture as cp
 from ..streaming import live
@@ -264,23 +265,43 @@ def _(spark, sf):
     return cp.read_active(spark, path, "n_nationkey int, n_name string")
 
 
+HELD_BACK = "CASE WHEN event_id % 10 = 0 THEN 3 ELSE least(2, 3 * (unix_micros(ts) - lo) / (hi - lo + 1)) END"
+
+
 # Streams: the events in slices of a file source, run to their end.
-def _stream(spark, sf):
+def _stream(spark, sf, slice_of="least(3, 4 * (unix_micros(ts) - lo) / (hi - lo + 1))"):
+    """Events in four slices, by time unless told otherwise; a slice is a batch, as its files are newer than those before."""
     e = _events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    path = scratch_path(spark, "slices")
+    path, staged = scratch_path(spark, "slices"), scratch_path(spark, "staged")
     span = e.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi"))
-    cut = e.crossJoin(F.broadcast(span)).withColumn("_s", F.expr("CAST(least(3, 4 * (unix_micros(ts) - lo) / (hi - lo + 1)) AS INT)"))
     files = max(4, spark.sparkContext.defaultParallelism)
-    for k in range(4):  # files of later slices are newer, and so are read later
-        cut.where(F.col("_s") == k).select(*e.columns).repartition(files).write.mode("append").parquet(path)
+    cut = e.crossJoin(F.broadcast(span)).withColumn("_s", F.expr(f"CAST({slice_of} AS INT)"))
+    cut.select(*e.columns, "_s").write.partitionBy("_s").parquet(staged)
+    sliced = spark.read.parquet(staged)
+    for k in range(4):  # each reads its own folder
+        sliced.where(F.col("_s") == k).drop("_s").repartition(files).write.mode("append").parquet(path)
     return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-@query("st01_live_upsert", "SELECT user_id, count(DISTINCT event_id % 50) AS n, min(event_id) AS first_id FROM events GROUP BY 1")
+def _messages(stream):
+    """Renderings of 50 messages a user; one in seven has no id."""
+    return stream.selectExpr("user_id AS game", "CASE WHEN event_id % 7 <> 0 THEN CAST(event_id % 50 AS STRING) WHEN event_id % 2 = 0 THEN '' END AS id", "concat('w', event_id % 3) AS who", "concat('t', event_id % 5) AS text", "event_type AS markup", "event_id AS seq", "ts")
+
+
+RENDERED = """m AS (SELECT user_id AS game, 'w' || (event_id % 3) AS who, 't' || (event_id % 5) AS text, event_type AS markup, event_id AS seq, ts,
+CASE WHEN event_id % 7 <> 0 THEN 'id:' || (event_id % 50) ELSE 'fingerprint:' || sha256(event_type || chr(0) || 't' || (event_id % 5) || chr(0) || 'w' || (event_id % 3)) END AS key FROM events)"""
+
+
+@query("st01_live_upsert", f"WITH {RENDERED} SELECT game, key, arg_min(seq, (ts, seq)) AS first_seq, min(ts) AS first_at, max(ts) AS last_at, arg_max(who, (ts, seq)) AS who, arg_max(text, (ts, seq)) AS text, arg_max(markup, (ts, seq)) AS markup, count(*) AS version FROM m GROUP BY game, key")
 def _(spark, sf):
-    out = live.run_to_end(live.upsert(_stream(spark, sf).withColumn("key", F.concat_ws(":", "user_id", F.col("event_id") % 50)), "key", "ts"), "update")
-    latest = live.latest_rows(out, "key", "version")
-    return latest.groupBy(F.split("key", ":")[0].cast("long").alias("user_id")).agg(F.count("*").alias("n"), F.min("first_id").alias("first_id"))
+    out = live.run_to_end(live.upsert(_messages(_stream(spark, sf)), "100 days"), "update").drop("batch")
+    latest = live.latest_rows(out.withColumn("_k", F.struct("game", "key")), "_k", "version").drop("_k")
+    return latest.withColumn("first_at", F.col("first_at").cast("timestamp_ntz")).withColumn("last_at", F.col("last_at").cast("timestamp_ntz"))
+
+
+@query("st01_first_renderings", f"WITH {RENDERED} SELECT game, key, count(*) AS n FROM (SELECT DISTINCT game, key FROM m) GROUP BY game, key")
+def _(spark, sf):
+    return live.run_to_end(live.first_renderings(_messages(_stream(spark, sf)), "100 days"), "append").groupBy("game", "key").agg(F.count("*").alias("n"))
 
 
 @query("st02_order_changes", "WITH e AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT user_id, event_id, event_type FROM e WHERE b IS NULL OR b <> event_type")
@@ -288,7 +309,13 @@ def _(spark, sf):
     return live.changes(_events(spark, sf), ["user_id"], ["ts", "event_id"], "event_type").select("user_id", "event_id", "event_type")
 
 
-query("st02_order_changes_stream", S["st02_order_changes"])(lambda spark, sf: live.run_to_end(live.change_stream(_stream(spark, sf)), "append"))
+#: Rows that the last watermark has passed.
+PASSED = "ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM events)"
+
+
+@query("st02_order_changes_stream", f"WITH e AS (SELECT ts, user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT user_id, event_id, event_type FROM e WHERE (b IS NULL OR b <> event_type) AND {PASSED}")
+def _(spark, sf):
+    return live.run_to_end(live.change_stream(_stream(spark, sf), "user_id", "event_id", "event_type", "ts"), "append")
 
 
 @query("st03_retention", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 40")
@@ -296,6 +323,13 @@ def _(spark, sf):
     return live.retained(_events(spark, sf), ["user_id"], ["ts", "event_id"], 40).select("user_id", "event_id")
 
 
+@query("st03_retention_stream", S["st03_retention"])
+def _(spark, sf):
+    """Rows come in any order: every tenth is held back to the last batch."""
+    out = live.run_to_end(live.retention_stream(_stream(spark, sf, HELD_BACK), "user_id", "event_id", "ts", 40), "update")
+    return live.still_retained(out, "user_id", "event_id")
+
+
 @query("st04_replay", "WITH e AS (SELECT user_id, event_id AS sequence, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events), b AS (SELECT * FROM e WHERE r <= 20), c AS (SELECT user_id, min(sequence) AS lo FROM b GROUP BY 1) SELECT b.user_id, sequence, 5000 < lo - 1 AS truncated FROM b JOIN c USING (user_id) WHERE sequence > 5000")
 def _(spark, sf):
     return live.replay(_events(spark, sf).selectExpr("user_id", "event_id AS sequence"), ["user_id"], 5000, 20)
@@ -318,3 +352,26 @@ def _(spark, sf):
 def _(spark, sf):
     dim = ad.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("user_id"), "n_name")
     return live.run_to_end(_stream(spark, sf).join(dim, "user_id", "left").select("event_id", F.coalesce("n_name", F.lit("")).alias("n_name")), "append")
+
+
+@query("st05_combat_markers_stream", f"WITH t AS (SELECT ts, user_id, event_id, CASE WHEN event_id % 4 < 2 THEN 0 ELSE event_id % 4 END AS entries FROM events WHERE event_type <> 'error'), m AS (SELECT *, coalesce(lag(entries > 0) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS was FROM t) SELECT user_id, event_id, entries, CASE WHEN entries > 0 AND NOT was THEN 'started' WHEN entries = 0 AND was THEN 'ended' ELSE 'changed' END AS marker FROM m WHERE ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM events WHERE event_type <> 'error')")
+def _(spark, sf):
+    t = _stream(spark, sf).where("event_type <> 'error'").withColumn("entries", F.expr("CASE WHEN event_id % 4 < 2 THEN 0 ELSE event_id % 4 END"))
+    return live.run_to_end(live.marker_stream(t, "user_id", "event_id", "entries", "ts"), "append")
+
+
+@query("st05_identity_stream", "WITH p AS (SELECT lower(n_name) AS key, 'pl_' || n_nationkey AS player_id FROM nation) SELECT event_id, coalesce(player_id, '') AS player_id FROM events LEFT JOIN nation ON user_id % 40 = n_nationkey LEFT JOIN p ON key = lower(n_name)")
+def _(spark, sf):
+    """Names of a stream, in capitals and with a number, looked up as in ID-04."""
+    n = ad.table(spark, sf, "nation")
+    players = n.selectExpr("concat('pl_', n_nationkey) AS player_id", "n_name AS username", "n_name AS display_name", "CAST(NULL AS STRING) AS account")
+    names = n.selectExpr("CAST(n_nationkey AS LONG) AS _n", "concat(' ', n_name, '#1234') AS name")
+    named = _stream(spark, sf).withColumn("_n", F.expr("user_id % 40")).join(F.broadcast(names), "_n", "left").select("event_id", "name")
+    return live.run_to_end(idn.exact_lookup(named, players, "user").select("event_id", F.coalesce("player_id", F.lit("")).alias("player_id")), "append")
+
+
+@query("st05_late_rows", "WITH b AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events), w AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY AS mark FROM events, b WHERE event_id % 10 <> 0 AND 3 * (epoch_us(ts) - lo) / (hi - lo + 1) < 2), x AS (SELECT event_id % 10 = 0 AND time_bucket(INTERVAL '6 hours', ts) + INTERVAL 6 HOUR <= mark AS late FROM events, w) SELECT count(*) AS \"rows\", count(*) FILTER (late) AS late, count(*) FILTER (NOT late) AS counted FROM x")
+def _(spark, sf):
+    """Every tenth row is held back to the last batch; what is late there goes by the watermark that the batch before ended with windows by."""
+    counts, rows, late = live.windowed_counts_and_late(_stream(spark, sf, HELD_BACK), "ts", "event_type", "6 hours")
+    return counts.agg(F.lit(rows).cast("long").alias("rows"), F.lit(late).cast("long").alias("late"), F.sum("n").alias("counted"))
