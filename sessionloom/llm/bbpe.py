@@ -4,10 +4,13 @@ The distinct pre-tokens of a batch become rows of padded id matrices, one for
 each length bucket. In every round each unfinished row merges its leftmost
 pair of least rank, found in a hash table of mergeable pairs, and the matrix is
 compacted by the merged cell; a row leaves when none of its pairs is mergeable.
-A very long row has a matrix of its own and merges all its pairs of the least
-rank in one round, where that gives the same ids, so that its rounds are
-bounded by the vocabulary and not by its length. A bounded cache of words keeps
-what a worker has encoded.
+A long pre-token is cut into rows of one width. Ids are right where each two
+neighbours come out of merging just the two of them, so a seam is a row too:
+the last ids before it and the first after it, merged as one text, and spliced
+in from an id that they share with the row before to one that they share with
+the row after. Where there is no such id, short rows follow one another from
+the last sure id until they meet one. All of it is linear in the length.
+Bounded caches keep what a worker has encoded.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 #: White space as the Rust regex library has it: the White_Space property.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NONE = np.int32(2**31 - 1)
-#: Longer pre-tokens are rows of their own, as with one merge a round rows cost their length squared.
-ROW_BYTES = 768
+#: Longer pre-tokens are cut into rows of half so many bytes, as with one merge a round a row costs its length squared.
+ROW_BYTES = 128
+#: Ids on either side of a seam that are merged anew.
+SEAM = 4
 
 
 def with_white(pattern: str) -> str:
@@ -57,10 +62,6 @@ class PairTable:
                     keys.append(a << 32 | b)
                     ids.append(rank)
         keys, ids = np.array(keys, dtype=np.int64), np.array(ids, dtype=np.int32)
-        # whether every pair with this id in it has a higher rank, so that merging one place can't bring a lower rank there
-        self.early = np.ones(max(ranks.values(), default=0) + 1, dtype=bool)
-        for part in (keys >> 32, keys & 0xFFFFFFFF):
-            self.early[part[ids < part]] = False
         self.shift = np.uint64(64 - max(8, int(len(keys) * 3).bit_length()))
         size = 1 << (64 - int(self.shift))
         self.keys, self.ids = np.full(size + 64, -1, dtype=np.int64), np.full(size + 64, NONE, dtype=np.int32)
@@ -106,6 +107,7 @@ class ByteBpe:
             self.tokens[i] = token
         self.decimals = [str(i) for i in range(len(self.tokens))]
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.lengths = np.array([len(t) for t in self.tokens])
         self.limit = limit
         self.words: dict[str, bytes | None] = {}
 
@@ -119,19 +121,90 @@ class ByteBpe:
 
     def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each pre-token."""
-        out: list[np.ndarray] = [np.empty(0, dtype=np.int32)] * len(pieces)
         lengths = np.array([len(p) for p in pieces], dtype=np.int64)
-        for i in np.flatnonzero(lengths > ROW_BYTES):
-            out[i] = self._merge_long_row(pieces[i])
-        short = np.flatnonzero((lengths > 0) & (lengths <= ROW_BYTES))
-        buckets = np.where(lengths[short] <= 16, (lengths[short] + 1) // 2 * 2, 1 << np.ceil(np.log2(np.maximum(lengths[short], 1))).astype(np.int64))
+        long = np.flatnonzero(lengths > ROW_BYTES)
+        if not len(long):
+            return self._merge_matrices(pieces, lengths)
+        short = np.flatnonzero(lengths <= ROW_BYTES)
+        out: list[np.ndarray] = [np.empty(0, dtype=np.int32)] * len(pieces)
+        for i, ids in zip(short.tolist(), self._merge_matrices([pieces[i] for i in short], lengths[short])):
+            out[i] = ids
+        for i in long.tolist():
+            out[i] = self._merge_cut(pieces[i])
+        return out
+
+    def _merge_matrices(self, pieces: list[bytes], lengths: np.ndarray | None = None) -> list[np.ndarray]:
+        lengths = np.array([len(p) for p in pieces], dtype=np.int64) if lengths is None else lengths
+        out: list[np.ndarray] = [np.empty(0, dtype=np.int32)] * len(pieces)
+        some = np.flatnonzero(lengths > 0)
+        buckets = np.where(lengths[some] <= 16, (lengths[some] + 1) // 2 * 2, 1 << np.ceil(np.log2(np.maximum(lengths[some], 1))).astype(np.int64))
         for width in np.unique(buckets):
-            rows = short[buckets == width]
+            rows = some[buckets == width]
             step = max(1, (1 << 21) // int(width))
             for i in range(0, len(rows), step):
                 self._merge_rows(pieces, rows[i : i + step], int(width), lengths, out)
         return out
 
+    def _placed(self, ids: np.ndarray, start: int) -> list[tuple[int, int]]:
+        """(where it begins, id) of each id."""
+        ends = np.cumsum(self.lengths[ids])
+        return list(zip((ends - self.lengths[ids] + start).tolist(), ids.tolist()))
+
+    def _merge_cut(self, piece: bytes) -> np.ndarray:
+        """Ids of a long pre-token: rows of one width, and a row for each seam between two of them."""
+        width = ROW_BYTES // 2
+        starts = range(0, len(piece), width)
+        rows = [self._placed(ids, start) for start, ids in zip(starts, self._merge_matrices([piece[i : i + width] for i in starts]))]
+        spans = [(a[-SEAM:][0][0], b[:SEAM][-1][0] + int(self.lengths[b[:SEAM][-1][1]])) for a, b in zip(rows, rows[1:])]
+        seams = [self._placed(ids, start) for (start, _), ids in zip(spans, self._merge_matrices([piece[a:b] for a, b in spans]))]
+        known = [set(row) for row in rows]
+        out, k = rows[0], 0
+        while k + 1 < len(rows):
+            cut = (k + 1) * width
+            tail = dict.fromkeys(out[-4 * SEAM :])
+            seam = seams[k]
+            left = max((i for i, x in enumerate(seam) if x[0] < cut and x in tail), default=None)
+            right = min((i for i, x in enumerate(seam) if x[0] >= cut and x in known[k + 1]), default=None)
+            if left is None or right is None:
+                k = self._chain(piece, out, known)
+                if k < 0:
+                    break
+            else:
+                while out[-1] != seam[left]:
+                    out.pop()
+                out += seam[left + 1 : right + 1]
+                k += 1
+            # the rest of the row that the last id is part of
+            row = rows[k]
+            out += row[row.index(out[-1]) + 1 :]
+        return np.array([i for _, i in out], dtype=np.int32)
+
+    def _chain(self, piece: bytes, out: list[tuple[int, int]], known: list[set[tuple[int, int]]]) -> int:
+        """Go on from the last sure ids row by row, until an id of one of the rows is met; that row's number, or -1 at the end."""
+        width = ROW_BYTES // 2
+        after = out[-1][0] // width + 1 if out else 0
+        back, size = 2, ROW_BYTES
+        while True:
+            first = out[-back] if len(out) >= back else (0, None)
+            ids = self._placed(self._merge_matrices([piece[first[0] : first[0] + size]])[0], first[0])
+            if first[1] is not None and ids[0] != first:
+                back, size = back + 2, size * 2
+                continue
+            end = first[0] + size >= len(piece)
+            sure = ids if end else ids[: max(2, len(ids) - SEAM)]
+            if not end and len(ids) <= SEAM + 1:
+                size *= 2
+                continue
+            del out[len(out) - back + 1 if first[1] is not None else 0 :]
+            for x in sure[1:] if first[1] is not None else sure:
+                out.append(x)
+                row = x[0] // width
+                if row >= after and x in known[row]:
+                    return row
+            if end:
+                return -1
+            back, size = 2, ROW_BYTES
+
     def _merge_rows(self, pieces: list[bytes], rows: np.ndarray, width: int, lengths: np.ndarray, out: list[np.ndarray]) -> None:
         data = np.frombuffer(b"".join([pieces[i].ljust(width, b"\0") for i in rows]), np.uint8).reshape(len(rows), width)
         size = lengths[rows]
@@ -160,24 +233,6 @@ class ByteBpe:
             rank[left, at[left] - 1] = self.pairs.merged(ids[left, at[left] - 1], ids[left, at[left]])
             rank[right, at[right]] = self.pairs.merged(ids[right, at[right]], ids[right, at[right] + 1])
 
-    def _merge_long_row(self, piece: bytes) -> np.ndarray:
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
-        rank = self.pairs.merged(ids[:-1], ids[1:])
-        while len(rank) and (least := rank.min()) != NONE:
-            if self.pairs.early[least]:
-                at = np.flatnonzero(rank == least)
-                # pairs of one rank that overlap are merged from the left, every other one of a run
-                begins = np.concatenate([[True], np.diff(at) > 1])
-                at = at[(at - at[begins][np.cumsum(begins) - 1]) % 2 == 0]
-            else:
-                at = rank.argmin(keepdims=True)
-            ids[at] = least
-            ids, rank = np.delete(ids, at + 1), np.delete(rank, at)
-            at = at - np.arange(len(at))
-            for side in (at[at > 0] - 1, at[at < len(rank)]):
-                rank[side] = self.pairs.merged(ids[side], ids[side + 1])
-        return ids
-
     def _bytes_of(self, texts: list[str]) -> list[bytes]:
         """Ids of texts, pre-token by pre-token, as little-endian 32-bit integers."""
         cut = [self.pattern.findall(t) for t in texts]
@@ -185,11 +240,12 @@ class ByteBpe:
         ids = dict(zip(distinct, (x.astype("<u4").tobytes() for x in self.merge([p.encode() for p in distinct]))))
         return [b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> dict[str, bytes | None]:
         # a word is kept with the space before it; white space at its ends may belong to a longer run
         plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        self.words.update(dict.fromkeys(words))
-        self.words.update(zip(plain, self._bytes_of([" " + w for w in plain])))
+        out: dict[str, bytes | None] = dict.fromkeys(words)
+        out.update(zip(plain, self._bytes_of([" " + w for w in plain])))
+        return out
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text; null counts as empty.
@@ -207,7 +263,7 @@ class ByteBpe:
         if len(self.words) + len(missing) > self.limit:
             self.words.clear()
             missing = list(seen)
-        self._learn(missing)
+        self.words.update(self._learn(missing))
         heads, whole, words = [], [], self.words
         for i, p in enumerate(parts):
             try:
@@ -218,6 +274,9 @@ class ByteBpe:
                     whole.append(i)
             except TypeError:
                 whole.append(i)
+        for w in missing:  # long words aren't kept, so memory is bounded whatever the words
+            if len(w) > 64:
+                del words[w]
         for i, x in zip(heads, self._bytes_of([parts[i][0] for i in heads])):
             out[i] = x + out[i]
         for i, x in zip(whole, self._bytes_of([texts[i] for i in whole])):

@@ -58,9 +58,12 @@ class WordIds:
     of the numbered words are then laid out by numpy. New pre-tokens go to the
     library joined by spaces; as each ends in an id that carries the
     end-of-word mark, the ids are cut apart again. Either cache is emptied at
-    ``limit`` entries, which bounds memory.
+    ``limit`` entries and keeps none of more than ``LONGEST`` characters, which
+    bounds memory whatever the words.
     """
 
+    LONGEST = 64
+
     def __init__(self, path: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -100,6 +103,7 @@ class WordIds:
             known.clear()
             known[" "] = _BREAK.tobytes()
             new = list(wanted.difference(known))
+        self.passing = [p for p in new if len(p) > self.LONGEST]
         for i in range(0, len(new), 8000):
             some = new[i : i + 8000]
             joined = " ".join(some)
@@ -123,6 +127,8 @@ class WordIds:
             found = _PIECES.findall(" ".join(simple).lower())
             self._learn_pieces(set(found))
             data = b"".join(map(self.pieces.__getitem__, found))
+            for p in self.passing:
+                del self.pieces[p]
             at = np.flatnonzero(np.frombuffer(data, "<u4") == _BREAK) * 4
             for w, a, b in zip(simple, [0, *(at + 4).tolist()], [*at.tolist(), len(data)]):
                 self.cache[w] = data[a:b]
@@ -160,6 +166,9 @@ class WordIds:
         self.cache[""] = b""
         self._learn(new)
         known = list(map(self.cache.__getitem__, distinct))
+        for w in new:
+            if len(w) > self.LONGEST:
+                del self.cache[w]
         size = np.fromiter(map(len, known), np.int32, len(known)) >> 2
         ids = np.frombuffer(b"".join(known), "<u4")
         each = size[number]

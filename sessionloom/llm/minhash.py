@@ -1,15 +1,18 @@
 """Near-duplicate detection by ProbMinHash, banding and verification.
 
-A text is a set of five-word shingles, each of weight 1 however often it
-occurs. Its signature holds, for each of M places, the shingle that arrives
-there first when each shingle arrives as a Poisson process of its weight; a
-shingle's process ends early once it can no longer be first anywhere. Two
-signatures agree in a place with the Jaccard index of the two sets, the measure
-that links are verified on. Bands of the signature are buckets, in which
-candidates meet.
-
-Links are pairs of different texts whose shingle sets have a Jaccard index of
-at least the threshold, verified on the texts. Classes are the connected
+A text is its five-word shingles, weighted by how often each occurs. A
+signature holds, for each of M places, the shingle that arrives there first
+when each shingle arrives as a Poisson process of its weight; a shingle's
+process ends early once it can no longer be first anywhere. Two signatures
+agree in a place with the probability Jaccard index of the two texts. Bands of
+a signature are buckets, in which candidates meet. A text that repeats a
+shingle has a second signature, of weights 1, which agree with the Jaccard
+index of the sets, so that a copy is found too if only its repeats are more.
+
+Links are pairs of different texts, verified on the texts, of which the
+probability Jaccard index or the Jaccard index of the sets is at least the
+threshold; for texts that repeat no shingle they are the same. The signatures
+of one text are vertices that are linked from the start. Classes are the connected
 components. Equal texts (same words) are one vertex from the start. Buckets
 are never expanded into all their pairs:
 
@@ -67,7 +70,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingles:
-    """Hashes of a text's shingles; keeps the hashes of words, up to a limit."""
+    """Hashes of a text's shingles; keeps the hashes of words of at most 64 characters, up to a limit."""
 
     def __init__(self, limit: int = 200_000):
         self.limit, self.words = limit, {}
@@ -76,13 +79,17 @@ class Shingles:
         """One hash per place; a text of fewer than five words is one shingle, one without words has none."""
         if not words:
             return np.empty(0, np.uint64)
-        missing = set(words).difference(self.words)
+        distinct = set(words)
+        missing = distinct.difference(self.words)
         if len(self.words) + len(missing) > self.limit:
             self.words.clear()
-            missing = set(words)
-        for w in missing:
-            self.words[w] = xxhash.xxh3_64_intdigest(w)
+            missing = distinct
+        new = {w: xxhash.xxh3_64_intdigest(w) for w in missing}
+        long = {w for w in missing if len(w) > 64}
+        self.words.update(new)
         h = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+        for w in long:
+            del self.words[w]
         n = max(1, len(h) - SHINGLE + 1)
         out = np.zeros(n, np.uint64)
         for i in range(min(SHINGLE, len(h))):
@@ -118,9 +125,20 @@ def prob_min_hash(shingles: np.ndarray, weights: np.ndarray, m: int = M) -> np.n
     return out
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    distinct = np.unique(shingles)
-    return prob_min_hash(distinct, np.ones(len(distinct)))
+Weighted = tuple[np.ndarray, np.ndarray]
+
+
+def weighted(shingles: np.ndarray) -> Weighted:
+    """Distinct shingles in order, and how often each occurs."""
+    distinct, counts = np.unique(shingles, return_counts=True)
+    return distinct, counts.astype(np.float64)
+
+
+def faces(shingles: np.ndarray) -> list[np.ndarray]:
+    """The signature of the weighted shingles and, if that is another, the one of the set."""
+    distinct, counts = weighted(shingles)
+    out = [prob_min_hash(distinct, counts)]
+    return out if counts.max() == 1 else [*out, prob_min_hash(distinct, np.ones(len(distinct)))]
 
 
 def band_hashes(sig: np.ndarray) -> np.ndarray:
@@ -138,38 +156,66 @@ def sketch(sig: np.ndarray) -> tuple[int, int]:
     return tuple(np.packbits(bits).view(np.int64).tolist())
 
 
+_FACE = pa.struct([("sig", pa.list_(pa.int32())), ("bands", pa.list_(pa.int64())), ("bits_a", pa.int64()), ("bits_b", pa.int64())])
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, vid, sig, bands, bits_a, bits_b) of each row; vid is a 128-bit hash of the words."""
+    """(doc_id, text_hash, vid, faces) of each row; vid is a 128-bit hash of the words, faces (sig, bands, bits_a, bits_b) are none without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, known = Shingles(), {}
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
-                some, out = batch.slice(i, 500), []
+                some, vids, out = batch.slice(i, 500), [], []
                 for text in some.column(1).to_pylist():
                     words = words_of(text)
                     vid = xxhash.xxh3_128_digest(" ".join(words))
                     if vid not in known:
                         if len(known) > 2000:
                             known.clear()
-                        sig = signature(shingles.of(words)) if words else None
-                        known[vid] = (None,) * 4 if sig is None else (sig.astype(np.uint32).view(np.int32), band_hashes(sig), *sketch(sig))
-                    out.append((vid, *known[vid]))
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate([pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.int64()]))], names=["doc_id", "vid", "sig", "bands", "bits_a", "bits_b"]
-                )
+                        own = faces(shingles.of(words)) if words else []
+                        known[vid] = [(sig.astype(np.uint32).view(np.int32), band_hashes(sig), *sketch(sig)) for sig in own]
+                    vids.append(vid)
+                    out.append([dict(zip(("sig", "bands", "bits_a", "bits_b"), face)) for face in known[vid]])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(vids, pa.binary()), pa.array(out, pa.list_(_FACE))], names=["doc_id", "text_hash", "vid", "faces"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, vid binary, faces array<struct<sig:array<int>,bands:array<long>,bits_a:long,bits_b:long>>")
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, vid binary, sig array<int>, bands array<long>, bits_a long, bits_b long")
 
+def probability_jaccard(x: Weighted, y: Weighted, least: float = 0.0) -> float:
+    """The sum over common shingles i of 1 / sum over all j of max(x_j / x_i, y_j / y_i).
 
-def _similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
-    """Whether the Jaccard index of two sets, as sorted arrays, reaches the threshold."""
-    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+    It doesn't depend on the scale of either side's weights. Below ``least`` an
+    upper bound may be given instead.
+    """
+    both = np.concatenate([x[0], y[0]])
+    by = np.argsort(both, kind="stable")
+    again = np.flatnonzero(both[by[1:]] == both[by[:-1]])
+    a, b = x[1][by[again]], y[1][by[again + 1] - len(x[0])]
+    all_x, all_y = x[1].sum(), y[1].sum()
+    bound = np.minimum(a / all_x, b / all_y).sum() if len(a) else 0.0
+    if bound < least or not len(a):
+        return float(bound)
+    # in order of a / b the shingles from i on have the greater share in x, those before it in y
+    order = np.argsort(a / b, kind="stable")
+    a, b = a[order], b[order]
+    from_x = all_x - a.sum() + np.cumsum(a[::-1])[::-1]
+    to_y = all_y - b.sum() + np.cumsum(b) - b
+    return float((1 / (from_x / a + to_y / b)).sum())
+
+
+def _similar(x: Weighted, y: Weighted, threshold: float) -> bool:
+    """Whether the probability Jaccard index, or that of the sets, reaches the threshold."""
+    least = threshold - 1e-9
+    if probability_jaccard(x, y, least) >= least:
+        return True
+    if min(len(x[0]), len(y[0])) < least * max(len(x[0]), len(y[0])):
         return False
-    both = np.concatenate([x, y])
+    both = np.concatenate([x[0], y[0]])
     both.sort()
     common = int((both[1:] == both[:-1]).sum())
-    return common >= threshold * (len(both) - common) - 1e-9
+    return common >= least * (len(both) - common)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -182,7 +228,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
             if v not in known:
                 if len(known) > 500:
                     known.clear()
-                known[v] = np.unique(shingles.of(words_of(text)))
+                known[v] = weighted(shingles.of(words_of(text)))
             return known[v]
 
         for batch in batches:
@@ -265,7 +311,7 @@ def _tile_links(least: float, threshold: float):
 
         def distinct(i):
             if v[i] not in sets:
-                sets[v[i]] = np.unique(shingles.of(words_of(texts[i].as_py())))
+                sets[v[i]] = weighted(shingles.of(words_of(texts[i].as_py())))
             return sets[v[i]]
 
         for i, partners in tile.candidates():
@@ -306,9 +352,12 @@ def _rest_links(buckets: DataFrame, labels: DataFrame, reps: DataFrame, texts: D
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least_agreement: float = LEAST_AGREEMENT, rounds: int = 2, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least_agreement: float = LEAST_AGREEMENT, most_bits: int = MOST_BITS, rounds: int = 2, tile: int = TILE) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, class_size, kept.
 
+    With ``least_agreement`` 0 and ``most_bits`` 128 every pair that shares a
+    bucket and could join two components is compared by its texts.
+
     Words are runs of letters, digits and underscores, in lower case. A text of
     fewer than five words is one shingle. Null and empty texts and others
     without words are equal, so they form one class. ``class_id`` is the least
@@ -317,17 +366,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = materialise(signatures(docs, "doc_id", "text"), "signatures")
-    reps = signed.groupBy("vid").agg(F.min("doc_id").alias("first_doc"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("bits_a").alias("bits_a"), F.first("bits_b").alias("bits_b"))
-    reps = materialise(reps.withColumn("v", F.monotonically_increasing_id()), "vertices")
+    reps = signed.groupBy("vid").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("faces").alias("faces"))
+    reps = reps.withColumn("_v", 2 * F.monotonically_increasing_id())
+    # a vertex for each signature; texts without words are one vertex without any
+    reps = materialise(reps.select("vid", "one", "_v", F.posexplode_outer("faces").alias("_n", "_f")).select("vid", "one", (F.col("_v") + F.coalesce("_n", F.lit(0))).alias("v"), "_f.*"), "vertices")
+    same_text = reps.where("v % 2 = 1").select((F.col("v") - 1).alias("src"), F.col("v").alias("dst"))
 
     spread = materialise(reps.select("v", F.posexplode("bands").alias("k", "b")), "bands")
     crowded = materialise(spread.groupBy("b").count().where("count > 1").select("b"), "crowded")
     buckets = materialise(spread.join(crowded, "b").join(reps.select("v", "bits_a", "bits_b"), "v"), "buckets")
     discard(spread, crowded)
 
-    # texts of the vertices that share a bucket; a repeated id may bring a wrong text, which its words tell
-    wanted = buckets.select("v").distinct().join(reps.select("v", "vid", "first_doc"), "v")
-    found = wanted.join(docs, wanted.first_doc.eqNullSafe(docs.doc_id)).select("v", "vid", "text")
+    # texts of the vertices that share a bucket; rows are found by id and a hash of the text, so that null and repeated ids meet their own text only
+    wanted = buckets.select("v").distinct().join(reps.select("v", "vid", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash")), "v")
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    found = wanted.join(hashed, wanted.one_id.eqNullSafe(hashed.doc_id) & (wanted.one_hash == hashed.text_hash)).select("v", "vid", "text")
 
     def right_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,26 +390,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     texts = materialise(found.mapInArrow(right_text, "v long, text string").dropDuplicates(["v"]), "texts")
 
-    links = labels = None
+    links, labels = same_text, None
     for k in range(rounds):
         members = buckets if labels is None else buckets.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
         value = F.struct(F.xxhash64("v", "b", F.lit(k)).alias("h"), "v", "bits_a", "bits_b", *([] if labels is None else ["component"]))
         leaders = materialise(members.groupBy("b").agg(F.min(value).alias("leader")), "leaders")
         differ = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"leader.{c}")))
-        met = members.join(leaders, "b").where((F.col("v") != F.col("leader.v")) & (differ("bits_a") + differ("bits_b") <= MOST_BITS))
+        met = members.join(leaders, "b").where((F.col("v") != F.col("leader.v")) & (differ("bits_a") + differ("bits_b") <= most_bits))
         if labels is not None:
             met = met.where(F.col("component") != F.col("leader.component"))
         pairs = met.select(F.least("v", "leader.v").alias("src"), F.greatest("v", "leader.v").alias("dst")).distinct()
         pairs = materialise(_agreeing(pairs, reps, least_agreement), "pairs")
         new = materialise(_verified(pairs, texts, threshold), "links")
         discard(leaders, pairs)
-        links = new if links is None else links.unionByName(new)
+        links = links.unionByName(new)
         labels = connected_components(links)
     links = links.unionByName(_rest_links(buckets, labels, reps, texts, least_agreement, threshold, tile))
     discard(buckets, texts)
     labels = connected_components(links)
 
-    vertex = materialise(reps.select("vid", "v").join(labels, "v", "left").select("vid", F.coalesce("component", "v").alias("component")), "vertex-classes")
+    vertex = materialise(reps.where("v % 2 = 0").select("vid", "v").join(labels, "v", "left").select("vid", F.coalesce("component", "v").alias("component")), "vertex-classes")
     placed = materialise(signed.select("doc_id", "vid").groupBy("doc_id", "vid").agg(F.count("*").alias("copies")).join(vertex, "vid"), "placed")
     discard(signed, reps, vertex)
     classes = materialise(placed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "vid")).alias("head")), "classes")

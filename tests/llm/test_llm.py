@@ -6,7 +6,7 @@ import io
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -97,16 +97,42 @@ def test_byte_bpe_equals_the_library(odd, docs):
 
 
 def test_byte_bpe_of_long_pre_tokens():
-    """Rows of their own give the ids of the library, with merges that are out of order too."""
+    """Rows cut from a long pre-token, with seams that fit and seams that don't, give the ids of the library."""
+    import time
+
     rnd = random.Random(3)
     bpe = bbpe.ByteBpe.of(RANKS, P.PATTERN)
-    assert not bpe.pairs.early.all()
     long = ["a" * 5001, "ab" * 3000, "".join(rnd.choice("abcdefgh") for _ in range(20_000)), "".join(rnd.choice("etaoinshrdlu") for _ in range(200_000)), "".join(rnd.choice("日本語ñé") for _ in range(3000)), "!=-" * 2000]
+    long += [x * (3000 // len(x)) + y for x in ("-", "=", "_", "abc", "ing", "ee", "the", "é", "日", "ha", "xyzzy", "0", "ab" * 31 + "c", "....", "*-") for y in ("", "q", "ab")]
+    long += ["".join(rnd.choice([x, y]) * rnd.randint(1, 90) for _ in range(60)) for x, y in ("ab", "e-", "a日", "0o", "=-")] + [" " * 700, "\n" * 500, " \n" * 300]
     for text, ids in zip(long, bpe.encode_all(long)):
         assert ids.tolist() == tiktoken_ids(text)
-    short = ["".join(rnd.choice("aeinrst") for _ in range(rnd.randint(1, 60))) for _ in range(3000)]
-    for text in short:
-        assert bpe._merge_long_row(text.encode()).tolist() == tiktoken_ids(text)
+    for n in (129, 130, 191, 192, 193, 256, 257):
+        for _ in range(20):
+            text = "".join(rnd.choice("aeinrst") for _ in range(n))
+            assert bpe._merge_cut(text.encode()).tolist() == tiktoken_ids(text)
+    text = "".join(rnd.choice("etaoinshrdlu") for _ in range(800_000))
+    began = time.perf_counter()
+    ids = bpe.encode_all([text])[0]
+    assert time.perf_counter() - began < 15  # linear: a few seconds on an idle machine
+    assert ids.tolist() == tiktoken_ids(text)
+
+
+def test_caches_of_words_are_bounded_in_bytes():
+    """2,000 words of 100 kB each leave nothing behind in any cache."""
+    import sys
+
+    rnd = random.Random(1)
+    words, bpe, shingles, pieces = WordIds(WORDS), bbpe.ByteBpe(bbpe.ByteBpe.of(RANKS, P.PATTERN).ranks, P.PATTERN), minhash.Shingles(), piecebpe.PieceBpe.of(P.path("piece_bpe_32k.model"))
+    pieces.known.clear()
+    for i in range(2000):
+        text = f"w{rnd.randrange(10**9)} x " + f"{i}-" * (20_000 if i < 4 else 40) + " y"
+        words.encode_all([text])
+        bpe.encode_all([text])
+        shingles.of(minhash.words_of(text.replace("-", "")))
+        pieces.encode_all([text])
+    for cache in (words.cache, words.pieces, bpe.words, shingles.words, pieces.known):
+        assert sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in cache.items()) < 4_000_000 and all(len(k) <= 64 for k in cache)
 
 
 def test_bpe_frames_round_trip(odd):
@@ -360,7 +386,21 @@ def test_html_articles_of_the_pages(spark):
 
 
 def jaccard_classes(rows, threshold=0.8):
-    sets = {i: ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := re.findall(r"\w+", (t or "").lower())) else set()) for i, t in rows}
+    """Classes of texts whose shingles have the Jaccard index, as sets or as probabilities, from every pair."""
+    counts = {i: (Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := re.findall(r"\w+", (t or "").lower())) else Counter()) for i, t in rows}
+    sets = {i: set(c) for i, c in counts.items()}
+    repeats = {i for i, c in counts.items() if c and max(c.values()) > 1}
+
+    def probability(x, y):
+        return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+
+    def linked(a, b):
+        x, y = sets[a], sets[b]
+        if x == y or min(len(x), len(y)) >= threshold * max(len(x), len(y)) and len(x & y) >= threshold * len(x | y):
+            return True
+        # the index of probabilities is at most the share of either side that is common
+        return bool(repeats & {a, b}) and all(sum(counts[i][k] for k in x & y) >= threshold * counts[i].total() > 0 for i in (a, b)) and probability(counts[a], counts[b]) >= threshold
+
     parent = {i: i for i in sets}
 
     def find(x):
@@ -370,7 +410,7 @@ def jaccard_classes(rows, threshold=0.8):
 
     for a in sets:
         for b in sets:
-            if a < b and min(len(sets[a]), len(sets[b])) >= threshold * max(len(sets[a]), len(sets[b])) and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])):
+            if a < b and linked(a, b):
                 parent[find(b)] = find(a)
     out = defaultdict(set)
     for i in sets:
@@ -403,7 +443,7 @@ def test_near_duplicates_equal_brute_force(spark):
 
 
 def test_near_duplicates_with_unequal_repeats_equal_brute_force(spark):
-    """Links are on sets, so a passage that one copy repeats and the other does not breaks none."""
+    """A passage that one copy repeats and the other does not breaks no link of sets; texts that are mostly one repeated passage are linked by their weights."""
     rnd = random.Random(10)
     rows = []
     for k in range(40):
@@ -411,11 +451,14 @@ def test_near_duplicates_with_unequal_repeats_equal_brute_force(spark):
         footer = [f"f{rnd.randrange(4000)}" for _ in range(18)]
         longer = w + (w[-20:] * 200, w[-10:] * 30, footer * 6, footer + w)[k % 4]
         rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(longer))]
+    for k in range(100, 110):
+        often = [f"o{rnd.randrange(4000)}" for _ in range(30)] * 40
+        rows += [(2 * k + i, " ".join(often + [f"u{rnd.randrange(4000)}" for _ in range(60)])) for i in (0, 1)]
     classes = defaultdict(set)
     for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         classes[r.class_id].add(r.doc_id)
     assert {frozenset(c) for c in classes.values()} == jaccard_classes(rows)
-    assert sum(len(c) == 2 for c in classes.values()) >= 30
+    assert sum(len(c) == 2 for c in classes.values()) >= 40 and all({2 * k, 2 * k + 1} in classes.values() for k in range(100, 110))
 
 
 def test_near_duplicates_of_documents_equal_brute_force(spark):
@@ -446,6 +489,25 @@ def test_near_duplicates_of_odd_rows(odd):
     assert all(sum(r.kept for r in rs) == 1 and all(r.class_size == len(rs) for r in rs) for rs in by.values())
 
 
+def test_near_duplicates_of_many_null_ids(spark):
+    """Texts without ids, and others that share one, are found by their own text, so each is read once."""
+    rnd = random.Random(13)
+    base = [" ".join(f"w{rnd.randrange(3000)}" for _ in range(40)) for _ in range(150)]
+    texts = [t + x for t in base for x in ("", " more", "!")]
+    rows = [(None if i % 2 else 7, t) for i, t in enumerate(texts)] + [(None, base[0])] * 50
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and Counter(r.class_size for r in got) == {3: 447, 53: 53} and sum(r.kept for r in got) == 150
+
+
+def test_probability_jaccard_equals_its_definition():
+    rnd = np.random.default_rng(2)
+    for _ in range(200):
+        x, y = ({int(k): float(rnd.integers(1, 9)) for k in rnd.choice(12, rnd.integers(1, 12), replace=False)} for _ in range(2))
+        a, b = ((np.array(sorted(z), np.uint64), np.array([z[k] for k in sorted(z)])) for z in (x, y))
+        want = sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+        assert minhash.probability_jaccard(a, b) == pytest.approx(want) and (minhash.probability_jaccard(a, b, 0.5) < 0.5) == (want < 0.5)
+
+
 def test_prob_min_hash_estimates_probability_jaccard():
     rng = np.random.default_rng(6)
     ids = rng.integers(0, 2**63, 300).astype(np.uint64)
