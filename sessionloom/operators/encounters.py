@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import ascii_edges
 from .intervals import as_of, band_join
@@ -35,43 +39,100 @@ def order_at_roll(rolls: DataFrame, turnorder: DataFrame) -> DataFrame:
 
 
 def trackerless_scope(rolls: DataFrame, silence: float = SILENCE_S) -> DataFrame:
-    """Rolls of the stretch that begins with a session's first initiative roll and ends with a silence, with each actor's place. (EN-04)"""
+    """Rolls of the stretch from a session's first initiative roll, or its first roll if it has none, to a silence, with each actor's place. (EN-04)"""
     w = W.partitionBy("session_id").orderBy("t_s", "seq")
     held = rolls.withColumn("_gap", F.when(F.col("t_s") - F.lag("t_s").over(w) > silence, 1).otherwise(0)).withColumn("_isle", F.sum("_gap").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    first = F.min(F.when(F.col("kind") == "initiative", F.struct("t_s", "seq", "_isle"))).over(W.partitionBy("session_id"))
+    place = F.struct("t_s", "seq", "_isle")
+    first = F.coalesce(F.min(F.when(F.col("kind") == "initiative", place)).over(W.partitionBy("session_id")), F.min(place).over(W.partitionBy("session_id")))
     scoped = held.withColumn("_f", first).where((F.col("_isle") == F.col("_f._isle")) & (F.struct("t_s", "seq") >= F.struct("_f.t_s", "_f.seq")))
     seen = F.min(F.struct("t_s", "seq")).over(W.partitionBy("session_id", "who"))
     return scoped.withColumn("_seen", seen).withColumn("place", F.dense_rank().over(W.partitionBy("session_id").orderBy("_seen")).cast("long")).drop("_gap", "_isle", "_f", "_seen")
 
 
-def rounds_and_turns(rolls: DataFrame) -> DataFrame:
-    """Rolls with round and turn: an actor who acts again after another opens a new round. (EN-05)
+def rolls_with_order(rolls: DataFrame, orders: DataFrame, actors: DataFrame, silence: float = SILENCE_S) -> DataFrame:
+    """The rolls of each session's encounter with the ``order`` in force: (name, actor) of each entry. (EN-03 to EN-05)
 
-    Initiative opens no turn. One session's rolls are folded in order by an
-    aggregate over an array, whose state is the round and who has acted in it.
+    ``rolls`` have session_id, roll_id, t_s, seq, who, actor (null if not
+    resolved) and kind; ``orders`` session_id, seq, t_s and names; ``actors``
+    (name, actor) one row a name. A session with any order takes part with all
+    its rolls, and before its first order the order is null. Others take part
+    with the scope of EN-04, in order of each actor's first roll.
     """
-    item = F.struct("t_s", "seq", "roll_id", "who", "kind")
-    listed = rolls.groupBy("session_id").agg(F.array_sort(F.collect_list(item)).alias("r"))
-    start = F.struct(F.lit(0).alias("round"), F.lit(0).alias("turn"), F.array().cast("array<string>").alias("acted"), F.lit("").alias("last"), F.array().cast("array<struct<roll_id:bigint,round:int,turn:int>>").alias("out"))
+    entries = orders.select("session_id", "seq", "t_s", F.posexplode_outer("names").alias("_i", "name")).join(actors.select("name", F.col("actor").alias("_a")), "name", "left")
+    entry = F.when(F.col("name").isNotNull(), F.struct("_i", "name", F.col("_a").alias("actor")))
+    plain = lambda x: F.struct(x["name"].alias("name"), x["actor"].alias("actor"))
+    listed = entries.groupBy("session_id", "seq", "t_s").agg(F.transform(F.array_sort(F.collect_list(entry)), plain).alias("order"))
+    tracked = orders.select("session_id").distinct()
+    with_tracker = as_of(rolls.join(tracked, "session_id", "left_semi"), listed, ["session_id"], "t_s", "t_s", ["seq"], ["order"])
+    free = rolls.join(tracked, "session_id", "left_anti")
+    first = free.where("who IS NOT NULL").groupBy("session_id", "who").agg(F.min(F.struct("t_s", "seq")).alias("_first"))
+    inferred = first.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("_first", "who"))).alias("_o"))
+    inferred = inferred.select("session_id", F.transform("_o", lambda x: F.struct(x["who"].alias("name"), F.lit(None).cast("string").alias("actor"))).alias("order"))
+    return with_tracker.unionByName(trackerless_scope(free, silence).drop("place").join(inferred, "session_id", "left"))
+
+
+class _Cycle:
+    """Round and who has acted in it; an entry that leaves the order leaves the round."""
+
+    def __init__(self) -> None:
+        self.round, self.acted, self.names = 1, set(), []
+
+    def place(self, who: str | None, actor: str | None, kind: str, order: list[dict]) -> tuple[str | None, str | None]:
+        """(entry of the order, reason why there is none) of the next roll."""
+        names = [e["name"] for e in order]
+        if names != self.names:
+            self.names = names
+            self.acted.intersection_update(names)
+        if actor is None:
+            return None, "actor could not be resolved"
+        if not names:
+            return None, "no initiative order was available"
+        entry = next((e["name"] for e in order if e["name"] == who or e["actor"] == actor), None)
+        if entry is None:
+            return None, "actor is absent from initiative order"
+        if kind != "initiative":
+            if entry in self.acted:
+                self.round += 1
+                self.acted.clear()
+            self.acted.add(entry)
+        return entry, None
 
-    def step(s, x):
-        skip = x.kind == "initiative"
-        same = s.last == x.who
-        again = ~same & F.array_contains(s.acted, x.who)
-        rnd = F.when(skip, s["round"]).when((s["round"] == 0) | again, s["round"] + 1).otherwise(s["round"])
-        turn = F.when(skip, s.turn).when((s["round"] == 0) | again, F.lit(1)).when(same, s.turn).otherwise(s.turn + 1)
-        acted = F.when(skip, s.acted).when((s["round"] == 0) | again, F.array(x.who)).otherwise(F.array_union(s.acted, F.array(x.who)))
-        out = F.concat(s.out, F.array(F.struct(x.roll_id.alias("roll_id"), rnd.alias("round"), F.when(skip, F.lit(0)).otherwise(turn).alias("turn"))))
-        return F.struct(rnd.alias("round"), turn.alias("turn"), acted.alias("acted"), F.when(skip, s.last).otherwise(x.who).alias("last"), out.alias("out"))
 
-    folded = listed.select("session_id", F.explode(F.aggregate("r", start, step, lambda s: s.out)).alias("x"))
-    return folded.select("session_id", F.col("x.roll_id").alias("roll_id"), F.col("x.round").alias("round"), F.col("x.turn").alias("turn"))
+def rounds_and_turns(rolls: DataFrame) -> DataFrame:
+    """(session_id, roll_id, round, turn, entry, reason) of the rolls of ``rolls_with_order``. (EN-05)
 
+    An entry of the order that acts again opens a new round, unless it has left
+    the order in between; initiative is recorded but opens nothing. Turns are
+    the actors of a round in order of their first roll. A roll whose actor is
+    not resolved, has no order or is not in it has a reason instead. Sessions
+    stream through their tasks in order; the state is one round's entries.
+    """
 
-def unassigned(rolls: DataFrame, scope: DataFrame) -> DataFrame:
-    """(session_id, roll_id, reason) of rolls outside the encounter. (EN-06)"""
-    reason = F.when(F.col("total").isNull(), "no_total").when(F.col("kind") == "other", "not_combat").otherwise("outside_encounter")
-    return rolls.join(scope.select("session_id", "roll_id"), ["session_id", "roll_id"], "left_anti").select("session_id", "roll_id", reason.alias("reason"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, cycle = None, _Cycle()
+        for batch in batches:
+            rounds, entries, reasons = [], [], []
+            for own, who, actor, kind, order in zip(*(batch.column(c).to_pylist() for c in ("session_id", "who", "actor", "kind", "order"))):
+                if own != session:
+                    session, cycle = own, _Cycle()
+                entry, reason = cycle.place(who, actor, kind, order or [])
+                rounds.append(None if reason else cycle.round)
+                entries.append(entry)
+                reasons.append(reason)
+            columns = [*(batch.column(c) for c in ("session_id", "roll_id", "who", "t_s", "seq")), pa.array(rounds, pa.int32()), pa.array(entries, pa.string()), pa.array(reasons, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["session_id", "roll_id", "who", "t_s", "seq", "round", "entry", "reason"])
+
+    rows = rolls.select("session_id", "roll_id", "who", "t_s", F.col("seq").cast("long").alias("seq"), "actor", "kind", "order").repartition("session_id").sortWithinPartitions("session_id", "t_s", "seq", "roll_id")
+    kept = rows.select("session_id", "roll_id", "who", "t_s", "seq").schema
+    placed = rows.mapInArrow(run, T.StructType([*kept.fields, T.StructField("round", T.IntegerType()), T.StructField("entry", T.StringType()), T.StructField("reason", T.StringType())]))
+    first = F.min(F.struct("t_s", "seq", "roll_id")).over(W.partitionBy("session_id", "round", "who"))
+    turn = F.when(F.col("round").isNotNull(), F.dense_rank().over(W.partitionBy("session_id", "round").orderBy("_first")))
+    return placed.withColumn("_first", first).select("session_id", "roll_id", "round", turn.cast("int").alias("turn"), "entry", "reason")
+
+
+def unassigned(placed: DataFrame) -> DataFrame:
+    """(session_id, roll_id, reason) of the rolls that have no turn. (EN-06)"""
+    return placed.where("reason IS NOT NULL").select("session_id", "roll_id", "reason")
 
 
 def damage_sums(rolls: DataFrame) -> DataFrame:
@@ -94,7 +155,7 @@ def notable(die: Column, sides: int = 20) -> Column:
 
 def encounter_summary(rolls: DataFrame, placed: DataFrame) -> DataFrame:
     """One row per session: rounds, turns, totals, and the rounds nested with their rolls. (EN-10)"""
-    both = rolls.join(placed, ["session_id", "roll_id"]).where("round > 0")
+    both = rolls.join(placed.where("round IS NOT NULL").select("session_id", "roll_id", "round", "turn"), ["session_id", "roll_id"])
     per = both.groupBy("session_id", "round").agg(F.max("turn").alias("turns"), F.array_sort(F.collect_list(F.struct("turn", "t_s", "roll_id", "who", "kind", "total"))).alias("rolls"), F.sum(F.when((F.col("kind") == "damage") & F.col("target").isNotNull(), F.col("total")).otherwise(0)).alias("damage"))
     return per.groupBy("session_id").agg(F.count("*").alias("n_rounds"), F.sum("turns").alias("n_turns"), F.sum("damage").alias("damage_total"), F.array_sort(F.collect_list(F.struct("round", "turns", "damage", "rolls"))).alias("rounds"))
 

@@ -48,7 +48,7 @@ def _(spark, sf):
 
 
 SCOPE = f"""{R}, g0 AS (SELECT *, CASE WHEN t_s - lag(t_s) OVER w > 14 THEN 1 ELSE 0 END AS gap FROM rolls WINDOW w AS (PARTITION BY session_id ORDER BY t_s, seq)), g1 AS (SELECT *, sum(gap) OVER (PARTITION BY session_id ORDER BY t_s, seq ROWS UNBOUNDED PRECEDING) AS isle FROM g0),
-fi AS (SELECT session_id, arg_min(isle, {{'t': t_s, 's': seq}}) AS isle, min({{'t': t_s, 's': seq}}) AS f FROM g1 WHERE kind = 'initiative' GROUP BY 1), sc AS (SELECT g1.* FROM g1 JOIN fi ON g1.session_id = fi.session_id AND g1.isle = fi.isle AND {{'t': g1.t_s, 's': g1.seq}} >= fi.f),
+fi AS (SELECT session_id, coalesce(arg_min(isle, {{'t': t_s, 's': seq}}) FILTER (kind = 'initiative'), min(isle)) AS isle, coalesce(min({{'t': t_s, 's': seq}}) FILTER (kind = 'initiative'), min({{'t': t_s, 's': seq}})) AS f FROM g1 GROUP BY 1), sc AS (SELECT g1.* FROM g1 JOIN fi ON g1.session_id = fi.session_id AND g1.isle = fi.isle AND {{'t': g1.t_s, 's': g1.seq}} >= fi.f),
 seen AS (SELECT session_id, who, min({{'t': t_s, 's': seq}}) AS f FROM sc GROUP BY 1, 2), place AS (SELECT session_id, who, row_number() OVER (PARTITION BY session_id ORDER BY f) AS place FROM seen)"""
 
 
@@ -57,19 +57,32 @@ def _(spark, sf):
     return en.trackerless_scope(_rolls(spark, sf), 14.0).select("session_id", "roll_id", "place")
 
 
-# one roll after the other, with the round, its turn, who has acted in it and who acted last
-ROUNDS = f"""{R}, ro AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t_s, seq, roll_id) AS n FROM rolls),
-tu AS (SELECT session_id, 0::BIGINT AS n, NULL::BIGINT AS roll_id, 0 AS round, 0 AS turn, []::VARCHAR[] AS acted, '' AS last, true AS skip FROM (SELECT DISTINCT session_id FROM ro) UNION ALL
-  SELECT session_id, n, roll_id, CASE WHEN skip THEN round WHEN fresh THEN round + 1 ELSE round END, CASE WHEN skip THEN turn WHEN fresh THEN 1 WHEN last = who THEN turn ELSE turn + 1 END, CASE WHEN skip THEN acted WHEN fresh THEN [who] ELSE list_append(acted, who) END, CASE WHEN skip THEN last ELSE who END, skip
-  FROM (SELECT t.session_id, r.n, r.roll_id, t.round, t.turn, t.acted, t.last, r.who, r.kind = 'initiative' AS skip, t.round = 0 OR (t.last <> r.who AND list_contains(t.acted, r.who)) AS fresh FROM tu t JOIN ro r ON r.session_id = t.session_id AND r.n = t.n + 1)),
-rounds AS (SELECT session_id, roll_id, round, CASE WHEN skip THEN 0 ELSE turn END AS turn FROM tu WHERE n > 0)"""
+# Orders come from initiative rolls, in three sessions of four; one name stands for an actor; some actors aren't resolved.
+ACTED = f"""{SCOPE.replace('> 14', '> 20')}, oc AS (SELECT *, CASE WHEN who = 'p3' AND roll_id % 5 = 0 THEN NULL ELSE 'ch_' || who END AS actor FROM rolls),
+od AS (SELECT session_id, t_s, arg_max([x.n FOR x IN [{{'b': 1, 'n': 'p0'}}, {{'b': 2, 'n': 'Hero'}}, {{'b': 4, 'n': 'p2'}}, {{'b': 8, 'n': 'p3'}}] IF ((k * 7 + 5) // x.b) % 2 = 1], seq) AS names FROM rolls WHERE kind = 'initiative' AND session_id % 4 <> 3 GROUP BY 1, 2),
+own AS (SELECT session_id, list(who ORDER BY f) AS names FROM (SELECT session_id, who, min({{'t': t_s, 's': seq}}) AS f FROM rolls GROUP BY 1, 2) GROUP BY 1),
+free AS (SELECT session_id FROM oc ANTI JOIN od USING (session_id) GROUP BY 1),
+active AS (SELECT oc.*, coalesce(od.names, []) AS names FROM oc ASOF LEFT JOIN od ON oc.session_id = od.session_id AND oc.t_s >= od.t_s WHERE oc.session_id NOT IN (SELECT session_id FROM free)
+ UNION ALL SELECT oc.*, own.names FROM oc JOIN free USING (session_id) JOIN own USING (session_id) SEMI JOIN sc USING (session_id, roll_id)),
+ro AS MATERIALIZED (SELECT *, list_filter(names, lambda x: x = who OR (x = 'Hero' AND actor = 'ch_p1'))[1] AS entry, row_number() OVER (PARTITION BY session_id ORDER BY t_s, seq, roll_id) AS n FROM active),
+tu AS (SELECT session_id, 0::BIGINT AS n, NULL::BIGINT AS roll_id, 1 AS round, []::VARCHAR[] AS acted, []::VARCHAR[] AS names, NULL::VARCHAR AS reason FROM (SELECT DISTINCT session_id FROM ro) UNION ALL
+  SELECT session_id, n, roll_id, CASE WHEN opens AND list_contains(acted, entry) THEN round + 1 ELSE round END, CASE WHEN NOT opens THEN acted WHEN list_contains(acted, entry) THEN [entry] ELSE list_append(acted, entry) END, names, reason
+  FROM (SELECT *, reason IS NULL AND kind <> 'initiative' AS opens FROM (SELECT t.session_id, r.n, r.roll_id, t.round, r.kind, r.entry, r.names, CASE WHEN r.names <> t.names THEN list_filter(t.acted, lambda x: list_contains(r.names, x)) ELSE t.acted END AS acted,
+    CASE WHEN r.actor IS NULL THEN 'actor could not be resolved' WHEN len(r.names) = 0 THEN 'no initiative order was available' WHEN r.entry IS NULL THEN 'actor is absent from initiative order' END AS reason FROM tu t JOIN ro r ON r.session_id = t.session_id AND r.n = t.n + 1))),
+placed AS (SELECT tu.session_id, tu.roll_id, CASE WHEN reason IS NULL THEN round END AS round, entry, reason, tu.n, who FROM tu JOIN ro ON tu.session_id = ro.session_id AND tu.n = ro.n),
+rounds AS (SELECT session_id, roll_id, round, CASE WHEN round IS NOT NULL THEN dense_rank() OVER (PARTITION BY session_id, round ORDER BY f) END AS turn, CASE WHEN reason IS NULL THEN entry END AS entry, reason FROM (SELECT *, min(n) OVER (PARTITION BY session_id, round, who) AS f FROM placed))"""
 
-query("en05_rounds_and_turns", f"WITH RECURSIVE {ROUNDS} SELECT * FROM rounds")(lambda spark, sf: en.rounds_and_turns(_rolls(spark, sf)))
 
+def _placed(spark, sf):
+    rolls = _rolls(spark, sf).withColumn("actor", F.expr("CASE WHEN who = 'p3' AND roll_id % 5 = 0 THEN NULL ELSE concat('ch_', who) END"))
+    names = "transform(filter(array(struct(1 AS b, 'p0' AS n), struct(2 AS b, 'Hero' AS n), struct(4 AS b, 'p2' AS n), struct(8 AS b, 'p3' AS n)), x -> ((k * 7 + 5) DIV x.b) % 2 = 1), x -> x.n) AS names"
+    orders = _rolls(spark, sf).where("kind = 'initiative' AND session_id % 4 <> 3").selectExpr("session_id", "seq", "t_s", names)
+    actors = spark.createDataFrame([("Hero", "ch_p1")], "name string, actor string")
+    return en.rounds_and_turns(en.rolls_with_order(rolls, orders, actors))
 
-@query("en06_unassigned", f"WITH {SCOPE} SELECT session_id, roll_id, CASE WHEN total IS NULL THEN 'no_total' WHEN kind = 'other' THEN 'not_combat' ELSE 'outside_encounter' END AS reason FROM rolls WHERE (session_id, roll_id) NOT IN (SELECT (session_id, roll_id) FROM sc)")
-def _(spark, sf):
-    return en.unassigned(_rolls(spark, sf), en.trackerless_scope(_rolls(spark, sf), 14.0))
+
+query("en05_rounds_and_turns", f"WITH RECURSIVE {ACTED} SELECT session_id, roll_id, round, turn, entry FROM rounds")(lambda spark, sf: _placed(spark, sf).drop("reason"))
+query("en06_unassigned", f"WITH RECURSIVE {ACTED} SELECT session_id, roll_id, reason FROM rounds WHERE reason IS NOT NULL")(lambda spark, sf: en.unassigned(_placed(spark, sf)))
 
 
 @query("en07_damage_sums", f"WITH {R}, h AS (SELECT * FROM rolls WHERE kind = 'damage' AND target IS NOT NULL) SELECT session_id, 'actor' AS side, who AS name, sum(total)::BIGINT AS damage FROM h GROUP BY 1, 3 UNION ALL SELECT session_id, 'target', target, sum(total)::BIGINT FROM h GROUP BY 1, 3")
@@ -91,7 +104,7 @@ def _(spark, sf):
     return _rolls(spark, sf).select("session_id", "roll_id", en.notable(F.col("die")).alias("notable"))
 
 
-query("en10_encounter_summary", f"WITH RECURSIVE {ROUNDS}, per AS (SELECT session_id, round, max(turn) AS turns, sum(CASE WHEN kind = 'damage' AND target IS NOT NULL THEN total ELSE 0 END) AS damage FROM ro JOIN rounds USING (session_id, roll_id) WHERE round > 0 GROUP BY 1, 2) SELECT session_id, count(*) AS n_rounds, sum(turns)::BIGINT AS n_turns, sum(damage)::BIGINT AS damage_total FROM per GROUP BY 1")(lambda spark, sf: en.encounter_summary(_rolls(spark, sf), en.rounds_and_turns(_rolls(spark, sf))).select("session_id", "n_rounds", "n_turns", "damage_total"))
+query("en10_encounter_summary", f"WITH RECURSIVE {ACTED}, per AS (SELECT session_id, round, max(turn) AS turns, sum(CASE WHEN kind = 'damage' AND target IS NOT NULL THEN total ELSE 0 END) AS damage FROM ro JOIN rounds USING (session_id, roll_id) WHERE round IS NOT NULL GROUP BY 1, 2) SELECT session_id, count(*) AS n_rounds, sum(turns)::BIGINT AS n_turns, sum(damage)::BIGINT AS damage_total FROM per GROUP BY 1")(lambda spark, sf: en.encounter_summary(_rolls(spark, sf), _placed(spark, sf)).select("session_id", "n_rounds", "n_turns", "damage_total"))
 
 
 @query("ck01_stated_intent", f"WITH {BOTH}, c AS (SELECT * FROM rolls WHERE kind = 'check') SELECT c.session_id, c.roll_id, coalesce((SELECT CASE WHEN c.t_s - max(u.end_s) <= 12 THEN arg_max(u.utt_id, {{'e': u.end_s, 'u': u.utt_id}}) END FROM utterances u WHERE u.session_id = c.session_id AND u.end_s <= c.t_s), '') AS intent FROM c")

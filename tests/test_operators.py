@@ -419,14 +419,31 @@ def test_timeline_rules(spark):
 
 def test_encounters(spark):
     rolls = spark.createDataFrame([(1, i, i, float(i), w, k, 5 + 2 * (w == "B"), t) for i, (w, k, t) in enumerate([("A", "initiative", None), ("A", "attack", None), ("B", "damage", "x"), ("A", "damage", "x")])], "session_id long, roll_id long, seq long, t_s double, who string, kind string, total long, target string")
-    got = {r.roll_id: (r.round, r.turn) for r in en.rounds_and_turns(rolls).collect()}
-    assert got == {0: (0, 0), 1: (1, 1), 2: (1, 2), 3: (2, 1)}
+    none = spark.createDataFrame([], "session_id long, seq long, t_s double, names array<string>"), spark.createDataFrame([], "name string, actor string")
+    got = {r.roll_id: (r.round, r.turn, r.entry) for r in en.rounds_and_turns(en.rolls_with_order(rolls.withColumn("actor", F.col("who")), *none)).collect()}
+    assert got == {0: (1, 1, "A"), 1: (1, 1, "A"), 2: (1, 2, "B"), 3: (2, 1, "A")}
     assert {(r.side, r.name): r.damage for r in en.damage_sums(rolls).collect()} == {("actor", "A"): 5, ("actor", "B"): 7, ("target", "x"): 12}
     checks = spark.createDataFrame([(1, i, float(t), "p", "s", "the relic") for i, t in enumerate((3, 22, 200))], "session_id long, roll_id long, t_s double, who string, skill string, subject string")
     assert [(r.group_no, r.attempt) for r in en.attempt_groups(checks).orderBy("roll_id").collect()] == [(1, 1), (1, 2), (2, 1)]
     assert value(spark, en.verdict_of(F.lit("You succeed"))) == "success" and value(spark, en.skill_of(F.lit("skill: Persuasion"))) == "persuasion"
 
 
+def test_rounds_follow_the_order_in_force(spark):
+    """Leavers are released, come back with a fresh turn, names stand for actors, and what has no turn has its reason; sessions don't mix."""
+    rolls = [("B", "attack"), ("Ann", "attack"), ("B", "attack"), ("X", "attack"), (None, "attack"), ("B", "attack"), ("Ann", "attack"), ("B", "initiative"), ("B", "attack")]
+    rows = [(s, i, float(i), i, w, None if w is None else {"Ann": "a", "B": "b"}.get(w, "x"), k) for s in (1, 2) for i, (w, k) in enumerate(rolls)]
+    orders = [(1, 0, 0.5, ["A", "B"]), (1, 1, 4.5, ["A"]), (1, 2, 4.6, ["B", "A"]), (1, 3, 5.5, ["A"]), (1, 4, 6.5, ["B", "A"])]
+    df = spark.createDataFrame(rows, "session_id long, roll_id long, t_s double, seq long, who string, actor string, kind string")
+    placed = en.rounds_and_turns(en.rolls_with_order(df.repartition(4), spark.createDataFrame(orders, "session_id long, seq long, t_s double, names array<string>"), spark.createDataFrame([("A", "a")], "name string, actor string")))
+    got = {(r.session_id, r.roll_id): (r.round, r.turn, r.entry) if r.reason is None else r.reason for r in placed.collect()}
+    absent, unresolved = "actor is absent from initiative order", "actor could not be resolved"
+    # between rolls 5 and 7 B has left the order, so its next roll opens no round, but the second of Ann does
+    assert [got[1, i] for i in range(9)] == ["no initiative order was available", (1, 1, "A"), (1, 2, "B"), absent, unresolved, (2, 1, "B"), (2, 2, "A"), (2, 1, "B"), (2, 1, "B")]
+    # without orders the rolls from the first initiative on count, in order of first appearance
+    assert {i: x for (s, i), x in got.items() if s == 2} == {7: (1, 1, "B"), 8: (1, 1, "B")}
+    assert {(r.roll_id, r.reason) for r in en.unassigned(placed).where("session_id = 1").collect()} == {(0, "no initiative order was available"), (3, absent), (4, unresolved)}
+
+
 def test_quality_entries(spark):
     tracks = spark.createDataFrame([(1, "t", None, 0.001, False)], "session_id long, track_id string, player_id string, speech_ratio double, aligned boolean")
     sessions = spark.createDataFrame([(1, True, "wallclock")], "session_id long, has_capture boolean, basis string")
