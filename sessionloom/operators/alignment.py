@@ -122,26 +122,58 @@ def robust_fit(matches: DataFrame, most: float = 20.0) -> DataFrame:
     return held.join(cut, "session_id").where(F.col("off").isNull() | (F.coalesce("_cut", F.lit(most)) >= F.col("off"))).drop("_cut", "off")
 
 
-def project(rolls: DataFrame, points: DataFrame, scale: float = 0.25) -> DataFrame:
-    """Rolls with t_audio_s between the nearest fitted points, and its uncertainty and kind. (AL-09)
+def fit_scale(matches: DataFrame, points: DataFrame) -> DataFrame:
+    """(session_id, scale_s, fallback_s): how far matches lie off the line of their neighbours, and the usual time of one step. (AL-08)
 
-    An as-of in both directions over one sorted axis: points carry their time
-    forwards and backwards by windows.
+    ``points`` are those that ``robust_fit`` keeps of ``matches``. The scale is
+    the median deviation of inner matches, at least 0.25; the fallback the
+    median slope, 1 where there is none or it isn't above 0.
     """
-    p = points.select("session_id", "seq", F.col("t_s").alias("_pt"))
-    axis = rolls.withColumn("_roll", F.lit(True)).join(p, ["session_id", "seq"], "full_outer")
     w = W.partitionBy("session_id").orderBy("seq")
-    pt = F.when(F.col("_pt").isNotNull(), F.struct(F.col("seq").alias("q"), F.col("_pt").alias("t")))
-    held = axis.withColumn("_a", F.last(pt, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_b", F.first(pt, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
-    step = points.withColumn("_s", (F.lead("t_s").over(w) - F.col("t_s")) / (F.lead("seq").over(w) - F.col("seq"))).groupBy("session_id").agg(F.expr("percentile(_s, 0.5)").alias("_slope"))
-    held = held.join(step, "session_id", "left").withColumn("_slope", F.coalesce("_slope", F.lit(0.0)))
-    q = F.col("seq")
-    inside = F.col("_a").isNotNull() & F.col("_b").isNotNull()
-    mid = F.col("_a.t") + F.when(F.col("_b.q") > F.col("_a.q"), (F.col("_b.t") - F.col("_a.t")) * (q - F.col("_a.q")) / (F.col("_b.q") - F.col("_a.q"))).otherwise(0.0)
-    t = F.when(F.col("_pt").isNotNull(), F.col("_pt")).when(inside, mid).when(F.col("_a").isNotNull(), F.col("_a.t") + (q - F.col("_a.q")) * F.col("_slope")).when(F.col("_b").isNotNull(), F.col("_b.t") - (F.col("_b.q") - q) * F.col("_slope")).otherwise(F.col("expected_s"))
-    gap = F.least(F.coalesce(q - F.col("_a.q"), F.lit(10**9)), F.coalesce(F.col("_b.q") - q, F.lit(10**9)))
-    unc = F.when(F.col("_pt").isNotNull(), F.lit(scale)).when(inside, scale + 0.5 + 0.5 * gap).when(F.col("_a").isNotNull() | F.col("_b").isNotNull(), scale + 1 + gap).otherwise(F.lit(scale + 10))
-    kind = F.when(F.col("_pt").isNotNull(), "matched").when(inside, "interpolated").when(F.col("_a").isNotNull() | F.col("_b").isNotNull(), "extrapolated").otherwise("unanchored")
+    slope = lambda t0, q0: (F.col("t_s") - t0) / (F.col("seq") - q0)
+    ps, pt, ns, nt = F.lag("seq").over(w), F.lag("t_s").over(w), F.lead("seq").over(w), F.lead("t_s").over(w)
+    off = F.abs(F.col("t_s") - (pt + (nt - pt) * (F.col("seq") - ps) / (ns - ps)))
+    scale = matches.withColumn("_off", off).groupBy("session_id").agg(F.greatest(F.lit(0.25), F.coalesce(F.expr("percentile(_off, 0.5)"), F.lit(0.25))).alias("scale_s"))
+    steps = points.withColumn("_s", slope(pt, ps)).groupBy("session_id").agg(F.expr("percentile(_s, 0.5)").alias("_step"))
+    return scale.join(steps, "session_id", "left").select("session_id", "scale_s", F.when(F.col("_step") > 0, F.col("_step")).otherwise(1.0).alias("fallback_s"))
+
+
+def _chord(q: Column, a: Column, b: Column) -> Column:
+    """Time at ``q`` on the line through two points (q, t); null if either is missing."""
+    return a["t"] + (b["t"] - a["t"]) * (q - a["q"]) / (b["q"] - a["q"])
+
+
+def _beyond(q: Column, near: Column, far: Column, fallback: Column) -> Column:
+    """Time at ``q`` past the end point ``near``, by the slope from the point next to it, never below 0."""
+    slope = F.when(far.isNotNull(), F.greatest(F.lit(0.0), (near["t"] - far["t"]) / (near["q"] - far["q"]))).otherwise(fallback)
+    return F.greatest(F.lit(0.0), near["t"] + (q - near["q"]) * slope)
+
+
+def project(rolls: DataFrame, points: DataFrame, fits: DataFrame) -> DataFrame:
+    """Rolls with t_audio_s, its uncertainty and its kind. (AL-09)
+
+    A roll at a fitted point's sequence number is matched. Others are on the
+    line between the nearest points before and after, or beyond the end by the
+    slope of the two points there; without points at the expected time, or a
+    step a number. An as-of in both directions over one sorted axis: points
+    carry their time forwards and backwards by windows, and each end's slope.
+    """
+    w = W.partitionBy("session_id").orderBy("seq")
+    point = F.struct(F.col("seq").alias("q"), F.col("t_s").alias("t"))
+    p = points.select("session_id", "seq", F.struct(point.alias("at"), F.lag(point).over(w).alias("before"), F.lead(point).over(w).alias("after")).alias("_p"))
+    axis = rolls.withColumn("_roll", F.lit(True)).join(p, ["session_id", "seq"], "full_outer").join(fits, "session_id", "left")
+    held = axis.withColumn("_a", F.last("_p", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))).withColumn("_b", F.first("_p", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)))
+    q, a, b, own = F.col("seq"), F.col("_a"), F.col("_b"), F.col("_p")
+    scale, fallback = F.coalesce("scale_s", F.lit(0.25)), F.coalesce("fallback_s", F.lit(1.0))
+    inside = a.isNotNull() & b.isNotNull()
+    end = a.isNotNull() | b.isNotNull()
+    t = (
+        F.when(own.isNotNull(), own["at"]["t"]).when(inside, _chord(q, a["at"], b["at"])).when(a.isNotNull(), _beyond(q, a["at"], a["before"], fallback)).when(b.isNotNull(), _beyond(q, b["at"], b["after"], fallback))
+        .otherwise(F.greatest(F.lit(0.0), F.coalesce("expected_s", q * fallback)))
+    )
+    gap = F.least(q - a["at"]["q"], b["at"]["q"] - q)  # null sides don't count
+    unc = F.when(own.isNotNull(), scale).when(inside, scale + 0.5 + 0.5 * gap).when(end, scale + 1 + gap).otherwise(scale + 10)
+    kind = F.when(own.isNotNull(), "matched").when(inside, "interpolated").otherwise("extrapolated")
     return held.where("_roll").select(*rolls.columns, F.round(t, 6).alias("t_audio_s"), F.round(unc, 6).alias("uncertainty_s"), kind.alias("anchor"))
 
 
@@ -151,16 +183,47 @@ def anchors(projected: DataFrame) -> DataFrame:
     return projected.withColumn("t_audio_s", F.max("t_audio_s").over(w))
 
 
-def alignment_quality(anchored: DataFrame) -> DataFrame:
-    """(session_id, anchored_fraction, median_residual_s, largest_gap_s, drift_s). (AL-11)"""
-    w = W.partitionBy("session_id").orderBy("seq", "roll_id")
-    ok = F.col("anchor") == "matched"
-    prev = F.last(F.when(ok, F.col("t_audio_s")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    held = anchored.withColumn("_gap", F.when(ok, F.col("t_audio_s") - prev)).withColumn("_res", F.when(ok & F.col("expected_s").isNotNull(), F.col("t_audio_s") - F.col("expected_s")))
-    return held.groupBy("session_id").agg(F.round(F.avg(ok.cast("double")), 6).alias("anchored_fraction"), F.round(F.expr("percentile(abs(_res), 0.5)"), 6).alias("median_residual_s"), F.round(F.max("_gap"), 6).alias("largest_gap_s"), F.round(F.expr("percentile(_res, 0.5)"), 6).alias("drift_s"))
-
+def leave_one_out(points: DataFrame, fits: DataFrame) -> DataFrame:
+    """``points`` with ``residual_s``: the distance from where the other points would put each. (AL-11)
 
-def project_turnorder(turnorder: DataFrame, points: DataFrame) -> DataFrame:
+    An inner point is held against the line through its neighbours, an end
+    point against the slope of the two points next to it, the only point of a
+    session against itself.
+    """
+    w = W.partitionBy("session_id").orderBy("seq")
+    point = F.struct(F.col("seq").alias("q"), F.col("t_s").alias("t"))
+    near = {f"_{k}": F.lead(point, k).over(w) for k in (1, 2)} | {f"_b{k}": F.lag(point, k).over(w) for k in (1, 2)}
+    held = points.select("session_id", "seq", "t_s", *[c.alias(k) for k, c in near.items()]).join(fits, "session_id", "left")
+    q, fallback = F.col("seq"), F.coalesce("fallback_s", F.lit(1.0))
+    b1, a1 = F.col("_b1"), F.col("_1")
+    put = F.when(b1.isNotNull() & a1.isNotNull(), _chord(q, b1, a1)).when(a1.isNotNull(), _beyond(q, a1, F.col("_2"), fallback)).when(b1.isNotNull(), _beyond(q, b1, F.col("_b2"), fallback)).otherwise(F.col("t_s"))
+    return held.select("session_id", "seq", "t_s", F.abs(F.col("t_s") - put).alias("residual_s"))
+
+
+def alignment_quality(anchored: DataFrame, points: DataFrame, fits: DataFrame, basis: DataFrame) -> DataFrame:
+    """(session_id, anchored_fraction, median_residual_s, largest_gap_s, drift_s). (AL-11)
+
+    Residuals are those of matched rolls with an expected time; a session
+    without any has those of leaving one point out. The gap is the longest
+    stretch of a run of rolls that aren't matched, between the anchors on
+    either side; null if all are. ``basis`` (session_id, basis) is one row a
+    session; only a wall clock has a drift.
+    """
+    w = W.partitionBy("session_id").orderBy("seq", "roll_id")
+    ok, t = F.col("anchor") == "matched", F.col("t_audio_s")
+    held = anchored.withColumn("_run", F.sum(ok.cast("long")).over(w)).withColumn("_left", F.coalesce(F.lag(t).over(w), t)).withColumn("_right", F.coalesce(F.lead(t).over(w), t))
+    runs = held.where(~ok).groupBy("session_id", "_run").agg(F.greatest(F.lit(0.0), F.max_by("_right", F.struct("seq", "roll_id")) - F.min_by("_left", F.struct("seq", "roll_id"))).alias("_gap"))
+    gaps = runs.groupBy("session_id").agg(F.round(F.max("_gap"), 6).alias("largest_gap_s"))
+    matched = anchored.where(ok).join(points.select("session_id", "seq", "t_s"), ["session_id", "seq"]).where("expected_s IS NOT NULL").withColumn("_res", F.col("t_s") - F.col("expected_s"))
+    known = matched.groupBy("session_id").agg(F.expr("percentile(abs(_res), 0.5)").alias("_known"), F.expr("percentile(_res, 0.5)").alias("_drift"))
+    left_out = leave_one_out(points, fits).groupBy("session_id").agg(F.expr("percentile(residual_s, 0.5)").alias("_out"))
+    share = anchored.groupBy("session_id").agg(F.round(F.avg(ok.cast("double")), 6).alias("anchored_fraction"))
+    out = share.join(known, "session_id", "left").join(left_out, "session_id", "left").join(gaps, "session_id", "left").join(basis, "session_id", "left")
+    drift = F.when(F.col("basis") == "wallclock", F.col("_drift"))
+    return out.select("session_id", "anchored_fraction", F.round(F.coalesce("_known", "_out"), 6).alias("median_residual_s"), "largest_gap_s", F.round(drift, 6).alias("drift_s"))
+
+
+def project_turnorder(turnorder: DataFrame, points: DataFrame, fits: DataFrame) -> DataFrame:
     """Order snapshots on the recording's clock, with usable entries only. (AL-12)"""
     kept = turnorder.withColumn("entries", F.filter("entries", lambda e: e["name"].isNotNull() & e["value"].isNotNull()))
-    return project(kept.withColumn("expected_s", F.lit(None).cast("double")), points)
+    return project(kept.withColumn("expected_s", F.lit(None).cast("double")), points, fits)

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_edges
-from .intervals import band_join
+from .intervals import band_join, point_join
 
 # Fixed values.
 IN_CHARACTER, OUT_OF_CHARACTER, SIM_LEAST, SIM_LEAD, SHORTEST_S = 0.65, 0.35, 0.5, 0.08, 0.6
@@ -27,16 +27,31 @@ DIRECT = r"\b(i|me|my|we|our|you|your)\b"
 QUOTE = r'"[^"]+"|“[^”]+”|‘[^’]+’'
 
 
-def evidence(utterances: DataFrame, scores: DataFrame, similarities: DataFrame, rolls: DataFrame, slack: float = 2.0) -> DataFrame:
+def evidence(utterances: DataFrame, scores: DataFrame, similarities: DataFrame, anchors: DataFrame, active: DataFrame, slack: float = 2.0) -> DataFrame:
     """One row per utterance with all that a score needs. (AT-01)
 
-    Roll proximity is a bucketed band join reduced to a flag before it is
-    joined back; similarities are reduced to the best of either kind.
+    ``utterances`` have overlap_ids and is_backchannel, ``anchors`` (session_id,
+    t_audio_s, uncertainty_s) a row for each roll: a roll is near where an
+    utterance's middle is within its own uncertainty and ``slack``. That join is
+    reduced to a flag, similarities to the best of either kind, before they
+    are joined back; the margin is null unless both kinds are known. ``active``
+    (session_id, character_id) become a sorted list of each session.
     """
-    near = band_join(utterances.select("session_id", "utt_id", "mid_s"), rolls.select("session_id", "t_s"), ["session_id"], "mid_s", "t_s", slack, slack).select("session_id", "utt_id").distinct().withColumn("roll_prox", F.lit(1.0))
-    sims = similarities.groupBy("utt_id").agg(F.max(F.when(F.col("kind") == "table", F.col("similarity"))).alias("voice_sim_table"), F.max(F.when(F.col("kind") == "character", F.col("similarity"))).alias("voice_sim_character"))
-    out = utterances.join(scores, "utt_id", "left").join(sims, "utt_id", "left").join(near, ["session_id", "utt_id"], "left")
-    return out.withColumn("voice_margin", F.coalesce("voice_sim_character", F.lit(0.0)) - F.coalesce("voice_sim_table", F.lit(0.0))).withColumn("roll_prox", F.coalesce("roll_prox", F.lit(0.0)))
+    reach = F.col("uncertainty_s") + slack
+    spans = anchors.select("session_id", (F.col("t_audio_s") - reach).alias("_from"), (F.col("t_audio_s") + reach).alias("_to"))
+    near = point_join(utterances.select("session_id", "utt_id", "mid_s"), spans, ["session_id"], "mid_s", ("_from", "_to")).select("session_id", "utt_id").distinct().withColumn("roll_prox", F.lit(1.0))
+    best = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("similarity"))).alias(f"voice_sim_{kind}")
+    sims = similarities.groupBy("session_id", "utt_id").agg(best("table"), best("character"))
+    present = active.groupBy("session_id").agg(F.sort_array(F.collect_set("character_id")).alias("active_character_ids"))
+    out = utterances.join(scores, "utt_id", "left").join(sims, ["session_id", "utt_id"], "left").join(near, ["session_id", "utt_id"], "left").join(present, "session_id", "left")
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    return (
+        out.withColumn("voice_margin", F.col("voice_sim_character") - F.col("voice_sim_table"))
+        .withColumn("roll_prox", F.coalesce("roll_prox", F.lit(0.0)))
+        .withColumn("overlap", flag(F.size("overlap_ids") > 0))
+        .withColumn("backchannel", flag(F.col("is_backchannel")))
+        .withColumn("active_character_ids", F.coalesce("active_character_ids", F.array().cast("array<string>")))
+    )
 
 
 def weighted_score(columns: list[str], weights: dict[str, float] = WEIGHTS) -> Column:

@@ -36,6 +36,24 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: s
     return a.join(b, [*keys, "_bucket"]).where((F.col(rt) >= F.col(lt) - before) & (F.col(rt) <= F.col(lt) + after)).drop("_bucket")
 
 
+def point_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, bounds: tuple[str, str], least: float = 0.25) -> DataFrame:
+    """Points and the closed intervals of any length that hold them, with equal keys.
+
+    An interval lies in the level of its own length, whose buckets are the next
+    power of two, so it covers two of them at most. A point lies in one bucket
+    of each level that occurs; there are as many as the lengths have doublings
+    from ``least`` on. Columns but the keys must differ between the sides; null
+    bounds and points match nothing.
+    """
+    start, end = (F.col(b) for b in bounds)
+    held = intervals.where(end >= start).withColumn("_level", F.ceil(F.log2(F.greatest(end - start, F.lit(least)))).cast("int"))
+    cut = lambda t, level: F.floor(t / F.pow(F.lit(2.0), level))
+    spread = held.withColumn("_bucket", F.explode(F.sequence(cut(start, F.col("_level")), cut(end, F.col("_level")))))
+    levels = held.agg(F.collect_set("_level").alias("_levels"))  # one row, a number for each doubling
+    placed = points.where(F.col(at).isNotNull()).crossJoin(F.broadcast(levels)).withColumn("_level", F.explode("_levels")).drop("_levels").withColumn("_bucket", cut(F.col(at), F.col("_level")))
+    return placed.join(spread, [*keys, "_level", "_bucket"]).where((F.col(at) >= start) & (F.col(at) <= end)).drop("_level", "_bucket")
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: str, order: list[str], values: list[str], strict: bool = False) -> DataFrame:
     """``left`` with ``values`` of the last row of ``right`` at or before its time (before it, if strict).
 

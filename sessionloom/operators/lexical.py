@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import band_join
+from .intervals import point_join
 
 # Contractions, and words for numbers.
 CONTRACTIONS = {
@@ -139,12 +139,21 @@ def real_name_markers(texts: DataFrame, players: DataFrame, characters: DataFram
     return words.join(names, "token").where(F.col("player_id") != F.col("owner")).select("id", "owner", F.col("pos").cast("long").alias("pos"))
 
 
-def roll_total_evidence(numbers: DataFrame, rolls: DataFrame, uncertainty: float) -> DataFrame:
-    """(session_id, utt_id, n, reason) of utterances that are one number: rolls with that total near their middle. (TXT-07)"""
-    met = band_join(numbers.where("number IS NOT NULL").withColumn("total", F.col("number")), rolls.select("session_id", "total", "t_s"), ["session_id", "total"], "mid_s", "t_s", uncertainty, uncertainty)
-    n = met.groupBy("session_id", "utt_id").agg(F.count("*").alias("n"))
+def roll_total_evidence(numbers: DataFrame, rolls: DataFrame, usual: float = 1.5) -> DataFrame:
+    """(session_id, utt_id, n, roll_id, reason) of utterances, by the rolls whose total they say. (TXT-07)
+
+    An utterance that is one number meets the rolls of that total whose time is
+    within their own uncertainty (``uncertainty_s``, or the usual one) of its
+    middle. One roll is a match and is named; several are ambiguous.
+    """
+    reach = F.coalesce("uncertainty_s", F.lit(usual))
+    spans = rolls.select("session_id", "total", "roll_id", (F.col("t_s") - reach).alias("_from"), (F.col("t_s") + reach).alias("_to"))
+    said = numbers.where("number IS NOT NULL").select("session_id", "utt_id", F.col("number").alias("total"), "mid_s")
+    met = point_join(said, spans, ["session_id", "total"], "mid_s", ("_from", "_to"))
+    n = met.groupBy("session_id", "utt_id").agg(F.count("*").alias("n"), F.min("roll_id").alias("_one"))
     out = numbers.join(n, ["session_id", "utt_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return out.select("session_id", "utt_id", "n", F.when(F.col("number").isNull(), "not_numeric_only").when(F.col("n") == 0, "no_aligned_roll").when(F.col("n") == 1, "matched").otherwise("ambiguous").alias("reason"))
+    reason = F.when(F.col("number").isNull(), "not_numeric_only").when(F.col("n") == 0, "no_aligned_roll").when(F.col("n") == 1, "matched_roll_total").otherwise("ambiguous_roll")
+    return out.select("session_id", "utt_id", "n", F.when(F.col("n") == 1, F.col("_one")).alias("roll_id"), reason.alias("reason"))
 
 
 def polarity_scores(texts: DataFrame, markers: DataFrame) -> DataFrame:

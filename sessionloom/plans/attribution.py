@@ -23,24 +23,27 @@ def query(name, sql=None):
 
 U, R = ad.UTTERANCES, ad.ROLLS
 EV = f"""{U}, {R}, u AS (SELECT session_id, utt_id, source_index, player_id, start_s, end_s, (start_ms + end_ms) / 2000.0::DOUBLE AS mid_s, end_s - start_s AS duration, length(text) % 3 AS n_profiles, CASE WHEN length(text) % 17 = 0 THEN 1 ELSE 0 END AS n_quotes, (source_index % 2)::DOUBLE AS overlap, (source_index % 5 = 0)::INT AS backchannel, text FROM utterances),
-sims AS (SELECT session_id, utt_id, 'c' || k AS character_id, CASE WHEN k = 0 THEN 'table' ELSE 'character' END AS kind, ((length(text) * (k + 3)) % 100) / 100.0::DOUBLE AS similarity FROM utterances, (SELECT unnest([0, 1, 2, 3]) AS k)),
+anchors AS (SELECT session_id, t_s AS t_audio_s, 0.25 * 2 ** (roll_id % 9) AS uncertainty_s FROM rolls WHERE roll_id % 3 = 0), active AS (SELECT user_id AS session_id, list_sort(list(DISTINCT 'c' || (event_id % 7))) AS ids FROM events WHERE event_id % 4 = 0 GROUP BY 1),
+sims AS (SELECT session_id, utt_id, 'c' || k AS character_id, CASE WHEN k = 0 THEN 'table' ELSE 'character' END AS kind, ((length(text) * (k + 3)) % 100) / 100.0::DOUBLE AS similarity FROM utterances, (SELECT unnest([0, 1, 2, 3]) AS k) WHERE k > 0 OR source_index % 6 <> 5),
 sc AS (SELECT utt_id, (length(text) % 10) / 5.0::DOUBLE AS lex_ic, (length(text) % 7) / 5.0::DOUBLE AS lex_ooc FROM utterances WHERE source_index % 4 <> 3),
-ev AS (SELECT u.*, lex_ic, lex_ooc, table_sim, character_sim, coalesce(character_sim, 0) - coalesce(table_sim, 0) AS margin, CASE WHEN EXISTS (SELECT 1 FROM rolls r WHERE r.session_id = u.session_id AND r.t_s BETWEEN u.mid_s - 2 AND u.mid_s + 2) THEN 1.0 ELSE 0.0 END::DOUBLE AS roll_prox FROM u LEFT JOIN sc USING (utt_id) LEFT JOIN (SELECT utt_id, max(similarity) FILTER (kind = 'table') AS table_sim, max(similarity) FILTER (kind = 'character') AS character_sim FROM sims GROUP BY 1) USING (utt_id)),
-scored AS (SELECT *, 1 / (1 + exp(-greatest(-30, least(30, 0.8 * coalesce(lex_ic, 0) - 1.1 * coalesce(lex_ooc, 0) - 0.45 * roll_prox + 0.9 * coalesce(table_sim, 0) + 1.2 * coalesce(character_sim, 0) + 1.1 * margin - 0.15 * overlap - 0.2 * backchannel + 0.05 * least(duration, 20))))) AS score FROM ev),
+ev AS (SELECT u.*, lex_ic, lex_ooc, table_sim, character_sim, character_sim - table_sim AS margin, coalesce(active.ids, []) AS active_ids, CASE WHEN EXISTS (SELECT 1 FROM anchors r WHERE r.session_id = u.session_id AND abs(r.t_audio_s - u.mid_s) <= r.uncertainty_s + 2) THEN 1.0 ELSE 0.0 END::DOUBLE AS roll_prox FROM u LEFT JOIN active ON active.session_id = u.session_id LEFT JOIN sc USING (utt_id) LEFT JOIN (SELECT utt_id, max(similarity) FILTER (kind = 'table') AS table_sim, max(similarity) FILTER (kind = 'character') AS character_sim FROM sims GROUP BY 1) USING (utt_id)),
+scored AS (SELECT *, 1 / (1 + exp(-greatest(-30, least(30, 0.8 * coalesce(lex_ic, 0) - 1.1 * coalesce(lex_ooc, 0) - 0.45 * roll_prox + 0.9 * coalesce(table_sim, 0) + 1.2 * coalesce(character_sim, 0) + 1.1 * coalesce(margin, 0) - 0.15 * overlap - 0.2 * backchannel + 0.05 * least(duration, 20))))) AS score FROM ev),
 banded AS (SELECT *, CASE WHEN n_profiles = 0 THEN 'uncertain' WHEN n_quotes > 0 THEN 'narration' WHEN duration < 0.6 THEN 'uncertain' WHEN score >= 0.65 THEN 'in_character' WHEN score <= 0.35 THEN 'out_of_character' ELSE 'uncertain' END AS mode, concat_ws(',', CASE WHEN n_profiles = 0 THEN 'no_profiles' END, CASE WHEN n_quotes > 0 THEN 'quoted' END, CASE WHEN duration < 0.6 THEN 'too_short' END, CASE WHEN score < 0.65 AND score > 0.35 THEN 'uncertain' END) AS flags FROM scored)"""
 
 
 def _u(spark, sf):
-    return ad.utterances(spark, sf).selectExpr("session_id", "utt_id", "source_index", "player_id", "start_s", "end_s", "(start_ms + end_ms) / 2000.0D AS mid_s", "end_s - start_s AS duration", "length(text) % 3 AS n_profiles", "CASE WHEN length(text) % 17 = 0 THEN 1 ELSE 0 END AS n_quotes", "CAST(source_index % 2 AS DOUBLE) AS overlap", "CAST(source_index % 5 = 0 AS INT) AS backchannel", "text")
+    return ad.utterances(spark, sf).selectExpr("session_id", "utt_id", "source_index", "player_id", "start_s", "end_s", "(start_ms + end_ms) / 2000.0D AS mid_s", "end_s - start_s AS duration", "length(text) % 3 AS n_profiles", "CASE WHEN length(text) % 17 = 0 THEN 1 ELSE 0 END AS n_quotes", "CASE WHEN source_index % 2 = 1 THEN array('x') ELSE array() END AS overlap_ids", "source_index % 5 = 0 AS is_backchannel", "text")
 
 
 def _sims(spark, sf):
-    return ad.utterances(spark, sf).withColumn("k", F.explode(F.array(*map(F.lit, range(4))))).selectExpr("session_id", "utt_id", "concat('c', k) AS character_id", "CASE WHEN k = 0 THEN 'table' ELSE 'character' END AS kind", "((length(text) * (k + 3)) % 100) / 100.0D AS similarity")
+    return ad.utterances(spark, sf).withColumn("k", F.explode(F.array(*map(F.lit, range(4))))).where("k > 0 OR source_index % 6 <> 5").selectExpr("session_id", "utt_id", "concat('c', k) AS character_id", "CASE WHEN k = 0 THEN 'table' ELSE 'character' END AS kind", "((length(text) * (k + 3)) % 100) / 100.0D AS similarity")
 
 
 def _evidence(spark, sf):
     scores = ad.utterances(spark, sf).where("source_index % 4 <> 3").selectExpr("utt_id", "(length(text) % 10) / 5.0D AS lex_ic", "(length(text) % 7) / 5.0D AS lex_ooc")
-    return at.evidence(_u(spark, sf), scores, _sims(spark, sf), ad.rolls(spark, sf))
+    anchors = ad.rolls(spark, sf).where("roll_id % 3 = 0").selectExpr("session_id", "t_s AS t_audio_s", "0.25D * pow(2, roll_id % 9) AS uncertainty_s")
+    active = ad.table(spark, sf, "events").where("event_id % 4 = 0").selectExpr("user_id AS session_id", "concat('c', event_id % 7) AS character_id")
+    return at.evidence(_u(spark, sf), scores, _sims(spark, sf), anchors, active)
 
 
 def _scored(spark, sf):
@@ -52,10 +55,10 @@ def _banded(spark, sf):
     return at.banded(_scored(spark, sf)).withColumn("confidence", F.abs(F.col("score") - 0.5) * 2).withColumn("ord", F.col("source_index"))
 
 
-@query("at01_evidence", f"WITH {EV} SELECT utt_id, round(coalesce(lex_ic, -1), 6) AS lex_ic, round(coalesce(table_sim, -1), 6) AS voice_sim_table, round(coalesce(character_sim, -1), 6) AS voice_sim_character, round(margin, 6) AS voice_margin, roll_prox FROM ev")
+@query("at01_evidence", f"WITH {EV} SELECT utt_id, round(coalesce(lex_ic, -1), 6) AS lex_ic, round(coalesce(table_sim, -1), 6) AS voice_sim_table, round(coalesce(character_sim, -1), 6) AS voice_sim_character, round(margin, 6) AS voice_margin, roll_prox, overlap, backchannel::DOUBLE AS backchannel, array_to_string(active_ids, ',') AS active FROM ev")
 def _(spark, sf):
     e = _evidence(spark, sf)
-    return e.select("utt_id", *[F.round(F.coalesce(c, F.lit(-1.0)), 6).alias(c) for c in ("lex_ic", "voice_sim_table", "voice_sim_character")], F.round("voice_margin", 6).alias("voice_margin"), "roll_prox")
+    return e.select("utt_id", *[F.round(F.coalesce(c, F.lit(-1.0)), 6).alias(c) for c in ("lex_ic", "voice_sim_table", "voice_sim_character")], F.round("voice_margin", 6).alias("voice_margin"), "roll_prox", "overlap", "backchannel", F.array_join("active_character_ids", ",").alias("active"))
 
 
 @query("at02_score", f"WITH {EV} SELECT utt_id, round(score, 6) AS score FROM scored")

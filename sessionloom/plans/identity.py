@@ -213,10 +213,12 @@ def _(spark, sf):
     return lx.real_name_markers(u, players, spark.createDataFrame([("the and",)], "name string"))
 
 
-@query("txt07_roll_totals", f"WITH {U}, {ad.ROLLS}, n AS (SELECT session_id, utt_id, CASE WHEN source_index % 3 <> 2 THEN source_index * 7 % 90 END AS number, (start_ms + end_ms) / 2000.0::DOUBLE AS mid_s FROM utterances), c AS (SELECT n.session_id, n.utt_id, n.number, count(r.roll_id) AS n FROM n LEFT JOIN rolls r ON r.session_id = n.session_id AND r.total = n.number AND abs(r.t_s - n.mid_s) <= 200 GROUP BY 1, 2, 3) SELECT session_id, utt_id, n, CASE WHEN number IS NULL THEN 'not_numeric_only' WHEN n = 0 THEN 'no_aligned_roll' WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS reason FROM c")
+@query("txt07_roll_totals", f"WITH {U}, {ad.ROLLS}, n AS (SELECT session_id, utt_id, CASE WHEN source_index % 3 <> 2 THEN source_index * 7 % 90 END AS number, (start_ms + end_ms) / 2000.0::DOUBLE AS mid_s FROM utterances), c AS (SELECT n.session_id, n.utt_id, n.number, count(r.roll_id) AS n, min(r.roll_id) AS one FROM n LEFT JOIN rolls r ON r.session_id = n.session_id AND r.total % 10 = n.number % 10 AND abs(r.t_s - n.mid_s) <= CASE WHEN roll_id % 8 < 7 THEN 0.5 * 2 ** (roll_id % 8) ELSE 1.5 END GROUP BY 1, 2, 3) SELECT session_id, utt_id, n, CASE WHEN n = 1 THEN one END AS roll_id, CASE WHEN number IS NULL THEN 'not_numeric_only' WHEN n = 0 THEN 'no_aligned_roll' WHEN n = 1 THEN 'matched_roll_total' ELSE 'ambiguous_roll' END AS reason FROM c")
 def _(spark, sf):
-    n = ad.utterances(spark, sf).selectExpr("session_id", "utt_id", "CASE WHEN source_index % 3 <> 2 THEN source_index * 7 % 90 END AS number", "(start_ms + end_ms) / 2000.0D AS mid_s")
-    return lx.roll_total_evidence(n, ad.rolls(spark, sf), 200.0)
+    """Numbers by their last digit, so that many meet; each roll with an uncertainty of its own, from half a second to half a minute, or none."""
+    n = ad.utterances(spark, sf).selectExpr("session_id", "utt_id", "CASE WHEN source_index % 3 <> 2 THEN source_index * 7 % 90 % 10 END AS number", "(start_ms + end_ms) / 2000.0D AS mid_s")
+    rolls = ad.rolls(spark, sf).selectExpr("session_id", "roll_id", "total % 10 AS total", "t_s", "CASE WHEN roll_id % 8 < 7 THEN 0.5D * pow(2, roll_id % 8) END AS uncertainty_s")
+    return lx.roll_total_evidence(n, rolls)
 
 
 @query("txt08_polarity_scores", f"WITH {MARK}, s AS (SELECT id, coalesce(sum(weight) FILTER (polarity = 'in'), 0) AS i, coalesce(sum(weight) FILTER (polarity = 'out'), 0) AS o, count(*) AS n FROM marks GROUP BY 1) SELECT id, round(coalesce(i, 0), 6) AS in_score, round(coalesce(o, 0), 6) AS out_score, round(coalesce(i, 0) / greatest(1.0, coalesce(i, 0) + coalesce(o, 0)), 6) AS share, round(coalesce(n, 0)::DOUBLE / greatest(1, len(t)), 6) AS density FROM tk LEFT JOIN s USING (id)")

@@ -94,6 +94,32 @@ def test_interval_joins_equal_brute_force(spark):
     assert sorted(want) == sorted(map(tuple, iv.band_join(left, right, ["k"], "ls", "rs", 1.0, 2.0).select("i", "j").collect()))
 
 
+def test_points_in_intervals_of_any_length(spark):
+    """The pairs of brute force for lengths from 0 to hours; an interval becomes two rows at most, a point one a doubling."""
+    rnd = random.Random(6)
+    points = [(rnd.randrange(3), i, rnd.choice([None, rnd.uniform(-100, 4000)]) if i % 9 == 0 else rnd.uniform(-100, 4000)) for i in range(400)]
+    spans = [(rnd.randrange(3), i, a, a + rnd.choice([0.0, 0.1, 0.25, 1.5, 2.0, 30.0, 600.0, 3600.0]) * rnd.choice([1, 1, 0.7])) for i in range(300) for a in [rnd.choice([rnd.uniform(-100, 4000), points[i][2] or 0.0])]] + [(1, 900, None, 3.0), (1, 901, 5.0, None), (1, 902, 5.0, 4.0)]
+    p, s = spark.createDataFrame(points, "k long, p long, t double"), spark.createDataFrame(spans, "k long, s long, a double, b double")
+    got = sorted((r.p, r.s) for r in iv.point_join(p, s, ["k"], "t", ("a", "b")).collect())
+    assert got == sorted((x[1], y[1]) for x in points for y in spans if x[0] == y[0] and None not in (x[2], y[2], y[3]) and y[2] <= x[2] <= y[3])
+    width = lambda y: 2.0 ** np.ceil(np.log2(max(y[3] - y[2], 0.25)))
+    assert all(np.floor(y[3] / width(y)) - np.floor(y[2] / width(y)) <= 1 for y in spans[:300])
+    assert len({width(y) for y in spans[:300]}) <= 15
+
+
+def test_rolls_have_uncertainties_of_their_own(spark):
+    df = spark.createDataFrame
+    numbers = df([(1, "a", 12, 10.0), (1, "b", 12, 100.0), (1, "c", None, 10.0), (1, "d", 7, 10.0), (1, "e", 12, 300.0)], "session_id long, utt_id string, number long, mid_s double")
+    rolls = df([(1, 1, 12, 11.0, None), (1, 2, 12, 90.0, 10.0), (1, 3, 12, 70.0, 30.0), (1, 4, 12, 298.0, 1.9), (2, 5, 7, 10.0, 9.0)], "session_id long, roll_id long, total long, t_s double, uncertainty_s double")
+    got = {r.utt_id: (r.n, r.roll_id, r.reason) for r in lx.roll_total_evidence(numbers, rolls).collect()}
+    assert got == {"a": (1, 1, "matched_roll_total"), "b": (2, None, "ambiguous_roll"), "c": (0, None, "not_numeric_only"), "d": (0, None, "no_aligned_roll"), "e": (0, None, "no_aligned_roll")}
+    said = df([(1, "a", 10.0, ["x"], False), (1, "b", 50.0, [], True), (2, "c", 10.0, None, None)], "session_id long, utt_id string, mid_s double, overlap_ids array<string>, is_backchannel boolean")
+    scores, sims = df([("a", 1.0)], "utt_id string, lex_ic double"), df([(1, "a", "table", 0.2), (1, "a", "character", 0.7), (1, "b", "character", 0.4)], "session_id long, utt_id string, kind string, similarity double")
+    anchors = df([(1, 20.0, 8.0), (1, 55.0, 2.9)], "session_id long, t_audio_s double, uncertainty_s double")
+    got = {r.utt_id: (r.roll_prox, r.overlap, r.backchannel, r.voice_margin, r.active_character_ids) for r in at.evidence(said, scores, sims, anchors, df([(1, "z"), (1, "y"), (1, "y")], "session_id long, character_id string")).collect()}
+    assert got == {"a": (1.0, 1.0, 0.0, pytest.approx(0.5), ["y", "z"]), "b": (0.0, 0.0, 1.0, None, ["y", "z"]), "c": (0.0, 0.0, 0.0, None, [])}
+
+
 def test_as_of(spark):
     left = spark.createDataFrame([(1, 5.0), (1, 10.0), (1, 0.5), (2, 5.0)], "k long, t double")
     right = spark.createDataFrame([(1, 5.0, "a"), (1, 1.0, "z"), (1, 5.0, "b")], "k long, rt double, v string")
@@ -223,10 +249,30 @@ def test_clock(spark):
     assert value(spark, al.id_millis(F.lit("not-a-push-id"))) is None and value(spark, al.id_millis(F.lit("-"))) is None
     points = spark.createDataFrame([(1, 10, 10.0), (1, 30, 30.0)], "session_id long, seq long, t_s double")
     rolls = spark.createDataFrame([(1, s, s, None) for s in (10, 20, 40)], "session_id long, seq long, roll_id long, expected_s double")
-    got = {r.seq: (r.t_audio_s, r.anchor) for r in al.anchors(al.project(rolls, points)).collect()}
+    got = {r.seq: (r.t_audio_s, r.anchor) for r in al.anchors(al.project(rolls, points, al.fit_scale(points, points))).collect()}
     assert got == {10: (10.0, "matched"), 20: (20.0, "interpolated"), 40: (40.0, "extrapolated")}
 
 
+def test_projection_ends_by_their_own_slopes(spark):
+    """Both ends by their own two points, one point by the usual step, none by the expected time, never below 0; residuals of leaving one out."""
+    df = spark.createDataFrame
+    points = df([(1, 10, 100.0), (1, 12, 102.0), (1, 14, 110.0), (1, 15, 112.0), (2, 5, 50.0)], "session_id long, seq long, t_s double")
+    rolls = df([(1, s, s, None) for s in (1, 9, 11, 12, 17)] + [(2, 3, 3, None), (2, 60, 60, None), (3, 4, 4, 9.5), (3, 6, 6, None)], "session_id long, seq long, roll_id long, expected_s double")
+    fits = al.fit_scale(points, points)
+    assert {r.session_id: (r.scale_s, r.fallback_s) for r in fits.collect()} == {1: (pytest.approx((abs(102 - 105) + abs(110 - (102 + 10 * 2 / 3))) / 2), 2.0), 2: (0.25, 1.0)}
+    got = {(r.session_id, r.seq): (r.t_audio_s, r.anchor) for r in al.project(rolls, points, fits).collect()}
+    assert got == {
+        (1, 1): (91.0, "extrapolated"), (1, 9): (99.0, "extrapolated"), (1, 11): (101.0, "interpolated"), (1, 12): (102.0, "matched"), (1, 17): (116.0, "extrapolated"),
+        (2, 3): (48.0, "extrapolated"), (2, 60): (105.0, "extrapolated"), (3, 4): (9.5, "extrapolated"), (3, 6): (6.0, "extrapolated"),
+    }
+    out = {(r.session_id, r.seq): round(r.residual_s, 6) for r in al.leave_one_out(points, fits).collect()}
+    assert out == {(1, 10): 6.0, (1, 12): 3.0, (1, 14): round(110 - (102 + 20 / 3), 6), (1, 15): 2.0, (2, 5): 0.0}
+    basis = df([(1, "wallclock"), (2, "order_only")], "session_id long, basis string")
+    quality = {r.session_id: tuple(r)[1:] for r in al.alignment_quality(al.anchors(al.project(rolls, points, fits)), points, fits, basis).collect()}
+    # rolls 1, 9 and 11 are one run, from its first to the match after it; 17 is another, from that match to itself
+    assert quality[1] == (0.2, 2.5, 14.0, None) and quality[2] == (0.0, 0.0, 57.0, None) and quality[3] == (0.0, None, 0.0, None)
+
+
 def test_smoothing_sees_what_it_has_changed(spark):
     rows = [(1, i, f"u{i}", m, 0.5, []) for i, m in enumerate("ABAB")] + [(2, i, f"v{i}", m, c, []) for i, (m, c) in enumerate([("A", 0.5), ("B", 0.9), ("A", 0.5)])]
     got = at.smoothed(spark.createDataFrame(rows, "session_id long, ord long, utt_id string, mode string, confidence double, flags array<string>"))
