@@ -17,17 +17,20 @@ def ascii_edges(pattern: str) -> str:
     return pattern.replace(r"\b", _EDGE)
 
 
+def _normal_form(text: Column, how: str) -> Column:
+    """``decompose`` or ``compose`` of compatibility characters (NFKD, NFKC), in the JVM, where a text isn't plain ASCII."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit(how), text, F.lit(True))).otherwise(text)
+
+
 def normalised_name(name: Column) -> Column:
-    """Lower case, without a trailing #1234, marks folded, other signs as single spaces."""
-    # Accented letters and what they fold to.
-    marked, bare = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy"
-    folded = F.translate(F.lower(F.regexp_replace(name, r"#\d{4}$", "")), marked, bare)
-    return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
+    """NFKD without marks, without a trailing #1234, lower case, all but letters and digits as single spaces."""
+    bare = F.regexp_replace(_normal_form(name, "decompose"), r"\p{M}+", "")
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(bare, r"#\d{2,6}$", "")), r"[^\p{L}\p{N}]+", " "))
 
 
 def comparison_text(text: Column) -> Column:
-    """Lower case; runs of punctuation and symbols as one space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[\p{P}\p{S}]+", " "), r"\s+", " "))
+    """NFKC, lower case; runs of punctuation and symbols as one space."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(_normal_form(text, "compose")), r"[\p{P}\p{S}]+", " "), r"\s+", " "))
 
 
 def text_similarity(a: Column, b: Column) -> Column:

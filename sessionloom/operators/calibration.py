@@ -135,10 +135,15 @@ def profile_accuracy(labels: DataFrame, profiles: DataFrame) -> DataFrame:
     return best.agg(F.count("*").alias("n"), F.round(F.avg((F.col("nearest") == F.col("character_id")).cast("double")), 6).alias("accuracy"))
 
 
-def hold_out(labels: DataFrame) -> DataFrame:
-    """Labels with held_out: those of the greatest session id. (CA-10)"""
-    last = labels.agg(F.max("session_id").alias("_last"))
-    return labels.crossJoin(F.broadcast(last)).withColumn("held_out", F.col("session_id") == F.col("_last")).drop("_last")
+def hold_out(labels: DataFrame, order: str = "id", share: int = 5) -> DataFrame:
+    """Labels with held_out: those of the greatest session id or, where no label has a session, the last fifth, one at least. (CA-10)
+
+    Places come from range partitions (``in_order``), so that no task sorts all labels.
+    """
+    ends = labels.agg(F.max("session_id").alias("_last"), F.count("*").alias("_n"))
+    placed = in_order(labels, [order]).crossJoin(F.broadcast(ends))
+    tail = F.col("rank") > F.col("_n") - F.greatest(F.lit(1), F.floor(F.col("_n") / share))
+    return placed.withColumn("held_out", F.when(F.col("_last").isNull(), tail).otherwise(F.coalesce(F.col("session_id") == F.col("_last"), F.lit(False)))).drop("_last", "_n", "rank")
 
 
 def calibration_report(labels: DataFrame, predicted: DataFrame, least: int = LEAST_LABELS) -> DataFrame:

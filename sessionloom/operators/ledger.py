@@ -77,10 +77,27 @@ def input_digest(inputs: DataFrame, keys: list[str]) -> DataFrame:
     return inputs.groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(pair)), "\n"), 256).alias("digest"))
 
 
-def stale(inputs: DataFrame, metas: DataFrame, version: int, keys: list[str]) -> DataFrame:
-    """Keys to run again, with the reason: never run, failed, other inputs or another version. (LG-11)"""
-    both = input_digest(inputs, keys).join(metas.select(*keys, F.col("digest").alias("_d"), F.col("version").alias("_v"), F.col("status").alias("_s")), keys, "left")
-    reason = F.when(F.col("_s").isNull(), "never_run").when(F.col("_s") != "ok", "failed").when(F.col("_v") != version, "version").when(F.col("_d") != F.col("digest"), "inputs")
+def params_digest(params: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, params_hash) over the sorted (name, value) of the parameters; a null value counts as null."""
+    pair = F.to_json(F.struct("name", "value"))
+    return params.groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(pair)), "\n"), 256).alias("params_hash"))
+
+
+def stale(inputs: DataFrame, metas: DataFrame, version: int, keys: list[str], params: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Keys to run again, with the first reason. (LG-11)
+
+    never_run, failed, version, params, inputs, or output_missing: what was
+    made is not among ``outputs`` (keys). ``metas`` have digest, version,
+    params_hash and status of the last run, ``params`` (keys, name, value) the
+    parameters of the next one; keys without any have the digest of none.
+    """
+    both = input_digest(inputs, keys).join(params_digest(params, keys), keys, "left").withColumn("params_hash", F.coalesce("params_hash", F.sha2(F.lit(""), 256)))
+    both = both.join(metas.select(*keys, F.col("digest").alias("_d"), F.col("version").alias("_v"), F.coalesce("params_hash", F.sha2(F.lit(""), 256)).alias("_p"), F.col("status").alias("_s")), keys, "left")
+    both = both.join(outputs.select(*keys).distinct().withColumn("_there", F.lit(True)), keys, "left")
+    reason = (
+        F.when(F.col("_s").isNull(), "never_run").when(F.col("_s") != "ok", "failed").when(~F.col("_v").eqNullSafe(F.lit(version)), "version").when(F.col("_p") != F.col("params_hash"), "params")
+        .when(~F.col("_d").eqNullSafe(F.col("digest")), "inputs").when(F.col("_there").isNull(), "output_missing")
+    )
     return both.select(*keys, reason.alias("reason")).where("reason IS NOT NULL")
 
 

@@ -92,11 +92,31 @@ def tokens_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def rule_table(defaults: DataFrame, overrides: DataFrame) -> DataFrame:
-    """(class, weight, terms): overrides replace weights and add terms. (TXT-03)"""
-    d, o = defaults.select("class", F.col("weight").alias("_w"), F.col("terms").alias("_t")), overrides.select("class", F.col("weight").alias("_ow"), F.col("terms").alias("_ot"))
+#: Classes whose terms are names of the campaign, with their usual weights.
+NAME_CLASSES = {"glossary": 0.45, "proper_noun": 0.35, "vocative": 0.3}
+
+
+def rule_table(defaults: DataFrame, overrides: DataFrame, names: DataFrame) -> DataFrame:
+    """(class, weight, polarity, terms) of the rules in force. (TXT-03)
+
+    Both sides have class, weight, polarity and terms. An override replaces
+    weight and polarity and adds its terms. ``names`` (class, term) are the
+    glossary, the names of characters that are not players' (proper_noun) and
+    of those that are (vocative): they replace all terms of their class, which
+    keeps its weight and is in character. A class without a polarity is in
+    character if ``ic`` is a part of its name.
+    """
+    d = defaults.select("class", F.col("weight").alias("_w"), F.col("polarity").alias("_p"), F.col("terms").alias("_t"))
+    o = overrides.select("class", F.col("weight").alias("_ow"), F.col("polarity").alias("_op"), F.col("terms").alias("_ot"), F.lit(True).alias("_o"))
     none = F.array().cast("array<string>")
-    return d.join(o, "class", "full_outer").select("class", F.coalesce("_ow", "_w").alias("weight"), F.array_sort(F.array_union(F.coalesce("_t", none), F.coalesce("_ot", none))).alias("terms"))
+    merged = d.join(o, "class", "full_outer").select("class", F.coalesce("_ow", "_w").alias("weight"), F.when(F.col("_o"), F.col("_op")).otherwise(F.col("_p")).alias("polarity"), F.array_union(F.coalesce("_t", none), F.coalesce("_ot", none)).alias("terms"))
+    given = names.groupBy("class").agg(F.collect_set("term").alias("_names"))
+    usual = names.sparkSession.createDataFrame(list(NAME_CLASSES.items()), "class string, _usual double")
+    named = usual.join(given, "class", "left").join(merged.select("class", "weight"), "class", "left")
+    named = named.select("class", F.coalesce("weight", "_usual").alias("weight"), F.lit("ic").alias("polarity"), F.coalesce("_names", none).alias("terms"))
+    out = merged.where(~F.col("class").isin(*NAME_CLASSES)).unionByName(named)
+    by_name = F.when(F.col("class").rlike("(?i)(?:^|[_-])ic(?:$|[_-])"), "ic").otherwise("ooc")
+    return out.select("class", "weight", F.coalesce("polarity", by_name).alias("polarity"), F.array_sort("terms").alias("terms"))
 
 
 def lexicon_issues(lexicon: DataFrame) -> DataFrame:

@@ -23,9 +23,9 @@ def query(name, sql=None):
     return add
 
 
-NORM = lambda c: f"trim(regexp_replace(lower(regexp_replace({c}, '#\\d{{4}}$', '')), '[^a-z0-9]+', ' ', 'g'))"
+NORM = lambda c: f"trim(regexp_replace(lower(regexp_replace(strip_accents({c}), '#\\d{{2,6}}$', '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 PL = "players AS (SELECT 'pl_' || n_nationkey AS player_id, n_name AS display_name, CASE WHEN n_nationkey % 3 <> 0 THEN lower(n_name) || ' user#1234' END AS username, CASE WHEN n_nationkey % 2 = 0 THEN n_name || ' acct' END AS account, CASE WHEN n_nationkey % 4 = 0 THEN 'u' || n_nationkey END AS user_id FROM nation)"
-OBS = "observed AS (SELECT c_custkey % 50 AS session_id, c_custkey AS track_id, CASE c_custkey % 4 WHEN 0 THEN 'Nation ' || c_nationkey WHEN 1 THEN 'nation_' || c_nationkey || 'x' WHEN 2 THEN 'NATION_' || c_nationkey || ' acct' ELSE c_name END AS name, CASE WHEN c_custkey % 7 = 0 THEN 'u' || c_nationkey END AS user_id FROM customer)"
+OBS = "observed AS (SELECT c_custkey % 50 AS session_id, c_custkey AS track_id, CASE c_custkey % 4 WHEN 0 THEN 'Nation ' || c_nationkey WHEN 1 THEN 'nation_' || c_nationkey || 'x' WHEN 2 THEN 'NATION_' || c_nationkey || ' acct' WHEN 3 THEN CASE WHEN c_custkey % 8 = 3 THEN 'Ñatiôn ' || c_nationkey || ' 日本#12' ELSE c_name END END AS name, CASE WHEN c_custkey % 7 = 0 THEN 'u' || c_nationkey END AS user_id FROM customer)"
 KEYS = f"keys AS (SELECT 'user' AS kind, {NORM('username')} AS key, player_id, 1 AS priority FROM players UNION ALL SELECT 'user', {NORM('display_name')}, player_id, 2 FROM players UNION ALL SELECT 'account', {NORM('account')}, player_id, 1 FROM players), known AS (SELECT DISTINCT key AS k, player_id FROM keys WHERE key <> '')"
 
 
@@ -34,7 +34,7 @@ def _players(spark, sf):
 
 
 def _observed(spark, sf):
-    return ad.table(spark, sf, "customer").selectExpr("c_custkey % 50 AS session_id", "c_custkey AS track_id", "CASE c_custkey % 4 WHEN 0 THEN concat('Nation ', c_nationkey) WHEN 1 THEN concat('nation_', c_nationkey, 'x') WHEN 2 THEN concat('NATION_', c_nationkey, ' acct') ELSE c_name END AS name", "CASE WHEN c_custkey % 7 = 0 THEN concat('u', c_nationkey) END AS user_id")
+    return ad.table(spark, sf, "customer").selectExpr("c_custkey % 50 AS session_id", "c_custkey AS track_id", "CASE c_custkey % 4 WHEN 0 THEN concat('Nation ', c_nationkey) WHEN 1 THEN concat('nation_', c_nationkey, 'x') WHEN 2 THEN concat('NATION_', c_nationkey, ' acct') WHEN 3 THEN CASE WHEN c_custkey % 8 = 3 THEN concat('Ñatiôn ', c_nationkey, ' 日本#12') ELSE c_name END END AS name", "CASE WHEN c_custkey % 7 = 0 THEN concat('u', c_nationkey) END AS user_id")
 
 
 @query("id01_normalised_name", f"WITH {OBS} SELECT track_id, {NORM('name')} AS n FROM observed")
@@ -185,12 +185,18 @@ def _(spark, sf):
     return x.select("event_id", "said", F.coalesce(lx.spoken_number(F.split("said", " ")), F.lit(-1)).alias("number"))
 
 
-@query("txt03_rule_table", f"WITH {LEXSQL}, d AS (SELECT class, max(weight) AS weight, list(DISTINCT term) AS terms FROM lex GROUP BY 1), o AS (SELECT 'w' || n_regionkey AS class, max(n_nationkey)::DOUBLE AS weight, list(DISTINCT n_name) AS terms FROM nation GROUP BY 1 UNION ALL SELECT 'table', 9.0, ['of', 'dice']) SELECT class, coalesce(o.weight, d.weight) AS weight, array_to_string(list_sort(list_distinct(coalesce(d.terms, []) || coalesce(o.terms, []))), ',') AS terms FROM d FULL JOIN o USING (class)")
+@query("txt03_rule_table", f"""WITH {LEXSQL}, d AS (SELECT class, max(weight) AS weight, CASE class WHEN 'table' THEN 'ooc' WHEN 'story' THEN 'ic' END AS polarity, list(DISTINCT term) AS terms FROM lex GROUP BY 1),
+o AS (SELECT 'w' || n_regionkey || CASE n_regionkey WHEN 1 THEN '_ic' ELSE '' END AS class, max(n_nationkey)::DOUBLE AS weight, NULL::VARCHAR AS polarity, list(DISTINCT n_name) AS terms FROM nation GROUP BY 1 UNION ALL SELECT 'table', 9.0, 'ic', ['of', 'dice'] UNION ALL SELECT 'proper_noun', 2.5, 'ooc', ['gone']),
+r AS (SELECT class, coalesce(o.weight, d.weight) AS weight, CASE WHEN o.class IS NULL THEN d.polarity ELSE o.polarity END AS polarity, list_distinct(coalesce(d.terms, []) || coalesce(o.terms, [])) AS terms FROM d FULL JOIN o USING (class)),
+n AS (SELECT 'glossary' AS class, 0.45 AS usual, (SELECT list(DISTINCT r_name) FROM region) AS terms UNION ALL SELECT 'proper_noun', 0.35, (SELECT list(DISTINCT n_name) FROM nation WHERE n_nationkey % 2 = 0) UNION ALL SELECT 'vocative', 0.3, (SELECT list(DISTINCT n_name) FROM nation WHERE n_nationkey % 2 = 1))
+SELECT class, weight, coalesce(polarity, CASE WHEN regexp_matches(class, '(?i)(^|[_-])ic($|[_-])') THEN 'ic' ELSE 'ooc' END) AS polarity, array_to_string(list_sort(terms), ',') AS terms FROM (SELECT * FROM r WHERE class NOT IN (SELECT class FROM n) UNION ALL SELECT n.class, coalesce(r.weight, usual), 'ic', n.terms FROM n LEFT JOIN r USING (class))""")
 def _(spark, sf):
-    d = _lex(spark).groupBy("class").agg(F.max("weight").alias("weight"), F.collect_set("term").alias("terms"))
-    o = ad.table(spark, sf, "nation").groupBy(F.concat(F.lit("w"), "n_regionkey").alias("class")).agg(F.max("n_nationkey").cast("double").alias("weight"), F.collect_set("n_name").alias("terms"))
-    o = o.unionByName(spark.sql("SELECT 'table' AS class, 9.0D AS weight, array('of', 'dice') AS terms"))
-    return lx.rule_table(d, o).withColumn("terms", F.array_join("terms", ","))
+    d = _lex(spark).groupBy("class").agg(F.max("weight").alias("weight"), F.collect_set("term").alias("terms")).withColumn("polarity", F.expr("CASE class WHEN 'table' THEN 'ooc' WHEN 'story' THEN 'ic' END"))
+    nation = ad.table(spark, sf, "nation")
+    o = nation.groupBy(F.expr("concat('w', n_regionkey, CASE n_regionkey WHEN 1 THEN '_ic' ELSE '' END)").alias("class")).agg(F.max("n_nationkey").cast("double").alias("weight"), F.collect_set("n_name").alias("terms")).withColumn("polarity", F.lit(None).cast("string"))
+    o = o.unionByName(spark.sql("SELECT 'table' AS class, 9.0D AS weight, 'ic' AS polarity, array('of', 'dice') AS terms UNION ALL SELECT 'proper_noun', 2.5D, 'ooc', array('gone')"))
+    names = ad.table(spark, sf, "region").selectExpr("'glossary' AS class", "r_name AS term").unionByName(nation.selectExpr("CASE WHEN n_nationkey % 2 = 0 THEN 'proper_noun' ELSE 'vocative' END AS class", "n_name AS term"))
+    return lx.rule_table(d, o, names).withColumn("terms", F.array_join("terms", ","))
 
 
 @query("txt04_lexicon_issues", "WITH l AS (SELECT p_type AS class, p_name AS term, p_size - 5.0 AS weight, CASE WHEN p_partkey % 3 = 0 THEN 'in' WHEN p_partkey % 3 = 1 THEN 'out' ELSE '?' END AS polarity FROM part) SELECT class, term, 'bad_weight' AS issue FROM l WHERE weight < 0 UNION ALL SELECT class, term, 'bad_polarity' FROM l WHERE polarity = '?' UNION ALL SELECT class, term, 'empty_term' FROM l WHERE trim(term) = ''")

@@ -339,11 +339,13 @@ def _(spark, sf):
 DG = "dg AS (SELECT l_orderkey AS k, sha256(string_agg(l_linenumber || '-' || l_partkey || '=' || CASE WHEN l_partkey % 10 = 0 THEN repeat('0', 64) ELSE sha256(l_partkey::VARCHAR) END, E'\\n' ORDER BY l_linenumber || '-' || l_partkey || '=' || CASE WHEN l_partkey % 10 = 0 THEN repeat('0', 64) ELSE sha256(l_partkey::VARCHAR) END)) AS digest FROM lineitem GROUP BY 1)"
 
 
-@query("lg11_stale", f"WITH {DG} SELECT k, CASE WHEN k % 7 = 0 THEN 'never_run' WHEN k % 7 = 1 THEN 'failed' WHEN k % 7 = 2 THEN 'version' ELSE 'inputs' END AS reason FROM dg WHERE k % 7 <= 3")
+@query("lg11_stale", f"WITH {DG} SELECT k, CASE WHEN k % 7 = 0 THEN 'never_run' WHEN k % 7 = 1 THEN 'failed' WHEN k % 7 = 2 THEN 'version' WHEN k % 7 = 4 AND k % 2 = 0 THEN 'params' WHEN k % 7 = 3 THEN 'inputs' ELSE 'output_missing' END AS reason FROM dg WHERE k % 7 <= 3 OR (k % 7 = 4 AND k % 2 = 0) OR k % 5 = 0")
 def _(spark, sf):
     i = ad.table(spark, sf, "lineitem").selectExpr("l_orderkey AS k", "concat(l_linenumber, '-', l_partkey) AS path", "CASE WHEN l_partkey % 10 <> 0 THEN sha2(CAST(l_partkey AS STRING), 256) END AS sha")
+    params = ad.table(spark, sf, "orders").where("o_orderkey % 2 = 0").selectExpr("o_orderkey AS k", "explode(map('priority', o_orderpriority, 'status', o_orderstatus)) AS (name, value)")
     metas = lg.input_digest(i, ["k"]).where("k % 7 <> 0").withColumn("status", F.expr("CASE WHEN k % 7 = 1 THEN 'error' ELSE 'ok' END")).withColumn("version", F.expr("CASE WHEN k % 7 = 2 THEN 1 ELSE 2 END")).withColumn("digest", F.expr("CASE WHEN k % 7 = 3 THEN 'other' ELSE digest END"))
-    return lg.stale(i, metas, 2, ["k"])
+    before = lg.params_digest(params.withColumn("value", F.expr("CASE WHEN k % 7 = 4 AND name = 'priority' THEN NULL ELSE value END")), ["k"])
+    return lg.stale(i, metas.join(before, "k", "left"), 2, ["k"], params, metas.where("k % 5 <> 0"))
 
 
 @query("lg11b_input_digest", f"WITH {DG} SELECT k, digest FROM dg")

@@ -162,10 +162,24 @@ def _(spark, sf):
     return _events(spark, sf).select("event_id", cp.roll_kind(F.get(F.array(*map(F.lit, words)), (F.col("event_id") % 7).cast("int"))).alias("kind"))
 
 
-@query("src15_advantage", "WITH x AS (SELECT event_id, event_id % 20 + 1 AS a, event_id % 17 + 1 AS b FROM events) SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'disadvantage' WHEN event_id % 9 = 1 THEN 'advantage' WHEN a = b THEN 'normal' WHEN a > b THEN 'advantage' ELSE 'disadvantage' END AS advantage FROM x")
+# two d20, of which one may be dropped already; flags, words, formulas and totals in turn
+ADVANTAGE = """WITH x AS (SELECT event_id, event_id % 20 + 1 AS a, event_id % 17 + 1 AS b, CASE WHEN event_id % 13 = 0 THEN 'kl' WHEN event_id % 13 = 1 THEN ' ADV ' END AS flag, CASE event_id % 9 WHEN 0 THEN 'with disadvantage' WHEN 1 THEN 'Advantage!' END AS said, CASE event_id % 7 WHEN 0 THEN '2d20kh1' WHEN 1 THEN '2 D20 KL' END AS form, CASE WHEN event_id % 5 = 0 THEN 3 WHEN event_id % 5 < 4 THEN event_id % 20 + 1 + 3 END AS total, event_id % 11 = 0 AS d0, event_id % 11 IN (0, 1) AS d1 FROM events),
+t AS (SELECT *, total - 3 AS net, CASE WHEN flag = ' ADV ' THEN 'advantage' WHEN flag = 'kl' THEN 'disadvantage' WHEN said LIKE '%disadv%' THEN 'disadvantage' WHEN said LIKE '%dvant%' THEN 'advantage' WHEN form LIKE '%kh%' THEN 'advantage' WHEN form LIKE '%KL%' THEN 'disadvantage' WHEN a <> b AND total - 3 IN (a, b) THEN CASE WHEN total - 3 = greatest(a, b) THEN 'advantage' ELSE 'disadvantage' END ELSE 'none' END AS told FROM x),
+c AS (SELECT *, CASE WHEN net IN (a, b) THEN net WHEN told = 'advantage' THEN greatest(a, b) ELSE least(a, b) END AS chosen, NOT d0 AND NOT d1 AND told <> 'none' AS marks FROM t),
+d AS (SELECT *, CASE WHEN marks THEN a <> chosen ELSE d0 END AS da, CASE WHEN marks THEN b <> chosen ELSE d1 END AS db FROM c),
+u AS (SELECT *, CASE WHEN NOT da THEN a WHEN NOT db THEN b END AS kept FROM d)
+SELECT event_id, '6:4:false,20:' || a || ':' || da || ',20:' || b || ':' || db AS dice, CASE WHEN told = 'none' AND (d0 OR d1) THEN CASE WHEN (d0 AND a < coalesce(kept, a)) OR (d1 AND b < coalesce(kept, b)) THEN 'advantage' ELSE 'disadvantage' END ELSE told END AS advantage, coalesce(CASE WHEN event_id % 17 = 0 THEN 1 ELSE kept END, -1) AS used FROM u"""
+
+
+@query("src15_advantage", ADVANTAGE)
 def _(spark, sf):
-    t = F.expr("CASE event_id % 9 WHEN 0 THEN 'with disadvantage' WHEN 1 THEN '2d20kh1' END")
-    return _dice(spark, sf).select("event_id", cp.advantage_of(t, F.col("dice"), F.col("event_id") % 20 + 1 + 3, F.lit(3)).alias("advantage"))
+    die = lambda sides, value, dropped: F.struct(F.lit(sides).alias("sides"), F.expr(value).alias("value"), F.expr(dropped).alias("dropped"))
+    dice = F.array(die(6, "4L", "false"), die(20, "event_id % 20 + 1", "event_id % 11 = 0"), die(20, "event_id % 17 + 1", "event_id % 11 IN (0, 1)"))
+    e = _events(spark, sf).withColumn("dice", dice)
+    said, form = F.expr("CASE event_id % 9 WHEN 0 THEN 'with disadvantage' WHEN 1 THEN 'Advantage!' END"), F.expr("CASE event_id % 7 WHEN 0 THEN '2d20kh1' WHEN 1 THEN '2 D20 KL' END")
+    total, flag = F.expr("CASE WHEN event_id % 5 = 0 THEN 3L WHEN event_id % 5 < 4 THEN event_id % 20 + 1 + 3 END"), F.expr("CASE WHEN event_id % 13 = 0 THEN 'kl' WHEN event_id % 13 = 1 THEN ' ADV ' END")
+    out = e.select("event_id", cp.advantage_of(said, form, F.col("dice"), total, F.lit(3), flag, F.expr("CASE WHEN event_id % 17 = 0 THEN 1L END")).alias("x"))
+    return out.select("event_id", F.array_join(F.transform("x.dice", lambda d: F.concat_ws(":", d["sides"], d["value"], d["dropped"])), ",").alias("dice"), "x.advantage", F.coalesce("x.used", F.lit(-1)).alias("used"))
 
 
 @query("src16_target", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'orc' WHEN 1 THEN 'elf' WHEN 2 THEN 'ogre king' ELSE '' END AS target FROM events")
@@ -174,9 +188,16 @@ def _(spark, sf):
     return _events(spark, sf).select("event_id", F.coalesce(cp.target_of(F.when(e == 0, "orc"), F.when(e == 1, '<b data-target="elf">'), F.when(e == 2, "Target: ogre king")), F.lit("")).alias("target"))
 
 
-NAMED = f"""WITH {ad.UTTERANCES}, f AS (SELECT utt_id, list_filter(list_transform(regexp_extract_all(text, '\\b([A-Z][a-z]+(?: [A-Z][a-z]+)+)\\b', 1) || regexp_extract_all(text, '\\b(?:the|The|a|an) ([A-Z][a-z]+)\\b', 1), lambda x: regexp_replace(x, '^(The|An?) ', '')), lambda x: NOT list_contains({cp.GENERIC_NAMES}, lower(x)) AND lower(x) <> lower(player_id)) AS names FROM utterances)
-SELECT utt_id, array_to_string(list_filter(names, lambda x, i: list_position(list_transform(names, lambda y: lower(y)), lower(x)) = i), ',') AS names FROM f"""
-query("src17_name_mentions", NAMED)(lambda spark, sf: ad.utterances(spark, sf).select("utt_id", F.array_join(cp.name_mentions(F.col("text"), F.col("player_id")), ",").alias("names")))
+NAMED = rf"""WITH {ad.UTTERANCES}, t AS (SELECT utt_id, player_id, text || CASE WHEN source_index % 3 = 0 THEN ' Enemy: the Old ' || player_id || ', npc = Goblin King! | Target: damage;' ELSE ' Hail Émile Zola and the Éowyn' END AS text, CASE WHEN source_index % 4 = 0 THEN 'a  Red Dragon. ' END AS target FROM utterances),
+f AS (SELECT utt_id, player_id, list_transform(CASE WHEN target IS NULL THEN [] ELSE [target] END || regexp_extract_all(text, '(?i)(?:target|npc|creature|enemy|opponent)\s*[:=]\s*([^,;|]+)', 1) || regexp_extract_all(text, '\b([A-Z][\p{{L}}\p{{M}}0-9''’.-]*(?:\s+[A-Z][\p{{L}}\p{{M}}0-9''’.-]*)+)\b', 1) || regexp_extract_all(text, '\b(?:the|a|an)\s+([A-Z][\p{{L}}\p{{M}}0-9''’.-]*)\b', 1), lambda x: regexp_replace(regexp_replace(trim(regexp_replace(x, '\s+', ' ', 'g')), '[.,:;!?]+$', ''), '(?i)^(?:the|a|an)\s+', '')) AS names FROM t),
+g AS (SELECT utt_id, list_filter(names, lambda x: x <> '' AND NOT list_contains({cp.GENERIC_NAMES}, lower(x)) AND lower(x) <> lower(player_id)) AS names FROM f)
+SELECT utt_id, array_to_string(list_filter(names, lambda x, i: list_position(list_transform(names, lambda y: lower(y)), lower(x)) = i), ',') AS names FROM g"""
+
+
+@query("src17_name_mentions", NAMED)
+def _(spark, sf):
+    u = ad.utterances(spark, sf).withColumn("text", F.expr("concat(text, CASE WHEN source_index % 3 = 0 THEN concat(' Enemy: the Old ', player_id, ', npc = Goblin King! | Target: damage;') ELSE ' Hail Émile Zola and the Éowyn' END)"))
+    return u.select("utt_id", F.array_join(cp.name_mentions(F.col("text"), F.col("player_id"), F.expr("CASE WHEN source_index % 4 = 0 THEN 'a  Red Dragon. ' END")), ",").alias("names"))
 
 
 @query("src19_parser_metrics", "SELECT user_id AS session_id, count(*) FILTER (event_type <> 'error') AS parsed, count(*) FILTER (event_type = 'error') AS unrecognised, count(*) FILTER (event_type = 'click') AS rolls, count(*) FILTER (event_type = 'signup') AS turnorder FROM events GROUP BY 1")
@@ -192,19 +213,30 @@ def _(spark, sf):
 
 
 def _info(spark, sf):
-    text = F.concat(F.lit("Recording "), "o_orderkey", F.lit("\n\nGuild:\t\tG"), "o_custkey", F.lit("\nStart: "), "o_orderpriority", F.lit("\nTracks:\n\tann#"), 1000 + F.col("o_orderkey") % 9000, F.lit("\n\tbob\n\nNotes:\n\tnone"))
+    text = F.concat(
+        F.lit("Recording "), "o_orderkey", F.lit("\n\nGuild:\t\tG"), "o_custkey", F.lit("\nServer: other\nStart time:\t2024-01-0"), 1 + F.col("o_orderkey") % 9, F.lit("T10:00:00Z\nChannel: table\nCodec: flac\nTracks: 4\n\t1: ann#"), 1000 + F.col("o_orderkey") % 9000,
+        F.lit(" (12345678901234567"), F.col("o_orderkey") % 10, F.lit(")\n\tbob: the bold\n\t (123456789012345678)\n\t#1234\nNotes:\n\tcarl\n"),
+    )
     lines = ad.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     return cp.recording_info(lines)
 
 
-@query("src21_info_participants", "SELECT o_orderkey::VARCHAR AS path, k AS index, CASE k WHEN 1 THEN 'ann' ELSE 'bob' END AS name, CASE k WHEN 1 THEN (1000 + o_orderkey % 9000)::VARCHAR ELSE '' END AS discriminator FROM orders, (SELECT unnest([1, 2]) AS k)")
+PEOPLE = "SELECT o_orderkey::VARCHAR AS path, k AS index, CASE k WHEN 1 THEN 1 ELSE -1 END AS line_index, CASE k WHEN 1 THEN 'ann' WHEN 2 THEN 'bob: the bold' WHEN 3 THEN '' ELSE 'carl' END AS name, CASE k WHEN 1 THEN (1000 + o_orderkey % 9000)::VARCHAR ELSE '' END AS discriminator, CASE k WHEN 1 THEN '12345678901234567' || (o_orderkey % 10) WHEN 3 THEN '123456789012345678' ELSE '' END AS user_id FROM orders, (SELECT unnest([1, 2, 3, 4]) AS k)"
+
+
+@query("src21_info_participants", PEOPLE)
+def _(spark, sf):
+    return _info(spark, sf)[1].na.fill("", ["discriminator", "user_id"]).na.fill(-1, ["line_index"])
+
+
+@query("src21_info_header", "SELECT o_orderkey::VARCHAR AS path, '2024-01-0' || (1 + o_orderkey % 9) || ' 10:00:00' AS started_at, 'G' || o_custkey AS guild, 'table' AS channel FROM orders")
 def _(spark, sf):
-    return _info(spark, sf)[1].na.fill("", ["discriminator"])
+    return _info(spark, sf)[0].withColumn("started_at", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("src21_info_header", "SELECT o_orderkey::VARCHAR AS path, 'Guild' AS key, 'G' || o_custkey AS value FROM orders UNION ALL SELECT o_orderkey::VARCHAR, 'Start', o_orderpriority FROM orders")
+@query("src21_info_unparsed", "SELECT o_orderkey::VARCHAR AS path, 0 AS line_no, 'Recording ' || o_orderkey AS line FROM orders UNION ALL SELECT o_orderkey::VARCHAR, 6, 'Codec: flac' FROM orders UNION ALL SELECT o_orderkey::VARCHAR, 11, '#1234' FROM orders")
 def _(spark, sf):
-    return _info(spark, sf)[0]
+    return _info(spark, sf)[2]
 
 
 @query("src22_track_name", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_orderkey % 10 END AS index, 'track name' AS name, CASE WHEN o_orderkey % 2 = 0 THEN (1000 + o_orderkey % 9000)::VARCHAR ELSE '' END AS discriminator FROM orders")
@@ -228,8 +260,15 @@ def _round_trip(df, how):
 
 @query("src24_checked_artifact", "SELECT o_orderkey, o_orderpriority FROM orders")
 def _(spark, sf):
-    o = ad.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
-    return cp.read_checked(spark, _round_trip(o, "artifact"), "o_orderkey bigint, o_orderpriority string")
+    o, path = ad.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), scratch_path(spark, "artifact")
+    cp.write_checked(o, path, {"o_orderkey: not negative": "o_orderkey >= 0"})
+    return cp.read_checked(spark, path, "o_orderkey bigint NOT NULL, o_orderpriority string NOT NULL", {"o_orderpriority: not empty": "o_orderpriority <> ''"})
+
+
+@query("src24_artifact_issues", "SELECT issue, count(*) AS n FROM (SELECT 'key: odd' AS issue FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'priority: urgent' FROM orders WHERE o_orderpriority LIKE '%URGENT%') GROUP BY 1")
+def _(spark, sf):
+    o = ad.table(spark, sf, "orders").withColumn("_bad", F.lit(None).cast("string"))
+    return cp.artifact_issues(o, {"key: odd": "o_orderkey % 2 = 1", "priority: urgent": "NOT o_orderpriority LIKE '%URGENT%'"}).groupBy("issue").agg(F.count("*").alias("n"))
 
 
 @query("src25_label_log", "SELECT doc_id, quality FROM labels UNION ALL SELECT doc_id, toxic FROM labels")
@@ -257,12 +296,23 @@ def _(spark, sf):
     return cp.read_registry(spark, _round_trip(n, "registry"), "id:string,name:string")
 
 
-@query("src29_versioned_sink", "SELECT n_nationkey, n_name || '2' AS n_name FROM nation")
-def _(spark, sf):
+def _versions(spark, sf):
     path, n = scratch_path(spark, "versions"), ad.table(spark, sf, "nation").select("n_nationkey", "n_name")
-    cp.write_versioned(n, path, 1)
+    cp.write_versioned(n.where("n_nationkey < 20"), path, 1)
     cp.write_versioned(n.withColumn("n_name", F.concat("n_name", F.lit("2"))), path, 2)
-    return cp.read_active(spark, path, "n_nationkey int, n_name string")
+    return path
+
+
+query("src29_versioned_sink", "SELECT n_nationkey, n_name || '2' AS n_name FROM nation")(lambda spark, sf: cp.read_active(spark, _versions(spark, sf), "n_nationkey int, n_name string"))
+query("src29_run_log", "SELECT 1 AS version, count(*) FILTER (n_nationkey < 20) AS \"rows\" FROM nation UNION ALL SELECT 2, count(*) FROM nation")(lambda spark, sf: cp.read_run_log(spark, _versions(spark, sf)))
+
+
+@query("src29_glossary_sink", "SELECT DISTINCT p_type AS term FROM part")
+def _(spark, sf):
+    """Written as Markdown and read back."""
+    path = scratch_path(spark, "glossary")
+    cp.write_glossary(ad.table(spark, sf, "part").selectExpr("p_type AS term"), path)
+    return cp.glossary_terms(spark.read.text(path)).select("term")
 
 
 HELD_BACK = "CASE WHEN event_id % 10 = 0 THEN 3 ELSE least(2, 3 * (unix_micros(ts) - lo) / (hi - lo + 1)) END"

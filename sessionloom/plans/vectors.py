@@ -197,6 +197,12 @@ def _(spark, sf):
     return ca.hold_out(_v(spark, sf)).select("id", "held_out")
 
 
+@query("ca10_hold_out_without_sessions", f"WITH {V} SELECT id, row_number() OVER (ORDER BY id) > count(*) OVER () - greatest(1, count(*) OVER () // 5) AS held_out FROM v")
+def _(spark, sf):
+    v = _v(spark, sf)
+    return ca.hold_out(v.withColumn("session_id", F.lit(None).cast(v.schema["session_id"].dataType))).select("id", "held_out")
+
+
 @query("ca11_merged_profiles", f"WITH {V} SELECT player_id, character_id, CASE WHEN character_id < 'c5' THEN -1 ELSE count(*) END AS n FROM v GROUP BY 1, 2")
 def _(spark, sf):
     v = _v(spark, sf)

@@ -6,12 +6,15 @@ rows, so any number of captures are read in one job.
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import ascii_edges
 
@@ -21,7 +24,10 @@ CAPTURE = "mode string, messages array<string>, turnorder_events array<string>"
 ORDER = "id string, seq bigint, t_wall_ms bigint, t_wallclock bigint, who string, kind string, entries array<struct<name:string,value:double>>, turnorder array<struct<name:string,value:double>>"
 #: The fields of a captured die under all their names.
 DIE = "value double, v double, result double, die double, sides int, size int, d int, dropped string, `drop` string, discarded string, used boolean, kept boolean"
-GENERIC_NAMES = ["attack", "damage", "roll", "check", "save", "total", "target", "the"]
+GENERIC_NAMES = ["attack", "damage", "to hit", "hit", "initiative", "saving throw", "save", "check", "ability check", "death save", "result", "total", "action", "weapon", "spell"]
+#: A word in capitals, and what names a creature in front of a colon.
+CAPITAL, LABEL = r"[A-Z][\p{L}\p{M}0-9'’.-]*", r"(?i)(?:target|npc|creature|enemy|opponent)\s*[:=]\s*([^,;|]+)"
+INFO_START, INFO_GUILD, INFO_CHANNEL = ["start time", "started", "start", "recording started"], ["guild", "server"], ["channel", "voice channel"]
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
@@ -249,12 +255,36 @@ def roll_kind(text: Column) -> Column:
     return F.when(t.rlike(r"death\s*save|death_save"), "death_save").when(t.rlike("initiative"), "initiative").when(t.rlike(ascii_edges(r"saving\s*throw|\bsave\b")), "save").when(t.rlike(ascii_edges(r"\bcheck\b|perception|athletics|acrobatics|insight|investigation")), "check").when(t.rlike("damage"), "damage").when(t.rlike(r"attack|to\s*hit"), "attack").otherwise("other")
 
 
-def advantage_of(text: Column, dice: Column, total: Column, modifier: Column) -> Column:
-    """advantage, disadvantage or normal: by words, by kh or kl, else by which of two d20 makes the total. (SRC-15)"""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    d20 = F.transform(F.filter(dice, lambda d: d["sides"] == 20), lambda d: d["value"])
-    two, net = (F.size(d20) == 2) & (F.array_max(d20) != F.array_min(d20)), total - modifier
-    return F.when(t.rlike("disadvantage|2d20kl"), "disadvantage").when(t.rlike("advantage|2d20kh"), "advantage").when(two & (net == F.array_max(d20)), "advantage").when(two & (net == F.array_min(d20)), "disadvantage").otherwise("normal")
+def advantage_of(text: Column, formula: Column, dice: Column, total: Column, modifier: Column, explicit: Column, used: Column) -> Column:
+    """struct<dice,advantage,used>: advantage, disadvantage or none, the dice with what was not chosen dropped, and the d20 that counts. (SRC-15)
+
+    An explicit flag decides; of two or more d20 else the words of the text,
+    kh or kl in the formula, or which d20 makes the total. Then, unless some
+    are dropped already, all d20 but those of the chosen value are. If some
+    are dropped and nothing else tells, a lower dropped one means advantage.
+    ``dice`` are (sides, value, dropped).
+    """
+    flag = F.lower(F.trim(F.coalesce(explicit, F.lit(""))))
+    said, form = F.coalesce(text, F.lit("")), F.coalesce(formula, F.lit(""))
+    is20 = lambda d: d["sides"] == 20
+    d20 = F.filter(dice, is20)
+    values = F.transform(d20, lambda d: F.coalesce(d["value"], F.lit(0)))
+    high, low, net = F.array_max(values), F.array_min(values), total - modifier
+    several, none_dropped = F.size(d20) >= 2, ~F.exists(d20, lambda d: F.coalesce(d["dropped"], F.lit(False)))
+    by_total = F.array_contains(values, net) & (high != low)
+    told = (
+        F.when(flag.isin("advantage", "adv", "high", "kh"), "advantage").when(flag.isin("disadvantage", "disadv", "low", "kl"), "disadvantage").when(~several, "none")
+        .when(said.rlike("(?i)disadvantage"), "disadvantage").when(said.rlike("(?i)advantage"), "advantage").when(form.rlike(r"(?i)2\s*d\s*20\s*kh"), "advantage").when(form.rlike(r"(?i)2\s*d\s*20\s*kl"), "disadvantage")
+        .when(F.coalesce(by_total, F.lit(False)), F.when(net == high, "advantage").otherwise("disadvantage")).otherwise("none")
+    )
+    chosen = F.when(F.coalesce(F.array_contains(values, net), F.lit(False)), net).when(told == "advantage", high).otherwise(low)
+    drop = several & none_dropped & (told != "none")
+    dropped = lambda d: F.when(drop & is20(d), ~F.coalesce(d["value"] == chosen, F.lit(False))).otherwise(F.coalesce(d["dropped"], F.lit(False)))
+    out = F.transform(dice, lambda d: F.struct(d["sides"].alias("sides"), d["value"].alias("value"), dropped(d).alias("dropped")))
+    first = F.try_element_at(F.filter(out, lambda d: is20(d) & ~d["dropped"]), F.lit(1))["value"]
+    gone = F.filter(d20, lambda d: F.coalesce(d["dropped"], F.lit(False)))
+    back = F.when(F.exists(gone, lambda d: d["value"] < F.coalesce(first, d["value"])), "advantage").otherwise("disadvantage")
+    return F.struct(out.alias("dice"), F.when(several & (told == "none") & ~none_dropped, back).otherwise(told).alias("advantage"), F.coalesce(used, first).alias("used"))
 
 
 def target_of(explicit: Column, markup: Column, text: Column) -> Column:
@@ -263,11 +293,20 @@ def target_of(explicit: Column, markup: Column, text: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(explicit), F.lit("")), pick(markup, r'data-target="([^"]*)"'), pick(text, r"(?i)target:\s*([\w ]+)"))
 
 
-def name_mentions(text: Column, speaker: Column) -> Column:
-    """Proper names: capitalised runs and capitalised words after an article; first spellings, without the speaker. (SRC-17)"""
-    found = F.concat(F.regexp_extract_all(text, F.lit(ascii_edges(r"\b([A-Z][a-z]+(?: [A-Z][a-z]+)+)\b")), F.lit(1)), F.regexp_extract_all(text, F.lit(ascii_edges(r"\b(?:the|The|a|an) ([A-Z][a-z]+)\b")), F.lit(1)))
-    found = F.transform(found, lambda n: F.regexp_replace(n, "^(The|An?) ", ""))
-    fine = F.filter(found, lambda n: ~F.lower(n).isin(GENERIC_NAMES) & (F.lower(n) != F.lower(F.coalesce(speaker, F.lit("")))))
+def name_mentions(text: Column, speaker: Column, target: Column) -> Column:
+    """Proper names: the explicit target, labelled names, runs of words in capitals, words in capitals after an article. (SRC-17)
+
+    White space is folded, trailing stops and leading articles go; generic
+    labels and the speaker are left out; of spellings that differ in case the
+    first is kept. Letters are those of any script, word edges those of ASCII.
+    """
+    all_of = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(1))
+    edge = ascii_edges(r"\b")
+    runs = all_of(rf"{edge}({CAPITAL}(?:\s+{CAPITAL})+){edge}")
+    after = all_of(rf"{edge}(?:the|a|an)\s+({CAPITAL}){edge}")
+    found = F.concat(F.when(target.isNull(), F.array().cast("array<string>")).otherwise(F.array(target)), all_of(LABEL), runs, after)
+    plain = lambda n: F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(n, r"\s+", " ")), "[.,:;!?]+$", ""), r"(?i)^(?:the|a|an)\s+", "")
+    fine = F.filter(F.transform(found, plain), lambda n: (n != "") & ~F.lower(n).isin(GENERIC_NAMES) & ~F.coalesce(F.lower(n) == F.lower(speaker), F.lit(False)))
     return F.filter(fine, lambda n, i: F.array_position(F.transform(fine, lambda m: F.lower(m)), F.lower(n)) == i + 1)
 
 
@@ -283,17 +322,39 @@ def roll_records(rolls: DataFrame, players: DataFrame) -> DataFrame:
     return rolls.join(players, "account", "left").withColumn("roll_no", F.format_string("r%04d", F.row_number().over(w)))
 
 
-def recording_info(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Header rows (path, key, value) and participants (path, index, name, discriminator) of info texts. (SRC-21)
+def recording_info(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Header (path, started_at, guild, channel), participants (path, index, line_index, name, discriminator, user_id) and unparsed lines (path, line_no, line) of info texts. (SRC-21)
 
-    A line belongs to the list if the last heading before it begins the list.
+    A heading (tracks, channels, users, participants) opens the list; a line
+    ``key: value`` closes it. Indented lines of the list, and others that are
+    no ``key: value``, are participants ``1: name#1234 (id)``, all parts
+    optional but a name or an id. The first value of a key counts; unknown keys
+    and what else has no place are kept as unparsed. ``index`` numbers a text's
+    participants, ``line_index`` is the number in the line.
     """
+    text = F.regexp_replace("line", r"[\s]+$", "")
+    bare = F.trim(F.regexp_replace(text, r"^\s+", ""))
+    keyed = r"^\s*([A-Za-z][A-Za-z ]*?)\s*:\s*(.*)$"
     w = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    heading = F.when(F.col("line").rlike(r"^\S[^:]*:\s*$"), F.lower(F.regexp_extract("line", r"^([^:]*):", 1)))
-    held = lines.withColumn("_in", F.last(heading, ignorenulls=True).over(w))
-    header = held.where(F.col("line").rlike(r"^\S[^:]*:\s*\S") & F.col("_in").isNull()).select("path", F.regexp_extract("line", r"^([^:]*):", 1).alias("key"), F.trim(F.regexp_extract("line", r":\s*(.*)$", 1)).alias("value"))
-    people = held.where((F.col("_in") == "tracks") & F.col("line").rlike(r"^\s+\S")).withColumn("index", F.row_number().over(W.partitionBy("path").orderBy("line_no")).cast("long"))
-    return header, people.select("path", "index", F.regexp_replace(F.regexp_replace("line", r"#\d+.*$", ""), r"^\s+|\s+$", "").alias("name"), F.nullif(F.regexp_extract("line", r"#(\d+)", 1), F.lit("")).alias("discriminator"))
+    held = lines.select("path", "line_no", text.alias("_text"), bare.alias("_bare"), F.col("line").rlike(r"^[\t ]+\S").alias("_indented")).where("_bare <> ''")
+    held = held.withColumn("_heading", F.col("_text").rlike(r"(?i)^\s*(tracks|channels|users|participants)\s*:\s*(\d+)?\s*$")).withColumn("_keyed", ~F.col("_heading") & F.col("_text").rlike(keyed))
+    # within the list indented lines are its own, whatever they look like; others with a key close it
+    held = held.withColumn("_in", F.coalesce(F.last(F.when(F.col("_heading"), True).when(F.col("_keyed") & ~F.col("_indented"), False), ignorenulls=True).over(w), F.lit(False)))
+    rest = F.regexp_replace("_bare", r"^\d{1,4}\s*[:.)-]\s*(?=.)", "")
+    user = F.nullif(F.regexp_extract(rest, r"\((\d{17,20})\)\s*$", 1), F.lit(""))
+    named = F.trim(F.regexp_replace(rest, r"\s*\(\d{17,20}\)\s*$", ""))
+    held = held.withColumn("line_index", F.nullif(F.regexp_extract("_bare", r"^(\d{1,4})\s*[:.)-]\s*.", 1), F.lit("")).cast("int")).withColumn("user_id", user).withColumn("discriminator", F.nullif(F.regexp_extract(named, r"#(\d{4})\s*$", 1), F.lit(""))).withColumn("name", F.trim(F.regexp_replace(named, r"#\d{4}\s*$", "")))
+    person = ~F.col("_heading") & F.col("_indented") & (F.col("_in") | ~F.col("_keyed")) & ((F.col("name") != "") | F.col("user_id").isNotNull())
+    listed = ~F.col("_heading") & F.col("_indented") & F.col("_in")
+    key, value = F.lower(F.regexp_extract("_text", keyed, 1)), F.trim(F.regexp_extract("_text", keyed, 2))
+    known = [*INFO_START, *INFO_GUILD, *INFO_CHANNEL]
+    held = held.withColumn("_person", person).withColumn("_key", F.when(F.col("_keyed") & ~listed & (value != ""), key)).withColumn("_value", value)
+    first = lambda keys: F.min_by(F.when(F.col("_key").isin(keys), F.col("_value")), F.when(F.col("_key").isin(keys), F.col("line_no")))
+    when = F.min_by(F.expr("try_to_timestamp(_value)"), F.when(F.col("_key").isin(INFO_START) & F.expr("try_to_timestamp(_value)").isNotNull(), F.col("line_no")))
+    header = held.groupBy("path").agg(when.alias("started_at"), first(INFO_GUILD).alias("guild"), first(INFO_CHANNEL).alias("channel"))
+    people = held.where("_person").withColumn("index", F.row_number().over(W.partitionBy("path").orderBy("line_no")).cast("long"))
+    lost = ~F.col("_person") & ~F.col("_heading") & (listed | ~F.col("_keyed") | (F.col("_key").isNotNull() & ~F.col("_key").isin(known)))
+    return header, people.select("path", "index", "line_index", "name", "discriminator", "user_id"), held.where(lost).select("path", "line_no", F.col("_bare").alias("line"))
 
 
 def track_name(file: Column) -> Column:
@@ -321,20 +382,75 @@ def glossary_terms(lines: DataFrame) -> DataFrame:
     return lines.withColumn("term", F.regexp_extract("value", r"^\s*[-*]\s+(.+?)\s*$", 1)).where("term <> ''")
 
 
+def _commit(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small file in its place by one rename, so readers see the old or the new one, never none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, temp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs = target.getFileSystem(conf)
+    out = fs.create(temp, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(temp), fs.makeQualified(target), overwrite)
+
+
 def write_versioned(table: DataFrame, path: str, version: int) -> None:
-    """A version of a table and a pointer to the one in force. (SRC-29)"""
-    table.write.mode("overwrite").json(f"{path}/version={version}")
-    table.sparkSession.createDataFrame([(version,)], "active int").write.mode("overwrite").json(f"{path}/active")
+    """A version of a table, then the pointer to it, replaced by one rename; each version is written once. (SRC-29)
+
+    Every version adds a row to the run log (``read_run_log``).
+    """
+    spark, rows = table.sparkSession, Observation()
+    table.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").json(f"{path}/version={version}")
+    _commit(spark, f"{path}/active.json", json.dumps({"version": version, "path": f"{path}/version={version}"}) + "\n")
+    _commit(spark, f"{path}/log/{version}.json", json.dumps({"version": version, "rows": rows.get["n"]}) + "\n")
 
 
 def read_active(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    version = spark.read.schema("active int").json(f"{path}/active").first()[0]
-    return spark.read.schema(schema).json(f"{path}/version={version}")
+    active = spark.read.schema("version int, path string").json(f"{path}/active.json").first()
+    return spark.read.schema(schema).json(active["path"])
 
 
-def read_checked(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON rows of a fixed schema; a row that breaks it fails the query. (SRC-24)"""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+def read_run_log(spark: SparkSession, path: str) -> DataFrame:
+    """(version, rows) of every version that was written. (SRC-29)"""
+    return spark.read.schema("version int, rows long").json(f"{path}/log/*.json")
+
+
+def write_glossary(terms: DataFrame, path: str) -> None:
+    """Distinct terms as a Markdown list under a heading, in order, for SRC-26 to read. (SRC-29)"""
+    items = terms.select(F.trim("term").alias("term")).where("term <> ''").distinct().select(F.col("term").alias("_o"), F.concat(F.lit("- "), "term").alias("value"))
+    head = terms.sparkSession.createDataFrame([("", "# Glossary\n")], "_o string, value string")
+    items.unionByName(head).repartitionByRange("_o").sortWithinPartitions("_o").select("value").write.mode("errorifexists").text(path)
+
+
+def artifact_issues(rows: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """(place, issue) of rows that break a rule, a SQL condition by name, or are no JSON of the schema (``_bad``). (SRC-24)"""
+    found = F.array(F.when(F.col("_bad").isNotNull(), F.concat(F.lit("malformed: "), F.substring("_bad", 1, 80))), *[F.when(F.col("_bad").isNull() & ~F.coalesce(F.expr(c), F.lit(False)), F.lit(name)) for name, c in rules.items()])
+    return rows.select(F.monotonically_increasing_id().alias("place"), F.explode(F.array_compact(found)).alias("issue"))
+
+
+def read_checked(spark: SparkSession, path: str, schema: str, rules: dict[str, str] | None = None) -> DataFrame:
+    """JSON rows of a fixed schema; rows that break it or a rule fail the read, with the first five issues named. (SRC-24)
+
+    A field ``NOT NULL`` in the schema is a rule of its own. The issues come
+    from one pass that keeps five; a file that is missing or changes later fails too.
+    """
+    fields = T.StructType.fromDDL(schema)
+    rules = {f"{f.name}: required": f"`{f.name}` IS NOT NULL" for f in fields if not f.nullable} | (rules or {})
+    loose = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [T.StructField("_bad", T.StringType())])
+    rows = spark.read.schema(loose).option("columnNameOfCorruptRecord", "_bad").json(path)
+    first = [r.issue for r in artifact_issues(rows, rules).orderBy("place").limit(5).collect()]
+    if first:
+        raise ValueError(f"{path} does not match its schema: {'; '.join(first)}")
+    return spark.read.schema(loose).option("columnNameOfCorruptRecord", "_bad").option("mode", "FAILFAST").json(path).drop("_bad")
+
+
+def write_checked(table: DataFrame, path: str, rules: dict[str, str]) -> None:
+    """Write JSON rows, unless one breaks a rule: nothing is written then, and the first five issues are named. (SRC-24)"""
+    first = [r.issue for r in artifact_issues(table.withColumn("_bad", F.lit(None).cast("string")), rules).orderBy("place").limit(5).collect()]
+    if first:
+        raise ValueError(f"refusing to write {path}: {'; '.join(first)}")
+    table.write.mode("errorifexists").json(path)
 
 
 def append_labels(labels: DataFrame, path: str) -> None:
