@@ -383,37 +383,39 @@ def glossary_terms(lines: DataFrame) -> DataFrame:
 
 
 def _commit(spark: SparkSession, path: str, text: str) -> None:
-    """Put a small file in its place by one rename, so readers see the old or the new one, never none."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, temp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
-    fs = target.getFileSystem(conf)
-    out = fs.create(temp, True)
+    """Give a small file its name, which is new, by one rename: readers see it whole or not at all."""
+    jvm = spark.sparkContext._jvm
+    target, temp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path[: path.rindex('/')]}/_{uuid.uuid4().hex}")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(temp, False)
     out.write(bytearray(text.encode()))
     out.close()
-    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(temp), fs.makeQualified(target), overwrite)
+    if not fs.rename(temp, target):
+        raise OSError(f"{path} could not be put in its place")
 
 
 def write_versioned(table: DataFrame, path: str, version: int) -> None:
-    """A version of a table, then the pointer to it, replaced by one rename; each version is written once. (SRC-29)
+    """A version of a table, then a pointer to it. (SRC-29)
 
-    Every version adds a row to the run log (``read_run_log``).
+    Pointers are files of their own, made by one rename and never replaced; the
+    greatest is in force. So a reader finds one whole version at any time, on
+    stores whose renames don't overwrite too. A pointer counts the rows of its
+    version, so the pointers are the run log as well (``read_run_log``). A
+    version is written once.
     """
     spark, rows = table.sparkSession, Observation()
     table.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").json(f"{path}/version={version}")
-    _commit(spark, f"{path}/active.json", json.dumps({"version": version, "path": f"{path}/version={version}"}) + "\n")
     _commit(spark, f"{path}/log/{version}.json", json.dumps({"version": version, "rows": rows.get["n"]}) + "\n")
 
 
 def read_active(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    active = spark.read.schema("version int, path string").json(f"{path}/active.json").first()
-    return spark.read.schema(schema).json(active["path"])
+    version = read_run_log(spark, path).agg(F.max("version")).first()[0]
+    return spark.read.schema(schema).json(f"{path}/version={version}")
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     """(version, rows) of every version that was written. (SRC-29)"""
-    return spark.read.schema("version int, rows long").json(f"{path}/log/*.json")
+    return spark.read.schema("version int, rows long").json(f"{path}/log")
 
 
 def write_glossary(terms: DataFrame, path: str) -> None:
