@@ -31,6 +31,7 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 PLAIN = INLINE - {"a", "label"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head", "fieldset", "search"}
 BOILERPLATE_NAMES = {
+    "alert", "alerts", "commentarea", "commentform", "commentlist", "commentthread", "discussion", "discussions", "responses",
     "ad", "ads", "adsense", "adv", "advert", "adverts", "advertisement", "advertisements", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disqus", "footer", "header",
     "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "share", "sharing", "side", "sidebar",
     "skip", "social", "sponsor", "sponsored", "sponsors", "subscribe", "toolbar", "widget",
@@ -40,7 +41,7 @@ LAYOUT_FIRST, LAYOUT_LAST = {"has", "no", "with", "without"}, {"enabled", "disab
 #: In a name of several words the last one tells what the element is, unless only such words follow, as in related-posts.
 HOLDERS = {
     "area", "articles", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "col", "column", "container", "content", "feed", "form", "group", "holder", "icon", "icons", "image", "inner", "item", "items",
-    "left", "link", "links", "list", "main", "message", "news", "outer", "overlay", "panel", "posts", "right", "row", "section", "signup", "slot", "stories", "text", "title", "toggle", "top", "unit", "widget", "wrap", "wrapper",
+    "danger", "info", "danger", "info", "left", "link", "links", "list", "main", "message", "news", "outer", "overlay", "panel", "posts", "right", "row", "section", "signup", "slot", "stories", "success", "text", "thread", "threads", "title", "toggle", "top", "unit", "warning", "widget", "wrap", "wrapper",
 }
 #: The header of one of these is its title, where it stands in marked main text.
 OWN_HEADER = {"article", "chapter", "content", "entry", "page", "post", "section", "story"}
@@ -58,6 +59,14 @@ PRIOR_IN = {"p": 8, "article": 8, "main": 8, "blockquote": 6, "pre": 6, "h1": 6,
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?>=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""")
 _NAME = re.compile(r"[a-z]+")
+#: What a page itself says isn't shown: the attribute of that name outside quotes, and two styles.
+_HIDDEN = re.compile(r"""(?:^|[\s"'/])hidden(?=$|[\s=/>])""", re.I)
+_QUOTED = re.compile(r"""=\s*+(?:"[^"]*+"|'[^']*+')""")
+_UNSHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+#: What a page itself says isn't shown: the attribute of that name outside quotes, and two styles.
+_HIDDEN = re.compile(r"""(?:^|[\s"'/])hidden(?=$|[\s=/>])""", re.I)
+_QUOTED = re.compile(r"""=\s*+(?:"[^"]*+"|'[^']*+')""")
+_UNSHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
@@ -93,13 +102,25 @@ def _is_boilerplate(words: list[str], in_main: bool) -> bool:
 
 def _opened(name: str, rest: str, parent: Node) -> Node:
     key, hard, named, main = name, parent.hard or name in BOILERPLATE, False, name in ("article", "main")
+    if "hidden" in rest.lower() and _HIDDEN.search(_QUOTED.sub("= ", rest)):
+        hard = True
+    if "hidden" in rest.lower() and _HIDDEN.search(_QUOTED.sub("= ", rest)):
+        hard = True
     if rest and "=" in rest:
         for m in _ATTR.finditer(rest):
             kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if kind == "role":
                 hard, main = hard or value.lower() in ROLES, main or value.lower() == "main"
+            elif kind == "style":
+                hard = hard or _UNSHOWN.search(value) is not None
+            elif kind == "style":
+                hard = hard or _UNSHOWN.search(value) is not None
             elif kind in ("class", "id"):
                 names = _names(value)
+                if name == "section":  # a chapter of a paper
+                    names = [words for words in names if words != ["discussion"]]
+                if name == "section":  # a chapter of a paper
+                    names = [words for words in names if words != ["discussion"]]
                 if kind == "class" and names and key == name:
                     key = f"{name}.{'-'.join([w for words in names for w in words][:2])}"
                 # a heading's id is made from its words, and what a page calls its heading is still a heading

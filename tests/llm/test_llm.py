@@ -385,6 +385,40 @@ def test_html_articles_of_the_pages(spark):
         assert r.text == " ".join(html.unescape(re.sub(r"<[^>]+>", lambda m: "" if m[0] in ("<b>", "</b>") else " ", article)).split())
 
 
+@pytest.mark.parametrize("aside", [
+    '<ol class="commentlist"><li>Ann: what a nice text this is<li>Bob: I do not think so</ol>', '<section class="responses"><p>Ann says what a nice text this is</p></section>', '<div class="discussion"><p>Bob does not think so at all</p></div>',
+    '<div id="disqus_thread"><p>Please enable the scripts to see all of this</p></div>', '<div class="alert alert-info">We have new terms of use since today</div>', "<p hidden>This is not shown to any reader</p>", '<div style="color: red; display:none">This is not shown either to them</div>',
+    '<div data-x="a" hidden="until-found">Nor is this one shown</div>', "<div style='visibility: hidden'>Nor that</div>",
+])
+@pytest.mark.parametrize("marked", [True, False])
+def test_html_without_comments_notices_and_what_is_not_shown(spark, aside, marked):
+    """Inside and after the article, whether the page marks it or not."""
+    words = "It was a long day in the old town and the river ran high under the bridge where they met again. " * 4
+    article = f"<h1>On the river</h1><p>{words}</p>%s<p>{words}</p><section class='discussion'><p>{words}</p></section><p data-hidden='no' title='hidden'>{words}</p>"
+    want = " ".join(f"On the river {words} {words} {words} {words}".split())
+    wrap = "<article>%s</article>" if marked else "<div>%s</div>"
+    pages = [(1, "u", f"<html><body><nav><a href=x>Home</a></nav>{wrap % (article % aside)}</body></html>"), (2, "u", f"<html><body><nav><a href=x>Home</a></nav>{wrap % (article % '')}{aside}</body></html>")]
+    got = html_main.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert [r.text for r in got] == [want, want]
+
+
+@pytest.mark.parametrize("aside", [
+    '<ol class="commentlist"><li>Ann: what a nice text this is<li>Bob: I do not think so</ol>', '<section class="responses"><p>Ann says what a nice text this is</p></section>', '<div class="discussion"><p>Bob does not think so at all</p></div>',
+    '<div id="disqus_thread"><p>Please enable the scripts to see all of this</p></div>', '<div class="alert alert-info">We have new terms of use since today</div>', "<p hidden>This is not shown to any reader</p>", '<div style="color: red; display:none">This is not shown either to them</div>',
+    '<div data-x="a" hidden="until-found">Nor is this one shown</div>', "<div style='visibility: hidden'>Nor that</div>",
+])
+@pytest.mark.parametrize("marked", [True, False])
+def test_html_without_comments_notices_and_what_is_not_shown(spark, aside, marked):
+    """Inside and after the article, whether the page marks it or not."""
+    words = "It was a long day in the old town and the river ran high under the bridge where they met again. " * 4
+    article = f"<h1>On the river</h1><p>{words}</p>%s<p>{words}</p><section class='discussion'><p>{words}</p></section><p data-hidden='no' title='hidden'>{words}</p>"
+    want = " ".join(f"On the river {words} {words} {words} {words}".split())
+    wrap = "<article>%s</article>" if marked else "<div>%s</div>"
+    pages = [(1, "u", f"<html><body><nav><a href=x>Home</a></nav>{wrap % (article % aside)}</body></html>"), (2, "u", f"<html><body><nav><a href=x>Home</a></nav>{wrap % (article % '')}{aside}</body></html>")]
+    got = html_main.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert [r.text for r in got] == [want, want]
+
+
 def jaccard_classes(rows, threshold=0.8):
     """Classes of texts whose shingles have the Jaccard index, as sets or as probabilities, from every pair."""
     counts = {i: (Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := re.findall(r"\w+", (t or "").lower())) else Counter()) for i, t in rows}
