@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,20 +18,33 @@ def ascii_edges(pattern: str) -> str:
     return pattern.replace(r"\b", _EDGE)
 
 
-def _normal_form(text: Column, how: str) -> Column:
-    """``decompose`` or ``compose`` of compatibility characters (NFKD, NFKC), in the JVM, where a text isn't plain ASCII."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit(how), text, F.lit(True))).otherwise(text)
+# Accented letters and what they fold to.
+MARKED, BARE = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+#: Characters that neither form of compatibility changes but for the accents above: ASCII, Latin-1 letters, quotes and dashes, basic Greek, Cyrillic, kana and Han.
+_SETTLED = r"\x00-\x7F\xA1\xAB\xBB\xBF\xC0-\xFF\u03B1-\u03C9\u0391-\u03A9\u0410-\u0418\u041A-\u0438\u043A-\u044F\u2013\u2014\u2018-\u201E\u3041-\u304A\u30A1-\u30AA\u4E00-\u9FFF"
+
+
+def _normal_form(text: Column, form: str) -> Column:
+    """NFKD or NFKC of a text. Only texts with a character that could change go to Python, in batches; the others stay where they are."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return texts.map(lambda t: unicodedata.normalize(form, t) if t is not None else None)
+
+    odd = F.pandas_udf(run, "string")(F.when(text.rlike(f"[^{_SETTLED}]"), text))
+    return F.coalesce(odd, text)
 
 
 def normalised_name(name: Column) -> Column:
     """NFKD without marks, without a trailing #1234, lower case, all but letters and digits as single spaces."""
-    bare = F.regexp_replace(_normal_form(name, "decompose"), r"\p{M}+", "")
+    bare = F.regexp_replace(F.translate(_normal_form(name, "NFKD"), MARKED, BARE), r"\p{M}+", "")
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(bare, r"#\d{2,6}$", "")), r"[^\p{L}\p{N}]+", " "))
 
 
 def comparison_text(text: Column) -> Column:
     """NFKC, lower case; runs of punctuation and symbols as one space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(_normal_form(text, "compose")), r"[\p{P}\p{S}]+", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(_normal_form(text, "NFKC")), r"[\p{P}\p{S}]+", " "), r"\s+", " "))
 
 
 def text_similarity(a: Column, b: Column) -> Column:

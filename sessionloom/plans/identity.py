@@ -42,7 +42,7 @@ def _(spark, sf):
     return _observed(spark, sf).select("track_id", normalised_name(F.col("name")).alias("n"))
 
 
-@query("id02_edit_distance", f"WITH {OBS} SELECT track_id, levenshtein(name, 'NATION_10')::INT AS d FROM observed")
+@query("id02_edit_distance", f"WITH {OBS} SELECT track_id, levenshtein(regexp_replace(name, '[^ -~]', '?', 'g'), 'NATION_10')::INT AS d FROM observed")
 def _(spark, sf):
     return _observed(spark, sf).select("track_id", F.levenshtein("name", F.lit("NATION_10")).alias("d"))
 

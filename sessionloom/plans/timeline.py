@@ -66,51 +66,58 @@ def _rolls(spark, sf):
     return ad.rolls(spark, sf).withColumn("kind", F.expr("CASE WHEN session_id % 3 = 0 THEN kind WHEN kind = 'check' THEN kind ELSE 'other' END"))
 
 
-def _turnorder(spark, sf):
-    t = _rolls(spark, sf).where("kind = 'initiative'").selectExpr("session_id", "seq", "t_s", "CASE WHEN k % 2 = 0 THEN k % 5 + 1 ELSE 0 END AS n_entries")
-    return tl.combat_markers(t)
+class _Tables:
+    """Speech, rolls and anchors of all sessions, written once, as most of what a timeline holds is made of them."""
 
+    def __init__(self, spark, sf):
+        self.speech, self.rolls = materialise(_speech(spark, sf), "speech"), materialise(_rolls(spark, sf), "rolls")
+        # two rolls in three stand alone, some have no anchor at all, and the others belong to one of a session's first speeches, where there is one
+        said = self.speech.select("session_id", F.col("source_index").alias("_i"), F.col("utt_id").alias("matched_utt_id"))
+        rolls = self.rolls.where("roll_id % 11 <> 0").selectExpr("session_id", "roll_id", "CASE WHEN roll_id % 3 = 0 THEN seq % 5 END AS _i", "CAST(roll_id % 13 AS DOUBLE) AS uncertainty_s")
+        kind = F.when(F.col("matched_utt_id").isNotNull() | (F.col("roll_id") % 5 == 0), "matched").otherwise("interpolated")
+        self.anchors = materialise(rolls.join(said, ["session_id", "_i"], "left").withColumn("anchor", kind).drop("_i"), "anchors")
+        self.regions = ad.table(spark, sf, "region")
 
-def _bounds(spark, sf):
-    anchored = _anchors(spark, sf).join(_rolls(spark, sf), ["session_id", "roll_id"]).select("session_id", F.col("t_s").alias("t_end_s"))
-    ends = _speech(spark, sf).select("session_id", F.col("end_s").alias("t_end_s")).unionByName(anchored)
-    durations = ends.select("session_id").distinct().where("session_id % 3 = 1").withColumn("duration_s", F.expr("500.0D + session_id"))
-    return tl.session_bounds(ends, durations)
+    def bounds(self):
+        anchored = self.anchors.join(self.rolls, ["session_id", "roll_id"]).select("session_id", F.col("t_s").alias("t_end_s"))
+        ends = self.speech.select("session_id", F.col("end_s").alias("t_end_s")).unionByName(anchored)
+        durations = ends.select("session_id").distinct().where("session_id % 3 = 1").withColumn("duration_s", F.expr("500.0D + session_id"))
+        return tl.session_bounds(ends, durations)
 
+    def turnorder(self):
+        t = self.rolls.where("kind = 'initiative'").selectExpr("session_id", "seq", "t_s", "CASE WHEN k % 2 = 0 THEN k % 5 + 1 ELSE 0 END AS n_entries")
+        return tl.combat_markers(t)
 
-def _gaps(spark, sf):
-    return tl.gaps(_speech(spark, sf), ends=_bounds(spark, sf))
+    def gaps(self):
+        return tl.gaps(self.speech, ends=self.bounds())
 
+    def chat(self):
+        return self.rolls.where("roll_id % 9 = 0").selectExpr("session_id", "roll_id AS chat_id", "t_s + 0.5D AS t_start_s", "CASE WHEN roll_id % 2 = 0 THEN t_s + 1.5D END AS t_end_s", "concat('we saw that thing ', roll_id) AS text", "(roll_id % 150) / 100.0D - 0.1D AS confidence")
 
-def _chat(spark, sf):
-    return _rolls(spark, sf).where("roll_id % 9 = 0").selectExpr("session_id", "roll_id AS chat_id", "t_s + 0.5D AS t_start_s", "CASE WHEN roll_id % 2 = 0 THEN t_s + 1.5D END AS t_end_s", "concat('we saw that thing ', roll_id) AS text", "(roll_id % 150) / 100.0D - 0.1D AS confidence")
+    def attributions(self):
+        mode = "CASE WHEN player_id = 'system' THEN 'narration' WHEN length(text) % 7 = 0 THEN 'out_of_character' WHEN length(text) % 13 = 0 THEN 'non_speech' ELSE 'in_character' END AS mode"
+        return self.speech.where("source_index % 7 <> 6").selectExpr("session_id", "utt_id", mode, "CASE length(text) % 4 WHEN 0 THEN concat('npc', length(text) % 3) WHEN 1 THEN concat('pc', length(text) % 5) END AS character_id", "(length(text) % 130) / 100.0D AS confidence")
 
+    def speech_events(self):
+        players = self.speech.selectExpr("player_id", "upper(player_id) AS display_name", "player_id = 'system' AS is_dm").distinct()
+        characters = self.regions.selectExpr("concat('npc', r_regionkey) AS character_id", "r_name AS name", "true AS is_npc")
+        return tl.speech_events(self.speech, self.attributions(), players, characters, self.rolls, self.anchors)
 
-def _events(spark, sf):
-    return tl.event_union(_speech_events(spark, sf), tl.standalone_rolls(_rolls(spark, sf), _anchors(spark, sf)), _turnorder(spark, sf), _gaps(spark, sf), _bounds(spark, sf), _chat(spark, sf))
-
-
-def _attributions(spark, sf):
-    mode = "CASE WHEN player_id = 'system' THEN 'narration' WHEN length(text) % 7 = 0 THEN 'out_of_character' WHEN length(text) % 13 = 0 THEN 'non_speech' ELSE 'in_character' END AS mode"
-    return _speech(spark, sf).where("source_index % 7 <> 6").selectExpr("session_id", "utt_id", mode, "CASE length(text) % 4 WHEN 0 THEN concat('npc', length(text) % 3) WHEN 1 THEN concat('pc', length(text) % 5) END AS character_id", "(length(text) % 130) / 100.0D AS confidence")
+    def standalone(self):
+        return tl.standalone_rolls(self.rolls, self.anchors)
 
+    def events(self):
+        bounds = materialise(self.bounds(), "bounds")
+        return tl.event_union(self.speech_events(), self.standalone(), self.turnorder(), tl.gaps(self.speech, ends=bounds), bounds, self.chat())
 
-def _anchors(spark, sf):
-    """Two rolls in three stand alone, some have no anchor at all, and the others belong to one of a session's first speeches, where there is one."""
-    said = _speech(spark, sf).select("session_id", F.col("source_index").alias("_i"), F.col("utt_id").alias("matched_utt_id"))
-    rolls = _rolls(spark, sf).where("roll_id % 11 <> 0").selectExpr("session_id", "roll_id", "CASE WHEN roll_id % 3 = 0 THEN seq % 5 END AS _i", "CAST(roll_id % 13 AS DOUBLE) AS uncertainty_s")
-    return rolls.join(said, ["session_id", "_i"], "left").withColumn("anchor", F.when(F.col("matched_utt_id").isNotNull() | (F.col("roll_id") % 5 == 0), "matched").otherwise("interpolated"))
 
-
-def _speech_events(spark, sf):
-    players = _speech(spark, sf).selectExpr("player_id", "upper(player_id) AS display_name", "player_id = 'system' AS is_dm").distinct()
-    characters = ad.table(spark, sf, "region").selectExpr("concat('npc', r_regionkey) AS character_id", "r_name AS name", "true AS is_npc")
-    return tl.speech_events(_speech(spark, sf), _attributions(spark, sf), players, characters, _rolls(spark, sf), _anchors(spark, sf))
+def _events(spark, sf):
+    return _Tables(spark, sf).events()
 
 
 @query("src18_combat_markers", f"WITH {BASE} SELECT session_id, seq, n_entries, marker FROM turnorder")
 def _(spark, sf):
-    return _turnorder(spark, sf).select("session_id", "seq", "n_entries", "marker")
+    return _Tables(spark, sf).turnorder().select("session_id", "seq", "n_entries", "marker")
 
 
 def _ids(rolls):
@@ -127,20 +134,20 @@ def _(spark, sf):
 
 @query("ev02_speech_events", f"WITH {LINKS} SELECT session_id, utt_id, mode, character_id, round(confidence, 6) AS confidence, speaker_display, character_display, is_npc, is_dm, {IDS} AS rolls FROM spoken")
 def _(spark, sf):
-    return _speech_events(spark, sf).select("session_id", "utt_id", "mode", "character_id", F.round("confidence", 6).alias("confidence"), "speaker_display", "character_display", "is_npc", "is_dm", _ids(F.col("rolls")).alias("rolls"))
+    return _Tables(spark, sf).speech_events().select("session_id", "utt_id", "mode", "character_id", F.round("confidence", 6).alias("confidence"), "speaker_display", "character_display", "is_npc", "is_dm", _ids(F.col("rolls")).alias("rolls"))
 
 
 @query("ev03_standalone_rolls", f"WITH {LINKS} SELECT session_id, roll_id, who, kind, total, round(confidence, 6) AS confidence FROM alone")
 def _(spark, sf):
-    return tl.standalone_rolls(_rolls(spark, sf), _anchors(spark, sf)).select("session_id", "roll_id", "who", "kind", "total", F.round("confidence", 6).alias("confidence"))
+    return _Tables(spark, sf).standalone().select("session_id", "roll_id", "who", "kind", "total", F.round("confidence", 6).alias("confidence"))
 
 
 @query("ev04_gaps", f"WITH {BASE} SELECT session_id, round(t_start_s, 6) AS t_start_s, round(t_end_s, 6) AS t_end_s FROM gaps")
 def _(spark, sf):
-    return _gaps(spark, sf).select("session_id", F.round("t_start_s", 6).alias("t_start_s"), F.round("t_end_s", 6).alias("t_end_s"))
+    return _Tables(spark, sf).gaps().select("session_id", F.round("t_start_s", 6).alias("t_start_s"), F.round("t_end_s", 6).alias("t_end_s"))
 
 
-query("ev05_session_bounds", f"WITH {BASE} SELECT session_id, start_s, end_s FROM bounds")(lambda spark, sf: _bounds(spark, sf))
+query("ev05_session_bounds", f"WITH {BASE} SELECT session_id, start_s, end_s FROM bounds")(lambda spark, sf: _Tables(spark, sf).bounds())
 
 # each rule is broken by some rows
 BROKEN = f"""{EVENTS},
@@ -156,11 +163,11 @@ UNION ALL SELECT session_id, 'anchor_without_utterance', roll_id::VARCHAR FROM (
 
 
 def _broken(spark, sf):
-    x = _events(spark, sf).withColumn("id", F.expr("CASE WHEN ord % 17 = 0 THEN 'e_1' WHEN ord % 19 = 0 THEN concat('s:', id) ELSE id END")).withColumn("t_end_s", F.expr("CASE WHEN ord % 13 = 0 THEN t_start_s - 1 ELSE t_end_s END"))
+    made = _Tables(spark, sf)
+    x = made.events().withColumn("id", F.expr("CASE WHEN ord % 17 = 0 THEN 'e_1' WHEN ord % 19 = 0 THEN concat('s:', id) ELSE id END")).withColumn("t_end_s", F.expr("CASE WHEN ord % 13 = 0 THEN t_start_s - 1 ELSE t_end_s END"))
     x = x.withColumn("confidence", F.expr("CASE WHEN ord % 23 = 0 THEN 1.5D WHEN ord % 29 = 0 THEN NULL WHEN ord % 31 = 0 THEN double('NaN') ELSE confidence END"))
-    anchors = _anchors(spark, sf)
-    again = anchors.where("roll_id % 40 = 1").withColumn("matched_utt_id", F.lit(None).cast("string"))
-    return tl.timeline_violations(x, _speech(spark, sf).where("source_index <> 1"), _rolls(spark, sf).where("roll_id % 10 <> 7"), anchors.unionByName(again))
+    again = made.anchors.where("roll_id % 40 = 1").withColumn("matched_utt_id", F.lit(None).cast("string"))
+    return tl.timeline_violations(materialise(x, "events"), made.speech.where("source_index <> 1"), made.rolls.where("roll_id % 10 <> 7"), made.anchors.unionByName(again))
 
 
 query("ev06_violations", f"WITH {BROKEN} SELECT * FROM bad")(lambda spark, sf: _broken(spark, sf))
@@ -299,11 +306,12 @@ REPORT = f"""{BASE}, sec AS (SELECT session_id, player_id, round(sum(end_ms - st
 @query("speaking_report", f"WITH {REPORT} SELECT sec.*, coalesce(n_gaps, 0) AS n_gaps, coalesce(longest_gap_s, 0) AS longest_gap_s FROM sec LEFT JOIN gp USING (session_id)")
 def _(spark, sf):
     """Speech, backchannels, changes of speaker and silences of each session and player."""
-    u = _speech(spark, sf)
+    made = _Tables(spark, sf)
+    u = made.speech
     was = F.lag("player_id").over(W.partitionBy("session_id").orderBy("start_s", "utt_id"))
     said = u.withColumn("_was", was).groupBy("session_id", "player_id").agg(
         F.round(F.sum(F.col("end_ms") - F.col("start_ms")) / 1000.0, 3).alias("speech_s"), F.count("*").alias("n_utterances"),
         F.count_if(is_backchannel(F.col("text"), F.col("end_s") - F.col("start_s"))).alias("n_backchannels"), F.count_if(F.col("player_id") != F.coalesce("_was", F.lit(""))).alias("n_turns"),
     )
-    quiet = _gaps(spark, sf).groupBy("session_id").agg(F.count("*").alias("n_gaps"), F.round(F.max(F.col("t_end_s") - F.col("t_start_s")), 6).alias("longest_gap_s"))
+    quiet = made.gaps().groupBy("session_id").agg(F.count("*").alias("n_gaps"), F.round(F.max(F.col("t_end_s") - F.col("t_start_s")), 6).alias("longest_gap_s"))
     return said.join(quiet, "session_id", "left").na.fill(0, ["n_gaps", "longest_gap_s"])
