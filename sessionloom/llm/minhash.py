@@ -1,18 +1,15 @@
 """Near-duplicate detection by ProbMinHash, banding and verification.
 
-A text is its five-word shingles, weighted by how often each occurs. A
+A text is its five-word shingles, weighted by how often each occurs. Its
 signature holds, for each of M places, the shingle that arrives there first
 when each shingle arrives as a Poisson process of its weight; a shingle's
 process ends early once it can no longer be first anywhere. Two signatures
-agree in a place with the probability Jaccard index of the two texts. Bands of
-a signature are buckets, in which candidates meet. A text that repeats a
-shingle has a second signature, of weights 1, which agree with the Jaccard
-index of the sets, so that a copy is found too if only its repeats are more.
-
-Links are pairs of different texts, verified on the texts, of which the
-probability Jaccard index or the Jaccard index of the sets is at least the
-threshold; for texts that repeat no shingle they are the same. The signatures
-of one text are vertices that are linked from the start. Classes are the connected
+agree in a place with the probability Jaccard index of the two texts, the
+measure that links are verified on; of texts that repeat no shingle it is the
+Jaccard index. Bands of the signature are buckets, in which candidates meet.
+
+Links are pairs of different texts with a probability Jaccard index of at
+least the threshold, verified on the texts. Classes are the connected
 components. Equal texts (same words) are one vertex from the start. Buckets
 are never expanded into all their pairs:
 
@@ -125,20 +122,21 @@ def prob_min_hash(shingles: np.ndarray, weights: np.ndarray, m: int = M) -> np.n
     return out
 
 
-Weighted = tuple[np.ndarray, np.ndarray]
+#: Distinct shingles in order, and how often each occurs; None if none is repeated.
+Weighted = tuple[np.ndarray, np.ndarray | None]
 
 
 def weighted(shingles: np.ndarray) -> Weighted:
-    """Distinct shingles in order, and how often each occurs."""
-    distinct, counts = np.unique(shingles, return_counts=True)
-    return distinct, counts.astype(np.float64)
+    ordered = np.sort(shingles)
+    begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    if len(begins) == len(ordered):
+        return ordered, None
+    return ordered[begins], np.diff(np.append(begins, len(ordered))).astype(np.float64)
 
 
-def faces(shingles: np.ndarray) -> list[np.ndarray]:
-    """The signature of the weighted shingles and, if that is another, the one of the set."""
+def signature(shingles: np.ndarray) -> np.ndarray:
     distinct, counts = weighted(shingles)
-    out = [prob_min_hash(distinct, counts)]
-    return out if counts.max() == 1 else [*out, prob_min_hash(distinct, np.ones(len(distinct)))]
+    return prob_min_hash(distinct, np.ones(len(distinct)) if counts is None else counts)
 
 
 def band_hashes(sig: np.ndarray) -> np.ndarray:
@@ -156,31 +154,29 @@ def sketch(sig: np.ndarray) -> tuple[int, int]:
     return tuple(np.packbits(bits).view(np.int64).tolist())
 
 
-_FACE = pa.struct([("sig", pa.list_(pa.int32())), ("bands", pa.list_(pa.int64())), ("bits_a", pa.int64()), ("bits_b", pa.int64())])
-
-
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, vid, faces) of each row; vid is a 128-bit hash of the words, faces (sig, bands, bits_a, bits_b) are none without words."""
+    """(doc_id, text_hash, vid, sig, bands, bits_a, bits_b) of each row; vid is a 128-bit hash of the words, the rest is null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, known = Shingles(), {}
+        types = [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.int64()]
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
-                some, vids, out = batch.slice(i, 500), [], []
+                some, out = batch.slice(i, 500), []
                 for text in some.column(1).to_pylist():
                     words = words_of(text)
                     vid = xxhash.xxh3_128_digest(" ".join(words))
                     if vid not in known:
                         if len(known) > 2000:
                             known.clear()
-                        own = faces(shingles.of(words)) if words else []
-                        known[vid] = [(sig.astype(np.uint32).view(np.int32), band_hashes(sig), *sketch(sig)) for sig in own]
-                    vids.append(vid)
-                    out.append([dict(zip(("sig", "bands", "bits_a", "bits_b"), face)) for face in known[vid]])
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(vids, pa.binary()), pa.array(out, pa.list_(_FACE))], names=["doc_id", "text_hash", "vid", "faces"])
+                        sig = signature(shingles.of(words)) if words else None
+                        known[vid] = (None,) * 4 if sig is None else (sig.astype(np.uint32).view(np.int32), band_hashes(sig), *sketch(sig))
+                    out.append((vid, *known[vid]))
+                columns = [pa.array([r[k] for r in out], t) for k, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), *columns], names=["doc_id", "text_hash", "vid", "sig", "bands", "bits_a", "bits_b"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, vid binary, faces array<struct<sig:array<int>,bands:array<long>,bits_a:long,bits_b:long>>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, vid binary, sig array<int>, bands array<long>, bits_a long, bits_b long")
 
 
 def probability_jaccard(x: Weighted, y: Weighted, least: float = 0.0) -> float:
@@ -192,10 +188,13 @@ def probability_jaccard(x: Weighted, y: Weighted, least: float = 0.0) -> float:
     both = np.concatenate([x[0], y[0]])
     by = np.argsort(both, kind="stable")
     again = np.flatnonzero(both[by[1:]] == both[by[:-1]])
-    a, b = x[1][by[again]], y[1][by[again + 1] - len(x[0])]
-    all_x, all_y = x[1].sum(), y[1].sum()
-    bound = np.minimum(a / all_x, b / all_y).sum() if len(a) else 0.0
-    if bound < least or not len(a):
+    if not len(again):
+        return 0.0
+    left, right = (np.ones(len(z[0])) if z[1] is None else z[1] for z in (x, y))
+    a, b = left[by[again]], right[by[again + 1] - len(left)]
+    all_x, all_y = left.sum(), right.sum()
+    bound = np.minimum(a / all_x, b / all_y).sum()
+    if bound < least:
         return float(bound)
     # in order of a / b the shingles from i on have the greater share in x, those before it in y
     order = np.argsort(a / b, kind="stable")
@@ -206,10 +205,10 @@ def probability_jaccard(x: Weighted, y: Weighted, least: float = 0.0) -> float:
 
 
 def _similar(x: Weighted, y: Weighted, threshold: float) -> bool:
-    """Whether the probability Jaccard index, or that of the sets, reaches the threshold."""
+    """Whether the probability Jaccard index reaches the threshold; without repeats it is that of the sets."""
     least = threshold - 1e-9
-    if probability_jaccard(x, y, least) >= least:
-        return True
+    if x[1] is not None or y[1] is not None:
+        return probability_jaccard(x, y, least) >= least
     if min(len(x[0]), len(y[0])) < least * max(len(x[0]), len(y[0])):
         return False
     both = np.concatenate([x[0], y[0]])
@@ -366,11 +365,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = materialise(signatures(docs, "doc_id", "text"), "signatures")
-    reps = signed.groupBy("vid").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("faces").alias("faces"))
-    reps = reps.withColumn("_v", 2 * F.monotonically_increasing_id())
-    # a vertex for each signature; texts without words are one vertex without any
-    reps = materialise(reps.select("vid", "one", "_v", F.posexplode_outer("faces").alias("_n", "_f")).select("vid", "one", (F.col("_v") + F.coalesce("_n", F.lit(0))).alias("v"), "_f.*"), "vertices")
-    same_text = reps.where("v % 2 = 1").select((F.col("v") - 1).alias("src"), F.col("v").alias("dst"))
+    one = [F.first(c).alias(c) for c in ("sig", "bands", "bits_a", "bits_b")]
+    reps = signed.groupBy("vid").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), *one)
+    reps = materialise(reps.withColumn("v", F.monotonically_increasing_id()), "vertices")
 
     spread = materialise(reps.select("v", F.posexplode("bands").alias("k", "b")), "bands")
     crowded = materialise(spread.groupBy("b").count().where("count > 1").select("b"), "crowded")
@@ -390,7 +387,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     texts = materialise(found.mapInArrow(right_text, "v long, text string").dropDuplicates(["v"]), "texts")
 
-    links, labels = same_text, None
+    links = labels = None
     for k in range(rounds):
         members = buckets if labels is None else buckets.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
         value = F.struct(F.xxhash64("v", "b", F.lit(k)).alias("h"), "v", "bits_a", "bits_b", *([] if labels is None else ["component"]))
@@ -403,13 +400,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = materialise(_agreeing(pairs, reps, least_agreement), "pairs")
         new = materialise(_verified(pairs, texts, threshold), "links")
         discard(leaders, pairs)
-        links = links.unionByName(new)
+        links = new if links is None else links.unionByName(new)
         labels = connected_components(links)
     links = links.unionByName(_rest_links(buckets, labels, reps, texts, least_agreement, threshold, tile))
     discard(buckets, texts)
     labels = connected_components(links)
 
-    vertex = materialise(reps.where("v % 2 = 0").select("vid", "v").join(labels, "v", "left").select("vid", F.coalesce("component", "v").alias("component")), "vertex-classes")
+    vertex = materialise(reps.select("vid", "v").join(labels, "v", "left").select("vid", F.coalesce("component", "v").alias("component")), "vertex-classes")
     placed = materialise(signed.select("doc_id", "vid").groupBy("doc_id", "vid").agg(F.count("*").alias("copies")).join(vertex, "vid"), "placed")
     discard(signed, reps, vertex)
     classes = materialise(placed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "vid")).alias("head")), "classes")
