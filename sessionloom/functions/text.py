@@ -57,7 +57,7 @@ def text_similarity(a: Column, b: Column) -> Column:
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    """Similarity of two normalised names: the best of edit distance, token overlap and prefixes; 1 only when equal."""
+    """Similarity of two columns of normalised names: the best of edit distance, token overlap and prefixes; 1 only when equal."""
     ta, tb = F.split(a, " "), F.split(b, " ")
     edit = 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
     tokens = F.size(F.array_intersect(ta, tb)) / F.greatest(F.size(F.array_distinct(ta)), F.size(F.array_distinct(tb)))

@@ -166,7 +166,8 @@ def test_suggestions_equal_all_pairs(spark):
     players = spark.createDataFrame([(f"p{i}", n, None, None) for i, n in enumerate(base)], "player_id string, display_name string, username string, account string")
     observed = spark.createDataFrame([(n,) for n in noisy], "name string")
     got = {(r.name, r.player_id): r.score for r in idn.suggestions(observed, players, k=1000).collect()}
-    pairs = observed.distinct().crossJoin(players).select("name", "player_id", F.round(name_similarity(normalised_name(F.col("name")), normalised_name(F.col("display_name"))), 4).alias("score")).where("score >= 0.4")
+    pairs = observed.distinct().crossJoin(players).select("name", "player_id", normalised_name(F.col("name")).alias("a"), normalised_name(F.col("display_name")).alias("b"))
+    pairs = pairs.select("name", "player_id", F.round(name_similarity(F.col("a"), F.col("b")), 4).alias("score")).where("score >= 0.4")
     assert got == {(r.name, r.player_id): r.score for r in pairs.collect()} and len(got) > 90
 
 
@@ -509,13 +510,14 @@ def test_ledger_upserts_are_idempotent(spark):
     assert sorted(map(tuple, twice.collect())) == sorted(map(tuple, once.collect()))
     inputs = spark.createDataFrame([(1, "p", "s"), (2, "p", None)], "k long, path string, sha string")
     metas = lg.input_digest(inputs, ["k"]).withColumn("version", F.lit(1)).withColumn("status", F.lit("ok"))
-    assert lg.stale(inputs, metas, 1, ["k"]).isEmpty() and lg.stale(inputs, metas, 2, ["k"]).count() == 2
+    metas, none = metas.withColumn("params_hash", F.lit(None).cast("string")), spark.createDataFrame([], "k long, name string, value string")
+    assert lg.stale(inputs, metas, 1, ["k"], none, inputs).isEmpty() and lg.stale(inputs, metas, 2, ["k"], none, inputs).count() == 2
 
 
 def test_capture_formulas(spark):
     assert value(spark, cp.dice_sides(F.lit("2d6+d8"))) == [6, 6, 8] and value(spark, cp.modifier_sum(F.lit("2d6 + 3 - 1d4 - 1"))) == 2
     assert cp.markup_text("<p>a &lt;b&gt;</p><script>x</script>c&#33;&#x41;&bogus;") == "a <b> c!A&bogus;"
-    assert value(spark, cp.name_mentions(F.lit("The Goblin met Ann Lee and the goblin, the Goblin"), F.lit("x"))) == ["Goblin", "Ann Lee"]
+    assert value(spark, cp.name_mentions(F.lit("The Goblin met Ann Lee and the goblin, the Goblin"), F.lit("x"), F.lit(None).cast("string"))) == ["Goblin", "Ann Lee"]
 
 
 def test_empty_tables(spark):
