@@ -26,14 +26,19 @@ def query(name, sql=None):
     return add
 
 
+def _turns(rolls):
+    """SQL of the turn orders that stand in a table of rolls."""
+    return f"""turn0 AS (SELECT session_id, seq, t_s, CASE WHEN k % 2 = 0 THEN k % 5 + 1 ELSE 0 END AS n_entries FROM {rolls} WHERE kind = 'initiative'),
+turn1 AS (SELECT *, coalesce(lag(n_entries > 0) OVER (PARTITION BY session_id ORDER BY seq), false) AS was FROM turn0),
+turnorder AS (SELECT session_id, seq, t_s, n_entries, CASE WHEN n_entries > 0 AND NOT was THEN 'started' WHEN n_entries = 0 AND was THEN 'ended' ELSE 'changed' END AS marker FROM turn1)"""
+
+
 # Speech, rolls and turn orders of this module: silences before every second turn, a narrator, some telling words; two sessions in three are without fights.
 BASE = f"""{ad.UTTERANCES}, {ad.ROLLS},
 utt2 AS (SELECT * REPLACE (start_s + 10 * (source_index // 2) AS start_s, end_s + 10 * (source_index // 2) AS end_s, replace(utt_id, ':', '-') AS utt_id, CASE WHEN source_index % 4 = 2 THEN 'system' ELSE player_id END AS player_id,
   text || CASE (session_id + source_index) % 8 WHEN 0 THEN ' Previously' WHEN 1 THEN ' we plan' ELSE '' END AS text) FROM utterances),
 rolls2 AS (SELECT * REPLACE (CASE WHEN session_id % 3 = 0 THEN kind WHEN kind = 'check' THEN kind ELSE 'other' END AS kind) FROM rolls),
-turn0 AS (SELECT session_id, seq, t_s, CASE WHEN k % 2 = 0 THEN k % 5 + 1 ELSE 0 END AS n_entries FROM rolls2 WHERE kind = 'initiative'),
-turn1 AS (SELECT *, coalesce(lag(n_entries > 0) OVER (PARTITION BY session_id ORDER BY seq), false) AS was FROM turn0),
-turnorder AS (SELECT session_id, seq, t_s, n_entries, CASE WHEN n_entries > 0 AND NOT was THEN 'started' WHEN n_entries = 0 AND was THEN 'ended' ELSE 'changed' END AS marker FROM turn1),
+{_turns('rolls2')},
 anchors AS (SELECT r.session_id, r.roll_id, u.utt_id AS matched_utt_id, (r.roll_id % 13)::DOUBLE AS uncertainty_s, CASE WHEN u.utt_id IS NOT NULL OR r.roll_id % 5 = 0 THEN 'matched' ELSE 'interpolated' END AS anchor FROM rolls2 r LEFT JOIN utt2 u ON r.roll_id % 3 = 0 AND u.session_id = r.session_id AND u.source_index = r.seq % 5 WHERE r.roll_id % 11 <> 0),
 latest AS (SELECT session_id, max(t) AS t FROM (SELECT session_id, end_s AS t FROM utt2 UNION ALL SELECT session_id, t_s FROM anchors JOIN rolls2 USING (session_id, roll_id)) GROUP BY 1),
 bounds AS (SELECT session_id, 0.0::DOUBLE AS start_s, greatest(t, CASE WHEN session_id % 3 = 1 THEN 500.0 + session_id ELSE t END)::DOUBLE AS end_s FROM latest),
@@ -66,6 +71,11 @@ def _rolls(spark, sf):
     return ad.rolls(spark, sf).withColumn("kind", F.expr("CASE WHEN session_id % 3 = 0 THEN kind WHEN kind = 'check' THEN kind ELSE 'other' END"))
 
 
+def _turnorder(rolls):
+    t = rolls.where("kind = 'initiative'").selectExpr("session_id", "seq", "t_s", "CASE WHEN k % 2 = 0 THEN k % 5 + 1 ELSE 0 END AS n_entries")
+    return tl.combat_markers(t)
+
+
 class _Tables:
     """Speech, rolls and anchors of all sessions, written once, as most of what a timeline holds is made of them."""
 
@@ -85,8 +95,7 @@ class _Tables:
         return tl.session_bounds(ends, durations)
 
     def turnorder(self):
-        t = self.rolls.where("kind = 'initiative'").selectExpr("session_id", "seq", "t_s", "CASE WHEN k % 2 = 0 THEN k % 5 + 1 ELSE 0 END AS n_entries")
-        return tl.combat_markers(t)
+        return _turnorder(self.rolls)
 
     def gaps(self):
         return tl.gaps(self.speech, ends=self.bounds())
@@ -115,9 +124,10 @@ def _events(spark, sf):
     return _Tables(spark, sf).events()
 
 
-@query("src18_combat_markers", f"WITH {BASE} SELECT session_id, seq, n_entries, marker FROM turnorder")
+@query("src18_combat_markers", f"WITH {ad.ROLLS}, {_turns('rolls')} SELECT session_id, seq, n_entries, marker FROM turnorder")
 def _(spark, sf):
-    return _Tables(spark, sf).turnorder().select("session_id", "seq", "n_entries", "marker")
+    """Turn orders of all sessions, those too that have no fights elsewhere in this module."""
+    return _turnorder(ad.rolls(spark, sf)).select("session_id", "seq", "n_entries", "marker")
 
 
 def _ids(rolls):

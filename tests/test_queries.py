@@ -50,6 +50,13 @@ def test_query_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_combat_markers_of_all_sessions(spark, con):
+    """Each turn order of each session has a marker."""
+    got = sorted((r.session_id, r.seq) for r in QUERIES["src18_combat_markers"](spark, SF).collect())
+    numbered = "SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events"
+    assert got == sorted(con.execute(f"SELECT user_id, seq FROM ({numbered}) WHERE event_type = 'signup'").fetchall())
+
+
 def test_entry_imports_without_the_corpus_folders(monkeypatch):
     import importlib
     import sys
