@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +52,16 @@ def run_to_end(stream: DataFrame, mode: str, progress: list[dict] | None = None)
     return rows.drop("batch") if mode == "append" else rows
 
 
+#: The time of a closing row, in microseconds. Such a row only moves the watermark past all others and is none itself.
+CLOSING_US = 253_370_764_800_000_000
+
+
+def close_source(spark: SparkSession, schema: T.StructType, path: str, time: str) -> None:
+    """Add a closing row to the files of a stream that has ended, so that rows which wait for the watermark come out."""
+    row = [(F.timestamp_micros(F.lit(CLOSING_US)) if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+    spark.range(1).select(*row).coalesce(1).write.mode("append").parquet(path)
+
+
 def message_key(id_: Column, markup: Column, text: Column, who: Column) -> Column:
     """``id:`` and the id; for a message without one a fingerprint of markup, text and speaker. (ST-01)"""
     part = lambda c: F.coalesce(c.cast("string"), F.lit(""))
@@ -175,18 +185,23 @@ def in_order_of_time(stream: DataFrame, key: str, order: str, value: str, time:
 
     Rows come out once the watermark, ``late`` behind the newest row, has
     passed them, so rows of a later batch with earlier times are in their
-    place. State: the rows that wait, and one row ``last`` a key. Rows later
-    than the watermark are dropped and counted in the progress.
+    place. A closing row (``close_source``) lets out all that wait; without one
+    the last rows go on waiting. State: the rows that wait, and one row
+    ``last`` a key. Rows later than the watermark are dropped and counted in
+    the progress.
     """
     fields = {c: stream.schema[c].dataType.simpleString() for c in (key, order, value)}
-    rows = stream.withWatermark(time, late).select(key, time, F.unix_micros(time).alias("us"), F.col(order).alias("ord"), F.col(value).alias("value"))
+    # on the time itself, so Spark leaves the condition after the watermark
+    own = F.coalesce(F.unix_micros(time) < CLOSING_US, F.lit(True))
+    rows = stream.withWatermark(time, late).where(own).select(key, time, F.unix_micros(time).alias("us"), F.col(order).alias("ord"), F.col(value).alias("value"))
     processor = _InOrder(step, f"us long, ord {fields[order]}, value {fields[value]}", last, [key, order, value, "result"], fields[key])
     schema = f"{key} {fields[key]}, {order} {fields[order]}, {value} {fields[value]}, result {result}"
     return rows.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 def _changed(last: tuple | None, value: Any) -> tuple[tuple, bool | None]:
-    return (value,), True if last is None or last[0] != value else None
+    """As SQL compares: after null anything is a change, null after a value is none."""
+    return (value,), True if last is None or last[0] is None or value is not None and last[0] != value else None
 
 
 def change_stream(snapshots: DataFrame, key: str, order: str, value: str, time: str, late: str = "1 day") -> DataFrame:

@@ -85,6 +85,33 @@ def test_folds_in_order_of_time_whatever_the_batches(spark):
     assert sum(p["dropped"] for p in progress) == 2
 
 
+def test_folds_of_a_closed_stream_give_all_rows(spark):
+    """The rows of the last stretch, which the watermark of the newest row doesn't pass, come out once the stream is closed, and its closing row doesn't."""
+    schema = "session_id long, seq long, entries long, ts timestamp"
+    rows = [(k, 2**60 + i, (i // 3) % 2, at(i)) for i in range(30) for k in (1, 2)]
+    path = scratch_path(spark, "closed")
+    for some in (rows[:20], rows[20:]):
+        data = spark.createDataFrame(some, schema)
+        data.coalesce(1).write.mode("append").parquet(path)
+    live.close_source(spark, data.schema, path, "ts")
+    closed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    progress = []
+    got = live.run_to_end(live.change_stream(closed, "session_id", "seq", "entries", "ts"), "append", progress)
+    assert sorted(map(tuple, got.collect())) == sorted(r[:3] for r in rows if (r[1] - 2**60) % 3 == 0) and sum(p["dropped"] for p in progress) == 0
+
+
+def test_changes_to_and_from_null_are_those_of_the_batch(spark):
+    schema = "session_id long, seq long, kind string, ts timestamp"
+    rows = [(1, i, kind, at(i)) for i, kind in enumerate(["a", None, None, "b", "b", None, "b", "a"])] + [(2, 0, None, at(0)), (2, 1, "a", at(1))]
+    path = scratch_path(spark, "nulls")
+    data = spark.createDataFrame(rows, schema)
+    data.coalesce(1).write.parquet(path)
+    live.close_source(spark, data.schema, path, "ts")
+    got = live.run_to_end(live.change_stream(spark.readStream.schema(schema).parquet(path), "session_id", "seq", "kind", "ts"), "append")
+    batch = live.changes(data, ["session_id"], ["ts", "seq"], "kind").select("session_id", "seq", "kind")
+    assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
+
+
 @pytest.mark.parametrize("cap", [1, 7, 1000])
 def test_retention_stream_equals_the_batch_and_is_capped(spark, cap):
     rnd = random.Random(cap)
