@@ -13,9 +13,11 @@ least the threshold, verified on the texts. Classes are the connected
 components. Equal texts (same words) are one vertex from the start. Buckets
 are never expanded into all their pairs:
 
-1. In each bucket every member meets one leader, chosen by a hash; two such
-   rounds, with verification and components in between. A sketch of one bit a
-   place, which the bucket's rows carry, drops most unlike pairs beforehand.
+1. In each bucket every member meets one leader, chosen by a hash of the
+   vertex, so that a family has the same few leaders in all its buckets; two
+   such rounds, with verification and components in between, of which the
+   later ones go over new links alone. A sketch of one bit a place, which the
+   bucket's rows carry, drops most unlike pairs beforehand.
 2. A bucket that lies in one component is done. Elsewhere the members outside
    the bucket's largest component meet the others, in tiles of bounded size.
    First tiles of signatures tell which members have a partner in another
@@ -40,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
+from ..operators.graph import connected_components, merged_components
 from .common import discard, materialise
 
 SHINGLE = 5
@@ -387,10 +389,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     texts = materialise(found.mapInArrow(right_text, "v long, text string").dropDuplicates(["v"]), "texts")
 
-    links = labels = None
+    labels = None
     for k in range(rounds):
         members = buckets if labels is None else buckets.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
-        value = F.struct(F.xxhash64("v", "b", F.lit(k)).alias("h"), "v", "bits_a", "bits_b", *([] if labels is None else ["component"]))
+        value = F.struct(F.xxhash64("v", F.lit(k)).alias("h"), "v", "bits_a", "bits_b", *([] if labels is None else ["component"]))
         leaders = materialise(members.groupBy("b").agg(F.min(value).alias("leader")), "leaders")
         differ = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"leader.{c}")))
         met = members.join(leaders, "b").where((F.col("v") != F.col("leader.v")) & (differ("bits_a") + differ("bits_b") <= most_bits))
@@ -400,11 +402,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = materialise(_agreeing(pairs, reps, least_agreement), "pairs")
         new = materialise(_verified(pairs, texts, threshold), "links")
         discard(leaders, pairs)
-        links = new if links is None else links.unionByName(new)
-        labels = connected_components(links)
-    links = links.unionByName(_rest_links(buckets, labels, reps, texts, least_agreement, threshold, tile))
+        labels = connected_components(new) if labels is None else merged_components(labels, new)
+    labels = merged_components(labels, _rest_links(buckets, labels, reps, texts, least_agreement, threshold, tile))
     discard(buckets, texts)
-    labels = connected_components(links)
 
     vertex = materialise(reps.select("vid", "v").join(labels, "v", "left").select("vid", F.coalesce("component", "v").alias("component")), "vertex-classes")
     placed = materialise(signed.select("doc_id", "vid").groupBy("doc_id", "vid").agg(F.count("*").alias("copies")).join(vertex, "vid"), "placed")

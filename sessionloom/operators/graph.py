@@ -30,3 +30,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         if table.where("old <> component").isEmpty():
             discard(both)
             return table.select("v", "component")
+
+
+def merged_components(labels: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(v, component) of a graph with components ``labels`` after more edges have come.
+
+    The rounds go over the new edges alone, as edges between components, so
+    those of the graph before are not read again.
+    """
+    one = labels.select(F.col("v").alias("src"), F.col("component").alias("a"))
+    two = labels.select(F.col("v").alias("dst"), F.col("component").alias("b"))
+    ends = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).join(one, "src", "left").join(two, "dst", "left")
+    more = connected_components(ends.select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst")))
+    # ends that had no edge before stand for themselves
+    known = labels.select("v", F.col("component").alias("old"))
+    known = known.unionByName(more.join(known, "v", "left_anti").select("v", F.col("v").alias("old")))
+    to = more.select(F.col("v").alias("old"), F.col("component").alias("new"))
+    return materialise(known.join(to, "old", "left").select("v", F.coalesce("new", "old").alias("component")), "merged")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm import bbpe, dialogue, exact, hardneg, html_main, langid, media, minhash, packing, piecebpe, quality, queries, sepscan, tokens_orc
 from sessionloom.llm.common import WordIds, bounded_sample, slices, without_duplicates
+from sessionloom.operators import graph
 
 SF = "/root/testdata/sf0.001"
 WORDS = P.path("word_bpe_49k.json")
@@ -478,6 +479,24 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(r.doc_id for r in got if r.kept) == sorted(min(c) for c in classes.values())
 
 
+def test_a_large_family_meets_few_leaders_and_its_links_are_joined_once(spark, monkeypatch):
+    """Members of a family meet few leaders for all their buckets, and later rounds of components go over new links alone."""
+    rnd = random.Random(11)
+    base, rows, pairs, edges = [f"w{rnd.randrange(4000)}" for _ in range(200)], [], [], []
+    for n in range(300):
+        w = list(base)
+        for _ in range(2):
+            w[rnd.randrange(200)] = f"x{rnd.randrange(4000)}"
+        rows.append((n, " ".join(w)))
+    agreeing, components = minhash._agreeing, graph.connected_components
+    monkeypatch.setattr(minhash, "_agreeing", lambda p, *a: pairs.append(p.count()) or agreeing(p, *a))
+    for module in (minhash, graph):
+        monkeypatch.setattr(module, "connected_components", lambda e, *a: edges.append(e.count()) or components(e, *a))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 300 and {r.class_id for r in got} == {0}
+    assert 0 < sum(pairs) < 8 * 300 and sum(edges) < 8 * 300, (pairs, edges)
+
+
 def test_near_duplicates_with_unequal_repeats_equal_brute_force(spark):
     """Weights decide: a passage that one copy repeats often and the other does not breaks their link, a few repeats don't; texts that are mostly one repeated passage are linked."""
     rnd = random.Random(10)

@@ -21,7 +21,7 @@ from sessionloom.operators import quality as qa
 from sessionloom.operators import timeline as tl
 from sessionloom.operators import transcript as tr
 from sessionloom.operators import vectors as vec
-from sessionloom.operators.graph import connected_components
+from sessionloom.operators.graph import connected_components, merged_components
 from sessionloom.sources import capture as cp
 
 UTT = "session_id long, utt_id string, source_index long, track_id string, player_id string, start_s double, end_s double, text string, energy double"
@@ -35,6 +35,16 @@ def value(spark, column):
     return spark.range(1).select(column.alias("x")).first()[0]
 
 
+def test_merged_components_are_those_of_all_edges(spark):
+    """New edges within a component, between two, to new vertices and among new ones; also none."""
+    rnd = random.Random(4)
+    edges = [(rnd.randrange(120), rnd.randrange(120)) for _ in range(90)]
+    table = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    for cut in (0, 40, 90):
+        got = merged_components(connected_components(table(edges[:cut])), table(edges[cut:]))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, connected_components(table(edges)).collect()))
+
+
 BLEED = [("t1", 1.0, 2.5, "the guard advances", 0.9), ("t2", 1.1, 2.6, "the guard advances", 0.2), ("t1", 9.0, 9.5, "elsewhere", 0.5)]
 
 
