@@ -69,40 +69,77 @@ def message_key(id_: Column, markup: Column, text: Column, who: Column) -> Colum
 
 
 class _Upsert(StatefulProcessor):
-    """First place and newest content of one message, forgotten ``ttl_ms`` after it was last seen."""
+    """First place and newest content of the messages of a bucket, each forgotten ``ttl_ms`` after it was last seen.
+
+    The messages of a bucket are one value of columns, read and written at once
+    by a batch that touches it: a call of the state store for each message costs
+    far more than the message. A bucket has one timer, ``due``, that is never
+    later than the first of its messages to go.
+    """
+
+    COLUMNS = dict(game="string", key="string", first_us="long", first_seq="long", last_us="long", last_seq="long", who="string", text="string", markup="string", version="long")
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("message", "first_us long, first_seq long, last_us long, last_seq long, who string, text string, markup string, version long")
+        self.state = handle.getValueState("messages", "due long, " + ", ".join(f"{c} array<{t}>" for c, t in self.COLUMNS.items()))
+
+    def _held(self) -> tuple[int | None, dict[tuple, list]]:
+        """The timer, and first place, last place, who, text, markup and version by game and key."""
+        state = self.state.get()
+        if state is None:
+            return None, {}
+        due, *columns = state
+        return due, {(game, name): [(us, seq), (last_us, last_seq), *rest] for game, name, us, seq, last_us, last_seq, *rest in zip(*columns)}
+
+    @staticmethod
+    def _columns(messages: dict[tuple, list]) -> list[list]:
+        return [list(c) for c in zip(*((*name, *first, *last, *rest) for name, (first, last, *rest) in messages.items()))]
+
+    def _goes(self, message: list) -> int:
+        return message[1][0] // 1000 + self.ttl_ms
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        seen = pd.concat(list(rows)).sort_values(["us", "seq"])
-        old = self.state.get()
-        first, last = seen.iloc[0], seen.iloc[-1]
-        new = [int(first.us), int(first.seq), int(last.us), int(last.seq), last.who, last.text, last.markup, len(seen)]
-        if old is not None:
-            new[:2] = min((old[0], old[1]), (new[0], new[1]))
-            if (old[2], old[3]) > (new[2], new[3]):
-                new[2:7] = old[2:7]
-            new[7] += old[7]
-            self.handle.deleteTimer(old[2] // 1000 + self.ttl_ms)
-        self.state.update(tuple(new))
-        self.handle.registerTimer(new[2] // 1000 + self.ttl_ms)
-        game, name = key
-        yield pd.DataFrame({"game": [game], "key": [name], "first_seq": [new[1]], "first_at": [pd.Timestamp(new[0], unit="us")], "last_at": [pd.Timestamp(new[2], unit="us")], "who": [new[4]], "text": [new[5]], "markup": [new[6]], "version": [new[7]]})
+        due, messages = self._held()
+        seen = {}
+        for batch in rows:
+            for game, name, us, seq, *content in zip(*(batch[c].tolist() for c in ("game", "key", "us", "seq", "who", "text", "markup"))):
+                at, message = (int(us), int(seq)), messages.get((game, name))
+                if message is None:
+                    message = messages[game, name] = [at, at, *content, 1]
+                else:
+                    message[0] = min(message[0], at)
+                    if at >= message[1]:
+                        message[1:5] = at, *content
+                    message[5] += 1
+                seen[game, name] = message
+        first = min(map(self._goes, seen.values()))
+        if due is None or first < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(first)
+            due = first
+        self.state.update((due, *self._columns(messages)))
+        yield pd.DataFrame(dict(zip(self.COLUMNS, self._columns(seen))))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.state.clear()
+        passed = timerValues.getCurrentWatermarkInMs()
+        messages = {name: m for name, m in self._held()[1].items() if self._goes(m) > passed}
+        if messages:
+            due = min(map(self._goes, messages.values()))
+            self.handle.registerTimer(due)
+            self.state.update((due, *self._columns(messages)))
+        else:
+            self.state.clear()
         yield pd.DataFrame()
 
     def close(self) -> None:
         pass
 
 
-def upsert(messages: DataFrame, ttl: str, late: str = "1 day") -> DataFrame:
+def upsert(messages: DataFrame, ttl: str, late: str = "1 day", buckets: int = 1024) -> DataFrame:
     """Messages by key: the newest content with the first sequence number and time. (ST-01, update mode)
 
     ``messages`` (game, id, who, text, markup, seq, ts) repeats a message each
@@ -111,12 +148,20 @@ def upsert(messages: DataFrame, ttl: str, late: str = "1 day") -> DataFrame:
     counts the renderings. Once the watermark, ``late`` behind the newest row,
     is ``ttl`` past a message's last rendering its state goes; rendered again
     after that, it is a new message. Null ids and empty ones go by fingerprint.
+
+    State is dealt by a hash of game and key to ``buckets``, so a game of any
+    size is spread. A batch reads and writes the buckets that it touches: more
+    buckets suit more live messages, and their number is fixed as long as a
+    checkpoint is used.
     """
     game_type = messages.schema["game"].dataType.simpleString()
-    us = F.unix_micros("ts").alias("us")
-    keyed = messages.withWatermark("ts", late).select("game", message_key(F.col("id"), F.col("markup"), F.col("text"), F.col("who")).alias("key"), "who", "text", "markup", F.col("seq").cast("long").alias("seq"), us, "ts")
-    schema = f"game {game_type}, key string, first_seq long, first_at timestamp, last_at timestamp, who string, text string, markup string, version long"
-    return keyed.groupBy("game", "key").transformWithStateInPandas(_Upsert(_millis(ttl)), schema, "Update", "EventTime")
+    key = message_key(F.col("id"), F.col("markup"), F.col("text"), F.col("who")).alias("key")
+    keyed = messages.withWatermark("ts", late).select(F.col("game").cast("string").alias("game"), key, "who", "text", "markup", F.col("seq").cast("long").alias("seq"), F.unix_micros("ts").alias("us"), "ts")
+    schema = ", ".join(f"{c} {t}" for c, t in _Upsert.COLUMNS.items())
+    bucket = F.pmod(F.xxhash64("game", "key"), F.lit(buckets)).alias("bucket")
+    found = keyed.select(bucket, "*").groupBy("bucket").transformWithStateInPandas(_Upsert(_millis(ttl)), schema, "Update", "EventTime")
+    at = lambda c: F.timestamp_micros(f"{c}_us").alias(f"{c}_at")
+    return found.select(F.col("game").cast(game_type).alias("game"), "key", "first_seq", at("first"), at("last"), "who", "text", "markup", "version")
 
 
 def first_renderings(messages: DataFrame, late: str = "1 day") -> DataFrame:

@@ -55,6 +55,36 @@ def test_state_of_messages_goes_after_its_time(spark):
     assert max(p["state_rows"] for p in progress) <= 10 * 5
 
 
+def test_state_of_messages_is_read_and_written_by_bucket(spark):
+    """However many messages are live, a batch has at most 1,024 values to read and write."""
+    batches = [[(i % 50, str(i), "w", f"t{b}", "m", 4000 * b + i, at(b)) for i in range(4000)] for b in (0, 1)]
+    progress = []
+    out = live.run_to_end(live.upsert(stream_of(spark, batches, MESSAGE), "100 days"), "update", progress)
+    assert max(p["state_rows"] for p in progress) <= 1024
+    got = sorted((r.batch, r.game, r.key, r.first_seq, r.first_at, r.last_at, r.text, r.version) for r in out.collect())
+    assert got == sorted((b, i % 50, f"id:{i}", i, at(0), at(b), f"t{b}", b + 1) for b in (0, 1) for i in range(4000))
+
+
+def test_messages_of_a_bucket_go_one_by_one(spark):
+    """A message is new again once the watermark is past its time; its neighbours in the bucket that were seen later aren't."""
+    render = lambda name, seq, hours: (1, name, "w", "t", "m", seq, at(hours))
+    batches = [[render("a", 1, 0), render("b", 2, 0)], [render("b", 3, 2)], [render("c", 4, 4)], [render("c", 5, 5.5)], [render("a", 6, 5), render("b", 7, 5)], [render("d", 8, 100)], [render("d", 9, 200)], [render("b", 10, 201), render("d", 11, 201)]]
+    progress = []
+    out = live.run_to_end(live.upsert(stream_of(spark, batches, MESSAGE), "3 hours", late="1 hour", buckets=1), "update", progress)
+    assert {p["state_rows"] for p in progress} == {1}
+    assert sorted((r.batch, r.key, r.first_seq, r.version) for r in out.collect()) == [
+        (0, "id:a", 1, 1), (0, "id:b", 2, 1), (1, "id:b", 2, 2), (2, "id:c", 4, 1), (3, "id:c", 4, 2), (4, "id:a", 6, 1), (4, "id:b", 2, 3),
+        (5, "id:d", 8, 1), (6, "id:d", 8, 2), (7, "id:b", 10, 1), (7, "id:d", 8, 3),
+    ]
+
+
+def test_games_of_messages_are_exact(spark):
+    """Large ids beside a null one, which is a game too."""
+    rows = [(g, "a", "w", "t", "m", 2**60 + i, at(i)) for i, g in enumerate([2**60 + 1, 2**60 + 2, None, 2**60 + 1, None])]
+    out = live.run_to_end(live.upsert(stream_of(spark, [rows], MESSAGE), "100 days"), "update")
+    assert {(r.game, r.first_seq - 2**60, r.version) for r in out.collect()} == {(2**60 + 1, 0, 2), (2**60 + 2, 1, 1), (None, 2, 2)}
+
+
 def test_folds_in_order_of_time_whatever_the_batches(spark):
     """Rows that come in later batches with earlier times are in their place; those behind the watermark are dropped and counted."""
     rnd = random.Random(9)
